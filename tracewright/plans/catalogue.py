@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import edit_queries, feature_queries, file_queries, path_queries, point_queries, raster_queries, stream_queries  # noqa: F401
+from .fixtures import QUERIES, SQL
+
 FLAGSHIP = "cost_grid"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
