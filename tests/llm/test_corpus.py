@@ -1,0 +1,207 @@
+import hashlib
+import re
+import zlib
+
+import numpy as np
+
+import corpus_pipeline
+from tracewright.llm import ctph, mixing, quality, secrets
+
+
+def targets(sizes, weights=(5, 2, 1)):
+    """Shares by weight, with the excess over twice the size dealt again until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    left, out, free = 1.5 * sum(sizes.values()), {}, set(order)
+    while free:
+        level = left / sum(w[s] for s in free)
+        over = [s for s in free if level * w[s] > 2 * sizes[s]]
+        if not over:
+            return out | {s: level * w[s] for s in free}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+            free.discard(s)
+    return out
+
+
+def test_mix(docs, rows, none):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + size(r[1])
+    want = targets(sizes)
+    got = mixing.taken_words(docs, block=64).collect()
+    assert sorted((str(x.doc_id), x.size) for x in got) == sorted((str(r[0]), size(r[1])) for r in rows)
+    rows_, pieces = mixing.mix(docs, block=64)
+    for r in rows_.collect():
+        assert abs(r.target - want[r.source]) < 1e-6 and r.source_size == sizes[r.source]
+    assert all(0 <= x.taken <= 2 * x.size for x in got)
+    used = {}
+    for p in pieces.collect():
+        used[p.queue] = used.get(p.queue, 0) + p.words
+    assert used == {("=" + s if s is not None else ""): int(t + 0.5) for s, t in want.items() if int(t + 0.5)}
+    assert sorted(map(str, got)) == sorted(map(str, mixing.taken_words(docs.repartition(3), block=64).collect()))
+    assert sum(x.taken for x in got) == sum(used.values())
+    assert mixing.taken_words(none).count() == 0
+
+
+def test_schedule_follows_shares(spark):
+    t = spark.createDataFrame([("a", 500), ("b", 300), ("c", 7), ("d", 0)], "queue string, blocks long")
+    slots = sorted(map(tuple, mixing.schedule(t, 1).collect()))
+    assert [s[0] for s in slots] == list(range(807))
+    for q, n in (("a", 500), ("b", 300), ("c", 7)):
+        assert sorted(s[2] for s in slots if s[1] == q) == list(range(n))
+        for k in range(50, 807, 50):
+            assert abs(sum(s[1] == q for s in slots[:k]) - k * n / 807) < 8
+
+
+def test_mixed_documents(docs):
+    some = docs.filter("doc_id is not null")
+    turns = {}
+    for r in mixing.mixed_documents(some, block=64).collect():
+        turns.setdefault(r.doc_id, []).append(r.text)
+    texts = {r.doc_id: r.text for r in some.collect()}
+    taken = {x.doc_id: x.taken for x in mixing.taken_words(some, block=64).collect()}
+    for i, ts in turns.items():
+        assert len(ts) <= 2 and all(texts[i].startswith(t) for t in ts)
+        assert sum(len(t.split(" ")) if t else 0 for t in ts) >= 1
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    assert {i: sum(len(word.findall(t)) for t in ts) for i, ts in turns.items()} == {i: n for i, n in taken.items() if n}
+
+
+def plain_base(text):
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        found += [("assign", *m.span())] if len(m.group(2)) >= 12 else []
+    found += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 18]
+    found += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 16]
+    order = {"assign": 0, "access": 1, "hex": 2}
+    return sorted(found, key=lambda s: (s[1], order[s[0]]))
+
+
+def test_secrets(docs, rows, none):
+    found = secrets.find_secrets(docs)
+    got = sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.secret_digests(found).collect())
+    want = []
+    for r in rows:
+        b = plain_base(r[1] or "")
+        text = ",".join(f"{k}:{s}:{e}" for k, s, e in b)
+        want.append((str(r[0]), *(sum(x[0] == k for x in b) for k in ("assign", "access", "hex")), hashlib.sha256(text.encode()).hexdigest()))
+    assert got == sorted(want) and sum(w[1] for w in want) >= 2
+    assert secrets.secret_digests(secrets.find_secrets(none)).count() == 0
+
+
+def test_markov_models_part_random_from_words(spark):
+    r = np.random.default_rng(1)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    parts = ["con", "text", "line", "count", "der", "ing", "tion", "value", "_id", "map"]
+    random = lambda: "".join(r.choice(letters, 24))
+    word = lambda: "".join(r.choice(parts, 6))
+    samples = spark.createDataFrame([(random(), True) for _ in range(300)] + [(word(), False) for _ in range(300)] + [(None, True), ("x", False), ("é" * 20, True)], "value string, is_random boolean")
+    texts = [(i, f"see {random() if i % 2 else word()} here") for i in range(80)]
+    found = secrets.find_secrets(spark.createDataFrame(texts, "doc_id long, text string"), samples=samples).collect()
+    assert sum(any(s["kind"] == "markov" for s in x.spans) == (x.doc_id % 2 == 1) for x in found) >= 78
+    for x in found:
+        for s in x.spans:
+            assert texts[x.doc_id][1][s["start"] : s["end"]] == s["value"]
+    assert secrets.train(samples.limit(0)) == [0.0] * secrets.SIZE**2
+
+
+def test_piecewise_fingerprints(docs, rows, none):
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = []
+    for i, r in enumerate(order):
+        t, nxt = r[1] or "", order[(i + 1) % len(order)][1] or ""
+        n = len(t) // 4
+        new = t[: len(t) - n] + nxt[:n]
+        want.append((str(r[0]), len(t), hashlib.sha256(new.encode()).hexdigest(), ctph.fingerprint(t), ctph.fingerprint(new), ctph.likeness(ctph.fingerprint(t), ctph.fingerprint(new)), ctph.likeness(ctph.fingerprint(t), ctph.fingerprint(nxt))))
+    got = ctph.fingerprints_with_next(docs)
+    assert sorted((str(x[0]), *x[1:]) for x in got.collect()) == sorted(want)
+    assert ctph.fingerprints_with_next(none).count() == 0
+
+
+def plain_likeness(x, y):
+    d = np.zeros((len(x) + 1, len(y) + 1), dtype=int)
+    d[:, 0], d[0] = range(len(x) + 1), range(len(y) + 1)
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
+            d[i, j] = d[i - 1, j - 1] if x[i - 1] == y[j - 1] else 1 + min(d[i - 1, j], d[i, j - 1])
+    return 1 - d[-1, -1] / (len(x) + len(y))
+
+
+def test_edit_distance_of_symbols():
+    r = np.random.default_rng(2)
+    for _ in range(60):
+        a, b = ("".join(r.choice(list("ABC"), 2 * int(n))) for n in r.integers(1, 20, 2))
+        x, y = [a[i : i + 2] for i in range(0, len(a), 2)], [b[i : i + 2] for i in range(0, len(b), 2)]
+        assert abs(ctph._alike(a, b) - plain_likeness(x, y)) < 1e-12
+
+
+def test_edits_stay_near_and_others_far():
+    r = np.random.default_rng(3)
+    text = lambda: " ".join("".join(r.choice(list("abcdefgh"), 5)) for _ in range(400))
+    near, far = [], []
+    for _ in range(20):
+        a, b = text(), text()
+        near.append(ctph.likeness(ctph.fingerprint(a), ctph.fingerprint(ctph.edited(a, b))))
+        far.append(ctph.likeness(ctph.fingerprint(a), ctph.fingerprint(b)))
+    assert min(near) > 0.5 and max(far) < 0.2
+    assert ctph.fingerprint("a" * 5000).count(":") == 2 and len(ctph.fingerprint("a" * 5000)) < 1200
+
+
+def junk(i):
+    return " ".join(f"W{i}X!!" for i in range(i % 30 + 5)) if i % 2 else " ".join(["word"] * (i % 20 + 12))
+
+
+def test_quality(spark, docs, none):
+    good = lambda i: " ".join(f"w{(i * 7 + k * k) % 997}ord" for k in range(i % 50 + 20)) + "."
+    data = [(i, good(i) if i % 3 else junk(i), int(i % 3 > 0)) for i in range(900)]
+    df = spark.createDataFrame(data, "doc_id long, text string, q int")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in data if not held(i)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(df, labels)
+    got = quality.score(df, model).collect()
+    right = [x.predicted == x.q for x in got if held(x.doc_id)]
+    assert np.mean(right) > 0.97 and model.pairs
+    again = quality.score(df.repartition(7), quality.train(df.repartition(3), labels)).collect()
+    assert {x.doc_id: x.score for x in got} == {x.doc_id: x.score for x in again}
+    scored = quality.score(docs, model)
+    assert dict(scored.dtypes)["score"] == "double" and scored.filter("score is null or score < 0 or score > 1").count() == 0 and scored.count() == docs.count()
+    assert quality.score(none, model).count() == 0
+    blank = quality.train(df, labels.limit(0))
+    assert {x.score for x in quality.score(df.limit(3), blank).collect()} == {0.5}
+    one = quality.train(df, labels.filter("quality = 1"))
+    assert all(x.score > 0.9 for x in quality.score(df.limit(3), one).collect())
+
+
+def test_pipeline(spark, docs, tmp_path):
+    """Each stage on what its predecessor kept, against plain versions of the stages' decisions."""
+    from tracewright.llm import lines, simhash
+
+    sf = str(tmp_path)
+    four = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null")
+    four.write.parquet(f"{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = docs.select("doc_id", (docs.doc_id % 7 != 0).cast("int").alias("quality"), (docs.doc_id * 0).alias("toxic"))
+    labels.write.parquet(f"{sf}/labels.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "simhash", "mixing", "packing"]
+    kept = docs
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        before, kept = kept, stage(spark, kept, sf)
+        kept.write.parquet(f"{sf}/stage{i}")
+        kept = spark.read.parquet(f"{sf}/stage{i}")
+        assert kept.columns == before.columns
+    s0, s1, s2, s3 = (spark.read.parquet(f"{sf}/stage{i}") for i in range(4))
+    model = quality.train(docs, labels)
+    assert {r.doc_id for r in s0.collect()} == {r.doc_id for r in quality.score(docs, model).filter("score >= 0.3").collect()}
+    assert {(r.doc_id, r.text) for r in s1.collect()} == {(r.doc_id, r.text) for r in lines.drop_common_lines(s0).collect()}
+    assert all(r.n_chars == len(r.text) for r in s1.collect())
+    assert {r.doc_id for r in s2.collect()} == {r.doc_id for r in simhash.near_duplicates(s1).collect() if r.kept}
+    taken = {r.doc_id: r.taken for r in mixing.taken_words(s2).collect() if r.taken}
+    words = {}
+    for r in s3.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert words == taken
+    out = corpus_pipeline.run(spark, sf)
+    assert {r.doc_id for r in out.collect()} == set(taken)

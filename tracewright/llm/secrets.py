@@ -54,26 +54,29 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "base", apart.alias("candidates"))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(samples: DataFrame, smoothing: float = 0.5, backing: float = 10.0) -> list[float]:
     """samples (value, is_random): the log-likelihood ratio of each pair of characters, at LOW-based places of an array of SIZE**2.
 
-    Counts are made in Spark; what the driver gets is a row a pair, SIZE**2 at most. Values that are null, or with under two
-    characters, teach nothing. Without samples every ratio is 0.
+    A character's chance after another is its share of the pairs seen, drawn towards its share of all characters by `backing`
+    pairs' weight, so pairs of characters that a model has hardly seen still count against it. Counts are made in Spark; what the
+    driver gets is a row a pair, SIZE**2 at most. Values that are null, or with under two characters, teach nothing. Without
+    samples of both kinds every ratio is 0.
     """
     printable = samples.filter(F.regexp("value", F.lit(r"^[\x21-\x7E]{2,}$")))
     pairs = printable.select("is_random", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"))
-    count = {True: [0.0] * SIZE**2, False: [0.0] * SIZE**2}
+    count = {kind: [[0.0] * SIZE for _ in range(SIZE)] for kind in (True, False)}
     for r in pairs.groupBy("is_random", "pair").count().toLocalIterator():
         if r.is_random is not None:
-            count[r.is_random][(ord(r.pair[0]) - LOW) * SIZE + ord(r.pair[1]) - LOW] += r["count"]
-    if not sum(count[True]) or not sum(count[False]):
+            count[r.is_random][ord(r.pair[0]) - LOW][ord(r.pair[1]) - LOW] += r["count"]
+
+    def logs(table: list[list[float]]) -> list[float]:
+        share = [sum(row[c] for row in table) + smoothing for c in range(SIZE)]
+        share = [s / sum(share) for s in share]
+        return [math.log((row[c] + backing * share[c]) / (sum(row) + backing)) for row in table for c in range(SIZE)]
+
+    if not all(any(map(any, table)) for table in count.values()):
         return [0.0] * SIZE**2
-    ratio = []
-    for first in range(SIZE):
-        row = {k: v[first * SIZE : (first + 1) * SIZE] for k, v in count.items()}
-        total = {k: sum(v) + smoothing * SIZE for k, v in row.items()}
-        ratio += [math.log((a + smoothing) / total[True]) - math.log((b + smoothing) / total[False]) for a, b in zip(row[True], row[False], strict=True)]
-    return ratio
+    return [a - b for a, b in zip(logs(count[True]), logs(count[False]), strict=True)]
 
 
 def log_likelihood_ratio(value: Column, model: list[float]) -> Column:
