@@ -67,7 +67,7 @@ def to_latlon(x: Column, y: Column, zone: Column, north: Column | bool = True) -
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle metres."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return 2 * SPHERE * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * SPHERE * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def heading_deg(x: Column, y: Column, z: Column, w: Column) -> Column:

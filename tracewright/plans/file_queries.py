@@ -109,8 +109,9 @@ def read_edits(t: Town):
     """Sidecar files written from the messages, and a corrupt one, which counts as empty."""
     path, rows = new_path(t.spark, "edits"), t.telemetry.filter("topic = 'gps'")
     change = F.to_json(F.collect_list(F.struct(F.lit("tag").alias("type"), F.unix_timestamp("ts").cast("double").alias("ts"))))
-    tags = F.to_json(F.map_from_entries(F.collect_set(F.struct(F.col("robot_id").cast("string"), F.create_map(F.lit("name"), F.col("robot_id").cast("string"))))))
-    sound = rows.groupBy((F.col("robot_id") % 5).alias("part")).agg(F.concat(F.lit('{"version":2,"tag_overrides":'), tags, F.lit(',"change_log":'), change, F.lit("}")).alias("json"))
+    parts = rows.groupBy((F.col("robot_id") % 5).alias("part")).agg(F.collect_set(F.col("robot_id").cast("string")).alias("ids"), change.alias("changes"))
+    tags = F.to_json(F.map_from_arrays("ids", F.transform("ids", lambda i: F.create_map(F.lit("name"), i))))
+    sound = parts.select("part", F.concat(F.lit('{"version":2,"tag_overrides":'), tags, F.lit(',"change_log":'), "changes", F.lit("}")).alias("json"))
     bad = t.spark.range(1).select(F.lit(99).cast("long").alias("part"), F.lit('{"version":').alias("json"))
     sound.unionByName(bad).write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
     read = S.read_edits(t.spark, f"{path}/*/*").filter("version is not null")

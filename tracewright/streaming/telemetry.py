@@ -34,36 +34,41 @@ def telemetry_latest(msgs: DataFrame) -> DataFrame:
     return last.groupBy("robot_id").agg(of("gps", "lat", "gps_lat"), of("gps", "lon", "gps_lon"), of("speed", "num", "speed"), of("voltage", "num", "voltage"), of("motor_error", "num", "error"), F.max("ts").alias("last_ts"))
 
 
-class LatestByTopic(StatefulProcessor):
-    """Keeps each (robot, topic)'s latest message; late ones don't replace it. Emits on change."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", LATEST)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in LATEST.split(", ")]
-        held = self.state.get()
-        best = None if held is None else dict(zip(names, held, strict=True))
-        new = False
-        for part in rows:
-            part = part[part["ts"].notna()]
-            if len(part):
-                row = part.sort_values(["ts", "msg_id"]).iloc[-1]
-                if best is None or (row["ts"], row["msg_id"]) > (pd.Timestamp(best["ts"]), best["msg_id"]):
-                    best = {n: None if pd.isna(row[n]) else row[n] for n in names}
-                    best["ts"] = row["ts"].to_pydatetime()
-                    new = True
-        if new:
-            self.state.update(tuple(v.item() if hasattr(v, "item") else v for v in (best[n] for n in names)))
-            yield pd.DataFrame([best])[names]
-
-    def close(self) -> None:
-        pass
+def latest_by_topic() -> StatefulProcessor:
+    """The processor of telemetry_latest_stream(). Its class is made here, so that it travels whole to the workers."""
+
+    class LatestByTopic(StatefulProcessor):
+        """Keeps each (robot, topic)'s latest message; late ones don't replace it. Emits on change."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("latest", LATEST)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            names = [x.split()[0] for x in LATEST.split(", ")]
+            held = self.state.get()
+            best = None if held is None else dict(zip(names, held, strict=True))
+            new = False
+            for part in rows:
+                part = part[part["ts"].notna()]
+                if len(part):
+                    row = part.sort_values(["ts", "msg_id"]).iloc[-1]
+                    if best is None or (row["ts"], row["msg_id"]) > (pd.Timestamp(best["ts"]), best["msg_id"]):
+                        best = {n: None if pd.isna(row[n]) else row[n] for n in names}
+                        best["ts"] = row["ts"].to_pydatetime()
+                        new = True
+            if new:
+                self.state.update(tuple(v.item() if hasattr(v, "item") else v for v in (best[n] for n in names)))
+                yield pd.DataFrame([best])[names]
+
+        def close(self) -> None:
+            pass
+
+    return LatestByTopic()
 
 
 def telemetry_latest_stream(msgs: DataFrame) -> DataFrame:
     """The changes of latest_messages() over a stream. Needs the RocksDB state store."""
-    return msgs.groupBy("robot_id", "topic").transformWithStateInPandas(LatestByTopic(), LATEST, "Update", "None")
+    return msgs.groupBy("robot_id", "topic").transformWithStateInPandas(latest_by_topic(), LATEST, "Update", "None")
 
 
 def emit_on_change(msgs: DataFrame, every_s: int = 10) -> DataFrame:
@@ -75,7 +80,7 @@ def activity_flags(msgs: DataFrame, topic: str = "teleop", within_s: float = TEL
     """msgs with active: whether the robot's last non-zero message of the topic, up to this one, is under within_s seconds old."""
     seen = F.when((F.col("topic") == topic) & (F.col("num") != 0), F.col("ts"))
     last = F.last(seen, ignorenulls=True).over(W.partitionBy("robot_id").orderBy("ts", "msg_id").rowsBetween(W.unboundedPreceding, 0))
-    age = F.unix_micros("ts") - F.unix_micros(last)
+    age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(last.cast("timestamp"))
     return msgs.withColumn("active", F.coalesce(age < within_s * 1_000_000, F.lit(False)))
 
 
