@@ -34,39 +34,47 @@ def splice_annotations(segments: DataFrame, junctions: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
+def _relaxed(state: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """One round: offers of the fresh nodes along the edges, the best of old and new a node; fresh are those that improved."""
+    reached = state.join(goals, ["req", "node"], "left_semi").groupBy("req").agg(F.min("dist").alias("goal"))
+    offers = state.filter("fresh").join(edges, F.col("node") == F.col("src")).select("req", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent"), F.lit(1).alias("rank"))
+    offers = offers.join(reached, "req", "left").filter("goal is null or dist < goal").drop("goal")
+    old = state.select("req", "node", "dist", "parent", F.lit(0).alias("rank"))
+    best = old.unionByName(offers).groupBy("req", "node").agg(F.min(F.struct("dist", "rank", "parent")).alias("b"))
+    return best.select("req", "node", "b.dist", "b.parent", (F.col("b.rank") == 1).alias("fresh"))
+
+
 def shortest_distances(edges: DataFrame, requests: DataFrame, most: int = 10_000) -> DataFrame:
     """req, node, dist, parent of every node that a request's search settled, by rounds of relaxation from its start.
 
     A round joins the nodes that improved with the edges, keeps the best offer a node, and drops offers that don't beat the
-    request's best way to its goal. Each round is a table in the shared folder.
+    request's best way to its goal. Every second round is a table in the shared folder.
     """
-    best_edge = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    best_edge = cut(best_edge, "edges")
+    best_edge = cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "edges")
     state = cut(requests.select("req", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.col("src").alias("parent"), F.lit(True).alias("fresh")).distinct(), "state")
     goals = requests.select("req", F.col("dst").alias("node"))
     for _ in range(most):
-        reached = state.join(goals, ["req", "node"], "left_semi").groupBy("req").agg(F.min("dist").alias("goal"))
-        offers = state.filter("fresh").join(best_edge, F.col("node") == F.col("src")).select("req", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent"), F.lit(1).alias("rank"))
-        offers = offers.join(reached, "req", "left").filter("goal is null or dist < goal").drop("goal")
-        old = state.select("req", "node", "dist", "parent", F.lit(0).alias("rank"))
-        best = old.unionByName(offers).groupBy("req", "node").agg(F.min(F.struct("dist", "rank", "parent")).alias("b"))
-        state = cut(best.select("req", "node", "b.dist", "b.parent", (F.col("b.rank") == 1).alias("fresh")), "state")
+        state = cut(_relaxed(_relaxed(state, best_edge, goals), best_edge, goals), "state")
         if state.filter("fresh").isEmpty():
             break
     return state.drop("fresh")
 
 
 def shortest_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
-    """req, seq (from 0), node, dist along the shortest way of each request that has one; ties go to the smaller parent."""
-    tree = shortest_distances(edges, requests)
-    front = requests.select("req", F.col("src").alias("start"), F.col("dst").alias("node")).join(tree, ["req", "node"])
-    front = cut(front.select("req", "start", "node", "dist", "parent", F.lit(0).alias("back")), "walk")
-    walked = front
-    while not front.filter("node <> start").isEmpty():
-        up = front.filter("node <> start").select("req", "start", F.col("parent").alias("node"), (F.col("back") + 1).alias("back"))
-        front = cut(up.join(tree, ["req", "node"]).select("req", "start", "node", "dist", "parent", "back"), "walk")
-        walked = walked.unionByName(front)
-    return walked.select("req", (F.max("back").over(W.partitionBy("req")) - F.col("back")).alias("seq"), "node", "dist")
+    """req, seq (from 0), node, dist along the shortest way of each request that has one; ties go to the smaller parent.
+
+    The way back from a goal is found by pointer doubling: round k adds, to the nodes known to be on the way, their ancestors 2**k
+    steps up, so rounds grow with the logarithm of the way's length.
+    """
+    tree = cut(shortest_distances(edges, requests), "tree")
+    way = cut(requests.select("req", F.col("dst").alias("node")).join(tree.select("req", "node"), ["req", "node"], "left_semi"), "way")
+    up = tree.filter("node <> parent").select("req", "node", F.col("parent").alias("to"))
+    while not up.isEmpty():
+        way = cut(way.unionByName(way.join(up, ["req", "node"]).select("req", F.col("to").alias("node"))).distinct(), "way")
+        above = up.select("req", F.col("node").alias("to"), F.col("to").alias("top"))
+        up = cut(up.join(above, ["req", "to"]).select("req", "node", F.col("top").alias("to")), "up")
+    placed = way.join(tree, ["req", "node"])
+    return placed.select("req", (F.row_number().over(W.partitionBy("req").orderBy("dist")) - 1).alias("seq"), "node", "dist")
 
 
 def route_waypoints(paths: DataFrame, segments: DataFrame, nodes: DataFrame) -> DataFrame:
