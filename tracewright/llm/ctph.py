@@ -39,9 +39,12 @@ def _rolling(data: np.ndarray) -> np.ndarray:
 
 
 def _symbols(data: bytes, rolling: np.ndarray, size: int) -> str:
-    """A chunk is at least a quarter of the block size long, so that texts that repeat a byte don't end one at each byte."""
-    ends, out, start, least = np.flatnonzero(rolling % np.uint32(size) == size - 1), [], 0, size // 4
-    for end in (ends + 1).tolist():
+    """A chunk is over a quarter of the block size long, so that texts that repeat a byte don't end one at each byte, and four times it at most, so that texts that repeat a phrase still give a row of them."""
+    ends, out, start, least, most = np.flatnonzero(rolling % np.uint32(size) == size - 1), [], 0, size // 4, 4 * size
+    for end in (*(ends + 1).tolist(), len(data)):
+        while end - start > most:
+            out.append(SYMBOLS[zlib.crc32(data[start : start + most]) & 4095])
+            start += most
         if end - start > least:
             out.append(SYMBOLS[zlib.crc32(data[start:end]) & 4095])
             start = end
