@@ -198,15 +198,15 @@ COSTS = "r AS (SELECT CAST((x - 458000) / 10 AS INT) AS ix, CAST((y - 5550500) /
 
 
 @query(f"""WITH {LINES}, {COSTS}, g AS (SELECT path_id, leg, coalesce(avg(cost), 0) AS a, coalesce(max(cost) >= 1, false) AS blocked FROM cells LEFT JOIN r ON cells.ix = r.ix AND cells.iy = r.iy GROUP BY path_id, leg)
-SELECT g.path_id, g.leg, round(a, 6) AS avg_cost, blocked, CASE WHEN NOT blocked THEN round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) * (1 + 5 * a), 5) END AS cost FROM g JOIN l ON g.path_id = l.path_id AND g.leg = l.leg""")
+SELECT g.path_id, g.leg, round(a, 9) AS avg_cost, blocked, CASE WHEN NOT blocked THEN round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) * (1 + 5 * a), 5) END AS cost FROM g JOIN l ON g.path_id = l.path_id AND g.leg = l.leg""")
 def segment_cost(t: Town):
     out = J.segment_cost(cell_lines(t), raster(t), ("path_id", "leg"))
-    return out.select("path_id", "leg", F.round("avg_cost", 6).alias("avg_cost"), "blocked", F.round("cost", 5).alias("cost"))
+    return out.select("path_id", "leg", F.round("avg_cost", 9).alias("avg_cost"), "blocked", F.round("cost", 5).alias("cost"))
 
 
-@query(f"WITH {LINES}, {COSTS} SELECT path_id, leg, round(coalesce(avg(cost), 0), 6) AS avg_cost FROM cells LEFT JOIN r ON cells.ix = r.ix AND cells.iy = r.iy GROUP BY path_id, leg")
+@query(f"WITH {LINES}, {COSTS} SELECT path_id, leg, round(coalesce(avg(cost), 0), 9) AS avg_cost FROM cells LEFT JOIN r ON cells.ix = r.ix AND cells.iy = r.iy GROUP BY path_id, leg")
 def segment_avg_cost(t: Town):
-    return J.segment_cost(cell_lines(t), raster(t), ("path_id", "leg")).select("path_id", "leg", F.round("avg_cost", 6).alias("avg_cost"))
+    return J.segment_cost(cell_lines(t), raster(t), ("path_id", "leg")).select("path_id", "leg", F.round("avg_cost", 9).alias("avg_cost"))
 
 
 @query()
