@@ -46,7 +46,12 @@ def apply_node_deletes(t: Town):
     return E.apply_node_deletes(open_.select("way_id", "pos", "node_id", "category"), open_.filter("node_id % 5 = 0")).drop("category")
 
 
-@query()
+@query("""WITH w AS (SELECT way_id, pos, node_id, max(pos) OVER (PARTITION BY way_id) AS hi, first_value(node_id) OVER (PARTITION BY way_id ORDER BY pos) = last_value(node_id) OVER (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AND count(*) OVER (PARTITION BY way_id) > 1 AS closed FROM fx_way_nodes),
+c AS (SELECT *, CASE WHEN node_id % 3 = 0 AND pos > 0 AND pos < hi AND NOT closed THEN 1 ELSE 0 END AS cut FROM w),
+p AS (SELECT *, sum(cut) OVER (PARTITION BY way_id ORDER BY pos) - cut AS part, sum(cut) OVER (PARTITION BY way_id) AS cuts FROM c),
+b AS (SELECT way_id, pos, node_id, part, cuts FROM p UNION ALL SELECT way_id, pos, node_id, part + 1, cuts FROM p WHERE cut = 1),
+o AS (SELECT way_id AS base_id, CASE WHEN cuts > 0 THEN CAST(part AS INT) END AS seg, row_number() OVER (PARTITION BY way_id, part ORDER BY pos) - 1 AS pos, node_id FROM b)
+SELECT * FROM o WHERE NOT (seg IS NOT NULL AND seg = 1 AND base_id % 30 = 0 AND base_id IN (SELECT way_id FROM fx_way_nodes WHERE pos = 1))""")
 def apply_splits(t: Town):
     rows = t.way_nodes.select("way_id", "pos", "node_id")
     deletes = rows.filter("way_id % 30 = 0 and pos = 1").select(F.col("way_id").alias("base_id"), F.col("pos").alias("seg"))
@@ -101,13 +106,36 @@ def edited(t: Town) -> dict:
     parts = {"way_deletes": deletes, "node_deletes": ways("hide").join(first, "way_id").select("way_id", "node_id"), "splits": ways("add_node").join(first, "way_id").select("way_id", "node_id"), "moves": moves, "tags": tags}
     return E.edited_map(classified(t), t.way_nodes.select("way_id", "pos", "node_id"), t.nodes, parts)
 
-
-@query()
+ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+#: The edited town as common table expressions: cur (edits in force), lw (ways left), parts, placed.
+EDITED = f"""WITH cur AS (SELECT op, way_id FROM (SELECT *, row_number() OVER (PARTITION BY op, way_id ORDER BY ts DESC, event_id DESC) AS rn FROM fx_edit_log) AS l WHERE rn = 1 AND NOT is_undo),
+lw AS (SELECT way_id, category, highway FROM fx_class WHERE way_id NOT IN (SELECT way_id FROM cur WHERE op = 'delete')),
+p1 AS (SELECT op, w.way_id, node_id FROM fx_way_nodes AS w JOIN cur ON cur.way_id = w.way_id WHERE pos = 1),
+r0 AS (SELECT w.way_id, w.pos, w.node_id, lw.category, first_value(node_id) OVER (PARTITION BY w.way_id ORDER BY pos {ALL}) = last_value(node_id) OVER (PARTITION BY w.way_id ORDER BY pos {ALL}) AND count(*) OVER (PARTITION BY w.way_id) > 2 AS closed FROM fx_way_nodes AS w JOIN lw ON w.way_id = lw.way_id),
+r1 AS (SELECT * FROM r0 WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE op = 'hide' AND p1.way_id = r0.way_id AND p1.node_id = r0.node_id)),
+r2 AS (SELECT *, first_value(node_id) OVER (PARTITION BY way_id ORDER BY pos {ALL}) AS f, last_value(node_id) OVER (PARTITION BY way_id ORDER BY pos {ALL}) AS l, max(pos) OVER (PARTITION BY way_id) AS e FROM r1),
+r3 AS (SELECT way_id, pos, node_id, category, closed FROM r2 UNION ALL SELECT way_id, e + 1, node_id, category, closed FROM r2 WHERE closed AND f <> l AND node_id = f),
+r4 AS (SELECT *, count(*) OVER (PARTITION BY way_id) AS n, count(DISTINCT node_id) OVER (PARTITION BY way_id) AS d FROM r3),
+r5 AS (SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY pos) - 1 AS pos, node_id FROM r4 WHERE n >= 2 AND d >= CASE WHEN closed AND category = 'barrier' THEN 3 ELSE 2 END),
+s0 AS (SELECT *, first_value(node_id) OVER (PARTITION BY way_id ORDER BY pos {ALL}) = last_value(node_id) OVER (PARTITION BY way_id ORDER BY pos {ALL}) AS closed, max(pos) OVER (PARTITION BY way_id) AS hi FROM r5),
+s1 AS (SELECT *, CASE WHEN pos > 0 AND pos < hi AND NOT closed AND EXISTS (SELECT 1 FROM p1 WHERE op = 'add_node' AND p1.way_id = s0.way_id AND p1.node_id = s0.node_id) THEN 1 ELSE 0 END AS cut FROM s0),
+s2 AS (SELECT *, sum(cut) OVER (PARTITION BY way_id ORDER BY pos) - cut AS part, sum(cut) OVER (PARTITION BY way_id) AS cuts FROM s1),
+s3 AS (SELECT way_id, pos, node_id, part, cuts FROM s2 UNION ALL SELECT way_id, pos, node_id, part + 1, cuts FROM s2 WHERE cut = 1),
+parts AS (SELECT way_id AS base_id, CASE WHEN cuts > 0 THEN CAST(part AS INT) END AS seg, row_number() OVER (PARTITION BY way_id, part ORDER BY pos) - 1 AS pos, node_id FROM s3),
+moved AS (SELECT p.way_id, p.node_id FROM fx_placed AS p JOIN cur ON cur.way_id = p.way_id WHERE op = 'move' AND pos = 0),
+placed AS (SELECT base_id, seg, pos, p.node_id, CASE WHEN m.way_id IS NOT NULL THEN x + 1 ELSE x END AS x, y FROM parts AS p JOIN fx_nodes AS n ON n.node_id = p.node_id LEFT JOIN moved AS m ON m.way_id = base_id AND m.node_id = p.node_id),
+shown AS (SELECT way_id AS base_id, CASE WHEN category = 'road' AND way_id IN (SELECT way_id FROM cur WHERE op = 'tag') THEN 'footway' ELSE category END AS category FROM lw),
+named AS (SELECT *, CAST(base_id AS VARCHAR) || CASE WHEN seg IS NULL THEN '' ELSE ':' || seg END AS feature_id FROM placed)"""
+CHOSEN = "(SELECT path_id * 10 FROM fx_paths)"
+
+
+@query(f"{EDITED} SELECT base_id, seg, pos, node_id, x, y FROM placed")
 def edited_map(t: Town):
     return edited(t)["way_nodes"]
 
 
-@query()
+@query(f"""{EDITED}, u AS (SELECT node_id, count(*) AS n, sum(CASE WHEN pos = lo OR pos = hi THEN 1 ELSE 0 END) AS ends FROM (SELECT *, min(pos) OVER (PARTITION BY feature_id) AS lo, max(pos) OVER (PARTITION BY feature_id) AS hi FROM named WHERE base_id IN (SELECT base_id FROM shown WHERE category = 'footway')) AS f GROUP BY node_id)
+SELECT u.node_id, CAST(n AS VARCHAR) AS count, x, y, CAST(1.5 AS DOUBLE) AS radius FROM u JOIN fx_nodes AS p ON u.node_id = p.node_id WHERE n > 2 OR n = 2 AND ends < 2""")
 def edited_crossroads(t: Town):
     return edited(t)["crossroads"]
 
@@ -116,17 +144,17 @@ def chosen(t: Town):
     return t.paths.select((F.col("path_id") * 10).alias("base_id")).distinct()
 
 
-@query()
+@query(f"{EDITED} SELECT p.base_id, s.category FROM (SELECT DISTINCT base_id, seg FROM placed) AS p JOIN shown AS s ON s.base_id = p.base_id WHERE p.base_id IN {CHOSEN}")
 def resolve_feature(t: Town):
     return E.resolve_feature(edited(t), chosen(t)).select("base_id", "category")
 
 
-@query()
+@query(f"{EDITED} SELECT feature_id, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY pos) AS nodes FROM named WHERE base_id IN {CHOSEN} GROUP BY feature_id")
 def feature_segments(t: Town):
     return E.feature_segments(edited(t), chosen(t)).select("feature_id", F.array_join("nodes", ",").alias("nodes"))
 
 
-@query()
+@query(f"{EDITED} SELECT feature_id, pos, f.node_id, f.x, f.y, n.barrier FROM named AS f JOIN fx_nodes AS n ON n.node_id = f.node_id WHERE base_id IN {CHOSEN}")
 def feature_nodes(t: Town):
     out = E.feature_nodes(edited(t), chosen(t), t.tagged_nodes)
     return out.select("feature_id", "pos", "node_id", "x", "y", F.try_element_at("tags", F.lit("barrier")).alias("barrier"))
@@ -138,11 +166,15 @@ def synthetic_node_ids(t: Town):
     return E.synthetic_node_ids(rows).select("event_id", "node_id")
 
 
-@query()
+@query("""WITH e AS (SELECT CASE op WHEN 'delete' THEN 'way' WHEN 'hide' THEN 'node' WHEN 'tag' THEN 'tag' WHEN 'move' THEN 'move' ELSE 'split' END AS kind, way_id AS target, ts FROM (SELECT *, row_number() OVER (PARTITION BY op, way_id ORDER BY ts DESC, event_id DESC) AS rn FROM fx_edit_log) AS l WHERE rn = 1 AND NOT is_undo),
+n AS (SELECT * FROM e WHERE target % 60 <> 0), r AS (SELECT kind, target, (row_number() OVER (PARTITION BY kind ORDER BY target) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY kind) AS r FROM n WHERE kind IN ('way', 'node'))
+SELECT 1 AS map_id, 0 AS section, row_number() OVER (ORDER BY r, CASE kind WHEN 'way' THEN 0 ELSE 1 END, target) AS place, kind, target FROM r
+UNION ALL SELECT 1, CASE kind WHEN 'tag' THEN 1 WHEN 'move' THEN 2 ELSE 3 END, row_number() OVER (PARTITION BY kind ORDER BY target), kind, target FROM n WHERE kind NOT IN ('way', 'node')
+UNION ALL SELECT 1, 9, row_number() OVER (ORDER BY ts, kind, target), kind, target FROM e WHERE target % 60 = 0""")
 def change_log_backfill(t: Town):
     kinds = F.create_map(*(F.lit(v) for kv in {"delete": "way", "hide": "node", "tag": "tag", "move": "move", "add_node": "split"}.items() for v in kv))
     edits = E.current_edits(log(t)).select("map_id", F.try_element_at(kinds, F.col("op")).alias("kind"), "target", "ts")
-    return E.change_log_backfill(edits.drop("ts"), edits.filter("target % 60 = 0"))
+    return E.change_log_backfill(edits.drop("ts"), edits.filter("target % 60 = 0")).drop("ts")
 
 
 @query("SELECT op, count(*) AS n FROM fx_edit_log GROUP BY op")

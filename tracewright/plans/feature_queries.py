@@ -167,7 +167,24 @@ def obstacles_minus_paths(t: Town):
     return J.obstacles_minus_paths(cells, t.area_ring, t.segments, 3.0).select("x", "y")
 
 
-@query()
+def gap(px, py, ax, ay, bx, by):
+    """The distance of a point from a segment, as SQL."""
+    t = f"least(greatest((({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / nullif(({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay}), 0), 0), 1)"
+    t = f"coalesce({t}, 0)"
+    return f"sqrt(pow({px} - {ax} - {t} * ({bx} - {ax}), 2) + pow({py} - {ay} - {t} * ({by} - {ay}), 2))"
+
+
+def turn(ax, ay, bx, by, px, py):
+    return f"sign(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
+
+
+LEG, EDGE = ("l.x1", "l.y1", "l.x2", "l.y2"), ("e.x1", "e.y1", "e.x2", "e.y2")
+CROSS = f"({turn(*LEG, 'e.x1', 'e.y1')} <> {turn(*LEG, 'e.x2', 'e.y2')} AND {turn(*EDGE, 'l.x1', 'l.y1')} <> {turn(*EDGE, 'l.x2', 'l.y2')})"
+GAPS = f"least({gap('l.x1', 'l.y1', *EDGE)}, {gap('l.x2', 'l.y2', *EDGE)}, {gap('e.x1', 'e.y1', *LEG)}, {gap('e.x2', 'e.y2', *LEG)})"
+
+
+@query(f"""SELECT DISTINCT path_id, leg FROM fx_legs AS l JOIN fx_ring_edges AS e ON least(l.x1, l.x2) <= greatest(e.x1, e.x2) + 1 AND greatest(l.x1, l.x2) >= least(e.x1, e.x2) - 1 AND least(l.y1, l.y2) <= greatest(e.y1, e.y2) + 1 AND greatest(l.y1, l.y2) >= least(e.y1, e.y2) - 1
+WHERE {CROSS} OR {GAPS} <= 0.25 UNION SELECT path_id, leg FROM fx_legs AS l JOIN fx_boxes AS b ON l.x1 >= min_x AND l.x1 < max_x AND l.y1 >= min_y AND l.y1 < max_y""")
 def leg_collisions(t: Town):
     return J.leg_collisions(t.legs, t.area_ring)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import routing as R
 from ..operators import sequences as S
-from .feature_queries import drawn_ends, raster
+from .feature_queries import drawn_ends, gap, raster
 from .fixtures import Town, query
 
 
@@ -74,7 +74,12 @@ def simplify_paths(t: Town):
 
 
 
-@query()
+SNAPS = f"""WITH p AS (SELECT -path_id AS drawn, x AS px, y AS py FROM fx_paths WHERE seq = 0),
+c AS (SELECT drawn, way_id, seg, length, round(least(greatest(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (length * length), 0), 1), 6) AS t, {gap("px", "py", "x1", "y1", "x2", "y2")} AS d FROM p JOIN fx_segments AS s ON px BETWEEN least(x1, x2) - 5 AND greatest(x1, x2) + 5 AND py BETWEEN least(y1, y2) - 5 AND greatest(y1, y2) + 5 WHERE length > 0),
+j AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY drawn ORDER BY d, way_id, seg) AS rn FROM c WHERE d <= 5) AS q WHERE rn = 1)"""
+
+
+@query(f"{SNAPS} SELECT drawn, way_id, seg, t, round(d, 6) AS dist, row_number() OVER (PARTITION BY way_id, seg ORDER BY t, round(d, 6)) AS place FROM j")
 def splits_along_segment(t: Town):
     joined = J.endpoint_edge_join(drawn_ends(t), t.segments)
     return S.splits_along_segment(joined.select(F.col("way_id").alias("drawn"), F.col("to_way").alias("way_id"), "seg", F.round("t", 6).alias("t"), F.round("dist", 6).alias("dist")))
