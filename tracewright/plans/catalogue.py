@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edit_queries, feature_queries, file_queries, path_queries, point_queries, raster_queries, stream_queries  # noqa: F401
+from . import edit_queries, feature_queries, file_queries, path_queries, point_queries, raster_queries, scalar_queries, stream_queries  # noqa: F401
 from .fixtures import QUERIES, SQL
 
 FLAGSHIP = "cost_grid"
