@@ -73,7 +73,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block: int = 1024, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces). rows: doc_id, queue, size, source, source_size, target, start, one per row of docs. pieces: slot, queue, start, pass, first_word, words.
+    """(rows, pieces). rows: doc_id, same (md5 of the text), queue, size, source, source_size, target, start, one per row of docs. pieces: slot, queue, start, pass, first_word, words.
 
     A piece is a run of a document's words in a slot of the mix; (queue, start) names the document, whose place on its source's
     tape starts there. Every source's words add up to its target, rounded; a document is used at most `most` (2) times, as a
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     targets = targets.withColumn("blocks", F.ceil(F.col("words") / block))
     inside = W.partitionBy("queue", "range").orderBy("order", "doc_id", "same")
     placed = rows.join(ranges.select("queue", "range", "before"), ["queue", "range"]).withColumn("start", F.col("before") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    placed = cut(placed.join(targets, "queue").select("doc_id", "queue", "size", "source", "source_size", "target", "start", "words"), "tape")
+    placed = cut(placed.join(targets, "queue").select("doc_id", "same", "queue", "size", "source", "source_size", "target", "start", "words"), "tape")
     turns = placed.filter("size > 0").select("queue", "start", "size", "words", F.explode(F.array(F.lit(0), F.lit(1))).alias("pass"), "source_size")
     turns = turns.withColumn("from", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("words"))).filter("from < to")
     cuts = turns.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
@@ -114,12 +114,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a row for each time that a document is used, with the words that are taken of it then.
 
     Words taken of a document in one turn of the tape are a run from its start; a text used whole stays as it is, a cut one ends
-    with the run's last word. Documents that the mix doesn't use go. Rows need distinct doc_id values; a null one isn't used.
+    with the run's last word. Documents that the mix doesn't use go. Rows of the same doc_id (or none) and text stand for each
+    other: each has its own turns, with the other columns of any one of them.
     """
     rows, pieces = mix(docs, **options)
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "same")
     turns = pieces.groupBy("queue", "start", "pass").agg(F.sum("words").alias("__words"))
-    turns = cut(rows.filter("size > 0").select("doc_id", "queue", "start", "size").join(turns, ["queue", "start"]).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__words"), "turns")
-    joined = docs.join(turns, docs["doc_id"] == F.col("__id"))
+    turns = cut(rows.filter("size > 0").select(key.alias("__key"), "queue", "start", "size").join(turns, ["queue", "start"]).select("__key", F.col("size").alias("__size"), "__words"), "turns")
+    own = F.concat(F.coalesce(named("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(named("text"), F.lit(""))))
+    joined = docs.withColumn("__key", own).dropDuplicates(["__key"]).join(turns, "__key")
     # the place after the run's last word: words and blanks alternate
     words = F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col("__words").cast("int"))
     text = F.when(F.col("__words") >= F.col("__size"), F.col("text")).otherwise(F.array_join(words, ""))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -74,6 +75,15 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.pos") == F.col("b.pos")) & (F.col("a.rest") == F.col("b.rest")) & close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
+def classes_of(prints: DataFrame) -> DataFrame:
+    """fp, component (a fingerprint that names the group), component_id (the group's smallest doc_id, null if it has none) of every fingerprint in prints (doc_id, fp)."""
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    labels = components(near_pairs(nodes))  # node, component: fingerprints
+    grouped = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    return cut(grouped.join(smallest, "component").select("fp", "component", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links), kept, for every row of docs.
 
@@ -82,16 +92,21 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     repeated results. Other columns are ignored; an empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, words), "fingerprints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    labels = components(near_pairs(nodes))  # node, component: fingerprints
-    grouped = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = cut(grouped.join(smallest, "component").select("fp", "component_id"), "classes")
-    joined = prints.join(classes, "fp")
+    joined = prints.join(classes_of(prints), "fp")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs with one row of each group: that of its smallest doc_id (of rows that repeat it, any one). Rows without a doc_id go when their group has one, else one stays."""
-    kept = near_duplicates(docs, words).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(cut(kept, "kept"), docs["doc_id"] == F.col("__kept")).select(*keep_columns(docs)).dropDuplicates(["doc_id"])
+    """docs with one row of each group: that of its smallest doc_id (of rows that repeat it, any one). Of a group that has no doc_id at all, any one row."""
+
+    @F.pandas_udf("long")
+    def printed(text: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words) for t in text], dtype=np.uint64).view(np.int64))
+
+    prints = cut(fingerprints(docs, words), "fingerprints")
+    classes = classes_of(prints)
+    kept = cut(prints.join(classes.filter("component_id is not null"), "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
+    named_ = docs.join(kept, docs["doc_id"] == F.col("__kept")).select(*keep_columns(docs)).dropDuplicates(["doc_id"])
+    nameless = docs.filter(named("doc_id").isNull()).withColumn("__fp", printed(F.coalesce(named("text"), F.lit("")).cast("binary")))
+    alone = classes.filter("component_id is null").select(F.col("fp").alias("__fp"), F.col("component").alias("__component"))
+    return named_.unionByName(nameless.join(alone, "__fp").dropDuplicates(["__component"]).select(*keep_columns(docs)))
