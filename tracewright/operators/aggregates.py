@@ -29,8 +29,16 @@ def intersection_poses(crossroads: DataFrame, matrix: list[list[float]], box: tu
 
     x, y, _ = rigid_transform(F.col("x"), F.col("y"), F.lit(0.0), matrix)
     local = crossroads.select("node_id", x.alias("x"), y.alias("y"), F.lit(0.0).alias("z"))
-    inside = local.filter(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3]))
-    return inside.withColumn("pose_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("node_id")) - 1)
+    return numbered(local.filter(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3])), "node_id", "pose_id")
+
+
+def numbered(rows: DataFrame, key: str, name: str, span: int = 1 << 16) -> DataFrame:
+    """rows with 0, 1, 2, ... in order of a whole-number key. Rows are numbered within spans of the key, from the count of the spans before."""
+    parts = rows.withColumn("__span", F.floor(F.col(key) / span))
+    counts = parts.groupBy("__span").agg(F.count("*").alias("__n"))
+    before = counts.select("__span", (F.sum("__n").over(W.orderBy("__span")) - F.col("__n")).alias("__before"))  # one row a span
+    placed = parts.join(before, "__span").withColumn(name, F.col("__before") + F.row_number().over(W.partitionBy("__span").orderBy(key)) - 1)
+    return placed.drop("__span", "__before")
 
 
 def map_stats(features: DataFrame, by: tuple[str, ...] = ("map_id",)) -> DataFrame:

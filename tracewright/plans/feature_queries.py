@@ -106,8 +106,7 @@ def way_node_positions(t: Town):
 h AS (SELECT f.way_id, f.highway, arg_max(CASE WHEN role = 0 THEN 'outer' ELSE 'inner' END, rel) AS in_out, max(rel) FILTER (role = 0) AS r FROM fx_ways AS f JOIN m ON m.w = f.way_id GROUP BY f.way_id, f.highway)
 SELECT f.way_id, coalesce(h.in_out, '') AS in_out, f.highway, CAST(h.r AS VARCHAR) AS rel FROM fx_ways AS f LEFT JOIN h ON h.way_id = f.way_id""")
 def stamp_relations(t: Town):
-    top = t.ways.agg(F.max("way_id").alias("top"))
-    members = t.ways.join(F.broadcast(top)).select(F.col("way_id").alias("rel_id"), ((F.col("way_id") * 7) % F.col("top")).alias("way_id"), F.when(F.col("way_id") % 3 == 0, "outer").otherwise("part").alias("role"), F.create_map(F.lit("rel"), F.col("way_id").cast("string")).alias("tags"))
+    members = t.sql("SELECT way_id AS rel_id, (way_id * 7) % (SELECT max(way_id) FROM fx_ways) AS way_id, CASE WHEN way_id % 3 = 0 THEN 'outer' ELSE 'part' END AS role, map('rel', CAST(way_id AS STRING)) AS tags FROM fx_ways")
     rows = J.stamp_relations(t.features.withColumnRenamed("base_id", "way_id"), members)
     return rows.select("way_id", "in_out", F.try_element_at("tags", F.lit("highway")).alias("highway"), F.try_element_at("tags", F.lit("rel")).alias("rel"))
 
