@@ -111,6 +111,28 @@ def test_markov_models_part_random_from_words(spark):
     assert secrets.train(samples.limit(0)) == [0.0] * secrets.SIZE**2
 
 
+def test_markov_models_learn_words_from_the_documents(spark, docs, rows, none):
+    r = np.random.default_rng(4)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    vocabulary = "please send the report about total prices and every account setting to another office before next month or read more".split()
+    some = lambda n: [str(x) for x in r.choice(vocabulary, n)]
+    styles = ["_".join, lambda w: "_".join(w).upper(), "-".join, "/".join, lambda w: "".join(x.capitalize() for x in w), lambda w: "-" * 30, lambda w: "1234-5678-9012-34"]
+    texts = [(i, " ".join(some(30)) + (f" {''.join(r.choice(letters, 32))} " if i % 2 else f" {styles[i // 2 % 7](some(5))} ") + " ".join(some(5))) for i in range(280)]
+    made = spark.createDataFrame([*texts, (None, None), (7, "")], "doc_id long, text string")
+    found = secrets.find_secrets(made).collect()
+    assert len(found) == 282 and [r_.doc_id for r_ in found if any(s["kind"] == "markov" for s in r_.spans)].count(None) == 0
+    added = sorted(x.doc_id for x in found for s in x.spans if s["kind"] == "markov")
+    assert sum(i % 2 == 1 for i in added) >= 138 and sum(i % 2 == 0 for i in added) <= 2
+    want = {}
+    for row in rows:
+        for w in re.split("[^A-Za-z0-9+/_=-]+", row[1] or ""):
+            if 1 <= len(w) <= 15:
+                for a, b in zip(f" {w}", f"{w} ", strict=True):
+                    want[a + b] = want.get(a + b, 0) + 1
+    assert {x.pair: x.n for x in secrets.word_pairs(docs).collect()} == want
+    assert secrets.train_on(none) == [0.0] * secrets.SIZE**2
+
+
 def test_piecewise_fingerprints(docs, rows, none):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want = []

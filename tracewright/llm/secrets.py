@@ -7,8 +7,9 @@ log-likelihood ratio of its character pairs, random against ordinary; a high rat
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, named
@@ -18,6 +19,12 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 RULES = (("assign", ASSIGN, 1, 12), ("access", r"AKIA[A-Z0-9]{14,}", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
 #: Strings that the models judge: whole runs of 16 or more of these characters.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+#: What parts words, for the models.
+NOT_CANDIDATE = "[^A-Za-z0-9+/_=-]+"
+#: Signs by which identifiers join words.
+JOINS = "_-/"
+#: Random strings that the models learn from.
+RANDOM_ROWS = 20_000
 LOW, SIZE = 33, 94  # printable ASCII without the blank
 SPAN = "struct<start:int,kind_order:int,end:int,kind:string,value:string>"
 
@@ -54,29 +61,108 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "base", apart.alias("candidates"))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5, backing: float = 10.0) -> list[float]:
-    """samples (value, is_random): the log-likelihood ratio of each pair of characters, at LOW-based places of an array of SIZE**2.
+def _pairs(value: Column) -> Column:
+    """All pairs of neighbouring characters of a short value."""
+    return F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.substring(value, i, F.lit(2)))
 
-    A character's chance after another is its share of the pairs seen, drawn towards its share of all characters by `backing`
-    pairs' weight, so pairs of characters that a model has hardly seen still count against it. Counts are made in Spark; what the
-    driver gets is a row a pair, SIZE**2 at most. Values that are null, or with under two characters, teach nothing. Without
-    samples of both kinds every ratio is 0.
+
+def _empty() -> list[list[float]]:
+    return [[0.0] * SIZE for _ in range(SIZE)]
+
+
+def _logs(table: list[list[float]], smoothing: float, backing: float, drawn: float) -> list[float]:
+    """Logs of the chance of a character after another: its share of the pairs seen, drawn towards its share of all characters by
+    `backing` pairs' weight or by the share `drawn`, whichever is more, so that pairs hardly seen count alike at every size."""
+    share = [sum(row[c] for row in table) for c in range(SIZE)]
+    whole = sum(share)
+    share = [(1 - drawn) * (s + smoothing) / (whole + SIZE * smoothing) + drawn / SIZE for s in share]
+    out = []
+    for row in table:
+        seen = sum(row)
+        to = max(drawn, backing / (seen + backing))
+        out += [math.log((1 - to) * (row[c] / seen if seen else 0.0) + to * share[c]) for c in range(SIZE)]
+    return out
+
+
+def ratios(random: list[list[float]], ordinary: list[list[float]], smoothing: float = 0.5, backing: float = 10.0, drawn: float = 0.05) -> list[float]:
+    """The log-likelihood ratio of each pair of characters, at LOW-based places of an array of SIZE**2; all 0 if a table is empty."""
+    if not all(any(map(any, table)) for table in (random, ordinary)):
+        return [0.0] * SIZE**2
+    return [a - b for a, b in zip(_logs(random, smoothing, backing, drawn), _logs(ordinary, smoothing, backing, drawn), strict=True)]
+
+
+def train(samples: DataFrame) -> list[float]:
+    """ratios() of labelled samples (value, is_random).
+
+    Counts are made in Spark; what the driver gets is a row a pair, SIZE**2 at most. Values that are null, or with under two
+    characters, teach nothing. Without samples of both kinds every ratio is 0.
     """
     printable = samples.filter(F.regexp("value", F.lit(r"^[\x21-\x7E]{2,}$")))
-    pairs = printable.select("is_random", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"))
-    count = {kind: [[0.0] * SIZE for _ in range(SIZE)] for kind in (True, False)}
-    for r in pairs.groupBy("is_random", "pair").count().toLocalIterator():
+    count = {True: _empty(), False: _empty()}
+    for r in printable.select("is_random", F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("is_random", "pair").count().toLocalIterator():
         if r.is_random is not None:
             count[r.is_random][ord(r.pair[0]) - LOW][ord(r.pair[1]) - LOW] += r["count"]
+    return ratios(count[True], count[False])
 
-    def logs(table: list[list[float]]) -> list[float]:
-        share = [sum(row[c] for row in table) + smoothing for c in range(SIZE)]
-        share = [s / sum(share) for s in share]
-        return [math.log((row[c] + backing * share[c]) / (sum(row) + backing)) for row in table for c in range(SIZE)]
 
-    if not all(any(map(any, table)) for table in count.values()):
-        return [0.0] * SIZE**2
-    return [a - b for a, b in zip(logs(count[True]), logs(count[False]), strict=True)]
+def random_strings(spark: SparkSession, rows: int = RANDOM_ROWS) -> DataFrame:
+    """value: digests of 0, 1, 2, ... in base 64, every other with the signs of URLs."""
+    text = F.rtrim(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), F.lit("="))
+    return spark.range(rows).select(F.when(F.col("id") % 2 == 0, text).otherwise(F.translate(text, "+/", "-_")).alias("value"))
+
+
+def word_pairs(docs: DataFrame) -> DataFrame:
+    """pair, n: neighbouring characters in all words of docs that are too short to be candidates, with a blank at either end of each word.
+
+    Words are counted first, so a frequent word is taken apart once.
+    """
+    words = docs.select(F.explode(F.split(F.coalesce(named("text"), F.lit("")), NOT_CANDIDATE)).alias("word")).filter(F.length("word").between(1, 15))
+    counted = words.groupBy("word").count()
+    return counted.select(F.explode(_pairs(F.concat(F.lit(" "), "word", F.lit(" ")))).alias("pair"), "count").groupBy("pair").agg(F.sum("count").alias("n"))
+
+
+def identifiers(pairs: Iterable[tuple[str, int]]) -> list[list[float]]:
+    """Pair counts of the identifiers that words make, from word_pairs(): as they are, in capitals, with a capital first letter,
+    and joined by a sign, by a capital or by nothing; of decimal numbers, as one word in a hundred; and of one character repeated,
+    as in ruled lines."""
+    table, first, last = _empty(), [0.0] * SIZE, [0.0] * SIZE
+    big = [ord(chr(c + LOW).upper()) - LOW for c in range(SIZE)]
+    for (a, b), n in pairs:
+        x, y = ord(a) - LOW, ord(b) - LOW
+        if x < 0:
+            first[y] += n
+        elif y < 0:
+            last[x] += n
+        else:
+            for i, j in {(x, y), (big[x], big[y]), (big[x], y)}:
+                table[i][j] += n
+    whole = sum(first)
+    digits = range(ord("0") - LOW, ord("9") - LOW + 1)
+    for c in digits:
+        first[c] += whole / 1000
+        last[c] += whole / 1000
+        for d in digits:
+            table[c][d] += whole / 10_000
+    for c in range(SIZE):
+        for sign in (ord(s) - LOW for s in JOINS):
+            for x in {c, big[c]}:
+                table[x][sign] += last[c] / len(JOINS)
+                table[sign][x] += first[c] / len(JOINS)
+        for d in range(SIZE):
+            if whole and last[c] and first[d]:
+                for i, j in ((c, d), (c, big[d]), (big[c], big[d])):
+                    table[i][j] += last[c] * first[d] / whole / 3
+    for c in range(SIZE):
+        table[c][c] += 0.05 * sum(table[c]) + (whole > 0)
+    return table
+
+
+def train_on(docs: DataFrame) -> list[float]:
+    """ratios() of random_strings() against the identifiers that the words of all of docs make."""
+    random = _empty()
+    for r in random_strings(docs.sparkSession).select(F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("pair").count().toLocalIterator():
+        random[ord(r.pair[0]) - LOW][ord(r.pair[1]) - LOW] += r["count"]
+    return ratios(random, identifiers((r.pair, r.n) for r in word_pairs(docs).toLocalIterator()))  # a row a pair of some 70 characters
 
 
 def log_likelihood_ratio(value: Column, model: list[float]) -> Column:
@@ -93,16 +179,12 @@ def find_secrets(docs: DataFrame, least_per_pair: float = 1.0, samples: DataFram
     """doc_id and spans (an array of start, end, kind, value in order of start and kind) of every row of docs.
 
     The rules' spans always stay. A long string apart from them is added, as kind 'markov', if its ratio a pair is least_per_pair
-    or more. samples (value, is_random) train the models; without it the values that the rules find in docs are the random strings
-    and the other long strings with at least as many letters as half their length are the ordinary ones: all of docs, no sample.
-    A null or empty text has no span; null and repeated doc_id values pass through row by row; other columns are ignored.
+    or more. samples (value, is_random) train the models; without it they are train_on(docs)'s: all of docs, no sample.
+    A null or empty text has no span; null and repeated doc_id values pass through row by row; other columns are ignored; an
+    empty table gives an empty result.
     """
     rows = cut(scan(docs), "spans")
-    if samples is None:
-        random = rows.select(F.explode("base.value").alias("value"), F.lit(True).alias("is_random"))
-        other = rows.select(F.explode("candidates.value").alias("value"), F.lit(False).alias("is_random"))
-        samples = random.unionByName(other.filter(2 * F.length(F.regexp_replace("value", "[^A-Za-z]", "")) >= F.length("value")))
-    model = train(samples)
+    model = train_on(docs) if samples is None else train(samples)
     added = F.filter("candidates", lambda c: log_likelihood_ratio(c["value"], model) >= least_per_pair * (F.length(c["value"]) - 1))
     return rows.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans"))
 
