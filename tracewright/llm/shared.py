@@ -40,10 +40,15 @@ def _ship(application: str) -> str:
     return target
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors (once) and keeps Arrow batches of whole texts small."""
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors (once)."""
     spark.sparkContext.addPyFile(_ship(spark.sparkContext.applicationId))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """ship(), and keeps Arrow batches of whole texts small."""
+    ship(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 
 
