@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tracewright.plans import catalogue
+from tracewright.plans import catalogue, fixtures
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"live_edits", "telemetry_latest_stream"}
@@ -45,3 +45,14 @@ def test_stream_equals_batch(spark, duck):
         df = catalogue.queries()[name](spark, SF)
         want = duck.execute(catalogue.oracle_sql()[name])
         assert rows(df.columns, df.collect()) == rows([d[0] for d in want.description], want.fetchall())
+
+
+def test_town_has_every_order_customer_and_path(spark):
+    town = fixtures.Town(spark, SF)
+    whole = {
+        "way_nodes": ("way_id", "SELECT count(DISTINCT o_orderkey) FROM orders JOIN lineitem ON o_orderkey = l_orderkey"),
+        "area_ring": ("area_id", "SELECT count(DISTINCT c_custkey) FROM customer"),
+        "paths": ("path_id", "SELECT count(DISTINCT o_custkey) FROM orders"),
+    }
+    for view, (key, text) in whole.items():
+        assert getattr(town, view).select(key).distinct().count() == spark.sql(text).first()[0]

@@ -22,20 +22,18 @@ SELECT way_id, CAST(pos AS INT) AS pos,
        CASE WHEN pr = '5-LOW' THEN 'wall' END AS barrier,
        CASE st WHEN 'F' THEN 'asphalt' WHEN 'O' THEN 'gravel' END AS surface
 FROM (SELECT o_orderkey AS way_id, o_orderpriority AS pr, o_orderstatus AS st, row_number() OVER (PARTITION BY o_orderkey ORDER BY ln) - 1 AS pos
-      FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber AS ln FROM lineitem) AS l ON o_orderkey = l_orderkey
-      WHERE o_orderkey % 10 = 0) AS n""",
+      FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber AS ln FROM lineitem) AS l ON o_orderkey = l_orderkey) AS n""",
     "fx_area_ring": """
 SELECT c_custkey AS area_id, 0 AS ring, pos,
        CAST(458003 + 10 * (c_custkey % 50) + dx * (1 + c_nationkey % 4) AS DOUBLE) AS x,
        CAST(5550503 + 10 * (c_custkey % 37) + dy * (1 + c_nationkey % 4) AS DOUBLE) AS y
-FROM customer CROSS JOIN (VALUES (0,-1,-1),(1,1,-1),(2,1,1),(3,-1,1),(4,-1,-1)) AS v(pos, dx, dy)
-WHERE c_custkey % 23 = 0""",
+FROM customer CROSS JOIN (VALUES (0,-1,-1),(1,1,-1),(2,1,1),(3,-1,1),(4,-1,-1)) AS v(pos, dx, dy)""",
     "fx_paths": """
 SELECT o_custkey AS path_id,
        CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS seq,
        CAST(458000 + (o_orderkey * 17) % 490 AS DOUBLE) + CAST(o_orderkey % 7 AS DOUBLE) / 2 AS x,
        CAST(5550500 + (o_orderkey * 29) % 390 AS DOUBLE) + CAST(o_orderkey % 5 AS DOUBLE) / 2 AS y
-FROM orders WHERE o_custkey % 20 = 0""",
+FROM orders""",
     "fx_edit_log": """
 SELECT event_id, ts, (event_id * 30) % (SELECT count(*) FROM orders) AS way_id,
        CASE event_type WHEN 'click' THEN 'move' WHEN 'view' THEN 'hide' WHEN 'signup' THEN 'add_node' WHEN 'purchase' THEN 'tag' ELSE 'delete' END AS op,
