@@ -127,3 +127,16 @@ def test_vectors(spark, monkeypatch):
 def test_vectors_that_cannot_link(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0]), (None, [1.0])], "vec_id long, embedding array<float>")
     assert sorted((str(x.vec_id), x.n_links, x.component_id, x.kept) for x in pivots.near_vectors(df).collect()) == [("1", 0, 1, True), ("2", 0, 2, True), ("None", 0, None, False)]
+
+
+def test_vectors_in_a_dense_cloud_with_default_pivots(spark):
+    r = np.random.default_rng(8)
+    for n, cloud, noise in ((600, 200, 0.2), (2400, 800, 0.2), (2400, 800, 0.229), (1500, 1500, 0.1), (2400, 800, 0.8)):
+        x = r.normal(size=(n, 64))
+        residual = r.normal(size=(cloud, 64))
+        x[:cloud] = [1.0] + [0.0] * 63 + noise * residual / np.linalg.norm(residual, axis=1, keepdims=True)
+        x[-100:] = x[:100] + 0.02 * r.normal(size=(100, 64)) * np.linalg.norm(x[:100], axis=1, keepdims=True)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        links = int(((unit @ unit.T) >= 0.95).sum()) - n
+        found = sum(v.n_links for v in pivots.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect())
+        assert links > 100 and 0.9 * links <= found <= links, (n, cloud, noise, links, found)
