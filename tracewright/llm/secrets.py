@@ -17,10 +17,14 @@ from .shared import cut, named
 #: Kind, pattern, group whose length counts, least length. Patterns with a plain run and a least length say it themselves.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 RULES = (("assign", ASSIGN, 1, 12), ("access", r"AKIA[A-Z0-9]{14,}", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
-#: Strings that the models judge: whole runs of 16 or more of these characters.
+#: Strings that the models judge: runs of 16 or more of these characters, whole and by their parts.
+LEAST = 16
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 #: What parts words, for the models.
 NOT_CANDIDATE = "[^A-Za-z0-9+/_=-]+"
+#: Parts of a run, each with the signs that follow it; signs may also stand in front.
+SIGNS = "=/_-"
+PART = r"[A-Za-z0-9+]+[=/_-]*|[=/_-]+"
 #: Signs by which identifiers join words.
 JOINS = "_-/"
 #: Random strings that the models learn from.
@@ -52,15 +56,42 @@ def found(text: Column, kind: str, order: int, pattern: str, group: int = 0, lea
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base and candidates (arrays of spans) of every text: what the rules find, and the other long strings, for the models."""
+    """doc_id, base and candidates (arrays of spans) of every text: what the rules find, and the other long strings, for the models.
+
+    Of a run that spans of the rules cover in part, what they leave is a candidate where it is long enough.
+    """
     text = F.coalesce(named("text"), F.lit(""))
     rows = docs.select(named("doc_id").alias("doc_id"), text.alias("text"))
     base = F.concat(*(found(F.col("text"), kind, i, pattern, group, least) for i, (kind, pattern, group, least) in enumerate(RULES)))
     rows = rows.select("doc_id", base.alias("base"), found(F.col("text"), "markov", len(RULES), CANDIDATE).alias("long"))
-    apart = F.filter("long", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    apart = F.flatten(F.transform("long", lambda c: uncovered(c, F.col("base"))))
     return rows.select("doc_id", "base", apart.alias("candidates"))
 
 
+def part_of(c: Column, start: Column, end: Column) -> Column:
+    """The span of a candidate's characters from start to end, places in the text."""
+    value = F.substring(c["value"], start - c["start"] + 1, end - start)
+    return F.struct(start.alias("start"), c["kind_order"].alias("kind_order"), end.alias("end"), c["kind"].alias("kind"), value.alias("value"))
+
+
+def uncovered(c: Column, base: Column) -> Column:
+    """What base leaves of a candidate, as an array of spans of LEAST characters or more."""
+    within = F.array_sort(F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    gaps = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
+
+    def step(state: Column, b: Column) -> Column:
+        gap = F.struct(state["at"].alias("start"), b["start"].alias("end"))
+        out = F.when(b["start"] - state["at"] >= LEAST, F.concat(state["out"], F.array(gap))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), out.alias("out"))
+
+    def last(state: Column) -> Column:
+        gap = F.struct(state["at"].alias("start"), c["end"].alias("end"))
+        return F.when(c["end"] - state["at"] >= LEAST, F.concat(state["out"], F.array(gap))).otherwise(state["out"])
+
+    left = F.aggregate(within, F.struct(c["start"].alias("at"), gaps.alias("out")), step, last)
+    return F.when(F.size(within) == 0, F.array(c)).otherwise(F.transform(left, lambda g: part_of(c, g["start"], g["end"])))
+
+
 def _pairs(value: Column) -> Column:
     """All pairs of neighbouring characters of a short value."""
     return F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.substring(value, i, F.lit(2)))
@@ -175,17 +206,56 @@ def log_likelihood_ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, place(i)))
 
 
+def random_parts(c: Column, model: list[float], least: float) -> Column:
+    """The stretches of whole parts of a candidate, LEAST characters or more, whose ratio a pair is `least` or more, as spans.
+
+    A part scores its ratio less `least` a pair, the signs between parts score nothing. A stretch starts anew where the score fell
+    to 0 and ends at its highest score; a part that is random by itself counts even outside those.
+    """
+
+    def score(p: Column) -> Column:
+        core = F.rtrim(p, F.lit(SIGNS))
+        length = F.length(core)
+        excess = F.when(length > 1, log_likelihood_ratio(core, model) - least * (length - 1)).otherwise(0.0)
+        return F.struct(F.length(p).alias("whole"), length.alias("core"), excess.alias("excess"))
+
+    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
+
+    def step(s: Column, p: Column) -> Column:
+        anew = s["sum"] <= 0
+        start, total, end = F.when(anew, s["at"]).otherwise(s["start"]), F.when(anew, 0.0).otherwise(s["sum"]) + p["excess"], s["at"] + p["core"]
+        top = F.when(anew, -1.0).otherwise(s["top"])
+        better = (p["core"] > 0) & (end - start >= LEAST) & (total >= 0) & (total >= top)
+        alone = (p["core"] >= LEAST) & (p["excess"] >= 0)
+        done = F.when(anew & (s["top"] >= 0), F.concat(s["out"], F.array(s["best"]))).otherwise(s["out"])
+        return F.struct(
+            (s["at"] + p["whole"]).alias("at"), start.alias("start"), total.alias("sum"), F.when(better, total).otherwise(top).alias("top"),
+            F.when(better, F.struct(start.alias("start"), end.alias("end"))).otherwise(s["best"]).alias("best"), done.alias("out"),
+            F.when(alone, F.concat(s["alone"], F.array(F.struct(s["at"].alias("start"), end.alias("end"))))).otherwise(s["alone"]).alias("alone"),
+        )
+
+    def last(s: Column) -> Column:
+        return F.struct(F.when(s["top"] >= 0, F.concat(s["out"], F.array(s["best"]))).otherwise(s["out"]).alias("out"), s["alone"].alias("alone"))
+
+    zero = F.struct(c["start"].alias("at"), c["start"].alias("start"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("top"), F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")).alias("best"), none.alias("out"), none.alias("alone"))
+    both = F.aggregate(F.transform(F.regexp_extract_all(c["value"], F.lit(PART), F.lit(0)), score), zero, step, last)
+    # a list of one lets a lambda name the result, so that it is worked out once
+    spans = F.transform(F.array(both), lambda x: F.concat(x["out"], F.filter(x["alone"], lambda a: ~F.exists(x["out"], lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"])))))
+    return F.transform(F.flatten(spans), lambda g: part_of(c, g["start"], g["end"]))
+
+
 def find_secrets(docs: DataFrame, least_per_pair: float = 1.0, samples: DataFrame | None = None) -> DataFrame:
     """doc_id and spans (an array of start, end, kind, value in order of start and kind) of every row of docs.
 
-    The rules' spans always stay. A long string apart from them is added, as kind 'markov', if its ratio a pair is least_per_pair
-    or more. samples (value, is_random) train the models; without it they are train_on(docs)'s: all of docs, no sample.
+    The rules' spans always stay. A long string, or what they leave of it, is added, as kind 'markov', if its ratio a pair is
+    least_per_pair or more; if the whole isn't, its random_parts() are. samples (value, is_random) train the models; without it they are train_on(docs)'s: all of docs, no sample.
     A null or empty text has no span; null and repeated doc_id values pass through row by row; other columns are ignored; an
     empty table gives an empty result.
     """
     rows = cut(scan(docs), "spans")
     model = train_on(docs) if samples is None else train(samples)
-    added = F.filter("candidates", lambda c: log_likelihood_ratio(c["value"], model) >= least_per_pair * (F.length(c["value"]) - 1))
+    enough = lambda c: log_likelihood_ratio(c["value"], model) >= least_per_pair * (F.length(c["value"]) - 1)
+    added = F.flatten(F.transform("candidates", lambda c: F.when(enough(c), F.array(c)).otherwise(random_parts(c, model, least_per_pair))))
     return rows.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
