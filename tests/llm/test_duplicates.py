@@ -53,6 +53,17 @@ def test_simhash(docs, rows, none):
     assert kept.columns == docs.columns and sorted(str(x.doc_id) for x in kept.collect()) == sorted([*map(str, set(smallest.values())), *["None"] * len(nameless)])
 
 
+def test_rows_of_one_doc_id_in_several_groups(spark):
+    r = random.Random(9)
+    text = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(30)]
+    # an id's first text is alone, or a copy of one with a smaller id; its second text is alone
+    data = [(0, text[0], 0), (0, text[0], 0)] + [(i, text[0] if i % 2 else text[i], 0) for i in range(1, 10)] + [(i, text[i + 10], 1) for i in range(1, 10)] + [(None, text[29], 2)]
+    for parts in (1, 5):
+        kept = simhash.drop_near_duplicates(spark.createDataFrame(data, "doc_id long, text string, n int").repartition(parts)).collect()
+        want = {(0, text[0])} | {(i, text[i]) for i in range(2, 10, 2)} | {(i, text[i + 10]) for i in range(1, 10)} | {(None, text[29])}
+        assert len(kept) == len(want) and {(x.doc_id, x.text) for x in kept} == want
+
+
 def test_near_pairs_find_every_pair_once(spark):
     r = random.Random(6)
     base = [r.getrandbits(64) for _ in range(40)]

@@ -97,7 +97,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs with one row of each group: that of its smallest doc_id (of rows that repeat it, any one). Of a group that has no doc_id at all, any one row."""
+    """docs with one row of each group: that of its smallest doc_id (of the group's own rows that repeat it, any one). Of a group that has no doc_id at all, any one row."""
 
     @F.pandas_udf("long")
     def printed(text: pd.Series) -> pd.Series:
@@ -105,8 +105,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
     prints = cut(fingerprints(docs, words), "fingerprints")
     classes = classes_of(prints)
-    kept = cut(prints.join(classes.filter("component_id is not null"), "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    named_ = docs.join(kept, docs["doc_id"] == F.col("__kept")).select(*keep_columns(docs)).dropDuplicates(["doc_id"])
+    first = prints.join(classes.filter("component_id is not null"), "fp").filter("doc_id = component_id").groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"))
+    differs = prints.groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("differs"))  # ids whose rows have several fingerprints
+    kept = cut(first.join(differs, "doc_id").select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__first"), F.col("component").alias("__component"), F.col("differs").alias("__differs")), "kept")
+    same = docs.join(kept.filter("not __differs"), docs["doc_id"] == F.col("__kept")).select(*keep_columns(docs)).dropDuplicates(["doc_id"])
+    several = docs.join(kept.filter("__differs"), docs["doc_id"] == F.col("__kept")).withColumn("__fp", printed(F.coalesce(named("text"), F.lit("")).cast("binary")))
+    several = several.filter("__fp = __first").dropDuplicates(["__component"]).select(*keep_columns(docs))
     nameless = docs.filter(named("doc_id").isNull()).withColumn("__fp", printed(F.coalesce(named("text"), F.lit("")).cast("binary")))
     alone = classes.filter("component_id is null").select(F.col("fp").alias("__fp"), F.col("component").alias("__component"))
-    return named_.unionByName(nameless.join(alone, "__fp").dropDuplicates(["__component"]).select(*keep_columns(docs)))
+    return same.unionByName(several).unionByName(nameless.join(alone, "__fp").dropDuplicates(["__component"]).select(*keep_columns(docs)))
