@@ -310,3 +310,15 @@ def test_drawn_features(spark):
     a = spark.createDataFrame([(1, 5, "path", [(0.0, 0.0), (1.0, 0.0)], {"width": "4"}), (1, 9, "area", [(0.0, 0.0)], None), (1, 2, "path", [(0.0, 0.0), (1.0, 1.0)], {"highway": "primary"})], f"map_id long, ann_id long, type string, points array<struct<x:double,y:double>>, props {TAGS}")
     got = {r.base_id: (r.category, r.radius, r.nodes, r.tags.get("barrier")) for r in E.annotations_to_features(a).collect()}
     assert got == {-1: ("road", 0.75, [-1, -2], None), -2: ("footway", 2.0, [-3, -4], None), -3: ("barrier", 0.0, [], "wall")}
+
+
+def test_far_points_snap_and_round_limits_are_errors(spark):
+    lines = spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 0.0)], "way_id long, seg int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 5.0, 3.0), (2, 200_000.0, 0.0), (3, None, 1.0), (4, float("nan"), 1.0)], "point_id long, x double, y double")
+    assert {(r.point_id, r.dist) for r in J.snap_to_edge(points, lines).collect()} == {(1, 3.0), (2, 199_990.0)}
+    assert J.snap_to_edge(points, lines.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        J.snap_to_edge(points, lines, rounds=2)
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "src long, dst long, weight double")
+    with pytest.raises(RuntimeError):
+        Q.shortest_distances(edges, spark.createDataFrame([(1, 0, 6)], "req long, src long, dst long"), most=1)

@@ -80,13 +80,19 @@ def segment_cells(segments: DataFrame, size: float) -> DataFrame:
     return segments.withColumn("cx", F.explode(F.sequence(low[0], high[0]))).withColumn("cy", F.explode(F.sequence(low[1], high[1])))
 
 
-def snap_to_edge(points: DataFrame, segments: DataFrame, size: float = 25.0, rounds: int = 12) -> DataFrame:
+def snap_to_edge(points: DataFrame, segments: DataFrame, size: float = 25.0, rounds: int = 64) -> DataFrame:
     """points (point_id, x, y) with the nearest segment's way_id, seg, the projected px, py and dist; ties to the smaller way and segment.
 
     Cells double in size until every point has a segment within reach; a point found at distance d in a pass of reach r >= d is
-    settled, the rest go on. After `rounds` passes the reach covers everything that the doubling can.
+    settled, the rest go on. A point without finite coordinates gets no row, nor does any without segments that have them. Points
+    that are left after `rounds` passes are an error.
     """
-    left, done = points.select("point_id", "x", "y"), None
+
+    def finite(*names: str):
+        return " and ".join(f"coalesce(abs({c}) < double('infinity'), false)" for c in names)
+
+    left, done = points.select("point_id", "x", "y").filter(finite("x", "y")), None
+    segments = segments.filter(finite("x1", "y1", "x2", "y2"))
     for k in range(rounds):
         reach = size * 2**k
         p = left.select("point_id", "x", "y", F.explode(around(reach)).alias("c")).select("point_id", "x", "y", "c.cx", "c.cy")
@@ -98,9 +104,9 @@ def snap_to_edge(points: DataFrame, segments: DataFrame, size: float = 25.0, rou
         found = cut(points.select("point_id", "x", "y").join(near, "point_id"), "snapped")
         done = found if done is None else done.unionByName(found)
         left = cut(left.join(found.select("point_id"), "point_id", "left_anti"), "unsnapped")
-        if left.isEmpty():
-            break
-    return done
+        if left.isEmpty() or k == 0 and segments.isEmpty():
+            return done
+    raise RuntimeError(f"points are left after {rounds} rounds of snapping")
 
 
 def endpoint_edge_join(endpoints: DataFrame, segments: DataFrame, reach: float = 5.0) -> DataFrame:

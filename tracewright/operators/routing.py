@@ -48,7 +48,7 @@ def shortest_distances(edges: DataFrame, requests: DataFrame, most: int = 10_000
     """req, node, dist, parent of every node that a request's search settled, by rounds of relaxation from its start.
 
     A round joins the nodes that improved with the edges, keeps the best offer a node, and drops offers that don't beat the
-    request's best way to its goal. Every second round is a table in the shared folder.
+    request's best way to its goal. Every second round is a table in the shared folder. Searches that aren't done after `most` are an error.
     """
     best_edge = cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "edges")
     state = cut(requests.select("req", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.col("src").alias("parent"), F.lit(True).alias("fresh")).distinct(), "state")
@@ -56,8 +56,8 @@ def shortest_distances(edges: DataFrame, requests: DataFrame, most: int = 10_000
     for _ in range(most):
         state = cut(_relaxed(_relaxed(state, best_edge, goals), best_edge, goals), "state")
         if state.filter("fresh").isEmpty():
-            break
-    return state.drop("fresh")
+            return state.drop("fresh")
+    raise RuntimeError(f"searches aren't done after {most} double rounds")
 
 
 def shortest_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
