@@ -58,13 +58,18 @@ def around(size: float, reach: int = 1) -> Column:
     return F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((cell_of(F.col("x"), size) + i).alias("cx"), (cell_of(F.col("y"), size) + j).alias("cy")))))
 
 
+def one_a_position(ref: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
+    """ref (ref_id, x, y, payload) with the smallest ref_id of each position: others can't be nearer, nor win a tie."""
+    return ref.groupBy("x", "y").agg(F.min(F.struct("ref_id", *payload)).alias("r")).select("r.*", "x", "y")
+
+
 def nearest_within(points: DataFrame, ref: DataFrame, reach: float, payload: tuple[str, ...] = ()) -> DataFrame:
     """points (point_id, x, y) with dist and cost = dist / reach to the nearest of ref (ref_id, x, y, payload) closer than reach; others go.
 
-    ref is dealt to 3 x 3 cells of size reach; ties go to the smaller ref_id.
+    ref, one row a position, is dealt to 3 x 3 cells of size reach; ties go to the smaller ref_id.
     """
     p = points.withColumn("cx", cell_of(F.col("x"), reach)).withColumn("cy", cell_of(F.col("y"), reach))
-    r = ref.select("ref_id", F.col("x").alias("rx"), F.col("y").alias("ry"), *payload, F.explode(around(reach)).alias("c"))
+    r = one_a_position(ref, payload).select("ref_id", F.col("x").alias("rx"), F.col("y").alias("ry"), *payload, F.explode(around(reach)).alias("c"))
     r = r.select("ref_id", "rx", "ry", *payload, F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
     d = G.dist(F.col("x"), F.col("y"), F.col("rx"), F.col("ry"))
     met = p.join(r, ["cx", "cy"]).withColumn("dist", d).filter(F.col("dist") < reach)
@@ -73,11 +78,29 @@ def nearest_within(points: DataFrame, ref: DataFrame, reach: float, payload: tup
     return near.select("point_id", "x", "y", "best.*").withColumn("cost", F.col("dist") / reach)
 
 
-def segment_cells(segments: DataFrame, size: float) -> DataFrame:
-    """segments, a row for each cell of size `size` that their bounds touch: cx, cy. Choose size near the usual length."""
-    low = [F.least(cell_of(F.col(a), size), cell_of(F.col(b), size)) for a, b in (("x1", "x2"), ("y1", "y2"))]
-    high = [F.greatest(cell_of(F.col(a), size), cell_of(F.col(b), size)) for a, b in (("x1", "x2"), ("y1", "y2"))]
-    return segments.withColumn("cx", F.explode(F.sequence(low[0], high[0]))).withColumn("cy", F.explode(F.sequence(low[1], high[1])))
+#: Metres by which cells are dealt too widely, so that rounding loses none.
+SLACK = 1e-6
+
+
+def finite(*names: str) -> str:
+    """The condition that the columns are numbers, neither null nor infinite."""
+    return " and ".join(f"coalesce(abs({c}) < double('infinity'), false)" for c in names)
+
+
+def segment_cells(segments: DataFrame, size: float, margin: Column | float = 0.0) -> DataFrame:
+    """segments, a row for each cell of size `size` that they come within `margin` of, by either axis: cx, cy.
+
+    Cells are dealt column by column along the segment, so a long one makes rows by its length and not by its bounds. Segments
+    with coordinates that are no finite numbers make none. Choose size near the usual length.
+    """
+    m = (margin if isinstance(margin, Column) else F.lit(margin)) + SLACK
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    rows = segments.filter(finite("x1", "y1", "x2", "y2")).withColumn("cx", F.explode(F.sequence(cell_of(F.least(x1, x2) - m, size), cell_of(F.greatest(x1, x2) + m, size))))
+    slope = (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0))  # least() and greatest() pass over nulls
+    low_x, high_x = F.greatest(F.least(x1, x2), F.col("cx") * size - m), F.least(F.greatest(x1, x2), (F.col("cx") + 1) * size + m)
+    at = lambda x, otherwise: F.when(x1 == x2, otherwise).otherwise(F.least(F.greatest(y1 + (x - x1) * slope, F.least(y1, y2)), F.greatest(y1, y2)))
+    ends = at(low_x, y1), at(high_x, y2)
+    return rows.withColumn("cy", F.explode(F.sequence(cell_of(F.least(*ends) - m, size), cell_of(F.greatest(*ends) + m, size))))
 
 
 def snap_to_edge(points: DataFrame, segments: DataFrame, size: float = 25.0, rounds: int = 64) -> DataFrame:
@@ -87,10 +110,6 @@ def snap_to_edge(points: DataFrame, segments: DataFrame, size: float = 25.0, rou
     settled, the rest go on. A point without finite coordinates gets no row, nor does any without segments that have them. Points
     that are left after `rounds` passes are an error.
     """
-
-    def finite(*names: str):
-        return " and ".join(f"coalesce(abs({c}) < double('infinity'), false)" for c in names)
-
     left, done = points.select("point_id", "x", "y").filter(finite("x", "y")), None
     segments = segments.filter(finite("x1", "y1", "x2", "y2"))
     for k in range(rounds):
@@ -126,44 +145,95 @@ def ring_edges(rings: DataFrame) -> DataFrame:
     return rings.select("area_id", "ring", "pos", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).filter("x2 is not null")
 
 
+#: Rows of cells that an area's edges are dealt to, at most; cells that its bounds touch each way, about.
+ROWS, ACROSS = 1024, 4
+
+
+def area_boxes(rings: DataFrame, size: float) -> DataFrame:
+    """area_id, x1, y1, x2, y2, level and row of each area: cells of size * 2**level span its bounds in a few, rows of height `row` in ROWS at most."""
+    b = rings.filter(finite("x", "y")).groupBy("area_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
+    wide, high = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.col("y2") - F.col("y1")
+    level = F.when(wide > size * ACROSS, F.ceil(F.log2(wide / (size * ACROSS)))).otherwise(0).cast("int")
+    return b.withColumn("level", level).withColumn("row", F.greatest(F.lit(size), high / ROWS))
+
+
 def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 10.0) -> DataFrame:
     """point_id, area_id of points (point_id, x, y) inside areas: inside the outer ring (0) and in none of the holes (1, 2, ...).
 
-    Edges meet points by the cell row (y) and only areas whose bounds hold the point count, by cell; parity is counted per ring.
+    A point meets the areas whose bounds hold it by cells whose size goes with the area's, then their edges by area and row (y);
+    parity is counted per ring. So an area makes few cells however large it is, and its edges are met row by row. Rows whose
+    coordinates are no finite numbers are in nothing and bound nothing.
     """
-    b = rings.groupBy("area_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
-    p = points.select("point_id", "x", "y", cell_of(F.col("x"), size).alias("cx"), cell_of(F.col("y"), size).alias("cy"))
-    maybe = p.join(segment_cells(b, size), ["cx", "cy"]).filter("x >= x1 and x <= x2 and y >= y1 and y <= y2").select("point_id", "area_id", "x", "y")
-    met = maybe.join(ring_edges(rings), "area_id").filter(F.coalesce(G.crosses_ray(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))), F.lit(False)))
-    odd = met.groupBy("point_id", "area_id", "ring").count().filter("count % 2 = 1")
+    boxes = area_boxes(rings, size)
+    levels = sorted(r.level for r in boxes.select("level").distinct().collect())  # doublings of a size: some tens at most
+    at = F.col("size") if len(levels) > 1 else F.lit(size * 2.0 ** (levels[0] if levels else 0))
+    p = points.filter(finite("x", "y")).select("point_id", "x", "y")
+    if len(levels) > 1:
+        p = p.withColumn("size", F.explode(F.array(*(F.lit(size * 2.0**k) for k in levels))))
+    p = p.withColumns({"size": at, "cx": F.floor(F.col("x") / at).cast("long"), "cy": F.floor(F.col("y") / at).cast("long")})
+    own = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    span = lambda c: F.sequence(F.floor(F.col(c + "1") / own).cast("long"), F.floor(F.col(c + "2") / own).cast("long"))
+    cells = boxes.withColumn("size", own).withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    maybe = p.join(cells.drop("level"), ["size", "cx", "cy"]).filter("x >= x1 and x <= x2 and y >= y1 and y <= y2")
+    maybe = maybe.select("point_id", "area_id", "x", "y", F.floor(F.col("y") / F.col("row")).cast("long").alias("cy"))
+    e = ring_edges(rings).filter(finite("x1", "y1", "x2", "y2")).join(boxes.select("area_id", "row"), "area_id")
+    e = e.filter("y1 <> y2").withColumn("cy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / F.col("row")).cast("long"), F.floor(F.greatest("y1", "y2") / F.col("row")).cast("long")))).drop("row")
+    met = maybe.join(e, ["area_id", "cy"]).filter(F.coalesce(G.crosses_ray(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))), F.lit(False)))
+    # both groupings go by one shuffle
+    odd = met.select("point_id", "area_id", "ring").repartition("point_id", "area_id").groupBy("point_id", "area_id", "ring").count().filter("count % 2 = 1")
     return odd.groupBy("point_id", "area_id").agg(F.min("ring").alias("low"), F.max("ring").alias("high")).filter("low = 0 and high = 0").select("point_id", "area_id")
 
 
 def obstacles_minus_paths(cells: DataFrame, rings: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
     """Cells (point_id, x, y) inside an area and farther than radius from every way segment."""
     inside = points_in_polygons(cells, rings).select("point_id").distinct()
-    hit = cells.join(inside, "point_id", "left_semi")
-    return hit.join(near_segments(hit, segments, radius).select("point_id").distinct(), "point_id", "left_anti")
+    hit = cut(cells.join(inside, "point_id", "left_semi"), "hit")
+    return hit.join(points_near_segments(hit, segments, radius), "point_id", "left_anti")
+
 
+def near_segments(points: DataFrame, segments: DataFrame, radius: Column | float, size: float = 10.0) -> DataFrame:
+    """point_id, way_id, seg, dist of every segment within radius of a point; radius may be a column of segments."""
+    return _met_segments(points, segments, radius, size).groupBy("point_id", "way_id", "seg").agg(F.min("dist").alias("dist"))
 
-def near_segments(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
-    """point_id, way_id, seg, dist of every segment within radius of a point."""
-    p = points.select("point_id", "x", "y", F.explode(around(max(radius, 1.0))).alias("c")).select("point_id", "x", "y", "c.cx", "c.cy")
-    met = p.join(segment_cells(segments, max(radius, 1.0)), ["cx", "cy"])
-    met = met.withColumn("dist", G.point_segment_dist(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))).filter(F.col("dist") <= radius)
-    return met.groupBy("point_id", "way_id", "seg").agg(F.min("dist").alias("dist"))
+
+def points_near_segments(points: DataFrame, segments: DataFrame, radius: Column | float, size: float = 10.0) -> DataFrame:
+    """point_id of the points within radius of any segment; segments of one course count once, with their largest radius."""
+    r = radius if isinstance(radius, Column) else F.lit(radius)
+    courses = segments.groupBy("x1", "y1", "x2", "y2").agg(F.max(r).alias("within"))
+    return _met_segments(points, courses, F.col("within"), size).select("point_id").distinct()
+
+
+def _met_segments(points: DataFrame, segments: DataFrame, radius: Column | float, size: float) -> DataFrame:
+    """Points with the segments within radius of them and dist: a point in its own cell, segments in all cells within their radius."""
+    r = radius if isinstance(radius, Column) else F.lit(radius)
+    p = points.filter(finite("x", "y")).select("point_id", "x", "y", cell_of(F.col("x"), size).alias("cx"), cell_of(F.col("y"), size).alias("cy"))
+    met = p.join(segment_cells(segments.withColumn("__within", r), size, F.col("__within")), ["cx", "cy"])
+    met = met.filter("x between least(x1, x2) - __within and greatest(x1, x2) + __within and y between least(y1, y2) - __within and greatest(y1, y2) + __within")
+    return met.withColumn("dist", G.point_segment_dist(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))).filter(F.col("dist") <= F.col("__within")).drop("__within")
 
 
 def leg_collisions(legs: DataFrame, rings: DataFrame, inflate: float = 0.25, size: float = 25.0) -> DataFrame:
-    """path_id, leg of legs (path_id, leg, x1, y1, x2, y2) that meet an area grown by inflate: they cross or come near an edge, or start inside."""
-    e = ring_edges(rings).select("area_id", F.col("x1").alias("ex1"), F.col("y1").alias("ey1"), F.col("x2").alias("ex2"), F.col("y2").alias("ey2"))
-    cells = segment_cells(e.select(*e.columns, *((F.least(F.col("e" + a), F.col("e" + b)) - inflate).alias(a) if a.endswith("1") else (F.greatest(F.col("e" + a), F.col("e" + b)) + inflate).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1")))), size)
-    met = segment_cells(legs, size).join(cells.drop("x1", "y1", "x2", "y2"), ["cx", "cy"])
+    """path_id, leg of legs (path_id, leg, x1, y1, x2, y2) that meet an area grown by inflate: they cross or come near an edge, or start inside.
+
+    Legs and edges meet in the cells along them; a pair is compared once, if their bounds and the leg's line come within inflate of the edge.
+    """
+    e = ring_edges(rings).select("x1", "y1", "x2", "y2").distinct()
+    corners = ("x1", "y1", "x2", "y2")
+    near = segment_cells(e, size, inflate).select("cx", "cy", *(F.col(c).alias("e" + c) for c in corners))
+    met = segment_cells(legs.select("path_id", "leg", *corners), size).join(near, ["cx", "cy"])
+    for v in "xy":
+        for one, two in (("", "e"), ("e", "")):
+            met = met.filter(f"least({one}{v}1, {one}{v}2) <= greatest({two}{v}1, {two}{v}2) + {inflate}")
+    # an edge wholly on one side of the leg's line, farther from it than inflate, can't be met
+    off = [f"((x2 - x1) * (ey{i} - y1) - (y2 - y1) * (ex{i} - x1))" for i in (1, 2)]
+    reach = f"{inflate + SLACK} * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))"
+    met = met.filter(f"least({off[0]}, {off[1]}) <= {reach} and greatest({off[0]}, {off[1]}) >= -{reach}")
+    met = met.select("path_id", "leg", *corners, *("e" + c for c in corners)).distinct()  # a pair may meet in several cells
     a, b, c, d = ((F.col(x), F.col(y)) for x, y in (("x1", "y1"), ("x2", "y2"), ("ex1", "ey1"), ("ex2", "ey2")))
     gap = F.least(G.point_segment_dist(*a, *c, *d), G.point_segment_dist(*b, *c, *d), G.point_segment_dist(*c, *a, *b), G.point_segment_dist(*d, *a, *b))
     crossing = met.filter(G.segments_intersect(a, b, c, d) | (gap <= inflate)).select("path_id", "leg")
     starts = legs.select(F.struct("path_id", "leg").alias("point_id"), F.col("x1").alias("x"), F.col("y1").alias("y"))
-    inside = points_in_polygons(starts, rings, size).select("point_id.*")
+    inside = points_in_polygons(starts, rings).select("point_id.*")
     return crossing.unionByName(inside).distinct()
 
 

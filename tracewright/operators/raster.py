@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .joins import near_segments, nearest_within, points_in_polygons
+from ..tables import cut
+from .joins import nearest_within, points_in_polygons, points_near_segments
 
 #: Traversal costs by way kind and surface, and what holds where tags are missing or unknown.
 HIGHWAY_COSTS = {"pedestrian": 0.0, "footway": 0.0, "path": 0.1, "living_street": 0.1, "track": 0.3, "service": 0.3, "residential": 0.5, "unclassified": 0.5, "tertiary": 0.7, "secondary": 0.9, "primary": 1.0}
@@ -28,13 +29,13 @@ def make_cells_rounded(boxes: DataFrame, size: float) -> DataFrame:
     return make_cells(boxes.withColumns({c: F.bround(c, 0).cast("int").cast("double") for c in ("min_x", "min_y", "max_x", "max_y")}), size)
 
 
-def densify_ways(segments: DataFrame, step: float) -> DataFrame:
-    """way_id, seg, k, x, y: the first node (seg 0, k 0), then on each segment equal steps of at most `step` that end on its end; a segment of a millimetre or less gives its end only."""
+def densify_ways(segments: DataFrame, step: float, payload: tuple[str, ...] = ()) -> DataFrame:
+    """way_id, seg, k, x, y, payload: the first node (seg 0, k 0), then on each segment equal steps of at most `step` that end on its end; a segment of a millimetre or less gives its end only."""
     n = F.when(F.col("length") <= 0.001, 1).otherwise(F.ceil(F.col("length") / step)).cast("int")
     rows = segments.withColumn("n", n)
     steps = rows.withColumn("k", F.explode(F.when(F.col("seg") == 0, F.sequence(F.lit(0), F.col("n"))).otherwise(F.sequence(F.lit(1), F.col("n")))))
     t = F.col("k") / F.col("n")
-    return steps.select("way_id", "seg", "k", G.interpolate(F.col("x1"), F.col("x2"), t).alias("x"), G.interpolate(F.col("y1"), F.col("y2"), t).alias("y"))
+    return steps.select("way_id", "seg", "k", G.interpolate(F.col("x1"), F.col("x2"), t).alias("x"), G.interpolate(F.col("y1"), F.col("y2"), t).alias("y"), *payload)
 
 
 def lookup(table: dict[str, float], key: Column, unknown: float) -> Column:
@@ -46,31 +47,50 @@ def way_cost(highway: Column, surface: Column) -> Column:
     return F.least(F.lit(CAP), lookup(HIGHWAY_COSTS, F.coalesce(highway, F.lit("path")), 0.5) + lookup(SURFACE_COSTS, F.coalesce(surface, F.lit("asphalt")), 0.0))
 
 
-def nearest_way_cost(points: DataFrame, ref: DataFrame, reach: float = REACH) -> DataFrame:
-    """points within reach of a way point (ref_id, x, y, way_cost): dist and the blended cost."""
+def unique_courses(segments: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
+    """Segments (way_id, seg, x1, y1, x2, y2, payload) of different courses: of those that lie alike, and of ways' first segments that do, the smallest way and segment."""
+    first = (F.col("seg") == 0).alias("first")
+    least = segments.groupBy("x1", "y1", "x2", "y2", first).agg(F.min(F.struct("way_id", "seg", *payload)).alias("s"))
+    return least.select("s.*", "x1", "y1", "x2", "y2", G.dist(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))).alias("length"))
+
+
+def _way_costs(points: DataFrame, ref: DataFrame, reach: float) -> DataFrame:
     near = nearest_within(points, ref, reach, ("way_cost",))
     return near.withColumn("cost", G.blend_cost(F.col("way_cost"), OFF_PATH, F.col("dist"), reach))
 
 
+def nearest_way_cost(points: DataFrame, ref: DataFrame, reach: float = REACH) -> DataFrame:
+    """points (point_id, x, y) within reach of a way point (ref_id, x, y, way_cost): dist and the blended cost."""
+    near = _way_costs(positions(points), ref, reach).drop("x", "y").select("point_id.*", "dist", "ref_id", "way_cost", "cost")
+    return points.select("point_id", "x", "y").join(near, ["x", "y"]).select("point_id", "x", "y", "dist", "ref_id", "way_cost", "cost")
+
+
+def positions(cells: DataFrame) -> DataFrame:
+    """The distinct positions of cells, as points: point_id (x, y), x, y. Grids that overlap share theirs; each is asked for once."""
+    return cells.select("x", "y").distinct().select(F.struct("x", "y").alias("point_id"), "x", "y")
+
+
 def burn_obstacles(cells: DataFrame, rings: DataFrame) -> DataFrame:
-    """cells (point_id, ...) with blocked: inside any area, holes left out."""
-    inside = points_in_polygons(cells, rings).select("point_id").distinct().withColumn("hit", F.lit(True))
-    return cells.join(inside, "point_id", "left").withColumn("blocked", F.coalesce("hit", F.lit(False))).drop("hit")
+    """cells (point_id, x, y, ...) with blocked: inside any area, holes left out."""
+    inside = points_in_polygons(positions(cells), rings).select("point_id.*").distinct().withColumn("hit", F.lit(True))
+    return cells.join(inside, ["x", "y"], "left").select(*cells.columns, F.coalesce("hit", F.lit(False)).alias("blocked"))
 
 
-def cost_grid(cells: DataFrame, way_points: DataFrame, segments: DataFrame, rings: DataFrame, half_width: float = 3.0, reach: float = REACH) -> DataFrame:
+def cost_grid(cells: DataFrame, way_points: DataFrame, segments: DataFrame, rings: DataFrame, half_width: Column | float = 3.0, reach: float = REACH) -> DataFrame:
     """cells (point_id, ix, iy, x, y) with cost and blocked.
 
-    0.9 everywhere; 1 in areas away from ways by more than half_width; near a way the blend of its cost, if less; areas that no way
-    covers are blocked with an infinite cost, which overrides the rest.
+    0.9 everywhere; 1 in areas away from ways by more than half_width (a number, or a column of segments, as roads are wider than
+    footways); near a way the blend of its cost, if less; areas that no way covers are blocked with an infinite cost, which
+    overrides the rest. All is worked out once a position, and then given to the cells there.
     """
-    burnt = burn_obstacles(cells, rings)
-    on_way = near_segments(burnt.filter("blocked"), segments, half_width).select("point_id").distinct().withColumn("on_way", F.lit(True))
-    near = nearest_way_cost(cells, way_points, reach).select("point_id", F.col("cost").alias("near_cost"))
-    rows = burnt.join(on_way, "point_id", "left").join(near, "point_id", "left")
-    blocked = F.col("blocked") & F.col("on_way").isNull()
-    cost = F.when(blocked, float("inf")).otherwise(F.least(F.lit(OFF_PATH), F.coalesce("near_cost", F.lit(OFF_PATH))))
-    return rows.select("point_id", "ix", "iy", "x", "y", cost.alias("cost"), blocked.alias("blocked"))
+    at = cut(positions(cells), "positions")
+    inside = cut(points_in_polygons(at, rings).select("point_id").distinct().select("point_id", "point_id.*"), "inside")
+    blocked = inside.join(points_near_segments(inside, segments, half_width), "point_id", "left_anti").select("point_id", F.lit(True).alias("blocked"))
+    near = _way_costs(at, way_points, reach).select("point_id", F.col("cost").alias("near_cost"))
+    known = near.join(blocked, "point_id", "full").select("point_id.*", "near_cost", F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    rows = cells.join(known, ["x", "y"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    cost = F.when(F.col("blocked"), float("inf")).otherwise(F.least(F.lit(OFF_PATH), F.coalesce("near_cost", F.lit(OFF_PATH))))
+    return rows.select("point_id", "ix", "iy", "x", "y", cost.alias("cost"), "blocked")
 
 
 def world_to_cell(v: Column, low: float, size: float, count: int | None = None) -> Column:
@@ -80,8 +100,9 @@ def world_to_cell(v: Column, low: float, size: float, count: int | None = None)
 
 def near_way_cloud(cells: DataFrame, ref: DataFrame, reach: float = 1.0, mode: str = "linear") -> DataFrame:
     """x, y, z = 0, cost of cells within reach of a way point."""
-    near = nearest_within(cells, ref, reach)
-    return near.select("point_id", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), F.lit(0.0).cast("float").alias("z"), G.neighbor_cost(F.col("dist"), reach, mode).cast("float").alias("cost"))
+    near = nearest_within(positions(cells), ref, reach).select("point_id.*", "dist")
+    rows = cells.select("point_id", "x", "y").join(near, ["x", "y"])
+    return rows.select("point_id", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), F.lit(0.0).cast("float").alias("z"), G.neighbor_cost(F.col("dist"), reach, mode).cast("float").alias("cost"))
 
 
 def fill_area_points(rings: DataFrame, density: float = 2.0) -> DataFrame:
