@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import lines, mixing, packing, quality, simhash
+from tracewright.llm import lines, mixing, packing, quality, similar
 from tracewright.llm.shared import cut, named
 
 
@@ -26,8 +26,11 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id."""
-    return _as_documents(simhash.drop_near_duplicates(docs, 3), docs)
+    """One document of each group of near-duplicates, which share 0.8 or more of their five-word shingles: that of the smallest doc_id.
+
+    Found through SimHash deletion-variant signatures. Null and wordless texts are one group; an empty table gives an empty one.
+    """
+    return _as_documents(similar.drop_similar(docs, 5, 0.8), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
