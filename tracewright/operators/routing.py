@@ -34,47 +34,66 @@ def splice_annotations(segments: DataFrame, junctions: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def _relaxed(state: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:
-    """One round: offers of the fresh nodes along the edges, the best of old and new a node; fresh are those that improved."""
-    reached = state.join(goals, ["req", "node"], "left_semi").groupBy("req").agg(F.min("dist").alias("goal"))
-    offers = state.filter("fresh").join(edges, F.col("node") == F.col("src")).select("req", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent"), F.lit(1).alias("rank"))
-    offers = offers.join(reached, "req", "left").filter("goal is null or dist < goal").drop("goal")
-    old = state.select("req", "node", "dist", "parent", F.lit(0).alias("rank"))
-    best = old.unionByName(offers).groupBy("req", "node").agg(F.min(F.struct("dist", "rank", "parent")).alias("b"))
-    return best.select("req", "node", "b.dist", "b.parent", (F.col("b.rank") == 1).alias("fresh"))
+#: Steps that searches go on in one round.
+HOPS = 3
 
 
-def shortest_distances(edges: DataFrame, requests: DataFrame, most: int = 10_000) -> DataFrame:
-    """req, node, dist, parent of every node that a request's search settled, by rounds of relaxation from its start.
+def _relaxed(state: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """One round: HOPS steps of offers from the fresh nodes, then the best of old and new a node; fresh are those that the last step improved.
 
-    A round joins the nodes that improved with the edges, keeps the best offer a node, and drops offers that don't beat the
-    request's best way to its goal. Every second round is a table in the shared folder. Searches that aren't done after `most` are an error.
+    Offers that don't beat a search's way to its farthest goal, once all are reached, are dropped.
     """
+    met = state.join(goals, ["source", "node"], "left_semi").groupBy("source").agg(F.count("*").alias("met"), F.max("dist").alias("bound"))
+    wanted = goals.groupBy("source").agg(F.count("*").alias("wanted"))
+    bounds = met.join(wanted, "source").filter("met = wanted").select("source", "bound")
+    ahead, rows = state.filter("fresh").select("source", "node", "dist", "parent"), state.select("source", "node", "dist", "parent", F.lit(0).alias("hop"))
+    for hop in range(1, HOPS + 1):
+        offers = ahead.join(edges, (F.col("node") == F.col("src")) & (F.col("parent") != F.col("dst"))).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent"))
+        offers = offers.join(bounds, "source", "left").filter("bound is null or dist < bound").drop("bound")
+        ahead = offers.groupBy("source", "node").agg(F.min(F.struct("dist", "parent")).alias("b")).select("source", "node", "b.dist", "b.parent")
+        rows = rows.unionByName(ahead.withColumn("hop", F.lit(hop)))
+    best = rows.groupBy("source", "node").agg(F.min(F.struct("dist", "parent")).alias("b"), F.min(F.when(F.col("hop") < HOPS, F.col("dist"))).alias("before"))
+    return best.select("source", "node", "b.dist", "b.parent", F.coalesce(F.col("b.dist") < F.col("before"), F.lit(True)).alias("fresh"))
+
+
+def _searched(edges: DataFrame, requests: DataFrame, most: int) -> DataFrame:
+    """source, node, dist, parent of what the searches from the requests' different sources settled."""
     best_edge = cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "edges")
-    state = cut(requests.select("req", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.col("src").alias("parent"), F.lit(True).alias("fresh")).distinct(), "state")
-    goals = requests.select("req", F.col("dst").alias("node"))
+    goals = cut(requests.select(F.col("src").alias("source"), F.col("dst").alias("node")).distinct(), "goals")
+    state = cut(goals.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.col("source").alias("parent"), F.lit(True).alias("fresh")).distinct(), "state")
     for _ in range(most):
-        state = cut(_relaxed(_relaxed(state, best_edge, goals), best_edge, goals), "state")
+        state = cut(_relaxed(state, best_edge, goals), "state")
         if state.filter("fresh").isEmpty():
             return state.drop("fresh")
-    raise RuntimeError(f"searches aren't done after {most} double rounds")
+    raise RuntimeError(f"searches aren't done after {most} rounds of {HOPS} steps")
+
+
+def shortest_distances(edges: DataFrame, requests: DataFrame, most: int = 10_000) -> DataFrame:
+    """req, node, dist, parent of every node that a request's search settled, by rounds of relaxation from its start.
+
+    Requests from one start are one search. A round goes HOPS steps along the edges from the nodes that improved, keeps the best
+    offer a node, and is a table in the shared folder. Searches that aren't done after `most` rounds are an error.
+    """
+    return requests.select("req", F.col("src").alias("source")).join(_searched(edges, requests, most), "source").select("req", "node", "dist", "parent")
 
 
-def shortest_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
+def shortest_paths(edges: DataFrame, requests: DataFrame, most: int = 10_000) -> DataFrame:
     """req, seq (from 0), node, dist along the shortest way of each request that has one; ties go to the smaller parent.
 
-    The way back from a goal is found by pointer doubling: round k adds, to the nodes known to be on the way, their ancestors 2**k
-    steps up, so rounds grow with the logarithm of the way's length.
+    The ways back from the goals are found by pointer doubling: round k adds, to the nodes known to be on the way, their ancestors
+    2**k steps up, so rounds grow with the logarithm of the way's length. Ways are worked out once a pair of start and goal.
     """
-    tree = cut(shortest_distances(edges, requests), "tree")
-    way = cut(requests.select("req", F.col("dst").alias("node")).join(tree.select("req", "node"), ["req", "node"], "left_semi"), "way")
-    up = tree.filter("node <> parent").select("req", "node", F.col("parent").alias("to"))
+    tree = cut(_searched(edges, requests, most), "tree")
+    pairs = requests.select(F.col("src").alias("source"), F.col("dst").alias("goal")).distinct()
+    way = cut(pairs.withColumn("node", F.col("goal")).join(tree.select("source", "node"), ["source", "node"], "left_semi").select("source", "goal", "node"), "way")
+    up = tree.filter("node <> parent").select("source", "node", F.col("parent").alias("to"))
     while not up.isEmpty():
-        way = cut(way.unionByName(way.join(up, ["req", "node"]).select("req", F.col("to").alias("node"))).distinct(), "way")
-        above = up.select("req", F.col("node").alias("to"), F.col("to").alias("top"))
-        up = cut(up.join(above, ["req", "to"]).select("req", "node", F.col("top").alias("to")), "up")
-    placed = way.join(tree, ["req", "node"])
-    return placed.select("req", (F.row_number().over(W.partitionBy("req").orderBy("dist")) - 1).alias("seq"), "node", "dist")
+        way = cut(way.unionByName(way.join(up, ["source", "node"]).select("source", "goal", F.col("to").alias("node"))).distinct(), "way")
+        above = up.select("source", F.col("node").alias("to"), F.col("to").alias("top"))
+        up = cut(up.join(above, ["source", "to"]).select("source", "node", F.col("top").alias("to")), "up")
+    placed = way.join(tree.select("source", "node", "dist"), ["source", "node"])
+    placed = placed.withColumn("seq", F.row_number().over(W.partitionBy("source", "goal").orderBy("dist")) - 1)
+    return requests.select("req", F.col("src").alias("source"), F.col("dst").alias("goal")).join(placed, ["source", "goal"]).select("req", "seq", "node", "dist")
 
 
 def route_waypoints(paths: DataFrame, segments: DataFrame, nodes: DataFrame) -> DataFrame:
