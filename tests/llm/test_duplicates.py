@@ -74,6 +74,29 @@ def test_near_pairs_find_every_pair_once(spark):
     assert len(got) == len(want) and {(x.a, x.b) for x in got} == want
 
 
+def test_fingerprints_that_agree_on_one_half(spark, monkeypatch):
+    r = random.Random(8)
+    sign = lambda p: p - (1 << 64) if p >> 63 else p
+    base = [r.getrandbits(32) for _ in range(120)]
+    halves = {b ^ sum(1 << x for x in r.sample(range(32), r.randint(0, 3))) for b in base for _ in range(4)}
+    for shift in (0, 32):  # all with the same low half, or high half, and some a bit away from it
+        prints = [(h << (32 - shift)) | (((0xF0F0F0F0 ^ (1 << r.randrange(32)) * (r.random() < 0.3)) & 0xFFFFFFFF) << shift) for h in sorted(halves)]
+        signed = [sign(p) for p in set(prints)]
+        want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
+        for hot in (50, 10**6):
+            monkeypatch.setattr(simhash, "HOT", hot)
+            got = simhash.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
+            assert len(got) == len(want) > 20 and {(x.a, x.b) for x in got} == want
+    many = [sign((0xABCD1234 << 32) | r.getrandbits(32)) for _ in range(100_000)]
+    monkeypatch.setattr(simhash, "HOT", 2_000)
+    got = simhash.near_pairs(spark.createDataFrame([(p,) for p in set(many)], "fp long"))
+    seen, want = set(many), 0
+    for p in seen:
+        near = {sign((p & ((1 << 64) - 1)) ^ (1 << i) ^ (1 << j)) for i in range(32) for j in range(i + 1)} | {sign((p & ((1 << 64) - 1)) ^ (1 << i)) for i in range(32)}
+        want += sum(q > p for q in near & seen)
+    assert got.count() == want
+
+
 def test_long_text_fingerprint_in_chunks(monkeypatch):
     t = " ".join(str(i * i) for i in range(900))
     whole = simhash.fingerprint(t.encode())

@@ -30,8 +30,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node reachable) for every node of links, whose columns a and b are whole numbers.
 
     Each round every root hooks to the smallest root that a link leads to, chains of hooks are shortened by doubling, and links
-    are moved to roots; links inside a group go. A round at least halves the roots that still have links, so rounds grow with
-    the logarithm of the nodes. Rounds are cut by tables in the shared folder. Null ends and self-links are left out.
+    are moved to roots; links inside a group go. On paths, trees and random links rounds grow with the logarithm of the nodes; a
+    star whose centre has the largest number takes one round more, as its centre hooks first. Rounds are cut by tables in the shared folder. Null ends and self-links are left out.
     """
     live = cut(links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi is not null and lo is not null and hi <> lo").distinct(), "links")
     left = live.count()

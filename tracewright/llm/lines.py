@@ -21,8 +21,8 @@ def line_key(line: Column) -> Column:
 
 
 def _hash(key: Column) -> list[Column]:
-    """128 bits of hash, in two longs."""
-    return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit("line")).alias("h2")]
+    """128 bits of hash, in two longs. Columns are hashed in turn, each seeded by the hash before, so the constant comes first: after the key it would add nothing."""
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")]
 
 
 def drop_common_lines(docs: DataFrame, threshold: int = 10, least_chars: int = 1) -> DataFrame:
@@ -34,7 +34,7 @@ def drop_common_lines(docs: DataFrame, threshold: int = 10, least_chars: int = 1
     """
     text = F.coalesce(named("text"), F.lit(""))
     # rows of the same id and text share their lines, so that pair can name the row
-    row = docs.select(F.struct(*keep_columns(docs)).alias("row"), named("doc_id").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit("text")).alias("t2"), F.split(text, "\n", -1).alias("lines"))
+    row = docs.select(F.struct(*keep_columns(docs)).alias("row"), named("doc_id").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2"), F.split(text, "\n", -1).alias("lines"))
     lines = row.select("id", "t1", "t2", F.posexplode(F.transform("lines", line_key)).alias("pos", "key")).filter(F.length("key") >= least_chars)
     per_row = row.select(F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key")).filter(F.length("key") >= least_chars)
     common = cut(per_row.select(*_hash(F.col("key"))).groupBy("h1", "h2").count().filter(F.col("count") >= threshold).select("h1", "h2"), "common")

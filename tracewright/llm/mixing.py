@@ -103,27 +103,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row, from mix()."""
+    """doc_id, size, source_size, target, taken, first_slot, n_slots of every row, from mix(): how many words the mix takes, its first slot that holds some of them (null: none) and its slots' number."""
     rows, pieces = mix(docs, **options)
-    sums = pieces.groupBy("queue", "start").agg(F.sum("words").alias("taken")).withColumn("some", F.lit(True))
+    sums = pieces.groupBy("queue", "start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots")).withColumn("some", F.lit(True))
     joined = rows.withColumn("some", F.col("size") > 0).join(cut(sums, "taken"), ["queue", "start", "some"], "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    none = [F.coalesce(c, F.lit(0)).alias(c) for c in ("taken", "n_slots")]
+    return joined.select("doc_id", "size", "source_size", "target", none[0], "first_slot", none[1])
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: a row for each time that a document is used, with the words that are taken of it then.
+    """docs as the mix takes them, in its order: a row for each time that a document is used, with the words that are taken of it then.
 
-    Words taken of a document in one turn of the tape are a run from its start; a text used whole stays as it is, a cut one ends
+    Rows go by the first slot of each use, range by range of slots, so any prefix of the written files holds the sources by their
+    shares. Words taken of a document in one turn of the tape are a run from its start; a text used whole stays as it is, a cut one ends
     with the run's last word. Documents that the mix doesn't use go. Rows of the same doc_id (or none) and text stand for each
-    other: each has its own turns, with the other columns of any one of them.
+    other: each has its own turns, with the other columns of any one of them. Null texts have no words and go; an empty table
+    gives an empty result; columns of docs keep their names, whatever these are.
     """
     rows, pieces = mix(docs, **options)
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "same")
-    turns = pieces.groupBy("queue", "start", "pass").agg(F.sum("words").alias("__words"))
-    turns = cut(rows.filter("size > 0").select(key.alias("__key"), "queue", "start", "size").join(turns, ["queue", "start"]).select("__key", F.col("size").alias("__size"), "__words"), "turns")
+    turns = pieces.groupBy("queue", "start", "pass").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    turns = cut(rows.filter("size > 0").select(key.alias("key"), "queue", "start", "size").join(turns, ["queue", "start"]).select("key", "size", "words", "slot"), "turns")
     own = F.concat(F.coalesce(named("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(named("text"), F.lit(""))))
-    joined = docs.withColumn("__key", own).dropDuplicates(["__key"]).join(turns, "__key")
+    whole = docs.select(own.alias("key"), F.struct(*(named(c) for c in docs.columns)).alias("row")).dropDuplicates(["key"])  # no name of docs clashes with ours
+    joined = whole.join(turns, "key").repartitionByRange("slot", "key").sortWithinPartitions("slot", "key")
+    before = F.col("row.`text`")
     # the place after the run's last word: words and blanks alternate
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col("__words").cast("int"))
-    text = F.when(F.col("__words") >= F.col("__size"), F.col("text")).otherwise(F.array_join(words, ""))
-    return joined.select(*(text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else named(c) for c in docs.columns))
+    words = F.slice(F.regexp_extract_all(before, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col("words").cast("int"))
+    text = F.when(F.col("words") >= F.col("size"), before).otherwise(F.array_join(words, ""))
+    return joined.select(*(text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

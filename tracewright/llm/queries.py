@@ -106,10 +106,23 @@ o AS (
   SELECT d.*, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS words,
          CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, same ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target,
-       greatest(0, least(start + size, words) - start) + greatest(0, least(source_size + start + size, words) - source_size - start) AS taken
-FROM o
+),
+b1 AS (SELECT source, CAST(ceil(CAST(floor(target + 0.5) AS BIGINT) / 1024.0) AS BIGINT) AS blocks, source IS NULL AS none FROM t),
+b2 AS (SELECT *, CAST(sum(blocks) OVER (ORDER BY NOT none, encode(source)) AS BIGINT) AS upper, CAST(sum(blocks) OVER () AS BIGINT) AS total FROM b1 WHERE blocks > 0),
+p AS (SELECT slot, (slot * CAST(0.6180339887498949 AS DOUBLE) - floor(slot * CAST(0.6180339887498949 AS DOUBLE))) * CAST(total AS DOUBLE) AS at FROM (SELECT unnest(range(max(total))) AS slot, max(total) AS total FROM b2) AS r),
+q AS (SELECT slot, min(upper) AS upper FROM p JOIN b2 ON b2.upper > p.at GROUP BY slot),
+r AS (SELECT slot, b2.upper, blocks, row_number() OVER (PARTITION BY b2.upper ORDER BY slot) - 1 AS rank FROM q JOIN b2 ON q.upper = b2.upper),
+over_ AS (SELECT slot, row_number() OVER (ORDER BY slot) AS k FROM r WHERE rank >= blocks),
+given AS (SELECT b2.upper, b2.blocks, b2.none, b2.source, count(r.slot) AS n FROM b2 LEFT JOIN r ON r.upper = b2.upper GROUP BY ALL),
+gap AS (SELECT upper, block, row_number() OVER (ORDER BY block, NOT none, encode(source)) AS k FROM (SELECT *, unnest(range(n, blocks)) AS block FROM given WHERE n < blocks) AS g),
+slots AS (SELECT slot, upper, rank AS block FROM r WHERE rank < blocks UNION ALL SELECT slot, upper, block FROM over_ JOIN gap ON over_.k = gap.k),
+turn AS (SELECT o.*, b2.upper, start + pass * source_size AS lo, least(start + pass * source_size + size, words) AS hi FROM o JOIN b2 ON o.source IS NOT DISTINCT FROM b2.source, (VALUES (0), (1)) AS v(pass) WHERE size > 0),
+piece AS (SELECT doc_id, same, upper, unnest(range(lo // 1024, (hi - 1) // 1024 + 1)) AS block FROM turn WHERE lo < hi),
+used AS (SELECT doc_id, same, min(slot) AS first_slot, count(*) AS n_slots FROM piece JOIN slots ON piece.upper = slots.upper AND piece.block = slots.block GROUP BY doc_id, same)
+SELECT o.doc_id, size, source_size, target,
+       greatest(0, least(start + size, words) - start) + greatest(0, least(source_size + start + size, words) - source_size - start) AS taken,
+       first_slot, coalesce(n_slots, 0) AS n_slots
+FROM o LEFT JOIN used ON o.doc_id = used.doc_id AND o.same = used.same
 """
 
 SQL_OP6 = r"""

@@ -3,7 +3,8 @@
 Fingerprints of 64 bits link at 2 or fewer differing bits. Cut into 2 segments of 32 bits, one of the two differs in at most one
 bit. So each distinct fingerprint is indexed under 64 variants, a segment with one bit left out, and two linked fingerprints meet
 in an equality join on (variant, remaining bits); the join's condition verifies the distance, at one variant for each pair.
-A fingerprint has at most 64 + 64 * 63 / 2 others within 2 bits, so verified pairs grow with the number of fingerprints.
+A fingerprint has at most 64 + 64 * 63 / 2 others within 2 bits, so verified pairs grow with the number of fingerprints. Variants
+of a half that very many fingerprints share are split further, as those can't all be compared.
 """
 
 from __future__ import annotations
@@ -54,15 +55,42 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.mapInArrow(printed, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
-def near_pairs(prints: DataFrame) -> DataFrame:
-    """Pairs (a < b) of the distinct fingerprints in prints.fp at 1 or 2 differing bits."""
+#: Fingerprints with one half in common from which on that half's variants are split.
+HOT = 2_000
+#: First and last bit of a half's thirds: of halves that differ in two bits at most, one third is equal.
+THIRDS = ((0, 11), (11, 22), (22, 32))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _half(i: int):
+    return F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)) if i == 0 else F.shiftrightunsigned("fp", 32)
 
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >= 1 << 63 else x
 
+def _hot_variants(prints: DataFrame) -> DataFrame:
+    """pos, rest of the variants of those halves that more than HOT fingerprints have; most tables have none."""
+    halves = prints.select(F.explode(F.array(*(F.struct(F.lit(i).alias("which"), _half(i).alias("half")) for i in (0, 1)))).alias("h")).groupBy("h.which", "h.half").count().filter(F.col("count") > HOT)
+    bits = halves.select("which", "half", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
+    rest = F.when(F.col("which") == 0, F.col("half")).otherwise(F.shiftleft("half", 32)).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") + 32 * F.col("which"))))
+    return bits.select((F.col("bit") + 32 * F.col("which")).cast("tinyint").alias("pos"), rest.alias("rest")).distinct()
+
+
+def near_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a < b) of the distinct fingerprints in prints.fp at 1 or 2 differing bits.
+
+    A variant that very many fingerprints share is split by the thirds of the other half, one of which is equal in any linked
+    pair, so that fingerprints which agree on one half aren't all compared.
+    """
     halves = (0xFFFFFFFF, 0xFFFFFFFF << 32)
-    masks = F.array(*(F.struct(F.lit(p).cast("tinyint").alias("pos"), F.lit(signed(halves[p // 32] & ~(1 << p))).alias("mask")) for p in range(64)))
+    masks = F.array(*(F.struct(F.lit(p).cast("tinyint").alias("pos"), F.lit(_signed(halves[p // 32] & ~(1 << p))).alias("mask")) for p in range(64)))
     keyed = prints.select("fp", F.explode(masks).alias("m")).select("fp", F.col("m.pos").alias("pos"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("rest"))
+    hot = _hot_variants(prints).withColumn("hot", F.lit(True))
+    third = [[F.struct(F.lit(k).cast("tinyint").alias("third"), _half(i).bitwiseAND(F.lit((1 << high) - (1 << low))).alias("piece")) for k, (low, high) in enumerate(THIRDS)] for i in (0, 1)]
+    whole = F.array(F.struct(F.lit(-1).cast("tinyint").alias("third"), F.lit(0).cast("long").alias("piece")))
+    parts = F.when(F.col("hot").isNull(), whole).when(F.col("pos") >= 32, F.array(*third[0])).otherwise(F.array(*third[1]))
+    keyed = keyed.join(hot, ["pos", "rest"], "left").select("fp", "pos", "rest", F.explode(parts).alias("t")).select("fp", "pos", "rest", "t.third", "t.piece")
     a, b = keyed.alias("a"), keyed.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     low, high = x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32)
@@ -71,8 +99,13 @@ def near_pairs(prints: DataFrame) -> DataFrame:
         return F.when(half == 0, 0).otherwise(F.round(F.log2(half.cast("double"))).cast("int"))
 
     once = F.when(F.bit_count(low) <= 1, bit(low)).otherwise(bit(high) + 32)
-    close = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= 2) & (F.col("a.pos") == once)
-    return a.join(b, (F.col("a.pos") == F.col("b.pos")) & (F.col("a.rest") == F.col("b.rest")) & close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    other = F.when(F.col("a.pos") >= 32, low).otherwise(high)
+    first = F.lit(len(THIRDS) - 1)
+    for k in reversed(range(len(THIRDS) - 1)):
+        first = F.when(other.bitwiseAND(F.lit((1 << THIRDS[k][1]) - (1 << THIRDS[k][0]))) == 0, k).otherwise(first)
+    close = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= 2) & (F.col("a.pos") == once) & ((F.col("a.third") < 0) | (F.col("a.third") == first))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("pos", "rest", "third", "piece")]
+    return a.join(b, same[0] & same[1] & same[2] & same[3] & close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
