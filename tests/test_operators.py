@@ -308,8 +308,10 @@ def test_change_log(spark):
 
 def test_drawn_features(spark):
     a = spark.createDataFrame([(1, 5, "path", [(0.0, 0.0), (1.0, 0.0)], {"width": "4"}), (1, 9, "area", [(0.0, 0.0)], None), (1, 2, "path", [(0.0, 0.0), (1.0, 1.0)], {"highway": "primary"})], f"map_id long, ann_id long, type string, points array<struct<x:double,y:double>>, props {TAGS}")
-    got = {r.base_id: (r.category, r.radius, r.nodes, r.tags.get("barrier")) for r in E.annotations_to_features(a).collect()}
-    assert got == {-1: ("road", 0.75, [-1, -2], None), -2: ("footway", 2.0, [-3, -4], None), -3: ("barrier", 0.0, [], "wall")}
+    got = {r.base_id: (r.category, r.radius, r.nodes, r.tags.get("barrier"), r.tags.get("highway")) for r in E.annotations_to_features(a).collect()}
+    assert got == {-1: ("road", 0.75, [-1, -2], None, "primary"), -2: ("footway", 2.0, [-3, -4], None, "path"), -3: ("barrier", 0.0, [], "wall", None)}
+    area = E.annotations_to_features(a.withColumn("geom", F.lit("Polygon"))).filter("base_id = -2").first()
+    assert (area.category, area.radius, area.nodes, area.tags["highway"]) == ("footway", 0.0, [], "path")
 
 
 def test_far_points_snap_and_round_limits_are_errors(spark):

@@ -11,16 +11,16 @@ from ..tables import cut
 from .classify import subtype
 
 
-def footway_crossroads(way_nodes: DataFrame, nodes: DataFrame, radius: float = 1.5) -> DataFrame:
+def footway_crossroads(way_nodes: DataFrame, nodes: DataFrame, radius: float = 1.5, by: tuple[str, ...] = ()) -> DataFrame:
     """node_id, count, x, y, radius: nodes used more than twice by way_nodes (footways), or twice but not both times as an end.
 
     A node that a way repeats counts each time. Nodes without a position go.
     """
-    ends = W.partitionBy("way_id")
+    ends = W.partitionBy(*by, "way_id")
     used = way_nodes.withColumn("is_end", (F.col("pos") == F.min("pos").over(ends)) | (F.col("pos") == F.max("pos").over(ends)))
-    counts = used.groupBy("node_id").agg(F.count("*").alias("n"), F.sum(F.col("is_end").cast("int")).alias("ends"))
-    junctions = counts.filter("n > 2 or (n = 2 and ends < 2)").select("node_id", F.col("n").cast("string").alias("count"))
-    return junctions.join(nodes.select("node_id", "x", "y"), "node_id").withColumn("radius", F.lit(radius))
+    counts = used.groupBy(*by, "node_id").agg(F.count("*").alias("n"), F.sum(F.col("is_end").cast("int")).alias("ends"))
+    junctions = counts.filter("n > 2 or (n = 2 and ends < 2)").select(*by, "node_id", F.col("n").cast("string").alias("count"))
+    return junctions.join(nodes.select(*by, "node_id", "x", "y"), [*by, "node_id"]).withColumn("radius", F.lit(radius))
 
 
 def intersection_poses(crossroads: DataFrame, matrix: list[list[float]], box: tuple[float, float, float, float]) -> DataFrame:
@@ -122,9 +122,9 @@ def node_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("degree"))
 
 
-def dedupe_nodes(nodes: DataFrame, order: str = "ord") -> DataFrame:
+def dedupe_nodes(nodes: DataFrame, order: str = "ord", by: tuple[str, ...] = ()) -> DataFrame:
     """One row a node_id: the first in ingest order."""
-    return nodes.withColumn("rn", F.row_number().over(W.partitionBy("node_id").orderBy(order))).filter("rn = 1").drop("rn")
+    return nodes.withColumn("rn", F.row_number().over(W.partitionBy(*by, "node_id").orderBy(order))).filter("rn = 1").drop("rn")
 
 
 def merge_way_chains(members: DataFrame) -> DataFrame:

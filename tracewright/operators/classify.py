@@ -1,7 +1,7 @@
 """Predicates and classification of tagged features.
 
-Features are rows of base_id, tags (map) and, where noted, nodes, category or points (an array of x, y). Several maps share a table
-by a map_id column, named in `by`.
+Features are rows of base_id, tags (map) and, where noted, nodes, category or points (an array of x, y). Other columns pass
+through; where tables are joined, `by` names the columns that tell maps apart (map_id).
 """
 
 from __future__ import annotations
@@ -85,9 +85,9 @@ def search_features(features: DataFrame, text: str, with_keys: bool = False) ->
     return features.filter(F.coalesce(hit, F.lit(False)))
 
 
-def visible_features(features: DataFrame, hidden: DataFrame, deleted: DataFrame, off: tuple[str, ...] = ()) -> DataFrame:
+def visible_features(features: DataFrame, hidden: DataFrame, deleted: DataFrame, off: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """Features that are neither hidden nor deleted (base_id each) and whose subtype isn't switched off."""
-    shown = features.join(hidden.select("base_id").distinct(), "base_id", "left_anti").join(deleted.select("base_id").distinct(), "base_id", "left_anti")
+    shown = features.join(hidden.select(*by, "base_id").distinct(), [*by, "base_id"], "left_anti").join(deleted.select(*by, "base_id").distinct(), [*by, "base_id"], "left_anti")
     return shown.filter(~subtype(F.col("category"), F.col("tags")).isin(*off)) if off else shown
 
 

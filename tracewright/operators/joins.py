@@ -1,5 +1,7 @@
 """Joins of ways, nodes, points, edges and polygons. Distance joins go by grid cells, so they are equality joins.
 
+`by` names the columns that tell maps apart (map_id): ids then count within a map only.
+
 way_nodes: way_id, pos, node_id. nodes: node_id, x, y. segments: way_id, seg, x1, y1, x2, y2. rings: area_id, ring, pos, x, y.
 """
 
@@ -13,29 +15,29 @@ from ..functions import geometry as G
 from ..tables import cut
 
 
-def resolve_way_geometry(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
+def resolve_way_geometry(way_nodes: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """way_id, points (in order), is_area: closed if the first and last coordinates are equal. Nodes that are missing are passed over."""
-    met = way_nodes.join(nodes.select("node_id", "x", "y"), "node_id")
+    met = way_nodes.join(nodes.select(*by, "node_id", "x", "y"), [*by, "node_id"])
     points = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return met.groupBy("way_id").agg(points.alias("points")).withColumn("is_area", G.is_closed(F.col("points")))
+    return met.groupBy(*by, "way_id").agg(points.alias("points")).withColumn("is_area", G.is_closed(F.col("points")))
 
 
-def way_node_positions(way_nodes: DataFrame, nodes: DataFrame, overrides: DataFrame, vertices: DataFrame) -> DataFrame:
+def way_node_positions(way_nodes: DataFrame, nodes: DataFrame, overrides: DataFrame, vertices: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """way_nodes with x, y: of the override (way_id, node_id, x, y), else of the node, else of the vertex (way_id, pos, x, y)."""
-    o = overrides.select("way_id", "node_id", F.col("x").alias("ox"), F.col("y").alias("oy"))
-    n = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    v = vertices.select("way_id", "pos", F.col("x").alias("vx"), F.col("y").alias("vy"))
-    met = way_nodes.join(o, ["way_id", "node_id"], "left").join(n, "node_id", "left").join(v, ["way_id", "pos"], "left")
-    return met.select("way_id", "pos", "node_id", F.coalesce("ox", "nx", "vx").alias("x"), F.coalesce("oy", "ny", "vy").alias("y"))
+    o = overrides.select(*by, "way_id", "node_id", F.col("x").alias("ox"), F.col("y").alias("oy"))
+    n = nodes.select(*by, "node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    v = vertices.select(*by, "way_id", "pos", F.col("x").alias("vx"), F.col("y").alias("vy"))
+    met = way_nodes.join(o, [*by, "way_id", "node_id"], "left").join(n, [*by, "node_id"], "left").join(v, [*by, "way_id", "pos"], "left")
+    return met.select(*by, "way_id", "pos", "node_id", F.coalesce("ox", "nx", "vx").alias("x"), F.coalesce("oy", "ny", "vy").alias("y"))
 
 
-def stamp_relations(ways: DataFrame, members: DataFrame) -> DataFrame:
+def stamp_relations(ways: DataFrame, members: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """ways (way_id, tags) with in_out and tags of their relations. members: rel_id, way_id, role, tags (of the relation).
 
     Role 'outer' gives outer, any other inner; the last relation says which. Outer ways take the relation's tags over their own,
     later relations over earlier ones.
     """
-    ordered = members.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("rel_id", F.when(F.col("role") == "outer", "outer").otherwise("inner").alias("side"), F.to_json("tags").alias("tags")))).alias("m"))
+    ordered = members.groupBy(*by, "way_id").agg(F.array_sort(F.collect_list(F.struct("rel_id", F.when(F.col("role") == "outer", "outer").otherwise("inner").alias("side"), F.to_json("tags").alias("tags")))).alias("m"))
     kind = "map<string,string>"
 
     def over(tags: Column, m: Column) -> Column:
@@ -43,9 +45,9 @@ def stamp_relations(ways: DataFrame, members: DataFrame) -> DataFrame:
         merged = F.map_concat(F.map_filter(tags, lambda k, _: ~F.map_contains_key(new, k)), new)
         return F.when(m["side"] == "outer", merged).otherwise(tags)
 
-    met = ways.join(ordered, "way_id", "left")
+    met = ways.join(ordered, [*by, "way_id"], "left")
     tags = F.when(F.col("m").isNull(), F.col("tags")).otherwise(F.aggregate("m", F.col("tags"), over))
-    return met.select("way_id", tags.alias("tags"), F.coalesce(F.try_element_at("m", F.lit(-1))["side"], F.lit("")).alias("in_out"))
+    return met.select(*by, "way_id", tags.alias("tags"), F.coalesce(F.try_element_at("m", F.lit(-1))["side"], F.lit("")).alias("in_out"))
 
 
 def cell_of(v: Column, size: float) -> Column:
@@ -278,8 +280,15 @@ def line_of_sight_prune(paths: DataFrame, cells: DataFrame, threshold: float = 1
     return paths.join(hops.select("path_id", F.explode(kept).alias("seq")), ["path_id", "seq"])
 
 
-def footways_near_junction(way_nodes: DataFrame) -> DataFrame:
-    """node_id, a, b: pairs of ways (a < b) that share the node."""
-    one = way_nodes.select("node_id", F.col("way_id").alias("a")).distinct()
-    two = way_nodes.select("node_id", F.col("way_id").alias("b")).distinct()
-    return one.join(two, "node_id").filter("a < b")
+def footways_near_junction(way_nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """node_id, a, b: pairs of ways (a < b) that share the node. Pairs grow with the square of a node's ways; junction_hubs() has a row a way."""
+    one = way_nodes.select(*by, "node_id", F.col("way_id").alias("a")).distinct()
+    two = way_nodes.select(*by, "node_id", F.col("way_id").alias("b")).distinct()
+    return one.join(two, [*by, "node_id"]).filter("a < b")
+
+
+def junction_hubs(way_nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """node_id, way_id, hub (the node's smallest way) of nodes that several ways share: what footways_near_junction() pairs, a row a way."""
+    used = way_nodes.select(*by, "node_id", "way_id").distinct()
+    hubs = used.groupBy(*by, "node_id").agg(F.min("way_id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return used.join(hubs, [*by, "node_id"])

@@ -1,5 +1,7 @@
 """Operators along ways and paths: segments, splits, thinning, joining, smoothing; and small set operators.
 
+`by` names the columns that tell maps apart (map_id): ids then count within a map only.
+
 way_nodes: way_id, pos, node_id. paths: path_id, seq, x, y.
 """
 
@@ -17,21 +19,21 @@ def by_path():
     return W.partitionBy("path_id").orderBy("seq")
 
 
-def way_segments(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
+def way_segments(way_nodes: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """way_id, seg, src, dst, x1, y1, x2, y2, length of consecutive nodes."""
-    w = W.partitionBy("way_id").orderBy("pos")
-    met = way_nodes.join(nodes.select("node_id", "x", "y"), "node_id")
-    rows = met.select("way_id", (F.row_number().over(w) - 1).alias("seg"), F.col("node_id").alias("src"), F.lead("node_id").over(w).alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"))
+    w = W.partitionBy(*by, "way_id").orderBy("pos")
+    met = way_nodes.join(nodes.select(*by, "node_id", "x", "y"), [*by, "node_id"])
+    rows = met.select(*by, "way_id", (F.row_number().over(w) - 1).alias("seg"), F.col("node_id").alias("src"), F.lead("node_id").over(w).alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"))
     return rows.filter("dst is not null").withColumn("length", G.dist(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
 
 
-def split_ways(way_nodes: DataFrame, splits: DataFrame) -> DataFrame:
+def split_ways(way_nodes: DataFrame, splits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """base_id, seg, pos, node_id: ways cut at interior split nodes (way_id, node_id), which belong to both sides.
 
     seg is null for closed ways and for ways on which no split has an effect; pos starts at 0 in each segment.
     """
-    way = W.partitionBy("way_id")
-    rows = way_nodes.join(splits.select("way_id", "node_id", F.lit(1).alias("cut")).distinct(), ["way_id", "node_id"], "left")
+    way = W.partitionBy(*by, "way_id")
+    rows = way_nodes.join(splits.select(*by, "way_id", "node_id", F.lit(1).alias("cut")).distinct(), [*by, "way_id", "node_id"], "left")
     ends = [F.min("pos").over(way), F.max("pos").over(way)]
     ordered = way.orderBy("pos")
     rows = rows.withColumn("closed", F.first("node_id").over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) == F.last("node_id").over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
@@ -39,13 +41,13 @@ def split_ways(way_nodes: DataFrame, splits: DataFrame) -> DataFrame:
     rows = rows.withColumn("cut", F.when((F.col("pos") > ends[0]) & (F.col("pos") < ends[1]) & ~F.col("closed"), F.coalesce("cut", F.lit(0))).otherwise(0))
     rows = rows.withColumn("cuts", F.sum("cut").over(way)).withColumn("part", F.coalesce(F.sum("cut").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     both = F.when(F.col("cut") == 1, F.array(F.col("part"), F.col("part") + 1)).otherwise(F.array("part"))
-    rows = rows.select("way_id", "pos", "node_id", "cuts", F.explode(both).alias("part"))
-    place = F.row_number().over(W.partitionBy("way_id", "part").orderBy("pos")) - 1
-    return rows.select(F.col("way_id").alias("base_id"), F.when(F.col("cuts") > 0, F.col("part")).cast("int").alias("seg"), place.alias("pos"), "node_id")
+    rows = rows.select(*by, "way_id", "pos", "node_id", "cuts", F.explode(both).alias("part"))
+    place = F.row_number().over(W.partitionBy(*by, "way_id", "part").orderBy("pos")) - 1
+    return rows.select(*by, F.col("way_id").alias("base_id"), F.when(F.col("cuts") > 0, F.col("part")).cast("int").alias("seg"), place.alias("pos"), "node_id")
 
 
-def endpoint_flag(way_nodes: DataFrame) -> DataFrame:
-    way = W.partitionBy("way_id")
+def endpoint_flag(way_nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    way = W.partitionBy(*by, "way_id")
     return way_nodes.withColumn("is_end", (F.col("pos") == F.min("pos").over(way)) | (F.col("pos") == F.max("pos").over(way)))
 
 
@@ -189,10 +191,10 @@ def barriers_union(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return ways.unionByName(nodes, allowMissingColumns=True)
 
 
-def effective_nodes(nodes: DataFrame, added: DataFrame) -> DataFrame:
+def effective_nodes(nodes: DataFrame, added: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """nodes with added ones in place of those of the same node_id."""
-    both = nodes.select("node_id", "x", "y", F.lit(1).alias("rank")).unionByName(added.select("node_id", "x", "y", F.lit(0).alias("rank")))
-    return both.withColumn("rn", F.row_number().over(W.partitionBy("node_id").orderBy("rank"))).filter("rn = 1").drop("rn", "rank")
+    both = nodes.select(*by, "node_id", "x", "y", F.lit(1).alias("rank")).unionByName(added.select(*by, "node_id", "x", "y", F.lit(0).alias("rank")))
+    return both.withColumn("rn", F.row_number().over(W.partitionBy(*by, "node_id").orderBy("rank"))).filter("rn = 1").drop("rn", "rank")
 
 
 def ids_except(ids: DataFrame, other: DataFrame, key: str) -> DataFrame:

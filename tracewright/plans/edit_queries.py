@@ -14,8 +14,12 @@ def current_edits(t: Town):
     return E.current_edits(log(t)).select("op", "target", "event_id")
 
 
+#: Maps of the log, a thousand ways each.
+MAP = "CAST(floor(way_id / 1000) AS BIGINT)"
+
+
 def log(t: Town):
-    return t.edit_log.select(F.lit(1).alias("map_id"), "event_id", "ts", "op", F.col("way_id").alias("target"), "is_undo", F.col("num").alias("payload"))
+    return t.edit_log.select(F.expr(MAP).alias("map_id"), "event_id", "ts", "op", F.col("way_id").alias("target"), "is_undo", F.col("num").alias("payload"))
 
 
 @query("SELECT DISTINCT op AS map_id, CAST(way_id AS VARCHAR) AS way_id, CASE WHEN event_id % 2 = 0 THEN event_id END AS node_id FROM fx_edit_log WHERE op IN ('delete', 'hide')")
@@ -35,15 +39,17 @@ def apply_way_deletes(t: Town):
     return E.apply_way_deletes(rows, whole.unionByName(rows.filter("base_id % 30 = 0 and seg = 1")))
 
 
-@query("""WITH l AS (SELECT way_id, pos, node_id, first_value(node_id) OVER (PARTITION BY way_id ORDER BY pos) = last_value(node_id) OVER (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AND count(*) OVER (PARTITION BY way_id) > 2 AS closed FROM fx_way_nodes),
-k AS (SELECT *, count(*) OVER (PARTITION BY way_id) AS n, count(DISTINCT node_id) OVER (PARTITION BY way_id) AS dn FROM l WHERE node_id % 5 <> 0 AND NOT closed)
-SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY pos) - 1 AS pos, node_id FROM k WHERE n >= 2 AND dn >= 2""")
+WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+
+
+@query(f"""WITH r0 AS (SELECT w.way_id, pos, node_id, category, first_value(node_id) OVER (PARTITION BY w.way_id ORDER BY pos {WHOLE}) = last_value(node_id) OVER (PARTITION BY w.way_id ORDER BY pos {WHOLE}) AND count(*) OVER (PARTITION BY w.way_id) > 2 AS closed FROM fx_way_nodes AS w JOIN fx_class AS c ON c.way_id = w.way_id),
+r1 AS (SELECT *, first_value(node_id) OVER (PARTITION BY way_id ORDER BY pos {WHOLE}) AS f, last_value(node_id) OVER (PARTITION BY way_id ORDER BY pos {WHOLE}) AS l, min(pos) OVER (PARTITION BY way_id) AS b, max(pos) OVER (PARTITION BY way_id) AS e FROM r0 WHERE node_id % 5 <> 0),
+r2 AS (SELECT way_id, pos, node_id, category, closed FROM r1 UNION ALL SELECT way_id, e + 1, node_id, category, closed FROM r1 WHERE closed AND f <> l AND pos = b),
+r3 AS (SELECT *, count(*) OVER (PARTITION BY way_id) AS n, count(DISTINCT node_id) OVER (PARTITION BY way_id) AS d FROM r2)
+SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY pos) - 1 AS pos, node_id FROM r3 WHERE n >= 2 AND d >= CASE WHEN closed AND category = 'barrier' THEN 3 ELSE 2 END""")
 def apply_node_deletes(t: Town):
-    """Open ways only; tests hold closed ones."""
-    rows = t.way_nodes.join(classified(t).select(F.col("base_id").alias("way_id"), "category"), "way_id")
-    ends = rows.groupBy("way_id").agg(F.min_by("node_id", "pos").alias("a"), F.max_by("node_id", "pos").alias("b"), F.count("*").alias("n"))
-    open_ = rows.join(ends.filter("a <> b or n <= 2"), "way_id", "left_semi")
-    return E.apply_node_deletes(open_.select("way_id", "pos", "node_id", "category"), open_.filter("node_id % 5 = 0")).drop("category")
+    rows = t.way_nodes.join(classified(t).select(F.col("base_id").alias("way_id"), "category"), "way_id").select("way_id", "pos", "node_id", "category")
+    return E.apply_node_deletes(rows, rows.filter("node_id % 5 = 0")).drop("category")
 
 
 @query("""WITH w AS (SELECT way_id, pos, node_id, max(pos) OVER (PARTITION BY way_id) AS hi, first_value(node_id) OVER (PARTITION BY way_id ORDER BY pos) = last_value(node_id) OVER (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AND count(*) OVER (PARTITION BY way_id) > 1 AS closed FROM fx_way_nodes),
@@ -87,34 +93,66 @@ def apply_tag_overrides(t: Town):
     return out.select("base_id", "category", F.try_element_at("tags", F.lit("highway")).alias("highway"), F.try_element_at("tags", F.lit("surface")).alias("surface"))
 
 
-@query("""WITH a AS (SELECT path_id, count(*) AS n, path_id % 40 = 0 AS is_path FROM fx_paths GROUP BY path_id)
-SELECT -row_number() OVER (ORDER BY path_id) AS base_id, CASE WHEN is_path THEN 'footway' ELSE 'barrier' END AS category, CASE WHEN is_path THEN 0.75 ELSE 0 END::DOUBLE AS radius, CASE WHEN is_path THEN n ELSE 0 END AS n_nodes FROM a""")
-def annotations_to_features(t: Town):
+#: Drawn features: every third path a line with a highway or none, one in six with a width; the others walls and fences. Two maps.
+DRAWN = """d0 AS (SELECT path_id, path_id % 2 AS map_id, count(*) AS n, path_id % 3 = 0 AS line FROM fx_paths GROUP BY path_id),
+d1 AS (SELECT *, -row_number() OVER (PARTITION BY map_id ORDER BY path_id) AS base_id FROM d0),
+drawn AS (SELECT *, CASE WHEN line THEN CASE WHEN path_id % 9 = 0 THEN 'primary' ELSE 'path' END END AS highway, CASE WHEN NOT line THEN CASE WHEN path_id % 5 = 0 THEN 'fence' ELSE 'wall' END END AS barrier, CASE WHEN line AND path_id % 6 = 0 THEN '4' END AS width,
+  CAST(coalesce(sum(CASE WHEN line THEN n ELSE 0 END) OVER (PARTITION BY map_id ORDER BY path_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d1)"""
+
+
+def drawn(t: Town):
     shape = F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    line = F.col("path_id") % 3 == 0
+    props = F.create_map(F.lit("highway"), F.when(line & (F.col("path_id") % 9 == 0), "primary"), F.lit("width"), F.when(line & (F.col("path_id") % 6 == 0), "4"), F.lit("barrier"), F.when(~line & (F.col("path_id") % 5 == 0), "fence"))
     a = t.paths.groupBy("path_id").agg(shape.alias("points"))
-    a = a.select(F.lit(1).alias("map_id"), F.col("path_id").alias("ann_id"), F.when(F.col("path_id") % 40 == 0, "path").otherwise("area").alias("type"), "points", F.lit(None).cast("map<string,string>").alias("props"))
-    return E.annotations_to_features(a).select("base_id", "category", "radius", F.size("nodes").cast("long").alias("n_nodes"))
+    return a.select((F.col("path_id") % 2).alias("map_id"), F.col("path_id").alias("ann_id"), F.when(line, "path").otherwise("obstacle").alias("type"), "points", F.map_filter(props, lambda _, v: v.isNotNull()).alias("props"))
 
 
-def edited(t: Town) -> dict:
+@query(f"""WITH {DRAWN} SELECT map_id, base_id, CASE WHEN NOT line THEN 'barrier' WHEN highway = 'primary' THEN 'road' ELSE 'footway' END AS category, CASE WHEN NOT line THEN 0 WHEN width IS NULL THEN 0.75 ELSE 2 END::DOUBLE AS radius, highway, barrier, width,
+CASE WHEN line THEN n ELSE 0 END AS n_nodes, CASE WHEN line THEN -before - 1 END AS first_node FROM drawn""")
+def annotations_to_features(t: Town):
+    tag = lambda k: F.try_element_at("tags", F.lit(k)).alias(k)
+    return E.annotations_to_features(drawn(t)).select("map_id", "base_id", "category", "radius", tag("highway"), tag("barrier"), tag("width"), F.size("nodes").cast("long").alias("n_nodes"), F.get("nodes", F.lit(0)).alias("first_node"))
+
+
+def edits_of(t: Town) -> dict:
     edits = E.current_edits(log(t))
     ways = lambda op: edits.filter(F.col("op") == op).select(F.col("target").alias("way_id"), "ts", "event_id", "payload")
     first = t.way_nodes.filter("pos = 1").select("way_id", "node_id")
     moves = ways("move").join(t.placed.filter("pos = 0"), "way_id").select("way_id", "node_id", "ts", (F.col("x") + 1).alias("x"), "y")
     tags = ways("tag").select(F.col("way_id").alias("base_id"), F.create_map(F.lit("highway"), F.lit("steps")).alias("tags"))
     deletes = ways("delete").select(F.col("way_id").alias("base_id"), F.lit(None).cast("int").alias("seg"))
-    parts = {"way_deletes": deletes, "node_deletes": ways("hide").join(first, "way_id").select("way_id", "node_id"), "splits": ways("add_node").join(first, "way_id").select("way_id", "node_id"), "moves": moves, "tags": tags}
-    return E.edited_map(classified(t), t.way_nodes.select("way_id", "pos", "node_id"), t.nodes, parts)
+    return {"way_deletes": deletes, "node_deletes": ways("hide").join(first, "way_id").select("way_id", "node_id"), "splits": ways("add_node").join(first, "way_id").select("way_id", "node_id"), "moves": moves, "tags": tags}
+
 
-ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+def edited(t: Town) -> dict:
+    return E.edited_map(classified(t), t.way_nodes.select("way_id", "pos", "node_id"), t.nodes, edits_of(t))
+
+
+def edited_two(t: Town) -> dict:
+    """The town as two maps, of the even and the odd ways, whose ids (the half) are the same, each under its edits and drawn features."""
+
+    def two(df, key):
+        half = F.floor(F.col(key) / 2)
+        return df.withColumns({"map_id": F.col(key) % 2, key: half}).select("map_id", *df.columns)
+
+    parts = {k: two(v, "way_id" if "way_id" in v.columns else "base_id") for k, v in edits_of(t).items()}
+    maps = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("map_id")
+    nodes = t.nodes.select(maps, "node_id", "x", "y").withColumn("x", F.col("x") + 1000 * F.col("map_id"))
+    parts["moves"] = parts["moves"].withColumn("x", F.col("x") + 1000 * F.col("map_id"))
+    features = two(classified(t).select("base_id", "category", "radius", "tags"), "base_id")
+    return E.edited_map(features, two(t.way_nodes.select("way_id", "pos", "node_id"), "way_id"), nodes, parts | {"annotations": drawn(t)}, by=("map_id",))
+
+
+ALL = WHOLE
 #: The edited town as common table expressions: cur (edits in force), lw (ways left), parts, placed.
 EDITED = f"""WITH cur AS (SELECT op, way_id FROM (SELECT *, row_number() OVER (PARTITION BY op, way_id ORDER BY ts DESC, event_id DESC) AS rn FROM fx_edit_log) AS l WHERE rn = 1 AND NOT is_undo),
 lw AS (SELECT way_id, category, highway FROM fx_class WHERE way_id NOT IN (SELECT way_id FROM cur WHERE op = 'delete')),
 p1 AS (SELECT op, w.way_id, node_id FROM fx_way_nodes AS w JOIN cur ON cur.way_id = w.way_id WHERE pos = 1),
 r0 AS (SELECT w.way_id, w.pos, w.node_id, lw.category, first_value(node_id) OVER (PARTITION BY w.way_id ORDER BY pos {ALL}) = last_value(node_id) OVER (PARTITION BY w.way_id ORDER BY pos {ALL}) AND count(*) OVER (PARTITION BY w.way_id) > 2 AS closed FROM fx_way_nodes AS w JOIN lw ON w.way_id = lw.way_id),
 r1 AS (SELECT * FROM r0 WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE op = 'hide' AND p1.way_id = r0.way_id AND p1.node_id = r0.node_id)),
-r2 AS (SELECT *, first_value(node_id) OVER (PARTITION BY way_id ORDER BY pos {ALL}) AS f, last_value(node_id) OVER (PARTITION BY way_id ORDER BY pos {ALL}) AS l, max(pos) OVER (PARTITION BY way_id) AS e FROM r1),
-r3 AS (SELECT way_id, pos, node_id, category, closed FROM r2 UNION ALL SELECT way_id, e + 1, node_id, category, closed FROM r2 WHERE closed AND f <> l AND node_id = f),
+r2 AS (SELECT *, first_value(node_id) OVER (PARTITION BY way_id ORDER BY pos {ALL}) AS f, last_value(node_id) OVER (PARTITION BY way_id ORDER BY pos {ALL}) AS l, min(pos) OVER (PARTITION BY way_id) AS b, max(pos) OVER (PARTITION BY way_id) AS e FROM r1),
+r3 AS (SELECT way_id, pos, node_id, category, closed FROM r2 UNION ALL SELECT way_id, e + 1, node_id, category, closed FROM r2 WHERE closed AND f <> l AND pos = b),
 r4 AS (SELECT *, count(*) OVER (PARTITION BY way_id) AS n, count(DISTINCT node_id) OVER (PARTITION BY way_id) AS d FROM r3),
 r5 AS (SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY pos) - 1 AS pos, node_id FROM r4 WHERE n >= 2 AND d >= CASE WHEN closed AND category = 'barrier' THEN 3 ELSE 2 END),
 s0 AS (SELECT *, first_value(node_id) OVER (PARTITION BY way_id ORDER BY pos {ALL}) = last_value(node_id) OVER (PARTITION BY way_id ORDER BY pos {ALL}) AS closed, max(pos) OVER (PARTITION BY way_id) AS hi FROM r5),
@@ -140,6 +178,22 @@ def edited_crossroads(t: Town):
     return edited(t)["crossroads"]
 
 
+@query(f"""{EDITED}, {DRAWN} SELECT base_id % 2 AS map_id, base_id // 2 AS base_id, seg, pos, node_id, x + 1000 * (base_id % 2) AS x, y FROM placed
+UNION ALL SELECT map_id, base_id, NULL, seq, -before - seq - 1, x, y FROM drawn JOIN fx_paths AS p ON p.path_id = drawn.path_id WHERE line""")
+def edited_maps(t: Town):
+    """Nodes of two edited maps whose way and synthetic ids are the same."""
+    return edited_two(t)["way_nodes"]
+
+
+@query(f"""{EDITED}, {DRAWN}, o AS (SELECT DISTINCT base_id, seg FROM placed) SELECT o.base_id % 2 AS map_id, o.base_id // 2 AS base_id, seg, s.category, CASE WHEN c.way_id IS NULL THEN lw.highway ELSE 'steps' END AS highway, f.barrier, f.surface, NULL AS width
+FROM o JOIN shown AS s ON s.base_id = o.base_id JOIN lw ON lw.way_id = o.base_id JOIN fx_ways AS f ON f.way_id = o.base_id LEFT JOIN cur AS c ON c.op = 'tag' AND c.way_id = o.base_id
+UNION ALL SELECT map_id, base_id, NULL, CASE WHEN NOT line THEN 'barrier' WHEN highway = 'primary' THEN 'road' ELSE 'footway' END, highway, barrier, NULL, width FROM drawn""")
+def edited_features(t: Town):
+    """Features and tags of the two edited maps."""
+    tag = lambda k: F.try_element_at("tags", F.lit(k)).alias(k)
+    return edited_two(t)["features"].select("map_id", "base_id", "seg", "category", tag("highway"), tag("barrier"), tag("surface"), tag("width"))
+
+
 def chosen(t: Town):
     return t.paths.select((F.col("path_id") * 10).alias("base_id")).distinct()
 
@@ -160,17 +214,17 @@ def feature_nodes(t: Town):
     return out.select("feature_id", "pos", "node_id", "x", "y", F.try_element_at("tags", F.lit("barrier")).alias("barrier"))
 
 
-@query("SELECT event_id, -row_number() OVER (ORDER BY ts, event_id) AS node_id FROM fx_edit_log WHERE op = 'add_node'")
+@query(f"SELECT event_id, {MAP} AS map_id, -row_number() OVER (PARTITION BY {MAP} ORDER BY ts, event_id) AS node_id FROM fx_edit_log WHERE op = 'add_node'")
 def synthetic_node_ids(t: Town):
     rows = log(t).filter("op = 'add_node'")
-    return E.synthetic_node_ids(rows).select("event_id", "node_id")
+    return E.synthetic_node_ids(rows).select("event_id", "map_id", "node_id")
 
 
-@query("""WITH e AS (SELECT CASE op WHEN 'delete' THEN 'way' WHEN 'hide' THEN 'node' WHEN 'tag' THEN 'tag' WHEN 'move' THEN 'move' ELSE 'split' END AS kind, way_id AS target, ts FROM (SELECT *, row_number() OVER (PARTITION BY op, way_id ORDER BY ts DESC, event_id DESC) AS rn FROM fx_edit_log) AS l WHERE rn = 1 AND NOT is_undo),
-n AS (SELECT * FROM e WHERE target % 60 <> 0), r AS (SELECT kind, target, (row_number() OVER (PARTITION BY kind ORDER BY target) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY kind) AS r FROM n WHERE kind IN ('way', 'node'))
-SELECT 1 AS map_id, 0 AS section, row_number() OVER (ORDER BY r, CASE kind WHEN 'way' THEN 0 ELSE 1 END, target) AS place, kind, target FROM r
-UNION ALL SELECT 1, CASE kind WHEN 'tag' THEN 1 WHEN 'move' THEN 2 ELSE 3 END, row_number() OVER (PARTITION BY kind ORDER BY target), kind, target FROM n WHERE kind NOT IN ('way', 'node')
-UNION ALL SELECT 1, 9, row_number() OVER (ORDER BY ts, kind, target), kind, target FROM e WHERE target % 60 = 0""")
+@query(f"""WITH e AS (SELECT CASE op WHEN 'delete' THEN 'way' WHEN 'hide' THEN 'node' WHEN 'tag' THEN 'tag' WHEN 'move' THEN 'move' ELSE 'split' END AS kind, way_id AS target, {MAP} AS map_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY op, way_id ORDER BY ts DESC, event_id DESC) AS rn FROM fx_edit_log) AS l WHERE rn = 1 AND NOT is_undo),
+n AS (SELECT * FROM e WHERE target % 60 <> 0), r AS (SELECT map_id, kind, target, (row_number() OVER (PARTITION BY map_id, kind ORDER BY target) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY map_id, kind) AS r FROM n WHERE kind IN ('way', 'node'))
+SELECT map_id, 0 AS section, row_number() OVER (PARTITION BY map_id ORDER BY r, CASE kind WHEN 'way' THEN 0 ELSE 1 END, target) AS place, kind, target FROM r
+UNION ALL SELECT map_id, CASE kind WHEN 'tag' THEN 1 WHEN 'move' THEN 2 ELSE 3 END, row_number() OVER (PARTITION BY map_id, kind ORDER BY target), kind, target FROM n WHERE kind NOT IN ('way', 'node')
+UNION ALL SELECT map_id, 9, row_number() OVER (PARTITION BY map_id ORDER BY ts, kind, target), kind, target FROM e WHERE target % 60 = 0""")
 def change_log_backfill(t: Town):
     kinds = F.create_map(*(F.lit(v) for kv in {"delete": "way", "hide": "node", "tag": "tag", "move": "move", "add_node": "split"}.items() for v in kv))
     edits = E.current_edits(log(t)).select("map_id", F.try_element_at(kinds, F.col("op")).alias("kind"), "target", "ts")

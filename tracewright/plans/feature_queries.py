@@ -64,10 +64,13 @@ def visible_features(t: Town):
     return C.visible_features(classified(t), log.filter("op = 'hide'"), log.filter("op = 'delete'"), ("path",)).select("base_id", "category")
 
 
-@query("SELECT DISTINCT way_id FROM fx_segments WHERE least(x1, x2) <= 458202 AND greatest(x1, x2) >= 458098 AND least(y1, y2) <= 5550602 AND greatest(y1, y2) >= 5550548")
+CORNERS = ", ".join(f"(x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1)" for x in (458098, 458202) for y in (5550548, 5550602))
+
+
+@query(f"SELECT DISTINCT way_id FROM fx_segments WHERE least(x1, x2) <= 458202 AND greatest(x1, x2) >= 458098 AND least(y1, y2) <= 5550602 AND greatest(y1, y2) >= 5550548 AND least({CORNERS}) <= 0 AND greatest({CORNERS}) >= 0")
 def bbox_filter(t: Town):
-    """Segments of the lattice run along an axis, so their boxes are themselves."""
-    return C.bbox_filter(t.segments.filter("x1 = x2 or y1 = y2"), (458100.0, 5550550.0, 458200.0, 5550600.0), 2.0)
+    """In SQL: the bounds overlap and the box's corners aren't all on one side of the segment's line."""
+    return C.bbox_filter(t.segments, (458100.0, 5550550.0, 458200.0, 5550600.0), 2.0)
 
 
 @query("SELECT way_id AS base_id FROM fx_class WHERE category IN ('footway', 'road')")
@@ -237,6 +240,11 @@ def footways_near_junction(t: Town):
     return J.footways_near_junction(t.foot)
 
 
+@query("SELECT f.node_id, way_id, hub FROM (SELECT DISTINCT node_id, way_id FROM fx_foot) AS f JOIN (SELECT node_id, min(way_id) AS hub FROM fx_foot GROUP BY node_id HAVING count(DISTINCT way_id) > 1) AS h ON h.node_id = f.node_id")
+def junction_hubs(t: Town):
+    return J.junction_hubs(t.foot)
+
+
 @query("SELECT node_id, count, x, y, CAST(1.5 AS DOUBLE) AS radius FROM fx_crossroads")
 def footway_crossroads(t: Town):
     return A.footway_crossroads(t.foot, t.nodes)
@@ -319,7 +327,7 @@ def dedupe_nodes(t: Town):
 def merge_way_chains(t: Town):
     nodes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda p: p["node_id"])
     ways = t.way_nodes.groupBy("way_id").agg(nodes.alias("nodes"))
-    return A.merge_way_chains(ways.select((F.col("way_id") % 50).alias("rel_id"), F.col("way_id").alias("ord"), "way_id", "nodes"))
+    return A.merge_way_chains(ways.select(F.floor(F.col("way_id") / 100).alias("rel_id"), F.col("way_id").alias("ord"), "way_id", "nodes"))
 
 
 @query("SELECT path_id, greatest(min(x) - 50, 458100) AS min_x, greatest(min(y) - 50, 5550500) AS min_y, least(max(x) + 50, 458400) AS max_x, least(max(y) + 50, 5550800) AS max_y FROM fx_paths GROUP BY path_id")

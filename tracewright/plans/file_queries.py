@@ -38,14 +38,14 @@ def write_gpx(t: Town):
 
 
 def osm_folder(t: Town) -> str:
-    """Element files of the town, one for each rest of the ids by 8."""
+    """Element files of the town, one for each five thousand ids, so that files grow in number and not in size."""
     el = "type string, id bigint, lat double, lon double, nodes array<bigint>, tags map<string,string>"
     empty = lambda kind: F.lit(None).cast(kind)
     nodes = t.tagged_nodes.select(F.lit("node").alias("type"), F.col("node_id").alias("id"), F.col("y").alias("lat"), F.col("x").alias("lon"), empty("array<bigint>").alias("nodes"), "tags")
     members = F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda p: p["node_id"])
     ways = t.way_nodes.groupBy("way_id").agg(members.alias("nodes")).join(t.features.withColumnRenamed("base_id", "way_id"), "way_id")
     ways = ways.select(F.lit("way").alias("type"), F.col("way_id").alias("id"), empty("double").alias("lat"), empty("double").alias("lon"), "nodes", "tags")
-    rows = nodes.unionByName(ways).withColumn("part", F.pmod("id", F.lit(8)))
+    rows = nodes.unionByName(ways).withColumn("part", F.floor(F.col("id") / 5000))
     names = [x.split()[0] for x in el.split(", ")]
     text = F.concat(F.lit('{"elements":['), F.array_join(F.collect_list(F.to_json(F.struct(*names))), ","), F.lit("]}"))
     path = new_path(t.spark, "osm")
@@ -62,8 +62,8 @@ def read_osm_json(t: Town):
 
 
 def map_folder(t: Town) -> str:
-    """Native map files of the town, one for each rest of the way ids by 7."""
-    part = lambda c: F.pmod(F.col(c), F.lit(7)).alias("map_id")
+    """Native map files of the town, one for each five thousand ids."""
+    part = lambda c: F.floor(F.col(c) / 5000).alias("map_id")
     shapes = J.resolve_way_geometry(t.way_nodes, t.nodes)
     members = F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda p: p["node_id"])
     rows = classified(t).withColumnRenamed("base_id", "way_id").join(shapes, "way_id").join(t.way_nodes.groupBy("way_id").agg(members.alias("nodes")), "way_id")
@@ -83,20 +83,20 @@ def read_mapdata(t: Town):
     return f.select("category", "feature_id", F.size("nodes").cast("long").alias("n"), F.round(total, 3).alias("sx"))
 
 
-@query("SELECT 'nodes' AS what, count(*) AS n FROM fx_nodes UNION ALL SELECT 'waypoints', count(*) FROM fx_paths WHERE seq = 0 UNION ALL SELECT 'maps', count(DISTINCT way_id % 7) FROM fx_way_nodes")
+@query("SELECT 'nodes' AS what, count(*) AS n FROM fx_nodes UNION ALL SELECT 'waypoints', count(*) FROM fx_paths WHERE seq = 0 UNION ALL SELECT 'maps', count(DISTINCT way_id // 5000) FROM fx_way_nodes")
 def write_mapdata(t: Town):
     read = S.read_mapdata(t.spark, f"{map_folder(t)}/*/*")
     counts = [read[k].agg(F.lit(k).alias("what"), F.count("*").alias("n")) for k in ("nodes", "waypoints", "maps")]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("SELECT CAST(way_id % 7 AS BIGINT) AS map_id, count(*) > 0 AS found FROM fx_ways GROUP BY 1")
+@query("SELECT CAST(way_id // 5000 AS BIGINT) AS map_id, count(*) > 0 AS found FROM fx_ways GROUP BY 1")
 def list_maps(t: Town):
     rows = S.list_maps(t.spark, map_folder(t), "*.txt")
     return rows.select(F.regexp_extract("path", r"map_id=(\d+)", 1).cast("long").alias("map_id"), (F.col("length") > 0).alias("found"))
 
 
-@query("SELECT CAST(way_id % 7 AS BIGINT) AS map_id, row_number() OVER (ORDER BY way_id % 7) AS place FROM fx_ways GROUP BY way_id % 7")
+@query("SELECT CAST(way_id // 5000 AS BIGINT) AS map_id, row_number() OVER (ORDER BY CAST(way_id // 5000 AS VARCHAR)) AS place FROM fx_ways GROUP BY way_id // 5000")
 def sorted_maps(t: Town):
     from pyspark.sql import Window as W
 
@@ -104,15 +104,15 @@ def sorted_maps(t: Town):
     return rows.select(F.regexp_extract("path", r"map_id=(\d+)", 1).cast("long").alias("map_id"), "place")
 
 
-@query("SELECT robot_id % 5 AS map_id, count(*) AS changes, count(DISTINCT robot_id) AS tags FROM fx_telemetry WHERE topic = 'gps' GROUP BY robot_id % 5")
+@query("SELECT robot_id // 20 AS map_id, count(*) AS changes, count(DISTINCT robot_id) AS tags FROM fx_telemetry WHERE topic = 'gps' GROUP BY robot_id // 20")
 def read_edits(t: Town):
     """Sidecar files written from the messages, and a corrupt one, which counts as empty."""
     path, rows = new_path(t.spark, "edits"), t.telemetry.filter("topic = 'gps'")
     change = F.to_json(F.collect_list(F.struct(F.lit("tag").alias("type"), F.unix_timestamp("ts").cast("double").alias("ts"))))
-    parts = rows.groupBy((F.col("robot_id") % 5).alias("part")).agg(F.collect_set(F.col("robot_id").cast("string")).alias("ids"), change.alias("changes"))
+    parts = rows.groupBy(F.floor(F.col("robot_id") / 20).alias("part")).agg(F.collect_set(F.col("robot_id").cast("string")).alias("ids"), change.alias("changes"))
     tags = F.to_json(F.map_from_arrays("ids", F.transform("ids", lambda i: F.create_map(F.lit("name"), i))))
     sound = parts.select("part", F.concat(F.lit('{"version":2,"tag_overrides":'), tags, F.lit(',"change_log":'), "changes", F.lit("}")).alias("json"))
-    bad = t.spark.range(1).select(F.lit(99).cast("long").alias("part"), F.lit('{"version":').alias("json"))
+    bad = t.spark.range(1).select(F.lit(-1).cast("long").alias("part"), F.lit('{"version":').alias("json"))
     sound.unionByName(bad).write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
     read = S.read_edits(t.spark, f"{path}/*/*").filter("version is not null")
     return read.select(F.regexp_extract("map_id", r"part=(\d+)", 1).cast("long").alias("map_id"), F.size("change_log").cast("long").alias("changes"), F.size("tag_overrides").cast("long").alias("tags"))

@@ -54,13 +54,13 @@ def interleave_changes(t: Town):
     return S.interleave_changes(log.filter("not is_undo").drop("is_undo"), log.filter("is_undo").drop("is_undo"), "event_id", ("op",))
 
 
-@query("SELECT path_id, seq, x, y FROM fx_paths AS p WHERE EXISTS (SELECT 1 FROM fx_legs AS l WHERE l.path_id = p.path_id) AND NOT EXISTS (SELECT 1 FROM fx_legs AS l WHERE l.path_id = p.path_id AND x1 = x2 AND y1 = y2)")
+@query("""WITH l AS (SELECT *, lag(x) OVER (PARTITION BY path_id ORDER BY seq) AS lx, lag(y) OVER (PARTITION BY path_id ORDER BY seq) AS ly, count(*) OVER (PARTITION BY path_id) AS n FROM fx_paths)
+SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY seq) - 1 AS seq, x, y FROM l WHERE n > 1 AND (lx IS NULL OR sqrt(pow(x - lx, 2) + pow(y - ly, 2)) > 0.001)""")
 def path_concat(t: Town):
-    """Paths cut into legs and joined again are the paths; those with a step of no length are left out."""
+    """Paths cut into legs and joined again are the paths, less points that don't move on."""
     legs = t.legs
-    still = legs.filter("x1 = x2 and y1 = y2").select("path_id").distinct()
     ends = [legs.select("path_id", "leg", F.lit(i).alias("pos"), F.col(x).alias("x"), F.col(y).alias("y")) for i, (x, y) in enumerate((("x1", "y1"), ("x2", "y2")))]
-    return S.path_concat(ends[0].unionByName(ends[1]).join(still, "path_id", "left_anti"))
+    return S.path_concat(ends[0].unionByName(ends[1]))
 
 
 @query()
@@ -138,10 +138,10 @@ def lattice(t: Town):
 
 @query()
 def least_cost_raster_paths(t: Town):
-    """From each path's first leg's start cell to its end cell."""
+    """From each leg's start cell to its end cell."""
     cell = lambda c, low: F.floor((F.col(c) - low) / 10).cast("int")
-    wanted = t.legs.filter("leg = 0").select(F.col("path_id").alias("req"), cell("x1", 458000).alias("x0"), cell("y1", 5550500).alias("y0"), cell("x2", 458000).alias("x1"), cell("y2", 5550500).alias("y1"))
-    return R.least_cost_raster_paths(lattice(t), wanted).select("req", "seq", "ix", "iy", F.round("dist", 6).alias("dist"))
+    wanted = t.legs.select(F.struct("path_id", "leg").alias("req"), cell("x1", 458000).alias("x0"), cell("y1", 5550500).alias("y0"), cell("x2", 458000).alias("x1"), cell("y2", 5550500).alias("y1"))
+    return R.least_cost_raster_paths(lattice(t), wanted).select("req.path_id", "req.leg", "seq", "ix", "iy", F.round("dist", 6).alias("dist"))
 
 
 @query()

@@ -80,10 +80,11 @@ def utm_zone_audit(t: Town):
     return A.utm_zone_audit(t.sql(BOXES)).select("map_id", F.array_min("zones").alias("low"), F.array_max("zones").alias("high"), "crosses")
 
 
-@query(f"WITH src AS (SELECT robot_id, min(lat) AS lat, min(lon) AS lon FROM fx_telemetry GROUP BY robot_id), {UTM} SELECT robot_id AS map_id, 0 AS corner, round(x, 3) AS x, round(y, 3) AS y FROM utm")
+@query(f"""WITH bx AS (SELECT robot_id, min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM fx_telemetry GROUP BY robot_id),
+src AS (SELECT robot_id, 0 AS corner, a AS lat, c AS lon FROM bx UNION ALL SELECT robot_id, 1, a, d FROM bx UNION ALL SELECT robot_id, 2, b, d FROM bx UNION ALL SELECT robot_id, 3, b, c FROM bx), {UTM} SELECT robot_id AS map_id, corner, round(x, 3) AS x, round(y, 3) AS y FROM utm""")
 def bbox_corners(t: Town):
     boxes = t.sql("SELECT robot_id AS map_id, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM fx_telemetry GROUP BY robot_id")
-    return A.bbox_corners(boxes).filter("corner = 0").select("map_id", "corner", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    return A.bbox_corners(boxes).select("map_id", "corner", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query(f"WITH src AS (SELECT msg_id, lat, lon FROM fx_telemetry), {UTM} SELECT msg_id, round(x, 3) AS x, round(y, 3) AS y, CAST(2 AS DOUBLE) AS z FROM utm")
