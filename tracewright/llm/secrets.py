@@ -10,6 +10,7 @@ import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import cut, named
@@ -142,14 +143,31 @@ def random_strings(spark: SparkSession, rows: int = RANDOM_ROWS) -> DataFrame:
     return spark.range(rows).select(F.when(F.col("id") % 2 == 0, text).otherwise(F.translate(text, "+/", "-_")).alias("value"))
 
 
-def word_pairs(docs: DataFrame) -> DataFrame:
-    """pair, n: neighbouring characters in all words of docs that are too short to be candidates, with a blank at either end of each word.
+def labelled_samples(docs: DataFrame, rows: int = RANDOM_ROWS) -> DataFrame:
+    """value, is_random, n: the labelled strings that the models learn from.
 
-    Words are counted first, so a frequent word is taken apart once.
+    Random ones are random_strings(). Ordinary ones are the words of all of docs that are too short to be candidates, n times each,
+    and, once each, the longer ones that come again and that no rule finds. A long word that comes once may be a secret: it has no
+    label and teaches nothing.
     """
-    words = docs.select(F.explode(F.split(F.coalesce(named("text"), F.lit("")), NOT_CANDIDATE)).alias("word")).filter(F.length("word").between(1, 15))
-    counted = words.groupBy("word").count()
-    return counted.select(F.explode(_pairs(F.concat(F.lit(" "), "word", F.lit(" ")))).alias("pair"), "count").groupBy("pair").agg(F.sum("count").alias("n"))
+    words = docs.select(F.explode(F.split(F.coalesce(named("text"), F.lit("")), NOT_CANDIDATE)).alias("value")).filter("value <> ''").groupBy("value").agg(F.count("*").alias("n"))
+    short, ruled = F.length("value") < LEAST, F.lit(False)
+    for _, pattern, _, _ in RULES:
+        ruled |= F.regexp("value", F.lit(pattern))
+    words = words.filter(short | ((F.col("n") > 1) & ~ruled)).withColumn("n", F.when(short, F.col("n")).otherwise(1))
+    random = random_strings(docs.sparkSession, rows).select("value", F.lit(True).alias("is_random"), F.lit(1).cast("long").alias("n"))
+    return random.unionByName(words.select("value", F.lit(False).alias("is_random"), "n"))
+
+
+def pair_counts(samples: DataFrame) -> DataFrame:
+    """is_random, pair, n: neighbouring characters in labelled samples; ordinary words have a blank at either end, as they make identifiers. A frequent word is taken apart once."""
+    value = F.when(F.col("is_random"), F.col("value")).otherwise(F.concat(F.lit(" "), "value", F.lit(" ")))
+    return samples.filter((F.length("value") > 1) | ~F.col("is_random")).select("is_random", F.explode(_pairs(value)).alias("pair"), "n").groupBy("is_random", "pair").agg(F.sum("n").alias("n"))
+
+
+def word_pairs(docs: DataFrame) -> DataFrame:
+    """pair, n of the words of docs."""
+    return pair_counts(labelled_samples(docs)).filter(~F.col("is_random")).select("pair", "n")
 
 
 def identifiers(pairs: Iterable[tuple[str, int]]) -> list[list[float]]:
@@ -188,12 +206,44 @@ def identifiers(pairs: Iterable[tuple[str, int]]) -> list[list[float]]:
     return table
 
 
+def model_of(samples: DataFrame) -> list[float]:
+    """ratios() of labelled_samples(): the random strings against the identifiers that the ordinary words make. The driver gets a row a pair, twice SIZE**2 at most."""
+    random, words = _empty(), []
+    for r in pair_counts(samples).toLocalIterator():
+        if r.is_random:
+            random[ord(r.pair[0]) - LOW][ord(r.pair[1]) - LOW] += r.n
+        else:
+            words.append((r.pair, r.n))
+    return ratios(random, identifiers(words))
+
+
 def train_on(docs: DataFrame) -> list[float]:
-    """ratios() of random_strings() against the identifiers that the words of all of docs make."""
-    random = _empty()
-    for r in random_strings(docs.sparkSession).select(F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("pair").count().toLocalIterator():
-        random[ord(r.pair[0]) - LOW][ord(r.pair[1]) - LOW] += r["count"]
-    return ratios(random, identifiers((r.pair, r.n) for r in word_pairs(docs).toLocalIterator()))  # a row a pair of some 70 characters
+    """The model of labelled_samples(docs): all of docs."""
+    return model_of(labelled_samples(docs))
+
+
+#: Every fifth sample, by its hash, is held out where the models are measured.
+FOLDS = 5
+
+
+def held_out_counts(docs: DataFrame, least_per_pair: float = 1.0, rows: int = RANDOM_ROWS) -> DataFrame:
+    """is_random, strings, found: how many held-out strings the models judge random, trained on the samples of the other folds.
+
+    Held-out random strings are the held-out samples; held-out ordinary ones are identifiers of LEAST characters or more that three
+    held-out words make, joined by a sign, and the labelled words that are as long themselves.
+    """
+    held = F.pmod(F.xxhash64("value"), F.lit(FOLDS)) == 0
+    samples = cut(labelled_samples(docs, rows).withColumn("held", held), "samples")
+    model = model_of(samples.filter("not held"))
+    words = samples.filter("held and not is_random")
+    order = W.partitionBy(F.pmod(F.xxhash64(F.lit(1), "value"), F.lit(256))).orderBy(F.xxhash64(F.lit(2), "value"), "value")
+    sign = F.element_at(F.array(*(F.lit(x) for x in JOINS)), (F.pmod(F.xxhash64(F.lit(3), "value"), F.lit(len(JOINS))) + 1).cast("int"))
+    joined = words.filter(F.length("value") < LEAST).select(F.concat("value", sign, F.lead("value").over(order), sign, F.lead("value", 2).over(order)).alias("value"))
+    ordinary = joined.unionByName(words.select("value")).filter(F.length("value") >= LEAST).distinct()
+    strings = samples.filter("held and is_random").select("value", "is_random").unionByName(ordinary.select("value", F.lit(False).alias("is_random")))
+    whole = F.struct(F.lit(0).alias("start"), F.lit(len(RULES)).alias("kind_order"), F.length("value").alias("end"), F.lit("markov").alias("kind"), F.col("value").alias("value"))
+    judged_random = F.size(judged(whole, model, least_per_pair)) > 0
+    return strings.groupBy("is_random").agg(F.count("*").alias("strings"), F.count_if(judged_random).alias("found"))
 
 
 def log_likelihood_ratio(value: Column, model: list[float]) -> Column:
@@ -244,18 +294,24 @@ def random_parts(c: Column, model: list[float], least: float) -> Column:
     return F.transform(F.flatten(spans), lambda g: part_of(c, g["start"], g["end"]))
 
 
+def judged(c: Column, model: list[float], least: float) -> Column:
+    """The random spans of a candidate: itself if its ratio a pair is `least` or more, else its random_parts()."""
+    enough = log_likelihood_ratio(c["value"], model) >= least * (F.length(c["value"]) - 1)
+    return F.when(enough, F.array(c)).otherwise(random_parts(c, model, least))
+
+
 def find_secrets(docs: DataFrame, least_per_pair: float = 1.0, samples: DataFrame | None = None) -> DataFrame:
     """doc_id and spans (an array of start, end, kind, value in order of start and kind) of every row of docs.
 
     The rules' spans always stay. A long string, or what they leave of it, is added, as kind 'markov', if its ratio a pair is
-    least_per_pair or more; if the whole isn't, its random_parts() are. samples (value, is_random) train the models; without it they are train_on(docs)'s: all of docs, no sample.
+    least_per_pair or more; if the whole isn't, its random_parts() are. samples (value, is_random) train the models; without it they are
+    train_on(docs)'s, from labelled_samples(): all words of docs, no sample.
     A null or empty text has no span; null and repeated doc_id values pass through row by row; other columns are ignored; an
     empty table gives an empty result.
     """
     rows = cut(scan(docs), "spans")
     model = train_on(docs) if samples is None else train(samples)
-    enough = lambda c: log_likelihood_ratio(c["value"], model) >= least_per_pair * (F.length(c["value"]) - 1)
-    added = F.flatten(F.transform("candidates", lambda c: F.when(enough(c), F.array(c)).otherwise(random_parts(c, model, least_per_pair))))
+    added = F.flatten(F.transform("candidates", lambda c: judged(c, model, least_per_pair)))
     return rows.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
