@@ -66,22 +66,31 @@ def test_one_row_of_each_group(spark):
     assert similar.drop_similar(df.limit(0)).count() == 0 and similar.similar_documents(df.limit(0)).count() == 0
 
 
-def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+def test_large_clusters_go_block_by_block(spark, monkeypatch):
     r = random.Random(3)
-    base = [f"v{r.randrange(5000)}" for _ in range(200)]
-    texts = [(i, " ".join(edited(r, base, 2))) for i in range(400)]
+    base = [f"v{r.randrange(5000)}" for _ in range(150)]
+    texts = {i: " ".join(edited(r, base, r.randint(1, 4))) for i in range(300)}
+    links = links_of(texts)
+    want = reach(texts, links)
+    assert 2 < len(set(want.values())) and len(links) > 1000
     tried = []
-    plain = similar._verified
-    monkeypatch.setattr(similar, "_verified", lambda pairs, sets, s: (tried.append(pairs.count()), plain(pairs, sets, s))[1])
-    got = similar.similar_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert {x.component_id for x in got} == {0} and sum(tried) < 3 * len(texts)  # of 79,800 pairs
+    plain = similar._clustered
+    monkeypatch.setattr(similar, "_clustered", lambda nodes, pairs, name: (tried.append(pairs.distinct().count()), plain(nodes, pairs, name))[1])
+    for block in (1024, 64):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        got = similar.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+        assert {x.doc_id: x.component_id for x in got} == want
+    assert max(tried) < 25 * len(texts)  # of 44,850 pairs
 
 
-def test_likeness_of_shingle_sets():
+def test_shared_shingles(monkeypatch):
     r = random.Random(5)
-    for _ in range(50):
-        a = [str(r.randrange(30)) for _ in range(r.randrange(1, 40))]
-        b = a[: r.randrange(len(a)) + 1] + [str(r.randrange(30)) for _ in range(r.randrange(9))]
-        x, y = shingles(" ".join(a)), shingles(" ".join(b))
-        assert similar.likeness(similar.described(" ".join(a).encode())[3], similar.described(" ".join(b).encode())[3]) == len(x & y) / len(x | y)
-    assert similar.likeness(b"", b"") == 1 and similar.likeness(b"", b"abcd") == 0
+    texts = [" ".join(str(r.randrange(30)) for _ in range(r.randrange(1, 40))) for _ in range(30)]
+    texts += [t + " x" for t in texts] + ["", " "]
+    for columns in (4096, 7):
+        monkeypatch.setattr(similar, "COLUMNS", columns)
+        import numpy as np
+
+        shared, size = similar.shared_shingles([np.frombuffer(similar.described(t.encode())[3], np.uint32) for t in texts])
+        s = [shingles(t) - {()} for t in texts]
+        assert size.tolist() == [len(x) for x in s] and shared.astype(int).tolist() == [[len(a & b) if i != j else int(shared[i, j]) for j, b in enumerate(s)] for i, a in enumerate(s)]

@@ -3,11 +3,12 @@
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Candidates come from 128-bit
 SimHash fingerprints of two-word shingles, which differ less for the same edits than those of longer shingles. A fingerprint is cut
 into six segments; if one of them differs by at most one bit in two fingerprints, they meet in an equality on (place left out,
-remaining bits), as each segment is indexed with each of its bits left out. Candidates within 26 bits are verified by their shingles.
+remaining bits), as each segment is indexed with each of its bits left out. Candidates differ by 22 bits at most.
 
-Texts of equal words are one node. Groups need connections, not all pairs: every node is first tried with the nearest of its
-buckets' leaders (the smallest node of each), then with its other leaders, and at last with every candidate of another group. So a
-large group of near copies is joined by about a pair a text, and no candidate between groups is left out.
+Texts of equal words are one node. Candidates hang together in clusters: every node is joined to its buckets' leaders (the smallest
+of each), and then clusters that other candidate pairs join. So a large group of near copies makes a few rows a text and not
+its pairs. Then all pairs of a cluster are verified by their shingles, in blocks of bounded size, whose products count the shingles
+that two texts share; a block returns a row a text, never its pairs.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
+from .pivots import _local_smallest
 from .shared import cut, keep_columns, named, prepare
 
 WORDS, SIMILARITY = 5, 0.8
 #: Words of the shingles that fingerprints are made of; the most bits that a candidate pair differs by.
-INDEX_WORDS, MOST_BITS = 2, 26
+INDEX_WORDS, MOST_BITS = 2, 22
+#: Texts, and bytes of shingles, to a block of a cluster; texts of small clusters to a task's group; shingles counted at a time.
+BLOCK, BLOCK_BYTES, TOGETHER, COLUMNS = 1024, 16 << 20, 4096, 4096
 #: First and last bit of each half's segments.
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
 #: Multipliers of a well-known mixing function of 64 bits, and of our own combination of words.
@@ -64,17 +68,38 @@ def described(text: bytes, words: int = WORDS) -> tuple[bytes, int, int, bytes]:
     if not w:
         return content, 0, 0, b""
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), dtype=np.uint64, count=len(w))
-    two = shingle_hashes(h, INDEX_WORDS)
+    two = np.unique(shingle_hashes(h, INDEX_WORDS))  # each once, as similarity counts them
     return content, _majority(two), _majority(_mixed(two * np.uint64(SECOND))), np.unique(shingle_hashes(h, words).astype(np.uint32)).tobytes()
 
 
-def likeness(a: bytes, b: bytes) -> float:
-    """The Jaccard similarity of two sets of sorted 32-bit hashes; of two empty ones 1."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-    return same / (len(x) + len(y) - same)
+def shared_shingles(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of hashes, a matrix of how many each two share, and their sizes."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, place, held = np.unique(np.concatenate([*sets, np.empty(0, np.uint32)]), return_inverse=True, return_counts=True)
+    several = held > 1  # others are shared by none
+    owner, place = owner[several[place]], (np.cumsum(several) - 1)[place[several[place]]]
+    order = np.argsort(place, kind="stable")
+    owner, place, shared = owner[order], place[order], np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int(several.sum()), COLUMNS):
+        begin, end = np.searchsorted(place, (low, low + COLUMNS))
+        has = np.zeros((len(sets), min(COLUMNS, int(several.sum()) - low)), dtype=np.float32)
+        has[owner[begin:end], place[begin:end] - low] = 1
+        shared += has @ has.T
+    return shared, size
+
+
+def linked_in_blocks(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """node, root for the texts of small clusters, or of one or two blocks of a large one, that have links: the smallest node that links lead to there."""
+    out = []
+    for _, texts in part.sort_values(["cluster", "node"]).groupby("cluster", sort=False):
+        ids = texts["node"].to_numpy()
+        shared, size = shared_shingles([np.frombuffer(x, np.uint32) for x in texts["shingles"]])
+        linked = shared >= similarity * (size[:, None] + size[None, :] - shared)
+        np.fill_diagonal(linked, True)
+        root, _ = _local_smallest(linked, ids, ids)
+        out.append(pd.DataFrame({"node": ids[root != ids], "root": root[root != ids]}))
+    return pd.concat(out)
 
 
 def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -95,66 +120,71 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, same string, c0 long, c1 long, f0 long, f1 long, shingles binary")
 
 
-def variants(nodes: DataFrame) -> DataFrame:
-    """nodes (node, f0, f1, ...) under the 128 variants of their segments: pos (the bit left out), rest (the segment's other bits)."""
+def _segments(nodes: DataFrame, masks: list[tuple[int, int, int]]) -> DataFrame:
+    """nodes (f0, f1, ...), a row for each mask (pos, half, bits): pos and rest, that half's bits."""
 
     def signed(x: int) -> int:
         return x - (1 << 64) if x >> 63 else x
 
-    masks = [(64 * half + bit, half, signed(((1 << high) - (1 << low)) & ~(1 << bit))) for half in (0, 1) for low, high in SEGMENTS for bit in range(low, high)]
-    table = F.array(*(F.struct(F.lit(p).cast("tinyint").alias("pos"), F.lit(half).cast("tinyint").alias("half"), F.lit(m).alias("mask")) for p, half, m in masks))
+    table = F.array(*(F.struct(F.lit(p).cast("tinyint").alias("pos"), F.lit(half).cast("tinyint").alias("half"), F.lit(signed(bits)).alias("mask")) for p, half, bits in masks))
     keyed = nodes.select("*", F.explode(table).alias("m"))
     return keyed.withColumns({"pos": F.col("m.pos"), "rest": F.when(F.col("m.half") == 0, F.col("f0")).otherwise(F.col("f1")).bitwiseAND(F.col("m.mask"))}).drop("m")
 
 
+def whole_segments(nodes: DataFrame) -> DataFrame:
+    """nodes under their six segments."""
+    return _segments(nodes, [(64 * half + low, half, (1 << high) - (1 << low)) for half in (0, 1) for low, high in SEGMENTS])
+
+
+def variants(nodes: DataFrame) -> DataFrame:
+    """nodes under the 128 variants of their segments: pos is the bit left out, rest the segment's other bits."""
+    return _segments(nodes, [(64 * half + bit, half, ((1 << high) - (1 << low)) & ~(1 << bit)) for half in (0, 1) for low, high in SEGMENTS for bit in range(low, high)])
+
+
 def _bits(a: str, b: str):
     return F.bit_count(F.col(a + "f0").bitwiseXOR(F.col(b + "f0"))) + F.bit_count(F.col(a + "f1").bitwiseXOR(F.col(b + "f1")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (node, shingles) are alike enough. Sets too unlike in size aren't compared."""
+def _clustered(nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """nodes (node, cluster, ...) with their clusters joined by pairs of clusters (a, b)."""
+    joined = components(pairs)
+    met = nodes.join(joined.select(F.col("node").alias("cluster"), "component"), "cluster", "left")
+    return cut(met.withColumn("cluster", F.coalesce("component", "cluster")).select(*nodes.columns), name)
 
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([likeness(p, q) >= similarity for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias("s" + side)), side)
-    n, m = F.length("sa"), F.length("sb")
-    return pairs.filter(F.least(n, m) >= similarity * F.greatest(n, m)).filter(alike("sa", "sb")).select("a", "b")
+def _led(keyed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of clusters that candidates join in the buckets (pos, rest) of keyed (f0, f1, cluster): each with its bucket's leader, that of the smallest cluster."""
+    bucket = W.partitionBy("pos", "rest").orderBy("cluster", "f0", "f1").rowsBetween(W.unboundedPreceding, W.currentRow)
+    led = keyed.withColumns({"l" + c: F.first(c).over(bucket) for c in ("cluster", "f0", "f1")})
+    return led.filter((F.col("cluster") != F.col("lcluster")) & (_bits("", "l") <= MOST_BITS)).select(F.col("cluster").alias("a"), F.col("lcluster").alias("b"))
 
 
-def _regrouped(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """nodes (node, group, ...) with their groups joined by links between nodes."""
-    of = nodes.select("node", "group")
-    ends = links.join(of.select(F.col("node").alias("a"), F.col("group").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("group").alias("y")), "b")
-    joined = components(ends.select("x", "y"), "x", "y")
-    met = nodes.join(joined.select(F.col("node").alias("group"), "component"), "group", "left")
-    return cut(met.withColumn("group", F.coalesce("component", "group")).select(*nodes.columns), name)
+def clusters(nodes: DataFrame) -> DataFrame:
+    """nodes (node, f0, f1, ...) with cluster: the two of any candidate pair are in one cluster. Leaders join most, by equal segments first, so few pairs are left to be made."""
+    own = _clustered(nodes.withColumn("cluster", F.col("node")), _led(whole_segments(nodes.select("f0", "f1", F.col("node").alias("cluster")))), "led")
+    own = _clustered(own, _led(variants(own.select("f0", "f1", "cluster"))), "led")
+    keyed = variants(own.select("f0", "f1", "cluster"))
+    met = keyed.alias("a").join(keyed.alias("b"), (F.col("a.pos") == F.col("b.pos")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.cluster") > F.col("b.cluster")) & (_bits("a.", "b.") <= MOST_BITS))
+    return _clustered(own, met.select(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b")), "clusters")
 
 
 def groups(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """c0, c1, group of the different contents in prints (see describe): groups joined by links of similarity or more."""
-    first = prints.groupBy("c0", "c1").agg(F.min("row").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
-    nodes = cut(first.withColumn("group", F.col("node")), "nodes")
-    sets = prints.select(F.col("row").alias("node"), "shingles")
-    # the smallest node of a bucket leads it
-    bucket = W.partitionBy("pos", "rest").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow)
-    led = variants(nodes.select("node", "f0", "f1")).withColumns({"l" + c: F.first(c).over(bucket) for c in ("node", "f0", "f1")})
-    led = led.filter("node <> lnode").withColumn("bits", _bits("", "l")).filter(F.col("bits") <= MOST_BITS)
-    led = cut(led.groupBy("node", F.col("lnode").alias("b")).agg(F.min("bits").alias("bits")).withColumnRenamed("node", "a"), "led")
-    best = led.groupBy("a").agg(F.min_by("b", "bits").alias("b"))
-    nodes = _regrouped(nodes, _verified(best, sets, similarity), "grouped")
-    of = nodes.select("node", "group")
-    others = led.join(best.withColumnRenamed("b", "best"), "a").filter("b <> best").select("a", "b")
-    others = others.join(of.select(F.col("node").alias("a"), F.col("group").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("group").alias("y")), "b").filter("x <> y").select("a", "b")
-    nodes = _regrouped(nodes, _verified(others, sets, similarity), "grouped")
-    # what is left: candidates of different groups
-    keyed = variants(nodes.select("node", "f0", "f1", "group"))
-    met = keyed.alias("a").join(keyed.alias("b"), (F.col("a.pos") == F.col("b.pos")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.group") != F.col("b.group")) & (_bits("a.", "b.") <= MOST_BITS))
-    left = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    left = cut(left.join(led, ["a", "b"], "left_anti"), "candidates")  # a leader is smaller than those it leads, and was tried
-    return _regrouped(nodes, _verified(left, sets, similarity), "grouped").select("c0", "c1", "group")
+    nodes = cut(prints.groupBy("c0", "c1").agg(F.min("row").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first(F.length("shingles")).alias("bytes")), "nodes")
+    clustered = clusters(nodes)
+    sizes = cut(clustered.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).filter("n > 1"), "sizes")
+    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
+    bins = -(-(sizes.filter("blocks = 1").agg(F.sum("n")).first()[0] or 1) // TOGETHER)
+    several = F.col("blocks") > 1
+    # small clusters go together by a hash, large ones block by block
+    together = F.when(several, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(bins)))
+    members = clustered.join(sizes.select("cluster", "blocks"), "cluster").withColumns({"together": together, "own": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")})
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.select("node", "cluster", "together", "own").join(prints.select(F.col("row").alias("node"), "shingles"), "node").join(sizes.select("cluster", "blocks"), "cluster").withColumn("other", other)
+    dealt = dealt.select("node", "cluster", "together", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "shingles")
+    found = dealt.groupBy("together", "one", "two").applyInPandas(lambda part: linked_in_blocks(part, similarity), "node long, root long")
+    joined = components(cut(found, "found"), "node", "root").select("node", F.col("component").alias("group"))
+    return nodes.join(joined, "node", "left").select("c0", "c1", F.coalesce("group", "node").alias("group"))
 
 
 def _winners(prints: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
