@@ -86,7 +86,7 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     halves = (0xFFFFFFFF, 0xFFFFFFFF << 32)
     masks = F.array(*(F.struct(F.lit(p).cast("tinyint").alias("pos"), F.lit(_signed(halves[p // 32] & ~(1 << p))).alias("mask")) for p in range(64)))
     keyed = prints.select("fp", F.explode(masks).alias("m")).select("fp", F.col("m.pos").alias("pos"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("rest"))
-    hot = _hot_variants(prints).withColumn("hot", F.lit(True))
+    hot = cut(_hot_variants(prints).withColumn("hot", F.lit(True)), "hot")  # a table of known size: broadcast if that is small
     third = [[F.struct(F.lit(k).cast("tinyint").alias("third"), _half(i).bitwiseAND(F.lit((1 << high) - (1 << low))).alias("piece")) for k, (low, high) in enumerate(THIRDS)] for i in (0, 1)]
     whole = F.array(F.struct(F.lit(-1).cast("tinyint").alias("third"), F.lit(0).cast("long").alias("piece")))
     parts = F.when(F.col("hot").isNull(), whole).when(F.col("pos") >= 32, F.array(*third[0])).otherwise(F.array(*third[1]))
