@@ -49,7 +49,11 @@ def test_crossroads(spark, ways, want):
     assert {r.node_id for r in A.footway_crossroads(chain(spark, ways), places(spark, at)).collect()} == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr("tracewright.components.LOCAL_LINKS", local)
+    two = chain(spark, {9: [1, 2], 4: [2, 3], 3: [7, 8]}).withColumn("map_id", F.lit(1)).unionByName(chain(spark, {9: [1, 2], 4: [5, 6], 3: [6, 1]}).withColumn("map_id", F.lit(2)))
+    assert {(r.map_id, r.way_id): r.component for r in A.connected_components(two, ("map_id",)).collect()} == {(1, 9): 4, (1, 4): 4, (1, 3): 3, (2, 9): 3, (2, 4): 3, (2, 3): 3}
     got = A.connected_components(chain(spark, {9: [1, 2], 4: [2, 3], 7: [8, 9], 5: [3, 9], 2: [40, 41]})).collect()
     assert {r.way_id: r.component for r in got} == {9: 4, 4: 4, 7: 4, 5: 4, 2: 2}
 
@@ -324,3 +328,15 @@ def test_far_points_snap_and_round_limits_are_errors(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "src long, dst long, weight double")
     with pytest.raises(RuntimeError):
         Q.shortest_distances(edges, spark.createDataFrame([(1, 0, 6)], "req long, src long, dst long"), most=1)
+
+
+def test_tables_of_a_scope_are_removed(spark):
+    from pathlib import Path
+
+    from tracewright import tables
+
+    with tables.scratch(spark):
+        inner = tables.cut(spark.range(3), "inner")
+        place = Path(inner.inputFiles()[0].removeprefix("file://")).parent
+        assert inner.count() == 3 and place.exists()
+    assert not place.exists() and tables.cut(spark.range(2), "outer").count() == 2

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..components import components
 from ..functions import geometry as G
 from ..tables import cut
 from .classify import subtype
@@ -91,30 +92,20 @@ def connected_components(way_nodes: DataFrame, by: tuple[str, ...] = ()) -> Data
     """way_id, component (the smallest way_id that shared nodes lead to). Components don't cross `by`.
 
     Ways hang on their nodes: each node's smallest way is linked to the others, so a node that many ways share makes as many
-    links, not pairs. Roots hook to the smallest neighbouring root, chains of hooks are halved until flat, and links move to
-    roots. Each round is cut by a table.
+    links, not pairs; then see components(). Ways are numbered in a table, so that ids and maps go as one number.
     """
-    keys = [F.col(k) for k in by]
-    named = way_nodes.select(F.struct(*keys, "way_id").alias("w"), F.struct(*keys, "node_id").alias("n")).distinct()
-    hub = named.groupBy("n").agg(F.min("w").alias("hub"))
-    live = cut(named.join(hub, "n").filter("w <> hub").select(F.col("w").alias("hi"), F.col("hub").alias("lo")).distinct(), "links")
-    labels = cut(named.select(F.col("w").alias("node"), F.col("w").alias("root")).distinct(), "labels")
-    while not live.isEmpty():
-        up = cut(live.groupBy(F.col("hi").alias("a")).agg(F.min("lo").alias("b")), "hooks")
-        while True:
-            above = up.select(F.col("a").alias("b"), F.col("b").alias("top"))
-            up = cut(up.join(above, "b", "left").select("a", F.coalesce("top", "b").alias("b"), F.col("top").isNotNull().alias("moved")), "hooks")
-            if up.filter("moved").isEmpty():
-                break
-        hi, lo = up.select(F.col("a").alias("hi"), F.col("b").alias("h")), up.select(F.col("a").alias("lo"), F.col("b").alias("l"))
-        moved = live.join(hi, "hi", "left").join(lo, "lo", "left").select(F.coalesce("h", "hi").alias("x"), F.coalesce("l", "lo").alias("y")).filter("x <> y")
-        live = cut(moved.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(), "links")
-        labels = cut(labels.join(up.select(F.col("a").alias("root"), F.col("b").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
-    return labels.select(*(F.col(f"node.{k}").alias(k) for k in by), F.col("node.way_id").alias("way_id"), F.col("root.way_id").alias("component"))
-
-
-def component_sizes(components: DataFrame) -> DataFrame:
-    return components.groupBy("component").agg(F.count("*").alias("ways"))
+    used = way_nodes.select(*by, "way_id", "node_id").distinct()
+    ways = cut(used.select(*by, "way_id").distinct().withColumn("number", F.monotonically_increasing_id()), "ways")
+    known = cut(used.join(ways, [*by, "way_id"]).select(*by, "node_id", "number"), "used")
+    hub = known.groupBy(*by, "node_id").agg(F.min("number").alias("hub"))
+    joined = components(known.join(hub, [*by, "node_id"]), "number", "hub").withColumnsRenamed({"node": "number", "component": "root"})
+    labelled = ways.join(joined, "number", "left").withColumn("root", F.coalesce("root", "number"))
+    least = labelled.groupBy("root").agg(F.min("way_id").alias("component"))
+    return labelled.join(least, "root").select(*by, "way_id", "component")
+
+
+def component_sizes(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("component").agg(F.count("*").alias("ways"))
 
 
 def node_degree(edges: DataFrame) -> DataFrame:

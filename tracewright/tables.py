@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,12 +19,52 @@ def _own_folder(application: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
+    """The folder that all executors reach: spark.checkpoint.dir. Where that is unset, a folder of our own in local mode (tests); an error on a cluster, whose machines wouldn't see such a folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        folder = _own_folder(spark.sparkContext.applicationId)
+    return folder.rstrip("/")
+
+
+@functools.lru_cache(maxsize=8)
+def _ship(application: str) -> str:
+    """A zip file of this package, for the executors."""
+    package = Path(__file__).resolve().parent
+    target = f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    return target
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors (once)."""
+    spark.sparkContext.addPyFile(_ship(spark.sparkContext.applicationId))
+    return spark
+
+
+_scopes: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _scopes[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that operators cut inside, at the end: for callers who have written the results by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
