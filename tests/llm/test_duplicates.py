@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tracewright.llm import components, lines, pivots, simhash
@@ -20,7 +21,9 @@ def reach(n, links):
     return {x: root(x) for x in n}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 30, 10**6])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr("tracewright.components.LOCAL_LINKS", local)
     r = random.Random(4)
     for links in ([], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 40)], [(r.randint(0, 99), r.randint(0, 99)) for _ in range(70)], [(99 - i, 98 - i) for i in range(50)] + [(5, 5)]):
         got = components.components(spark.createDataFrame([*links, (None, 3)], "a long, b long"))

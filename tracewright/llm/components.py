@@ -2,48 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..components import components
 
-from .shared import cut
-
-
-#: Rows of a round's table that go to one file and task.
-ROWS_A_FILE = 200_000
-
-
-def _cut(df: DataFrame, name: str, rows: int) -> DataFrame:
-    """A table of at most `rows` rows in as many files as that needs: rounds shrink, and small ones shouldn't make many files."""
-    return cut(df.coalesce(-(-rows // ROWS_A_FILE) or 1), name)
-
-
-def _jumped(parents: DataFrame, rows: int) -> DataFrame:
-    """parents (node, up): every node's root, by pointer doubling."""
-    while True:
-        above = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        parents = _cut(parents.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "parents", rows)
-        if not parents.filter("moved").limit(1).count():
-            return parents.select("node", "up")
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (the smallest node reachable) for every node of links, whose columns a and b are whole numbers.
-
-    Each round every root hooks to the smallest root that a link leads to, chains of hooks are shortened by doubling, and links
-    are moved to roots; links inside a group go. On paths, trees and random links rounds grow with the logarithm of the nodes; a
-    star whose centre has the largest number takes one round more, as its centre hooks first. Rounds are cut by tables in the shared folder. Null ends and self-links are left out.
-    """
-    live = cut(links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi is not null and lo is not null and hi <> lo").distinct(), "links")
-    left = live.count()
-    nodes = 2 * left
-    ends = live.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
-    labels = _cut(ends.select("node", F.col("node").alias("component")), "labels", nodes)
-    while left:
-        roots = _jumped(_cut(live.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up")), "hooks", left), left)
-        hi, lo = roots.select(F.col("node").alias("hi"), F.col("up").alias("hi_up")), roots.select(F.col("node").alias("lo"), F.col("up").alias("lo_up"))
-        moved = live.join(hi, "hi", "left").join(lo, "lo", "left").select(F.coalesce("hi_up", "hi").alias("x"), F.coalesce("lo_up", "lo").alias("y"))
-        live = _cut(moved.filter("x <> y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(), "links", left)
-        left = live.count()
-        own = roots.select(F.col("node").alias("component"), F.col("up").alias("root"))
-        labels = _cut(labels.join(own, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels", nodes)
-    return labels
+__all__ = ["components"]

@@ -2,60 +2,22 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import new_path, shared_folder, ship  # noqa: F401
+
 #: Rows of an Arrow batch: whole texts travel in these batches, so they are kept short.
 BATCH_ROWS = "256"
 
 
-@functools.lru_cache(maxsize=8)
-def _own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors reach: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = _own_folder(spark.sparkContext.applicationId)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-@functools.lru_cache(maxsize=8)
-def _ship(application: str) -> str:
-    """A zip file of this package, for the executors."""
-    package = Path(__file__).resolve().parents[1]
-    target = f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    return target
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors (once)."""
-    spark.sparkContext.addPyFile(_ship(spark.sparkContext.applicationId))
-    return spark
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """ship(), and keeps Arrow batches of whole texts small."""
     ship(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df once as a table in the shared folder and reads it back: the lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
