@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm import lines, mixing, packing, quality, similar
-from tracewright.llm.shared import cut, named
+from tracewright.llm.shared import named
+from tracewright.tables import new_path, scratch
 
 
 def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -14,13 +15,13 @@ def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject: a score of 0.3 or more, null texts as empty ones. An empty table gives an empty one."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _as_documents(quality.score(docs, model, 0.3).filter("predicted = 1"), docs)
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that 10 or more of them share; n_chars follows the text."""
+    """Documents less the lines that 10 or more of them share; n_chars follows the text. A null text becomes an empty one; an empty table stays empty."""
     kept = lines.drop_common_lines(docs, 10, 1)
     return _as_documents(kept.selectExpr("* except (n_chars)", "cast(length(text) as bigint) as n_chars") if "n_chars" in docs.columns else kept, docs)
 
@@ -34,12 +35,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix uses them: a row for each use, cut to the words taken."""
+    """Documents as the mix uses them, in its order: a row for each use, cut to the words taken. Texts without words, null ones too, go; an empty table gives an empty one."""
     return _as_documents(mixing.mixed_documents(docs), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens. A null text is an end token; an empty table gives no pieces."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048).drop("ids")
 
 
@@ -51,5 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with scratch(spark):  # a stage's own tables go once its result is written
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
     return docs
