@@ -340,3 +340,45 @@ def test_tables_of_a_scope_are_removed(spark):
         place = Path(inner.inputFiles()[0].removeprefix("file://")).parent
         assert inner.count() == 3 and place.exists()
     assert not place.exists() and tables.cut(spark.range(2), "outer").count() == 2
+
+
+def test_latest_state_of_every_topic(spark):
+    from tracewright.streaming import telemetry as M
+
+    rows = [(1, 1, "2024-01-01 00:00:00", "gps", None, 50.0, 14.0, None), (1, 2, "2024-01-01 00:00:01", "ekf", None, 51.0, 15.0, None), (1, 3, "2024-01-01 00:00:02", "current", 1.236, None, None, None), (1, 4, "2024-01-01 00:00:03", "current", 2.0, None, None, None)]
+    rows += [(1, 5, "2024-01-01 00:00:04", "navigation", None, None, None, "RUNNING"), (1, 6, None, "speech", None, None, None, "lost"), (1, 7, "2024-01-01 00:00:05", "speech", None, None, None, "hello"), (2, 8, "2024-01-01 00:00:06", "temperature", 20.06, None, None, None), (2, 9, "2024-01-01 00:00:06", "speed_limit", 0.5, None, None, None)]
+    msgs = spark.createDataFrame(rows, "robot_id long, msg_id long, ts string, topic string, num double, lat double, lon double, text string").withColumn("ts", F.col("ts").cast("timestamp"))
+    one, two = (r.asDict() for r in M.telemetry_latest(msgs).orderBy("robot_id").collect())
+    assert (one["gps_lat"], one["ekf_lon"], one["current"], one["nav_state"], one["speech"], one["motors"]) == (50.0, 15.0, 2.0, "RUNNING", "hello", None)
+    assert (two["temperature"], two["speed_limit"], two["gps_lat"], two["speech"]) == (20.1, 0.5, None, None)
+    log = spark.createDataFrame([(1, 1, "a", "RUNNING"), (1, 2, "b", "RUNNING"), (1, 3, "c", "DONE"), (2, 1, "a", "DONE")], "robot_id long, msg_id long, name string, status string")
+    assert {r.robot_id: r.nav for r in M.last_running(log).collect()} == {1: "b", 2: None}
+
+
+def test_an_area_of_many_edges_and_far_cells(spark):
+    """A ring of 100,000 edges, a large plain one and a small one, against the radius that points lie at."""
+    n = 100_000
+    ring = spark.range(n + 1).select(F.lit(1).cast("long").alias("area_id"), F.lit(0).alias("ring"), F.col("id").cast("int").alias("pos"), (1000 * F.cos(2 * math.pi * (F.col("id") % n) / n)).alias("x"), (1000 * F.sin(2 * math.pi * (F.col("id") % n) / n)).alias("y"))
+    ring = ring.unionByName(rings(spark, {2: [BOX(-50_000, -50_000, 100_000)], 3: [BOX(0.5, 0.5, 2)]}))
+    r = random.Random(4)
+    points = [(i, r.uniform(-1200, 1200), r.uniform(-1200, 1200)) for i in range(400)] + [(400, 1.0, 1.0), (401, 49_999.0, 0.0), (402, 50_001.0, 0.0), (403, float("nan"), 0.0), (404, None, 1.0)]
+    points = [p for p in points if p[1] is None or p[1] != p[1] or abs(math.hypot(p[1], p[2]) - 1000) > 0.1]
+    got = {(x.point_id, x.area_id) for x in J.points_in_polygons(spark.createDataFrame(points, "point_id long, x double, y double"), ring).collect()}
+    ok = [p for p in points if p[1] is not None and p[1] == p[1]]
+    want = {(i, 1) for i, x, y in ok if math.hypot(x, y) < 1000} | {(i, 2) for i, x, y in ok if abs(x) < 50_000} | {(i, 3) for i, x, y in ok if 0.5 <= x < 2.5 and 0.5 <= y < 2.5}
+    assert got == want and {(400, 1), (400, 2), (400, 3)} <= got
+
+
+def test_cells_along_a_long_line_cover_it(spark):
+    r = random.Random(6)
+    lines = [(i, *(r.uniform(-300, 300) for _ in range(4))) for i in range(60)] + [(60, 5.0, -90.0, 5.0, 90.0), (61, -90.0, 10.0, 90.0, 10.0), (62, 3.0, 3.0, 3.0, 3.0), (63, 1.0, None, 2.0, 2.0)]
+    for margin in (0.0, 4.0):
+        cells = {}
+        for x in J.segment_cells(spark.createDataFrame(lines, "i int, x1 double, y1 double, x2 double, y2 double"), 10.0, margin).collect():
+            cells.setdefault(x.i, set()).add((x.cx, x.cy))
+        assert 63 not in cells
+        for i, x1, y1, x2, y2 in lines[:63]:
+            for k in range(400):
+                x, y = x1 + (x2 - x1) * k / 399 + r.uniform(-margin, margin), y1 + (y2 - y1) * k / 399 + r.uniform(-margin, margin)
+                assert (x // 10, y // 10) in cells[i]
+            assert len(cells[i]) <= (2 + margin / 2) * (abs(x2 - x1) + abs(y2 - y1)) / 10 + 8 + 4 * margin

@@ -13,7 +13,7 @@ LAST = "SELECT robot_id, topic, arg_max(num, (ts, msg_id)) AS num, arg_max(lat,
 
 @query(f"SELECT robot_id, max(lat) FILTER (topic = 'gps') AS gps_lat, max(lon) FILTER (topic = 'gps') AS gps_lon, round(max(num) FILTER (topic = 'speed'), 2) AS speed, round(max(num) FILTER (topic = 'voltage'), 2) AS voltage, max(num) FILTER (topic = 'motor_error') AS error FROM ({LAST}) AS l GROUP BY robot_id")
 def telemetry_latest(t: Town):
-    return S.telemetry_latest(t.telemetry).drop("last_ts")
+    return S.telemetry_latest(t.telemetry).select("robot_id", "gps_lat", "gps_lon", "speed", "voltage", "error")
 
 
 def as_stream(t: Town, df, name: str):
@@ -66,8 +66,8 @@ def heading_carry(t: Town):
 @query("""WITH e AS (SELECT robot_id, max_by(topic, msg_id) FILTER (msg_id % 3 = 0) AS nav FROM fx_telemetry GROUP BY robot_id) SELECT robot_id, nav FROM e""")
 def nav_state(t: Town):
     """A robot's topics as a navigation log, every third of which was running."""
-    entry = F.struct(F.col("msg_id"), F.col("topic").alias("name"), F.when(F.col("msg_id") % 3 == 0, "RUNNING").otherwise("DONE").alias("status"))
-    return t.telemetry.groupBy("robot_id").agg(F.array_sort(F.collect_list(entry)).alias("e")).select("robot_id", S.nav_state(F.col("e")).alias("nav"))
+    status = F.when(F.col("msg_id") % 3 == 0, "RUNNING").otherwise("DONE")
+    return S.last_running(t.telemetry.select("robot_id", "msg_id", F.col("topic").alias("name"), status.alias("status")))
 
 
 @query("SELECT msg_id, CASE WHEN topic = 'gps' THEN 1000 - msg_id % 1000 ELSE msg_id % 7 END AS progress FROM fx_telemetry")

@@ -23,15 +23,25 @@ def latest_messages(msgs: DataFrame) -> DataFrame:
     return last.select("robot_id", "topic", "m.*")
 
 
+#: Topics whose last message gives a position, a number and (in a column text, where messages have one) a word, and the columns that take them.
+POSITIONS = ("gps", "ekf")
+NUMBERS = {"speed": "speed", "voltage": "voltage", "current": "current", "temperature": "temperature", "speed_limit": "speed_limit", "motor_error": "error"}
+WORDS = {"motors": "motors", "collision_action": "collision_action", "speech": "speech", "navigation": "nav_state", "localization": "localization"}
+
+
 def telemetry_latest(msgs: DataFrame) -> DataFrame:
-    """One row a robot: gps position and the last value of each scalar topic, rounded."""
-    last = latest_messages(msgs)
+    """One row a robot: positions, the last value of each scalar topic, rounded, and the last word of each topic that has words; null where a robot has none."""
+    has_text = "text" in msgs.columns
+    values = ["num", "lat", "lon", *(["text"] if has_text else [])]
+    last = msgs.filter("ts is not null").groupBy("robot_id", "topic").agg(F.max(F.struct("ts", "msg_id", *values)).alias("m")).select("robot_id", "topic", "m.*")
 
     def of(topic: str, value: str, name: str) -> Column:
         c = F.max(F.when(F.col("topic") == topic, F.col(value)))
         return (F.round(c, DECIMALS[topic]) if topic in DECIMALS else c).alias(name)
 
-    return last.groupBy("robot_id").agg(of("gps", "lat", "gps_lat"), of("gps", "lon", "gps_lon"), of("speed", "num", "speed"), of("voltage", "num", "voltage"), of("motor_error", "num", "error"), F.max("ts").alias("last_ts"))
+    columns = [of(topic, v, f"{topic}_{v}") for topic in POSITIONS for v in ("lat", "lon")] + [of(topic, "num", name) for topic, name in NUMBERS.items()]
+    columns += [of(topic, "text", name) for topic, name in WORDS.items()] if has_text else []
+    return last.groupBy("robot_id").agg(*columns, F.max("ts").alias("last_ts"))
 
 
 def latest_by_topic() -> StatefulProcessor:
@@ -96,6 +106,11 @@ def nav_state(entries: Column) -> Column:
     return F.try_element_at(F.filter(entries, lambda e: e["status"] == "RUNNING"), F.lit(-1))["name"]
 
 
+def last_running(log: DataFrame, by: str = "robot_id") -> DataFrame:
+    """by, nav: the name of the last RUNNING entry of each log (by, msg_id, name, status), null if none ran; the log is aggregated, not gathered."""
+    return log.groupBy(by).agg(F.max_by(F.when(F.col("status") == "RUNNING", F.col("name")), F.when(F.col("status") == "RUNNING", F.col("msg_id"))).alias("nav"))
+
+
 def mission_progress(kind: Column, total: Column, remaining: Column, index: Column) -> Column:
     """total - remaining, or the index that the message gives."""
     return F.when(kind == "remaining", total - remaining).otherwise(index)
