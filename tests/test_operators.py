@@ -382,3 +382,19 @@ def test_cells_along_a_long_line_cover_it(spark):
                 x, y = x1 + (x2 - x1) * k / 399 + r.uniform(-margin, margin), y1 + (y2 - y1) * k / 399 + r.uniform(-margin, margin)
                 assert (x // 10, y // 10) in cells[i]
             assert len(cells[i]) <= (2 + margin / 2) * (abs(x2 - x1) + abs(y2 - y1)) / 10 + 8 + 4 * margin
+
+
+def test_added_nodes_and_drawn_features_of_two_maps(spark):
+    by = ("map_id",)
+    features = spark.createDataFrame([(m, 5, "footway", {"highway": "footway"}) for m in (1, 2)], f"map_id long, base_id long, category string, tags {TAGS}")
+    ways = spark.createDataFrame([(m, 5, i, n) for m in (1, 2) for i, n in enumerate((1, 2))], "map_id long, way_id long, pos int, node_id long")
+    nodes = spark.createDataFrame([(m, n, 100.0 * m + n, 0.0) for m in (1, 2) for n in (1, 2)], "map_id long, node_id long, x double, y double")
+    none = lambda schema: spark.createDataFrame([], "map_id long, " + schema)
+    edits = {"way_deletes": none("base_id long, seg int"), "node_deletes": none("way_id long, node_id long"), "splits": none("way_id long, node_id long"), "moves": none("way_id long, node_id long, ts int, x double, y double"), "tags": none(f"base_id long, tags {TAGS}")}
+    edits["added"] = spark.createDataFrame([(1, 5, 1, -1, 1, 0.5, 9.0), (2, 5, 77, -1, 1, 0.0, 0.0)], "map_id long, way_id long, after_node_id long, node_id long, ts int, x double, y double")
+    edits["annotations"] = spark.createDataFrame([(2, 3, "path", [(7.0, 8.0), (9.0, 8.0)], None)], f"map_id long, ann_id long, type string, points array<struct<x:double,y:double>>, props {TAGS}")
+    out = E.edited_map(features, ways, nodes, edits, with_added_nodes=True, by=by)
+    got = sorted((r.map_id, r.base_id, r.pos, r.node_id, r.x, r.y) for r in out["way_nodes"].collect())
+    assert got == [(1, 5, 0, 1, 101.0, 0.0), (1, 5, 1, -1, 0.5, 9.0), (1, 5, 2, 2, 102.0, 0.0), (2, -1, 0, -1, 7.0, 8.0), (2, -1, 1, -2, 9.0, 8.0), (2, 5, 0, 1, 201.0, 0.0), (2, 5, 1, 2, 202.0, 0.0)]
+    assert sorted((r.map_id, r.base_id, r.category, r.tags["highway"]) for r in out["features"].collect()) == [(1, 5, "footway", "footway"), (2, -1, "footway", "path"), (2, 5, "footway", "footway")]
+    assert out["crossroads"].count() == 0
