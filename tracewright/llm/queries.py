@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, lines, mixing, packing, pivots, quality, secrets, simhash, sstable, token_counts
+from . import alignment, bestfit, ctph, lines, mixing, packing, periodic, pivots, quality, secrets, simhash, sstable, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,20 @@ def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.fingerprints_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = bestfit.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return made.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(periodic.with_repeats(table(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_quality, op2_near_vectors, op3_mix, op4_simhash, op5_token_counts, op6_lines, op7_token_files, op8_pack, op9_secrets, op10_ctph, pipeline)
+    own = (op1_quality, op2_near_vectors, op3_mix, op4_simhash, op5_token_counts, op6_lines, op7_token_files, op8_pack, op9_secrets, op10_ctph, op11_best_fit, op12_alignment, op13_runs, pipeline)
     return {f.__name__: f for f in own}
 
 

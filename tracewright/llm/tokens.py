@@ -1,4 +1,4 @@
-"""Token ids of public BPE vocabularies, by the tokenizers library.
+"""Token ids of public BPE vocabularies, by the tokenizers and sentencepiece libraries.
 
 The library's whole encode() runs at about 1.4 MB a second and core, most of it spent on words seen before. So texts are split
 here, and the library's BPE model is asked once for each word; a process remembers the answers (a bounded memory: beyond it the
@@ -13,6 +13,7 @@ import json
 import re
 
 import numpy as np
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 #: The pieces of byte-level BPE with Python's re, on plain characters only.
@@ -22,6 +23,10 @@ WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: A character on which the library's splitting, lower-casing or normalising isn't taken for granted.
 NOT_PLAIN = re.compile("[^\t-\r\x20-\x7e\xc0-\xffĀ-įı-ňŊ-ž–—‘’“”…€]")
 WORD_END = "</w>"
+#: How sentencepiece writes a blank; the parts of a text that merges don't leave; pieces that would cross such parts.
+BLANK = "\u2581"
+PARTS = re.compile(r" *(?:[^\w ]|[\d_])*[^\W\d_]+| *(?:[^\w ]|[\d_])+| +")
+CROSSED = re.compile(rf"[^\W\d_](?:[\W\d_])|[^{BLANK}]{BLANK}")
 #: Words whose ids a process remembers.
 REMEMBERED = 500_000
 
@@ -48,13 +53,14 @@ class Remembered(dict):
 
 
 class Encoder:
-    """ids(text) are the ids of tokenizers' encode(text, add_special_tokens=False), little-endian unsigned 32-bit."""
+    """ids(text) are the ids of tokenizers' encode(text, add_special_tokens=False), little-endian unsigned 32-bit. plain_specials: special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain_specials
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.special = [] if plain_specials else [x["content"] for x in spec["added_tokens"]]
         end = spec["model"].get("end_of_word_suffix")
         if end not in (None, WORD_END):
             raise ValueError(f"unknown word end {end!r}")
@@ -66,6 +72,14 @@ class Encoder:
 
         self.known = Remembered(merged)
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes that each id of a byte-level vocabulary stands for; an added token's string as it is."""
+        letters, names = byte_letters(), self.library.get_vocab(with_added_tokens=True)
+        out = [b""] * (max(names.values()) + 1)
+        for token, i in names.items():
+            out[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        return out
+
     def plain(self, text: str) -> bool:
         return NOT_PLAIN.search(text) is None and not any(s in text for s in self.special)
 
@@ -77,6 +91,49 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
     """One encoder a process and vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, plain_specials)
+
+
+class PieceEncoder:
+    """ids(text) are the ids of sentencepiece's encode(text), little-endian unsigned 32-bit.
+
+    Merges never make a piece that the vocabulary lacks. Where its pieces hold no letter before another sign, and nothing before a
+    blank, merges never cross such places, so a text is cut there and the library asked once for each part. That is looked up in
+    the vocabulary first; a vocabulary that breaks it, or that rewrites texts, has every text encoded whole, as have texts
+    with characters that aren't plain.
+    """
+
+    def __init__(self, path: str):
+        self.library = SentencePieceProcessor(model_file=path)
+        size = self.library.get_piece_size()
+        self.pieces = [self.library.id_to_piece(i) for i in range(size)]
+        ordinary = [p for i, p in enumerate(self.pieces) if not (self.library.is_byte(i) or self.library.is_control(i) or self.library.is_unknown(i))]
+        self.cuts = not any(CROSSED.search(p) for p in ordinary if not NOT_PLAIN.search(p.replace(BLANK, ""))) and self._rewrites_nothing()
+        self.blank = np.array([self.library.piece_to_id(BLANK)], dtype="<u4").tobytes()
+        self.known = Remembered(self._part)
+
+    def _rewrites_nothing(self) -> bool:
+        return self.library.normalize("a  b\nÀ ") == f"{BLANK}a{BLANK}{BLANK}b\nÀ{BLANK}" and len(self.library.encode("\n\n")) == 3
+
+    def _part(self, part: str) -> bytes:
+        if part == " ":
+            return self.blank
+        ids = self.library.encode(part[1:]) if part[0] == " " else self.library.encode("\n" + part)[2:]  # a blank and the line end come first
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def ids(self, text: str) -> np.ndarray:
+        if not text or not self.cuts or NOT_PLAIN.search(text):
+            return np.array(self.library.encode(text), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, PARTS.findall(" " + text))), dtype="<u4")
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes that each id stands for."""
+        return [bytes([int(p[3:-1], 16)]) if self.library.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
+
+
+@functools.lru_cache(maxsize=4)
+def piece_encoder(path: str) -> PieceEncoder:
+    """One encoder a process and model file."""
+    return PieceEncoder(path)
