@@ -15,13 +15,14 @@ Tiles of longer texts are dealt out to all tasks.
 from __future__ import annotations
 
 import collections
+import hashlib
 import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -148,20 +149,28 @@ def tiles(ids: np.ndarray, words: int) -> Iterator[tuple[int, int, np.ndarray]]:
 FRAGMENTS = "array<struct<period:int,start:long,end:long>>"
 
 
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("period", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
-        words = [WORD.findall(t) for t in batch.column(2).to_pylist()]
-        found, first = [], 0
-        while first < len(words):
-            last, held = first, 0
-            while last < len(words) and (last == first or held + len(words[last]) <= TOGETHER):
-                held, last = held + len(words[last]), last + 1
-            found += solved(words[first:last])
-            first = last
-        texts = [" ".join(w) for w in words]
-        made = pa.array([[{"period": p, "start": s, "end": e} for p, s, e in f] for f in found], kind)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, words), pa.int64()), pa.array(texts, pa.string()), made], names=["key", "doc_id", "n", "text", "found"])
+def _first(whole: int):
+    def solving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("period", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            words = [WORD.findall(t) if len(t) <= whole else [] for t in texts]
+            found, first = [], 0
+            while first < len(words):
+                last, held = first, 0
+                while last < len(words) and (last == first or held + len(words[last]) <= TOGETHER):
+                    held, last = held + len(words[last]), last + 1
+                found += solved(words[first:last])
+                first = last
+            keys, out, made = [], [], []
+            for text, w, f in zip(texts, words, found, strict=True):
+                is_long = len(text) > whole
+                keys.append(hashlib.md5(text.encode()).hexdigest() if f or is_long else None)
+                out.append(text if f or is_long else " ".join(w))
+                made.append(None if is_long else [{"period": p, "start": s, "end": e} for p, s, e in f])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), batch.column(0), pa.array(out, pa.string()), pa.array(made, kind)], names=["key", "doc_id", "text", "found"])
+
+    return solving
 
 
 def _exploder(words: int):
@@ -210,7 +219,7 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     change[r["start"] + r["length"]] -= 1
                 words = itertools.compress(words, (np.cumsum(change)[:-1] == 0).tolist())
             texts.append(" ".join(words))
-        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "n", "runs", "collapsed"])
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "runs", "collapsed"])
 
 
 def periodic_runs(docs: DataFrame, whole: int = WHOLE_CHARS, tile: int = TILE_WORDS) -> DataFrame:
@@ -222,10 +231,11 @@ def periodic_runs(docs: DataFrame, whole: int = WHOLE_CHARS, tile: int = TILE_WO
     table gives an empty result. A document is known by the digest of its text, as equal texts have equal runs.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.md5(F.coalesce(named("text"), F.lit(""))).alias("key"), named("doc_id").alias("doc_id"), F.coalesce(named("text"), F.lit("")).alias("text"))
+    rows = docs.select(named("doc_id").alias("doc_id"), F.coalesce(named("text"), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    few, many = rows.filter(F.length("text") <= whole), rows.filter(F.length("text") > whole)
-    short = cut(few.mapInArrow(_short, f"key string, doc_id {kind}, n long, text string, found {FRAGMENTS}"), "short")
+    # one pass: finished texts as they are kept; texts with fragments, and long ones (no fragments yet), whole and with a key
+    table = cut(rows.mapInArrow(_first(whole), f"key string, doc_id {kind}, text string, found {FRAGMENTS}"), "texts")
+    short, many = table.filter("found is not null"), table.filter("found is null")
     dealt = many.select("key", "text").mapInArrow(_exploder(tile), "key string, octave int, first long, ids binary").repartition("key", "octave", "first")
     long_found = dealt.mapInArrow(_solver, "key string, period int, start long, end long")
     found = short.filter(F.size("found") > 0).select("key", F.explode("found").alias("f")).select("key", "f.period", "f.start", "f.end")
@@ -233,9 +243,9 @@ def periodic_runs(docs: DataFrame, whole: int = WHOLE_CHARS, tile: int = TILE_WO
     runs = runs.select("key", F.transform("found", lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length"), r["period"].alias("period"))).alias("runs"))
     run_type = "array<struct<start:long,length:long,period:long>>"
     none = F.array().cast(run_type)
-    open_ = short.filter(F.size("found") > 0).select("key", "doc_id", "text").unionByName(many)
-    ready = open_.join(runs, "key", "left").select("text", F.coalesce("runs", none).alias("runs"), "doc_id", F.lit(0).cast("long").alias("n"))
-    ended = ready.mapInArrow(_collapsed, f"doc_id {kind}, n long, runs {run_type}, collapsed string").drop("n")
+    open_ = short.filter(F.size("found") > 0).select("key", "doc_id", "text").unionByName(many.drop("found"))
+    ready = open_.join(runs, "key", "left").select("text", F.coalesce("runs", none).alias("runs"), "doc_id")
+    ended = ready.mapInArrow(_collapsed, f"doc_id {kind}, runs {run_type}, collapsed string")
     return short.filter(F.size("found") == 0).select("doc_id", none.alias("runs"), F.col("text").alias("collapsed")).unionByName(ended)
 
 
@@ -247,14 +257,18 @@ def with_repeats(docs: DataFrame) -> DataFrame:
     texts stay, as do those without doc_id.
     """
     h = F.crc32(named("doc_id").cast("string").cast("binary"))
-    rows = docs.select(named("doc_id").alias("doc_id"), named("text").alias("text"), F.floor(h / 10).alias("g"), F.coalesce(h % 10 == 0, F.lit(False)).alias("repeats"))
-    rows = rows.withColumn("words", F.when(F.col("repeats"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
-    rows = rows.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
-    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
-    turns = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
-    over = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), turns)), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
-    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), over), " ")
-    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.nullif(F.size(w), F.lit(0))
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        over = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(over, F.lit(1), n - a)), " "))
+
+    words = F.regexp_extract_all(named("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    changed = F.when(h % 10 == 0, F.get(F.transform(F.array(words), repeated), F.lit(0)))  # the lambda's variable keeps the words, found once
+    return docs.select(named("doc_id").alias("doc_id"), F.coalesce(changed, named("text")).alias("text"))
 
 
 def run_digests(found: DataFrame) -> DataFrame:
