@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import cut, named, prepare
-from .tokens import encoder, piece_encoder
+from .tokens import NOT_PLAIN, encoder, piece_encoder
 
 #: A block of documents is closed once it holds so many (document, id pair) entries, or documents.
 BLOCK_ENTRIES, BLOCK_DOCUMENTS = 1 << 21, 1 << 16
@@ -36,16 +36,32 @@ class Vocabularies:
         self.a, self.b = encoder(path_a, plain_specials=True), piece_encoder(path_b)
         self.bytes_a, self.bytes_b = self.a.token_bytes(), self.b.token_bytes()
         self.lengths_a, self.lengths_b = np.array([*map(len, self.bytes_a)]), np.array([*map(len, self.bytes_b)])
-        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
-
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both sides, or None where the text is empty or either side's bytes aren't the blank and the text."""
-        if not text:
-            return None
-        whole = (" " + text).encode()
-        a, b = self.a.ids(" " + text), self.b.ids(text)
-        same = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole == b"".join(map(self.bytes_b.__getitem__, b.tolist()))
-        return (a.astype(np.int64), b.astype(np.int64)) if same else None
+        size = max(len(self.bytes_a), len(self.bytes_b))
+        #: Ids as text, each followed by a comma, by the bar after a group's A side, and by the semicolon after a group.
+        self.size, self.names = size, [f"{i}{sign}" for sign in ",|;" for i in range(size)]
+
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both sides, or None where a text is empty or either side's bytes aren't the blank and the text."""
+        asked = [t for t in texts if t]
+        out = []
+        for text, a, b in zip(asked, self.a.batch([" " + t for t in asked]), self.b.batch(asked), strict=True):
+            whole = (" " + text).encode()
+            if self.b.cuts and not NOT_PLAIN.search(text):  # nothing rewrites these characters, so bytes can only be missing
+                same = self.lengths_a[a].sum() == len(whole) == self.lengths_b[b].sum()
+            else:
+                same = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole == b"".join(map(self.bytes_b.__getitem__, b.tolist()))
+            out.append((a.astype(np.int64), b.astype(np.int64)) if same else None)
+        found = iter(out)
+        return [next(found) if t else None for t in texts]
+
+    def said(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> str:
+        """The groups as `a1,a2|b1;a3|b2,b3`: every token has its place, its group's A side coming before the B side."""
+        which = np.empty(len(a) + len(b), np.int64)
+        which[np.arange(len(a)) + np.repeat(cuts_b[:-1], np.diff(cuts_a))] = a
+        which[np.arange(len(b)) + np.repeat(cuts_a[1:], np.diff(cuts_b))] = b
+        which[cuts_a[1:] + cuts_b[:-1] - 1] += self.size
+        which[cuts_a[1:] + cuts_b[1:] - 1] += 2 * self.size
+        return "".join(map(self.names.__getitem__, which.tolist()))[:-1]
 
 
 @functools.lru_cache(maxsize=2)
@@ -57,8 +73,9 @@ def groups_of(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray,
     """Where the groups begin in either id list, and the lists' ends last, from the byte lengths of the tokens."""
     at_a = dict(zip(np.cumsum(lengths_a).tolist(), range(1, len(lengths_a) + 1), strict=True))
     at_b = dict(zip(np.cumsum(lengths_b).tolist(), range(1, len(lengths_b) + 1), strict=True))
-    common = sorted(at_a.keys() & at_b.keys())
-    return np.array([0, *map(at_a.__getitem__, common)]), np.array([0, *map(at_b.__getitem__, common)])
+    common = sorted(filter(at_b.__contains__, at_a))
+    one, two = (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
+    return np.concatenate([[0], one]), np.concatenate([[0], two])
 
 
 def linked(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, size_b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,14 +107,6 @@ def linked(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray,
     return pairs, total
 
 
-def groups_text(a: list[str], b: list[str], cuts_a: list[int], cuts_b: list[int]) -> str:
-    """The groups as `a1,a2|b1;a3|b2,b3`."""
-    return ";".join(
-        f"{a[i]}|{b[k]}" if j - i == 1 == m - k else f"{','.join(a[i:j])}|{','.join(b[k:m])}"
-        for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False)
-    )
-
-
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups string"
 NUMBERS = pa.list_(pa.int64())
 
@@ -132,8 +141,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, digest: bool = False) ->
         for batch in batches:
             kind = batch.schema.field(0).type
             numbers, texts, pairs, links = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                tokens = v.tokens(text)
+            for tokens in v.tokens(batch.column(1).to_pylist()):
                 if tokens is None:
                     numbers.append((0, 0, 0, 0))
                     texts.append("")
@@ -143,8 +151,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, digest: bool = False) ->
                 a, b = tokens
                 cuts_a, cuts_b = groups_of(v.lengths_a[a], v.lengths_b[b])
                 key, n = linked(a, b, cuts_a, cuts_b, size_b)
-                name = v.names.__getitem__
-                said = groups_text([*map(name, a.tolist())], [*map(name, b.tolist())], cuts_a.tolist(), cuts_b.tolist())
+                said = v.said(a, b, cuts_a, cuts_b)
                 numbers.append((len(a), len(b), len(cuts_a) - 1, int(n.sum())))
                 texts.append(hashlib.sha256(said.encode()).hexdigest() if digest else said)
                 pairs.append(key)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections.abc import Callable
 
 import numpy as np
 from sentencepiece import SentencePieceProcessor
@@ -90,6 +91,28 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), dtype="<u4")
 
 
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """ids() of each text, the library asked at once for all the words that aren't known."""
+
+        def made(pieces: list[str]) -> list[bytes]:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+        split = WORD_PIECES if self.words else BYTE_PIECES
+        return _by_parts(texts, lambda t: split.findall(t.lower() if self.words else t) if self.plain(t) else None, self.known, made, self.ids)
+
+
+def _by_parts(texts: list[str], parts_of: Callable, known: Remembered, made: Callable, whole: Callable) -> list[np.ndarray]:
+    """Ids of texts from those of their parts (None: the text goes whole). Memory that would overflow is begun anew."""
+    parts = [parts_of(t) for t in texts]
+    used = set().union(*filter(None, parts))
+    fresh = [p for p in used if p not in known]
+    if len(known) + len(fresh) > REMEMBERED:
+        known.clear()
+        fresh = list(used)
+    known.update(zip(fresh, made(fresh), strict=True))
+    return [whole(t) if p is None else np.frombuffer(b"".join(map(known.__getitem__, p)), dtype="<u4") for t, p in zip(texts, parts, strict=True)]
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, plain_specials: bool = False) -> Encoder:
     """One encoder a process and vocabulary file."""
@@ -115,7 +138,8 @@ class PieceEncoder:
         self.known = Remembered(self._part)
 
     def _rewrites_nothing(self) -> bool:
-        return self.library.normalize("a  b\nÀ ") == f"{BLANK}a{BLANK}{BLANK}b\nÀ{BLANK}" and len(self.library.encode("\n\n")) == 3
+        plain = "".join(c for c in map(chr, range(1, 0x2100)) if not NOT_PLAIN.search(c)) + "a  b "
+        return self.library.normalize(plain) == BLANK + plain.replace(" ", BLANK) and len(self.library.encode("\n\n")) == 3
 
     def _part(self, part: str) -> bytes:
         if part == " ":
@@ -128,6 +152,16 @@ class PieceEncoder:
             return np.array(self.library.encode(text), dtype="<u4")
         return np.frombuffer(b"".join(map(self.known.__getitem__, PARTS.findall(" " + text))), dtype="<u4")
 
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """ids() of each text, the library asked at once for all the parts that aren't known."""
+
+        def made(parts: list[str]) -> list[bytes]:
+            led = [p[0] == " " for p in parts]
+            ids = self.library.encode([p[1:] if s else "\n" + p for p, s in zip(parts, led, strict=True)], num_threads=1)
+            return [self.blank if p == " " else np.array(x if s else x[2:], dtype="<u4").tobytes() for p, s, x in zip(parts, led, ids, strict=True)]
+
+        return _by_parts(texts, lambda t: PARTS.findall(" " + t) if t and self.cuts and not NOT_PLAIN.search(t) else None, self.known, made, self.ids)
+
     def token_bytes(self) -> list[bytes]:
         """The bytes that each id stands for."""
         return [bytes([int(p[3:-1], 16)]) if self.library.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
