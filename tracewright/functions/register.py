@@ -1,42 +1,28 @@
-"""Functions for SQL text: expressions as SQL functions, and table functions for lateral joins."""
+"""Functions for SQL text: expressions as SQL functions, and table functions for lateral joins, all of them SQL, so that they run in the JVM."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-
-
-@F.udtf(returnType="k int, x double, y double")
-class Densify:
-    """densify(x1, y1, x2, y2, step): equal steps of at most `step` from the first point, which is left out, to the second."""
-
-    def eval(self, x1: float, y1: float, x2: float, y2: float, step: float) -> Iterator[tuple[int, float, float]]:
-        length = ((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5
-        n = max(1, -int(-length // step)) if length > 0.001 else 1
-        for k in range(1, n + 1):
-            yield k, x1 + (x2 - x1) * k / n, y1 + (y2 - y1) * k / n
-
-
-@F.udtf(returnType="k int, ix int, iy int")
-class GridLine:
-    """grid_line(x0, y0, x1, y1): the cells of a straight line between two cells."""
 
-    def eval(self, x0: int, y0: int, x1: int, y1: int) -> Iterator[tuple[int, int, int]]:
-        dx, dy = abs(x1 - x0), abs(y1 - y0)
-        major, minor = max(dx, dy), min(dx, dy)
-        sx, sy = (1 if x1 > x0 else -1), (1 if y1 > y0 else -1)
-        for k in range(major + 1):
-            m = max(0, -((major - 2 * k * minor) // (2 * major))) if major else 0
-            yield (k, x0 + sx * k, y0 + sy * m) if dx > dy else (k, x0 + sx * m, y0 + sy * k)
+#: Equal steps of at most `step` from the first point, which is left out, to the second.
+DENSIFY = """densify(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, step DOUBLE) RETURNS TABLE (k INT, x DOUBLE, y DOUBLE) RETURN
+SELECT k, x1 + (x2 - x1) * k / n, y1 + (y2 - y1) * k / n
+FROM (SELECT CASE WHEN l > 0.001 THEN greatest(1, CAST(ceil(l / step) AS INT)) ELSE 1 END AS n FROM (SELECT sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS l)),
+LATERAL explode(sequence(1, n)) AS e(k)"""
+#: The cells of a straight line between two cells.
+GRID_LINE = """grid_line(x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT) RETURNS TABLE (k BIGINT, ix BIGINT, iy BIGINT) RETURN
+SELECT k, x0 + sx * CASE WHEN flat THEN k ELSE m END, y0 + sy * CASE WHEN flat THEN m ELSE k END
+FROM (SELECT k, flat, sx, sy, CASE WHEN major = 0 THEN 0 ELSE greatest(0, CAST(ceil((2 * k * minor - major) / (2 * major)) AS BIGINT)) END AS m
+  FROM (SELECT greatest(abs(x1 - x0), abs(y1 - y0)) AS major, least(abs(x1 - x0), abs(y1 - y0)) AS minor, abs(x1 - x0) > abs(y1 - y0) AS flat,
+    CASE WHEN x1 > x0 THEN 1 ELSE -1 END AS sx, CASE WHEN y1 > y0 THEN 1 ELSE -1 END AS sy),
+  LATERAL explode(sequence(0L, major)) AS e(k))"""
 
 
 def register(spark: SparkSession) -> None:
     """Makes densify, grid_line, haversine_m, render_feature_id and seg_len known to spark.sql."""
-    spark.udtf.register("densify", Densify)
-    spark.udtf.register("grid_line", GridLine)
     make = "CREATE OR REPLACE TEMPORARY FUNCTION "
+    spark.sql(make + DENSIFY)
+    spark.sql(make + GRID_LINE)
     spark.sql(make + "seg_len(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE) RETURNS DOUBLE RETURN sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))")
     spark.sql(make + "haversine_m(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS DOUBLE RETURN 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(c - a) / 2), 2) + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2))))")
     spark.sql(make + "render_feature_id(base BIGINT, seg INT) RETURNS STRING RETURN CASE WHEN seg IS NULL THEN CAST(base AS STRING) ELSE concat(base, ':', seg) END")

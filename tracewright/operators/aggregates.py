@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..components import components
 from ..functions import geometry as G
 from ..tables import cut
+from .chains import merge_way_chains  # noqa: F401
 from .classify import subtype
 
 
@@ -118,44 +119,6 @@ def dedupe_nodes(nodes: DataFrame, order: str = "ord", by: tuple[str, ...] = ())
     return nodes.withColumn("rn", F.row_number().over(W.partitionBy(*by, "node_id").orderBy(order))).filter("rn = 1").drop("rn")
 
 
-def merge_way_chains(members: DataFrame) -> DataFrame:
-    """Rings of a relation's outer ways. members: rel_id, ord, way_id, nodes (array). Returns rel_id, new_id (-1, -2, ...), members, nodes, closed.
-
-    Open members are chained at shared end nodes; at a branch the member of the smallest ord goes on, forward first, then backward;
-    closed members pass as they are. Relations are independent, and one relation's members are one small group, so each is
-    assembled by a task on its own.
-    """
-    schema = "rel_id long, new_id long, members array<long>, nodes array<long>, closed boolean"
-
-    def assemble(part):
-        import pandas as pd
-
-        todo = [(int(w), [int(x) for x in n]) for w, n in zip(part.sort_values("ord")["way_id"], part.sort_values("ord")["nodes"], strict=True) if len(n)]
-        out = [([w], n) for w, n in todo if n[0] == n[-1] and len(n) > 1]
-        todo = [(w, n) for w, n in todo if not (n[0] == n[-1] and len(n) > 1)]
-        while todo:
-            w, chain = todo.pop(0)
-            used = [w]
-            for forward in (True, False):
-                while chain[0] != chain[-1]:
-                    end = chain[-1] if forward else chain[0]
-                    at = next((i for i, (_, n) in enumerate(todo) if end in (n[0], n[-1])), None)
-                    if at is None:
-                        break
-                    w, n = todo.pop(at)
-                    if forward:
-                        used.append(w)
-                        chain = chain + (n if n[0] == end else n[::-1])[1:]
-                    else:
-                        used.insert(0, w)
-                        chain = (n if n[-1] == end else n[::-1])[:-1] + chain
-            out.append((used, chain))
-        rel = int(part["rel_id"].iloc[0])
-        return pd.DataFrame({"rel_id": [rel] * len(out), "new_id": [-1 - i for i in range(len(out))], "members": [u for u, _ in out], "nodes": [c for _, c in out], "closed": [c[0] == c[-1] and len(c) > 1 for _, c in out]})
-
-    return members.select("rel_id", "ord", "way_id", "nodes").groupBy("rel_id").applyInPandas(assemble, schema)
-
-
 def map_bounds(waypoints: DataFrame, margin: float = 150.0, by: tuple[str, ...] = ("map_id",)) -> DataFrame:
     """The bounding box of each map's waypoints (x, y), grown by the margin."""
     return waypoints.groupBy(*by).agg((F.min("x") - margin).alias("min_x"), (F.min("y") - margin).alias("min_y"), (F.max("x") + margin).alias("max_x"), (F.max("y") + margin).alias("max_y"))

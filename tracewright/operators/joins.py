@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..tables import cut
+from ..tables import cut, new_path
 
 
 def resolve_way_geometry(way_nodes: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -65,19 +65,50 @@ def one_a_position(ref: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
     return ref.groupBy("x", "y").agg(F.min(F.struct("ref_id", *payload)).alias("r")).select("r.*", "x", "y")
 
 
+def micro(d: Column) -> Column:
+    """A distance in whole micrometres: what decides which of several is nearest, so that rounding errors decide no ties."""
+    return F.round(d, 6)
+
+
 def nearest_within(points: DataFrame, ref: DataFrame, reach: float, payload: tuple[str, ...] = ()) -> DataFrame:
     """points (point_id, x, y) with dist and cost = dist / reach to the nearest of ref (ref_id, x, y, payload) closer than reach; others go.
 
-    ref, one row a position, is dealt to 3 x 3 cells of size reach; ties go to the smaller ref_id.
+    ref, one row a position, is dealt to 3 x 3 cells of size reach; ties (to the micrometre) go to the smaller ref_id.
     """
     p = points.withColumn("cx", cell_of(F.col("x"), reach)).withColumn("cy", cell_of(F.col("y"), reach))
     r = one_a_position(ref, payload).select("ref_id", F.col("x").alias("rx"), F.col("y").alias("ry"), *payload, F.explode(around(reach)).alias("c"))
     r = r.select("ref_id", "rx", "ry", *payload, F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
     d = G.dist(F.col("x"), F.col("y"), F.col("rx"), F.col("ry"))
-    met = p.join(r, ["cx", "cy"]).withColumn("dist", d).filter(F.col("dist") < reach)
-    best = F.min(F.struct("dist", "ref_id", *payload)).alias("best")
+    met = p.join(r, ["cx", "cy"]).withColumn("dist", d).filter(micro(F.col("dist")) < reach)
+    best = F.min(F.struct(micro(F.col("dist")).alias("near"), "ref_id", *payload, "dist")).alias("best")
     near = met.groupBy("point_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), best)
-    return near.select("point_id", "x", "y", "best.*").withColumn("cost", F.col("dist") / reach)
+    return near.select("point_id", "x", "y", "best.dist", "best.ref_id", *(f"best.{c}" for c in payload)).withColumn("cost", F.col("dist") / reach)
+
+
+def nearest_steps(points: DataFrame, segments: DataFrame, reach: float, step: float, payload: tuple[str, ...] = ()) -> DataFrame:
+    """nearest_within() of the points that densify_ways() would put along the segments (way_id, seg, x1 .. y2, payload), without making them.
+
+    ref_id is (way_id, seg, k). A segment's nearest step follows from where the point is projected on it: one of the two about that
+    place. So segments are dealt to cells, and a point meets a segment near it once, however fine the steps.
+    """
+    size, at = 4 * reach, [F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]
+    n = F.when(F.col("length") <= 0.001, 1).otherwise(F.ceil(F.col("length") / step)).cast("int")
+    s = segments.withColumn("length", G.dist(*at[2:])).withColumn("n", n).select("way_id", "seg", "x1", "y1", "x2", "y2", "n", *payload)
+    p = points.filter(finite("x", "y")).select("point_id", "x", "y", cell_of(F.col("x"), size).alias("cx"), cell_of(F.col("y"), size).alias("cy"))
+    met = p.join(segment_cells(s, size, reach), ["cx", "cy"])
+    for v in "xy":
+        met = met.filter(f"{v} between least({v}1, {v}2) - {reach} and greatest({v}1, {v}2) + {reach}")
+    met = met.withColumn("place", G.project_on_segment(*at) * F.col("n")).withColumn("least_k", F.when(F.col("seg") == 0, 0).otherwise(1))
+    for name, k in (("low", F.floor("place")), ("high", F.ceil("place"))):
+        met = met.withColumn(f"{name}_k", F.least(F.greatest(k.cast("int"), F.col("least_k")), F.col("n")))
+        t = F.col(f"{name}_k") / F.col("n")
+        met = met.withColumn(name, G.dist(at[0], at[1], G.interpolate(at[2], at[4], t), G.interpolate(at[3], at[5], t)))
+    later = micro(F.col("high")) < micro(F.col("low"))
+    met = met.withColumn("dist", F.when(later, F.col("high")).otherwise(F.col("low"))).withColumn("k", F.when(later, F.col("high_k")).otherwise(F.col("low_k")))
+    best = F.min(F.struct(micro(F.col("dist")).alias("near"), "way_id", "seg", "k", *payload, "dist")).alias("best")
+    near = met.filter(micro(F.col("dist")) < reach).groupBy("point_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), best)
+    ref = F.struct("best.way_id", "best.seg", "best.k").alias("ref_id")
+    return near.select("point_id", "x", "y", "best.dist", ref, *(f"best.{c}" for c in payload)).withColumn("cost", F.col("dist") / reach)
 
 
 #: Metres by which cells are dealt too widely, so that rounding loses none.
@@ -106,7 +137,7 @@ def segment_cells(segments: DataFrame, size: float, margin: Column | float = 0.0
 
 
 def snap_to_edge(points: DataFrame, segments: DataFrame, size: float = 25.0, rounds: int = 64) -> DataFrame:
-    """points (point_id, x, y) with the nearest segment's way_id, seg, the projected px, py and dist; ties to the smaller way and segment.
+    """points (point_id, x, y) with the nearest segment's way_id, seg, the projected px, py and dist; ties (to the micrometre) to the smaller way and segment.
 
     Cells double in size until every point has a segment within reach; a point found at distance d in a pass of reach r >= d is
     settled, the rest go on. A point without finite coordinates gets no row, nor does any without segments that have them. Points
@@ -120,8 +151,9 @@ def snap_to_edge(points: DataFrame, segments: DataFrame, size: float = 25.0, rou
         met = p.join(segment_cells(segments, reach), ["cx", "cy"])
         t = G.project_on_segment(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
         met = met.withColumn("px", G.interpolate(F.col("x1"), F.col("x2"), t)).withColumn("py", G.interpolate(F.col("y1"), F.col("y2"), t))
-        met = met.withColumn("dist", G.dist(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(F.col("dist") <= reach)
-        near = met.groupBy("point_id").agg(F.min(F.struct("dist", "way_id", "seg", "px", "py")).alias("n")).select("point_id", "n.*")
+        met = met.withColumn("dist", G.dist(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(micro(F.col("dist")) <= reach)
+        best = F.min(F.struct(micro(F.col("dist")).alias("near"), "way_id", "seg", "px", "py", "dist")).alias("n")
+        near = met.groupBy("point_id").agg(best).select("point_id", "n.dist", "n.way_id", "n.seg", "n.px", "n.py")
         found = cut(points.select("point_id", "x", "y").join(near, "point_id"), "snapped")
         done = found if done is None else done.unionByName(found)
         left = cut(left.join(found.select("point_id"), "point_id", "left_anti"), "unsnapped")
@@ -131,14 +163,14 @@ def snap_to_edge(points: DataFrame, segments: DataFrame, size: float = 25.0, rou
 
 
 def endpoint_edge_join(endpoints: DataFrame, segments: DataFrame, reach: float = 5.0) -> DataFrame:
-    """endpoints (way_id, pos, x, y) of drawn ways with the nearest segment of another way within reach: to_way, seg, px, py, dist, t."""
+    """endpoints (way_id, pos, x, y) of drawn ways with the nearest segment of another way within reach: to_way, seg, px, py, dist, t. Ties (to the micrometre) go to the smaller way and segment."""
     p = endpoints.select(F.col("way_id").alias("own"), "pos", "x", "y", F.explode(around(reach)).alias("c")).select("own", "pos", "x", "y", "c.cx", "c.cy")
     met = p.join(segment_cells(segments, reach), ["cx", "cy"]).filter("own <> way_id")
     met = met.withColumn("t", G.project_on_segment(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))))
     met = met.withColumn("px", G.interpolate(F.col("x1"), F.col("x2"), F.col("t"))).withColumn("py", G.interpolate(F.col("y1"), F.col("y2"), F.col("t")))
-    met = met.withColumn("dist", G.dist(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(F.col("dist") <= reach)
-    best = F.min(F.struct("dist", F.col("way_id").alias("to_way"), "seg", "px", "py", "t")).alias("n")
-    return met.groupBy(F.col("own").alias("way_id"), "pos").agg(best).select("way_id", "pos", "n.*")
+    met = met.withColumn("dist", G.dist(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(micro(F.col("dist")) <= reach)
+    best = F.min(F.struct(micro(F.col("dist")).alias("near"), F.col("way_id").alias("to_way"), "seg", "px", "py", "t", "dist")).alias("n")
+    return met.groupBy(F.col("own").alias("way_id"), "pos").agg(best).select("way_id", "pos", "n.dist", "n.to_way", "n.seg", "n.px", "n.py", "n.t")
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
@@ -159,6 +191,54 @@ def area_boxes(rings: DataFrame, size: float) -> DataFrame:
     return b.withColumn("level", level).withColumn("row", F.greatest(F.lit(size), high / ROWS))
 
 
+def crossing_x(y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Where the edge meets the height y; null where it doesn't: an edge holds its lower end and not its upper one."""
+    return F.when((y1 > y) != (y2 > y), (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
+
+
+def row_spans(crossings: DataFrame) -> DataFrame:
+    """area_id, y, low, high: the stretches low <= x < high of each row inside an area, from its crossings (area_id, ring, y, x).
+
+    In a row the crossings of a ring, in order, open and close it by turns (even-odd rule). Inside is where the outer ring (0) is open and
+    no hole is.
+    """
+    rows = crossings.repartition("area_id", "y")  # both windows go by this one shuffle
+    turn = F.row_number().over(W.partitionBy("area_id", "ring", "y").orderBy("x")) % 2 * 2 - 1
+    by = W.partitionBy("area_id", "y").orderBy("x")
+    upto = by.rowsBetween(W.unboundedPreceding, 0)
+    outer = F.sum(F.when(F.col("ring") == 0, F.col("turn")).otherwise(0)).over(upto)
+    holes = F.sum(F.when(F.col("ring") == 0, 0).otherwise(F.col("turn"))).over(upto)
+    swept = rows.withColumn("turn", turn).select("area_id", "y", F.col("x").alias("low"), F.lead("x").over(by).alias("high"), outer.alias("outer"), holes.alias("holes"))
+    return swept.filter("outer = 1 and holes = 0 and low < high").select("area_id", "y", "low", "high")
+
+
+def positions_inside(at: DataFrame, rings: DataFrame, tile: float = 64.0) -> DataFrame:
+    """x, y of the rows of at that lie inside any area, holes left out, row of positions by row.
+
+    The different heights y in a tile's width are rows. A row meets the areas whose bounds it crosses (by cells whose size goes with the area's), the
+    edges of an area it meets are found by height, and their crossings make spans. Positions then ask only whether a span of their row
+    and tile holds them, so no position meets an edge. Coordinates that are no finite numbers are in nothing and bound nothing.
+    """
+    boxes = area_boxes(rings, tile)
+    levels = sorted(r.level for r in boxes.select("level").distinct().collect())  # doublings of a size: some tens at most
+    p = at.filter(finite("x", "y")).select("x", "y", cell_of(F.col("x"), tile).alias("tx"))
+    rows = p.select("tx", "y").distinct().withColumn("level", F.explode(F.array(*(F.lit(k) for k in levels or [0]))))
+    own = F.lit(tile) * F.pow(F.lit(2.0), F.col("level"))
+    rows = rows.withColumns({"cx": F.floor(F.col("tx") * tile / own).cast("long"), "cy": F.floor(F.col("y") / own).cast("long")})
+    span = lambda c: F.sequence(F.floor(F.col(c + "1") / own).cast("long"), F.floor(F.col(c + "2") / own).cast("long"))
+    cells = boxes.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    wanted = rows.join(cells, ["level", "cx", "cy"]).filter(f"y >= y1 and y <= y2 and tx * {tile} <= x2 and (tx + 1) * {tile} > x1")
+    wanted = wanted.select("area_id", "y", F.floor(F.col("y") / F.col("row")).cast("long").alias("band")).distinct()
+    e = ring_edges(rings).filter(finite("x1", "y1", "x2", "y2")).filter("y1 <> y2").join(boxes.select("area_id", "row"), "area_id")
+    e = e.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / F.col("row")).cast("long"), F.floor(F.greatest("y1", "y2") / F.col("row")).cast("long")))).drop("row")
+    x = crossing_x(*(F.col(c) for c in ("y", "x1", "y1", "x2", "y2")))
+    spans = row_spans(wanted.join(e, ["area_id", "band"]).select("area_id", "ring", "y", x.alias("x")).filter("x is not null"))
+    pieces = spans.select("y", "low", "high", F.explode(F.sequence(cell_of(F.col("low"), tile), cell_of(F.col("high"), tile))).alias("tx"))
+    a, b = p.alias("a"), pieces.alias("b")
+    held = (F.col("a.tx") == F.col("b.tx")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.x") >= F.col("b.low")) & (F.col("a.x") < F.col("b.high"))
+    return a.join(b, held, "left_semi").select("x", "y")
+
+
 def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 10.0) -> DataFrame:
     """point_id, area_id of points (point_id, x, y) inside areas: inside the outer ring (0) and in none of the holes (1, 2, ...).
 
@@ -259,25 +339,37 @@ def segment_cost(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...], weig
     return met.select(*keys, F.coalesce("avg_cost", F.lit(0.0)).alias("avg_cost"), blocked.alias("blocked"), F.when(~blocked, F.col("length") * (1 + weight * F.coalesce("avg_cost", F.lit(0.0)))).alias("cost"))
 
 
-def line_of_sight_prune(paths: DataFrame, cells: DataFrame, threshold: float = 1.0) -> DataFrame:
+#: Later points that are tried from a kept point at first, from the far end on; each try that finds none takes twice as many.
+LOOK = 32
+
+
+def line_of_sight_prune(paths: DataFrame, cells: DataFrame, threshold: float = 1.0, look: int = LOOK) -> DataFrame:
     """paths (path_id, seq, ix, iy): from each kept point on to the farthest later point with a free line of cells, the next one at least.
 
-    Pairs are of one path only; the chase along the farthest links goes by a list carried through the path's points in order.
+    All paths go on at once. A round tries, for each path, a block of later points from its kept point on, the farthest first, until a
+    block holds a free one; that is kept and is where the path goes on. So a round has at most a block of lines a path; blocks double
+    while nothing is free. Kept points are appended to a table; a path that has come to its end leaves.
     """
-    a, b = paths.alias("a"), paths.alias("b")
-    pairs = a.join(b, (F.col("a.path_id") == F.col("b.path_id")) & (F.col("a.seq") < F.col("b.seq"))).select(
-        F.col("a.path_id").alias("path_id"), F.col("a.seq").alias("i"), F.col("b.seq").alias("j"), F.col("a.ix").alias("x0"), F.col("a.iy").alias("y0"), F.col("b.ix").alias("x1"), F.col("b.iy").alias("y1"))
-    free = segment_cost(pairs, cells, ("path_id", "i", "j"), 0.0, threshold).filter(~F.col("blocked") | (F.col("j") == F.col("i") + 1))
-    far = free.groupBy("path_id", "i").agg(F.max("j").alias("j"))
-    links = far.groupBy("path_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "j"))).alias("next"))
-    hops = paths.groupBy("path_id").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n")).join(links, "path_id", "left")
-
-    def go(kept: Column, _: Column) -> Column:
-        here = F.try_element_at(kept, F.lit(-1))
-        return F.when(here < F.col("last"), F.concat(kept, F.array(F.try_element_at("next", here)))).otherwise(kept)
-
-    kept = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.array("first"), go)
-    return paths.join(hops.select("path_id", F.explode(kept).alias("seq")), ["path_id", "seq"])
+    by = W.partitionBy("path_id").orderBy("seq")
+    rows = cut(paths.withColumns({"at": F.row_number().over(by).cast("long"), "last": F.count(F.lit(1)).over(W.partitionBy("path_id"))}), "points")
+    spark, out = rows.sparkSession, new_path(rows.sparkSession, "kept")
+    start = rows.filter("at = 1").select("path_id", F.col("at").alias("here"), "last", F.col("last").alias("upto"), F.lit(look).cast("long").alias("block"))
+    state = cut(start, "sight")
+    state.select("path_id", F.col("here").alias("at")).write.parquet(out)
+    state = state.filter("here < last")
+    while not state.isEmpty():
+        low = F.greatest(F.col("here") + 1, F.col("upto") - F.col("block") + 1)
+        here = state.join(rows.select("path_id", F.col("at").alias("here"), F.col("ix").alias("x0"), F.col("iy").alias("y0")), ["path_id", "here"]).withColumn("low", low)
+        lines = here.join(rows.select("path_id", "at", F.col("ix").alias("x1"), F.col("iy").alias("y1")), "path_id").filter("at >= low and at <= upto and at > here + 1")
+        free = segment_cost(lines.select("path_id", "at", "x0", "y0", "x1", "y1"), cells, ("path_id", "at"), 0.0, threshold).filter("not blocked")
+        found = free.groupBy("path_id").agg(F.max("at").alias("found"))
+        step = here.select("path_id", "here", "last", "upto", "block", "low").join(found, "path_id", "left")
+        to = F.coalesce("found", F.when(F.col("low") == F.col("here") + 1, F.col("low")))
+        step = cut(step.select("path_id", F.coalesce(to, "here").alias("here"), to.isNotNull().alias("moved"), "last", F.when(to.isNotNull(), F.col("last")).otherwise(F.col("low") - 1).alias("upto"), F.when(to.isNotNull(), F.lit(look).cast("long")).otherwise(2 * F.col("block")).alias("block")), "sight")
+        step.filter("moved").select("path_id", F.col("here").alias("at")).write.mode("append").parquet(out)
+        state = step.filter("here < last").drop("moved")
+    kept = spark.read.schema(rows.select("path_id", "at").schema).parquet(out)
+    return rows.join(kept, ["path_id", "at"]).select(*paths.columns)
 
 
 def footways_near_junction(way_nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..tables import cut
-from .joins import nearest_within, points_in_polygons, points_near_segments
+from .joins import crossing_x, finite, nearest_steps, nearest_within, points_near_segments, positions_inside, ring_edges, row_spans
 
 #: Traversal costs by way kind and surface, and what holds where tags are missing or unknown.
 HIGHWAY_COSTS = {"pedestrian": 0.0, "footway": 0.0, "path": 0.1, "living_street": 0.1, "track": 0.3, "service": 0.3, "residential": 0.5, "unclassified": 0.5, "tertiary": 0.7, "secondary": 0.9, "primary": 1.0}
@@ -54,14 +54,26 @@ def unique_courses(segments: DataFrame, payload: tuple[str, ...] = ()) -> DataFr
     return least.select("s.*", "x1", "y1", "x2", "y2", G.dist(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))).alias("length"))
 
 
-def _way_costs(points: DataFrame, ref: DataFrame, reach: float) -> DataFrame:
-    near = nearest_within(points, ref, reach, ("way_cost",))
+#: Metres between the points along ways that costs refer to, at most.
+WAY_STEP = 0.25
+
+
+def _nearest(points: DataFrame, ref: DataFrame, reach: float, step: float, payload: tuple[str, ...] = ()) -> DataFrame:
+    """The nearest of ref: points (ref_id, x, y), or the steps of segments (way_id, seg, x1, y1, x2, y2)."""
+    return nearest_steps(points, ref, reach, step, payload) if "x1" in ref.columns else nearest_within(points, ref, reach, payload)
+
+
+def _way_costs(points: DataFrame, ref: DataFrame, reach: float, step: float) -> DataFrame:
+    near = _nearest(points, ref, reach, step, ("way_cost",))
     return near.withColumn("cost", G.blend_cost(F.col("way_cost"), OFF_PATH, F.col("dist"), reach))
 
 
-def nearest_way_cost(points: DataFrame, ref: DataFrame, reach: float = REACH) -> DataFrame:
-    """points (point_id, x, y) within reach of a way point (ref_id, x, y, way_cost): dist and the blended cost."""
-    near = _way_costs(positions(points), ref, reach).drop("x", "y").select("point_id.*", "dist", "ref_id", "way_cost", "cost")
+def nearest_way_cost(points: DataFrame, ref: DataFrame, reach: float = REACH, step: float = WAY_STEP) -> DataFrame:
+    """points (point_id, x, y) within reach of a way point: dist and the blended cost.
+
+    ref: way points (ref_id, x, y, way_cost), or segments (way_id, seg, x1, y1, x2, y2, way_cost) whose points lie `step` apart.
+    """
+    near = _way_costs(positions(points), ref, reach, step).drop("x", "y").select("point_id.*", "dist", "ref_id", "way_cost", "cost")
     return points.select("point_id", "x", "y").join(near, ["x", "y"]).select("point_id", "x", "y", "dist", "ref_id", "way_cost", "cost")
 
 
@@ -71,22 +83,22 @@ def positions(cells: DataFrame) -> DataFrame:
 
 
 def burn_obstacles(cells: DataFrame, rings: DataFrame) -> DataFrame:
-    """cells (point_id, x, y, ...) with blocked: inside any area, holes left out."""
-    inside = points_in_polygons(positions(cells), rings).select("point_id.*").distinct().withColumn("hit", F.lit(True))
+    """cells (point_id, x, y, ...) with blocked: inside any area, holes left out. Areas are filled row by row, once a position."""
+    inside = positions_inside(cells.select("x", "y").distinct(), rings).withColumn("hit", F.lit(True))
     return cells.join(inside, ["x", "y"], "left").select(*cells.columns, F.coalesce("hit", F.lit(False)).alias("blocked"))
 
 
-def cost_grid(cells: DataFrame, way_points: DataFrame, segments: DataFrame, rings: DataFrame, half_width: Column | float = 3.0, reach: float = REACH) -> DataFrame:
-    """cells (point_id, ix, iy, x, y) with cost and blocked.
+def cost_grid(cells: DataFrame, way_points: DataFrame, segments: DataFrame, rings: DataFrame, half_width: Column | float = 3.0, reach: float = REACH, step: float = WAY_STEP) -> DataFrame:
+    """cells (point_id, ix, iy, x, y) with cost and blocked. way_points: points or segments of ways with way_cost, as for nearest_way_cost().
 
     0.9 everywhere; 1 in areas away from ways by more than half_width (a number, or a column of segments, as roads are wider than
     footways); near a way the blend of its cost, if less; areas that no way covers are blocked with an infinite cost, which
     overrides the rest. All is worked out once a position, and then given to the cells there.
     """
     at = cut(positions(cells), "positions")
-    inside = cut(points_in_polygons(at, rings).select("point_id").distinct().select("point_id", "point_id.*"), "inside")
+    inside = cut(positions_inside(at, rings).select(F.struct("x", "y").alias("point_id"), "x", "y"), "inside")
     blocked = inside.join(points_near_segments(inside, segments, half_width), "point_id", "left_anti").select("point_id", F.lit(True).alias("blocked"))
-    near = _way_costs(at, way_points, reach).select("point_id", F.col("cost").alias("near_cost"))
+    near = _way_costs(at, way_points, reach, step).select("point_id", F.col("cost").alias("near_cost"))
     known = near.join(blocked, "point_id", "full").select("point_id.*", "near_cost", F.coalesce("blocked", F.lit(False)).alias("blocked"))
     rows = cells.join(known, ["x", "y"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
     cost = F.when(F.col("blocked"), float("inf")).otherwise(F.least(F.lit(OFF_PATH), F.coalesce("near_cost", F.lit(OFF_PATH))))
@@ -98,23 +110,23 @@ def world_to_cell(v: Column, low: float, size: float, count: int | None = None)
     return cell if count is None else F.least(F.greatest(cell, F.lit(0)), F.lit(count - 1))
 
 
-def near_way_cloud(cells: DataFrame, ref: DataFrame, reach: float = 1.0, mode: str = "linear") -> DataFrame:
-    """x, y, z = 0, cost of cells within reach of a way point."""
-    near = nearest_within(positions(cells), ref, reach).select("point_id.*", "dist")
+def near_way_cloud(cells: DataFrame, ref: DataFrame, reach: float = 1.0, mode: str = "linear", step: float = WAY_STEP) -> DataFrame:
+    """x, y, z = 0, cost of cells within reach of a way point; ref as for nearest_way_cost()."""
+    near = _nearest(positions(cells), ref, reach, step).select("point_id.*", "dist")
     rows = cells.select("point_id", "x", "y").join(near, ["x", "y"])
     return rows.select("point_id", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), F.lit(0.0).cast("float").alias("z"), G.neighbor_cost(F.col("dist"), reach, mode).cast("float").alias("cost"))
 
 
 def fill_area_points(rings: DataFrame, density: float = 2.0) -> DataFrame:
-    """area_id, x, y of the lattice points (multiples of 1 / density) inside each area."""
+    """area_id, x, y of the lattice points (multiples of 1 / density) inside each area, holes left out: each row's edge crossings, paired by the even-odd rule, make spans, and spans lattice points."""
     step = 1.0 / density
-    b = rings.groupBy("area_id").agg(*(f(c).alias(n) for f, c, n in ((F.min, "x", "x1"), (F.min, "y", "y1"), (F.max, "x", "x2"), (F.max, "y", "y2"))))
-    span = lambda low, high: F.sequence(F.ceil(F.col(low) / step).cast("long"), F.floor(F.col(high) / step).cast("long"))
-    b = b.filter(F.ceil(F.col("x1") / step) <= F.floor(F.col("x2") / step)).filter(F.ceil(F.col("y1") / step) <= F.floor(F.col("y2") / step))
-    grid = b.withColumn("i", F.explode(span("x1", "x2"))).withColumn("j", F.explode(span("y1", "y2")))
-    points = grid.select(F.struct("area_id", "i", "j").alias("point_id"), (F.col("i") * step).alias("x"), (F.col("j") * step).alias("y"))
-    inside = points_in_polygons(points, rings).filter("point_id.area_id = area_id")
-    return inside.select("area_id", (F.col("point_id.i") * step).alias("x"), (F.col("point_id.j") * step).alias("y"))
+    e = ring_edges(rings).filter(finite("x1", "y1", "x2", "y2")).filter("y1 <> y2")
+    rows = F.sequence(F.floor(F.least("y1", "y2") / step).cast("long"), F.ceil(F.greatest("y1", "y2") / step).cast("long"))
+    e = e.withColumn("j", F.explode(rows)).withColumn("y", F.col("j") * F.lit(step))
+    x = crossing_x(*(F.col(c) for c in ("y", "x1", "y1", "x2", "y2")))
+    spans = row_spans(e.select("area_id", "ring", "y", x.alias("x")).filter("x is not null"))
+    across = F.sequence(F.floor(F.col("low") / step).cast("long"), F.ceil(F.col("high") / step).cast("long"))
+    return spans.withColumn("i", F.explode(across)).withColumn("x", F.col("i") * F.lit(step)).filter("x >= low and x < high").select("area_id", "x", "y")
 
 
 def sample_outline(edges: DataFrame, density: float = 2.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..tables import cut
 from .joins import leg_collisions, snap_to_edge
+from .overlay import Overlay, position_cells
 from .sequences import drop_close_points, path_concat, simplify_paths, smooth_paths, splits_along_segment
 
 
@@ -41,24 +42,30 @@ HOPS = 3
 def _relaxed(state: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:
     """One round: HOPS steps of offers from the fresh nodes, then the best of old and new a node; fresh are those that the last step improved.
 
-    Offers that don't beat a search's way to its farthest goal, once all are reached, are dropped.
+    Offers that don't beat a search's way to its farthest goal, once all are reached, are dropped; along edges that are final (lead
+    to a goal), so are those to other searches' goals.
     """
     met = state.join(goals, ["source", "node"], "left_semi").groupBy("source").agg(F.count("*").alias("met"), F.max("dist").alias("bound"))
     wanted = goals.groupBy("source").agg(F.count("*").alias("wanted"))
     bounds = met.join(wanted, "source").filter("met = wanted").select("source", "bound")
+    final = ["final"] if "final" in edges.columns else []
     ahead, rows = state.filter("fresh").select("source", "node", "dist", "parent"), state.select("source", "node", "dist", "parent", F.lit(0).alias("hop"))
     for hop in range(1, HOPS + 1):
-        offers = ahead.join(edges, (F.col("node") == F.col("src")) & (F.col("parent") != F.col("dst"))).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent"))
+        offers = ahead.join(edges, (F.col("node") == F.col("src")) & (F.col("parent") != F.col("dst"))).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent"), *final)
+        if final:
+            offers = offers.filter("not final").unionByName(offers.filter("final").join(goals, ["source", "node"], "left_semi")).drop("final")
         offers = offers.join(bounds, "source", "left").filter("bound is null or dist < bound").drop("bound")
         ahead = offers.groupBy("source", "node").agg(F.min(F.struct("dist", "parent")).alias("b")).select("source", "node", "b.dist", "b.parent")
         rows = rows.unionByName(ahead.withColumn("hop", F.lit(hop)))
-    best = rows.groupBy("source", "node").agg(F.min(F.struct("dist", "parent")).alias("b"), F.min(F.when(F.col("hop") < HOPS, F.col("dist"))).alias("before"))
+    # of equal offers the earliest stays: parents then never form a circle, steps without length included
+    best = rows.groupBy("source", "node").agg(F.min(F.struct("dist", "hop", "parent")).alias("b"), F.min(F.when(F.col("hop") < HOPS, F.col("dist"))).alias("before"))
     return best.select("source", "node", "b.dist", "b.parent", F.coalesce(F.col("b.dist") < F.col("before"), F.lit(True)).alias("fresh"))
 
 
 def _searched(edges: DataFrame, requests: DataFrame, most: int) -> DataFrame:
     """source, node, dist, parent of what the searches from the requests' different sources settled."""
-    best_edge = cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "edges")
+    final = [F.first("final").alias("final")] if "final" in edges.columns else []
+    best_edge = cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"), *final), "edges")
     goals = cut(requests.select(F.col("src").alias("source"), F.col("dst").alias("node")).distinct(), "goals")
     state = cut(goals.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.col("source").alias("parent"), F.lit(True).alias("fresh")).distinct(), "state")
     for _ in range(most):
@@ -77,30 +84,42 @@ def shortest_distances(edges: DataFrame, requests: DataFrame, most: int = 10_000
     return requests.select("req", F.col("src").alias("source")).join(_searched(edges, requests, most), "source").select("req", "node", "dist", "parent")
 
 
-def shortest_paths(edges: DataFrame, requests: DataFrame, most: int = 10_000) -> DataFrame:
-    """req, seq (from 0), node, dist along the shortest way of each request that has one; ties go to the smaller parent.
+def shortest_paths(edges: DataFrame, requests: DataFrame, most: int = 10_000, cells: DataFrame | None = None) -> DataFrame:
+    """req, seq (from 0), node, dist along the shortest way of each request that has one.
+
+    cells: node, cell (see overlay.position_cells); searches then go over the overlay of that partition, and any of several ways of
+    the same length is found. Without cells they go from node to node, and ties go to what is found first, then to the smaller parent.
+    """
+    return found_ways(edges, requests, most) if cells is None else Overlay(edges, cells).paths(requests, most)
+
+
+def found_ways(edges: DataFrame, requests: DataFrame, most: int = 10_000) -> DataFrame:
+    """shortest_paths() from node to node.
 
     The ways back from the goals are found by pointer doubling: round k adds, to the nodes known to be on the way, their ancestors
     2**k steps up, so rounds grow with the logarithm of the way's length. Ways are worked out once a pair of start and goal.
     """
     tree = cut(_searched(edges, requests, most), "tree")
     pairs = requests.select(F.col("src").alias("source"), F.col("dst").alias("goal")).distinct()
-    way = cut(pairs.withColumn("node", F.col("goal")).join(tree.select("source", "node"), ["source", "node"], "left_semi").select("source", "goal", "node"), "way")
-    up = tree.filter("node <> parent").select("source", "node", F.col("parent").alias("to"))
+    met = pairs.withColumn("node", F.col("goal")).join(tree.select("source", "node"), ["source", "node"], "left_semi")
+    way = cut(met.select("source", "goal", "node", F.lit(0).cast("long").alias("back")), "way")
+    up, steps = tree.filter("node <> parent").select("source", "node", F.col("parent").alias("to")), 1
     while not up.isEmpty():
-        way = cut(way.unionByName(way.join(up, ["source", "node"]).select("source", "goal", F.col("to").alias("node"))).distinct(), "way")
+        if steps > 1 << 40:
+            raise RuntimeError("parents go round in a circle")
+        way = cut(way.unionByName(way.join(up, ["source", "node"]).select("source", "goal", F.col("to").alias("node"), (F.col("back") + steps).alias("back"))), "way")
         above = up.select("source", F.col("node").alias("to"), F.col("to").alias("top"))
-        up = cut(up.join(above, ["source", "to"]).select("source", "node", F.col("top").alias("to")), "up")
+        up, steps = cut(up.join(above, ["source", "to"]).select("source", "node", F.col("top").alias("to")), "up"), 2 * steps
     placed = way.join(tree.select("source", "node", "dist"), ["source", "node"])
-    placed = placed.withColumn("seq", F.row_number().over(W.partitionBy("source", "goal").orderBy("dist")) - 1)
+    placed = placed.withColumn("seq", F.row_number().over(W.partitionBy("source", "goal").orderBy(F.col("back").desc())) - 1)
     return requests.select("req", F.col("src").alias("source"), F.col("dst").alias("goal")).join(placed, ["source", "goal"]).select("req", "seq", "node", "dist")
 
 
-def route_waypoints(paths: DataFrame, segments: DataFrame, nodes: DataFrame) -> DataFrame:
+def route_waypoints(paths: DataFrame, segments: DataFrame, nodes: DataFrame, cell_size: float = 40.0) -> DataFrame:
     """path_id, seq, x, y: each path's points routed along the ways, from point to its place on a way, along, and off to the next.
 
     Both ends of a leg get edges to the ends of the segment that they snap to; two on the same segment also a direct one. A path
-    with a leg that can't be routed goes whole.
+    with a leg that can't be routed goes whole. Searches go over an overlay of squares of cell_size and its doublings.
     """
     by_path = W.partitionBy("path_id").orderBy("seq")
     points = paths.select(F.struct("path_id", "seq").alias("point_id"), "x", "y")
@@ -117,8 +136,8 @@ def route_waypoints(paths: DataFrame, segments: DataFrame, nodes: DataFrame) ->
     edges = graph.unionByName(links).unionByName(direct)
     edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     requests = cut(legs.select(F.struct("path_id", "seq").alias("req"), F.col("name").alias("src"), F.col("name2").alias("dst")), "requests")
-    routed = shortest_paths(edges, requests)
     places = nodes.select(text("node_id").alias("node"), "x", "y").unionByName(s.select(F.col("name").alias("node"), F.col("px").alias("x"), F.col("py").alias("y")))
+    routed = cut(shortest_paths(edges, requests, cells=position_cells(places, cell_size)), "routed")
     inner = routed.join(places, "node").select("req.path_id", F.col("req.seq").alias("leg"), (F.col("seq") + 1).alias("pos"), "x", "y")
     ok = routed.select("req").distinct()
     lost = requests.join(ok, "req", "left_anti").select("req.path_id").distinct()
@@ -134,13 +153,27 @@ def raster_edges(cells: DataFrame, weight: float = 5.0) -> DataFrame:
     return out.join(free, ["ix", "iy"]).select("src", F.struct("ix", "iy").alias("dst"), (F.col("step") * (1 + weight * F.col("cost"))).alias("weight"))
 
 
-def least_cost_raster_paths(cells: DataFrame, requests: DataFrame, weight: float = 5.0) -> DataFrame:
-    """req, seq, ix, iy, dist of the cheapest ways between cells; requests: req, x0, y0, x1, y1. Ends off the grid or blocked give none."""
+#: Cells along a raster tile's side.
+TILE = 16
+
+
+def least_cost_raster_paths(cells: DataFrame, requests: DataFrame, weight: float = 5.0, simplify: bool = False, tile: int = TILE) -> DataFrame:
+    """req, seq, ix, iy, dist of the cheapest ways between cells; requests: req, x0, y0, x1, y1. Ends off the grid or blocked give none.
+
+    Searches go over tiles: cells along a tile's edges are its portals, and a search keeps portals only. simplify: ways of more than
+    two cells keep the cells that lie off their chords by more than half a cell.
+    """
     free = cells.filter(~F.col("blocked")).select("ix", "iy")
     wanted = requests.join(free.select(F.col("ix").alias("x0"), F.col("iy").alias("y0")), ["x0", "y0"], "left_semi").join(free.select(F.col("ix").alias("x1"), F.col("iy").alias("y1")), ["x1", "y1"], "left_semi")
     wanted = wanted.select("req", F.struct(F.col("x0").alias("ix"), F.col("y0").alias("iy")).alias("src"), F.struct(F.col("x1").alias("ix"), F.col("y1").alias("iy")).alias("dst"))
-    found = shortest_paths(raster_edges(cells, weight), wanted)
-    return found.select("req", "seq", "node.ix", "node.iy", "dist")
+    tiles = free.select(F.struct("ix", "iy").alias("node"), F.xxhash64(F.floor(F.col("ix") / tile), F.floor(F.col("iy") / tile)).alias("cell"))
+    found = shortest_paths(raster_edges(cells, weight), wanted, cells=tiles).select("req", "seq", "node.ix", "node.iy", "dist")
+    if not simplify:
+        return found
+    found = cut(found, "found")
+    thin = simplify_paths(found.select(F.col("req").alias("path_id"), "seq", F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y")), 0.5, renumber=False)
+    kept = found.join(thin.select(F.col("path_id").alias("req"), "seq"), ["req", "seq"])
+    return kept.withColumn("seq", F.row_number().over(W.partitionBy("req").orderBy("seq")) - 1).select("req", "seq", "ix", "iy", "dist")
 
 
 def replan_paths(paths: DataFrame, cells: DataFrame, rings: DataFrame, low: tuple[float, float], size: float, inflate: float = 0.25, simplify: bool = True, smooth: bool = False) -> DataFrame:

@@ -105,7 +105,7 @@ def path_length_m(paths: DataFrame) -> DataFrame:
 def smooth_paths(paths: DataFrame, rings: DataFrame | None = None, w_data: float = 0.5, w_smooth: float = 0.3, tol: float = 1e-3, inflate: float = 0.25, most: int = 200) -> DataFrame:
     """Relaxes interior points towards the path and their neighbours, ends fixed, until a sweep moves a path's points by less than tol in sum.
 
-    All paths sweep at once; each sweep is a table. With rings, a path whose new state meets an obstacle keeps its last free state.
+    All paths sweep at once; each sweep is a table; paths that still move after `most` sweeps are an error. With rings, a path whose new state meets an obstacle keeps its last free state.
     """
     from .joins import leg_collisions
 
@@ -129,44 +129,39 @@ def smooth_paths(paths: DataFrame, rings: DataFrame | None = None, w_data: float
         ok = F.coalesce(~F.col("bad"), F.lit(True))
         state = cut(step.select("path_id", "seq", F.when(ok, F.col("nx")).otherwise(F.col("x")).alias("x"), F.when(ok, F.col("ny")).otherwise(F.col("y")).alias("y"), "x0", "y0", (F.col("live") & ok & (F.col("change") >= tol)).alias("live")), "sweep")
         if state.filter("live").isEmpty():
+            return state.select("path_id", "seq", "x", "y")
+    raise RuntimeError(f"paths still move after {most} sweeps")
+
+
+def simplify_paths(paths: DataFrame, eps: float, renumber: bool = True) -> DataFrame:
+    """path_id, seq, x, y of the points that farthest-point simplification keeps: both ends, and wherever a stretch's farthest point lies off its chord by more than eps, that point, and so on to its sides.
+
+    All stretches of all paths go one level a round, as rows of points with the ends of their stretch, so a long path is no single
+    group; the farthest point is the first of several. Rounds go with the depth of the halving, and stretches that are done leave. A
+    point whose distance is no number is never the farthest. seq counts from 0 anew, unless renumber is off.
+    """
+    points = paths.select("path_id", F.col("seq").cast("int").alias("seq"), "x", "y")
+    ends = points.groupBy("path_id").agg(F.min(F.struct("seq", "x", "y")).alias("a"), F.max(F.struct("seq", "x", "y")).alias("b"))
+    kept = ends.select("path_id", F.explode(F.array("a", "b")).alias("p")).select("path_id", "p.seq").distinct()
+    live = points.join(ends, "path_id").filter("seq > a.seq and seq < b.seq")
+    while True:
+        d = G.point_segment_dist(F.col("x"), F.col("y"), F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
+        live = cut(live.select("path_id", "seq", "x", "y", "a", "b", F.when(d > eps, F.nanvl(d, F.lit(0.0))).otherwise(0.0).alias("d")), "stretches")
+        far = live.groupBy("path_id", F.col("a.seq").alias("from")).agg(F.max(F.struct("d", (-F.col("seq")).alias("back"), "x", "y")).alias("m"))
+        far = cut(far.filter(F.col("m.d") > eps).select("path_id", "from", F.struct((-F.col("m.back")).alias("seq"), "m.x", "m.y").alias("m")), "farthest")
+        if far.isEmpty():
             break
-    return state.select("path_id", "seq", "x", "y")
-
-
-def simplify_paths(paths: DataFrame, eps: float) -> DataFrame:
-    """Farthest-point simplification: points off the chord by more than eps stay, ends too. Paths are independent groups."""
-
-    def thin(part):
-        import numpy as np
-
-        part = part.sort_values("seq")
-        p = part[["x", "y"]].to_numpy()
-        keep = np.zeros(len(p), dtype=bool)
-        keep[[0, -1]] = True
-        todo = [(0, len(p) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            chord, rel = p[b] - p[a], p[a + 1 : b] - p[a]
-            square = float(chord @ chord)
-            t = np.clip(rel @ chord / square, 0, 1) if square else np.zeros(len(rel))
-            d = np.hypot(*(rel - t[:, None] * chord).T)
-            i = int(d.argmax())
-            if d[i] > eps:
-                m = a + 1 + i
-                keep[m] = True
-                todo += [(a, m), (m, b)]
-        out = part[keep].copy()
-        out["seq"] = range(len(out))
-        return out
-
-    return paths.select("path_id", F.col("seq").cast("int").alias("seq"), "x", "y").groupBy("path_id").applyInPandas(thin, paths.select("path_id", F.col("seq").cast("int").alias("seq"), "x", "y").schema)
+        kept = kept.unionByName(far.select("path_id", "m.seq"))
+        met = live.withColumn("from", F.col("a.seq")).join(far, ["path_id", "from"]).filter("seq <> m.seq")
+        before = F.col("seq") < F.col("m.seq")
+        live = met.select("path_id", "seq", "x", "y", F.when(before, F.col("a")).otherwise(F.col("m")).alias("a"), F.when(before, F.col("m")).otherwise(F.col("b")).alias("b"))
+    out = points.join(kept, ["path_id", "seq"])
+    return renumbered(out) if renumber else out.select("path_id", "seq", "x", "y")
 
 
 def splits_along_segment(junctions: DataFrame) -> DataFrame:
-    """junctions (way_id, seg, t, ...) with place: 1, 2, ... along the segment."""
-    return junctions.withColumn("place", F.row_number().over(W.partitionBy("way_id", "seg").orderBy("t", "dist")))
+    """junctions (way_id, seg, t, dist, ...) with place: 1, 2, ... along the segment; ties go by their other columns."""
+    return junctions.withColumn("place", F.row_number().over(W.partitionBy("way_id", "seg").orderBy("t", "dist", *(c for c in junctions.columns if c not in ("way_id", "seg", "t", "dist")))))
 
 
 def nearest_one(pairs: DataFrame, key: str, dist: str, tie: str) -> DataFrame:

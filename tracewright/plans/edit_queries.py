@@ -93,8 +93,8 @@ def apply_tag_overrides(t: Town):
     return out.select("base_id", "category", F.try_element_at("tags", F.lit("highway")).alias("highway"), F.try_element_at("tags", F.lit("surface")).alias("surface"))
 
 
-#: Drawn features: every third path a line with a highway or none, one in six with a width; the others walls and fences. Two maps.
-DRAWN = """d0 AS (SELECT path_id, path_id % 2 AS map_id, count(*) AS n, path_id % 3 = 0 AS line FROM fx_paths GROUP BY path_id),
+#: Drawn features: every third path a line with a highway or none, one in six with a width; the others walls and fences. Maps of a hundred paths.
+DRAWN = """d0 AS (SELECT path_id, CAST(floor(path_id / 100) AS BIGINT) AS map_id, count(*) AS n, path_id % 3 = 0 AS line FROM fx_paths GROUP BY path_id),
 d1 AS (SELECT *, -row_number() OVER (PARTITION BY map_id ORDER BY path_id) AS base_id FROM d0),
 drawn AS (SELECT *, CASE WHEN line THEN CASE WHEN path_id % 9 = 0 THEN 'primary' ELSE 'path' END END AS highway, CASE WHEN NOT line THEN CASE WHEN path_id % 5 = 0 THEN 'fence' ELSE 'wall' END END AS barrier, CASE WHEN line AND path_id % 6 = 0 THEN '4' END AS width,
   CAST(coalesce(sum(CASE WHEN line THEN n ELSE 0 END) OVER (PARTITION BY map_id ORDER BY path_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d1)"""
@@ -105,7 +105,7 @@ def drawn(t: Town):
     line = F.col("path_id") % 3 == 0
     props = F.create_map(F.lit("highway"), F.when(line & (F.col("path_id") % 9 == 0), "primary"), F.lit("width"), F.when(line & (F.col("path_id") % 6 == 0), "4"), F.lit("barrier"), F.when(~line & (F.col("path_id") % 5 == 0), "fence"))
     a = t.paths.groupBy("path_id").agg(shape.alias("points"))
-    return a.select((F.col("path_id") % 2).alias("map_id"), F.col("path_id").alias("ann_id"), F.when(line, "path").otherwise("obstacle").alias("type"), "points", F.map_filter(props, lambda _, v: v.isNotNull()).alias("props"))
+    return a.select(F.floor(F.col("path_id") / 100).alias("map_id"), F.col("path_id").alias("ann_id"), F.when(line, "path").otherwise("obstacle").alias("type"), "points", F.map_filter(props, lambda _, v: v.isNotNull()).alias("props"))
 
 
 @query(f"""WITH {DRAWN} SELECT map_id, base_id, CASE WHEN NOT line THEN 'barrier' WHEN highway = 'primary' THEN 'road' ELSE 'footway' END AS category, CASE WHEN NOT line THEN 0 WHEN width IS NULL THEN 0.75 ELSE 2 END::DOUBLE AS radius, highway, barrier, width,

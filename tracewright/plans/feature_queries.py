@@ -125,28 +125,41 @@ def nearest_within(t: Town):
     return near.select("point_id", F.round("dist", 6).alias("dist"), F.round("cost", 6).alias("cost"))
 
 
-PROJ = """WITH p AS (SELECT path_id * 100000 + seq AS point_id, x AS px, y AS py FROM fx_paths WHERE path_id % 100 = 0),
-s AS (SELECT DISTINCT x1, y1, x2, y2 FROM fx_segments),
-t AS (SELECT point_id, px, py, x1, y1, x2, y2, least(greatest(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0), 1) AS t FROM p CROSS JOIN s)
-SELECT point_id, min(sqrt(pow(px - x1 - t * (x2 - x1), 2) + pow(py - y1 - t * (y2 - y1), 2))) AS dist FROM t GROUP BY point_id"""
+def gap(px, py, ax, ay, bx, by):
+    """The distance of a point from a segment, as SQL."""
+    t = f"least(greatest((({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / nullif(({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay}), 0), 0), 1)"
+    t = f"coalesce({t}, 0)"
+    return f"sqrt(pow({px} - {ax} - {t} * ({bx} - {ax}), 2) + pow({py} - {ay} - {t} * ({by} - {ay}), 2))"
+
 
+#: Courses with their smallest way and segment; each point's nearest in whole micrometres.
+PROJ = f"""WITH p AS (SELECT path_id * 100000 + seq AS point_id, x AS px, y AS py FROM fx_paths WHERE path_id % 100 = 0),
+s AS (SELECT x1, y1, x2, y2, min(struct_pack(w := way_id, s := seg)) AS m FROM fx_segments GROUP BY x1, y1, x2, y2)
+SELECT point_id, min(struct_pack(d := round({gap("px", "py", "x1", "y1", "x2", "y2")}, 6), m := m)) AS n FROM p CROSS JOIN s GROUP BY point_id"""
 
-@query(f"SELECT point_id, round(dist, 5) AS dist FROM ({PROJ}) AS n")
+
+@query(f"SELECT point_id, n.m.w AS way_id, n.m.s AS seg, round(n.d, 5) AS dist FROM ({PROJ}) AS n")
 def snap_to_edge(t: Town):
     points = t.paths.filter("path_id % 100 = 0").select((F.col("path_id") * 100000 + F.col("seq")).alias("point_id"), "x", "y")
-    return J.snap_to_edge(points, t.segments).select("point_id", F.round("dist", 5).alias("dist"))
+    return J.snap_to_edge(points, t.segments).select("point_id", "way_id", "seg", F.round(F.round("dist", 6), 5).alias("dist"))
 
 
 def drawn_ends(t: Town):
-    """The ends of paths, as drawn ways of negative id."""
-    return t.paths.filter("seq = 0").select((-F.col("path_id")).alias("way_id"), F.col("seq").alias("pos"), "x", "y")
+    """Both ends of paths, as drawn ways of negative id."""
+    rows = t.sql("SELECT path_id, seq, x, y, max(seq) OVER (PARTITION BY path_id) AS hi FROM fx_paths").filter("seq = 0 or seq = hi")
+    return rows.select((-F.col("path_id")).alias("way_id"), F.col("seq").alias("pos"), "x", "y")
+
 
+ENDS = "p AS (SELECT -path_id AS drawn, seq AS pos, x AS px, y AS py FROM (SELECT *, max(seq) OVER (PARTITION BY path_id) AS hi FROM fx_paths) AS q WHERE seq = 0 OR seq = hi)"
+SNAPS = f"""WITH {ENDS},
+c AS (SELECT drawn, p.pos, way_id, seg, length, round(coalesce(least(greatest(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / nullif(length * length, 0), 0), 1), 0), 6) AS t, round({gap("px", "py", "x1", "y1", "x2", "y2")}, 6) AS d FROM p JOIN fx_segments AS s ON px BETWEEN least(x1, x2) - 5 AND greatest(x1, x2) + 5 AND py BETWEEN least(y1, y2) - 5 AND greatest(y1, y2) + 5),
+j AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY drawn, pos ORDER BY d, way_id, seg) AS rn FROM c WHERE d <= 5) AS q WHERE rn = 1)"""
 
-@query("""WITH p AS (SELECT -path_id AS way_id, x AS px, y AS py FROM fx_paths WHERE seq = 0),
-t AS (SELECT p.way_id, px, py, x1, y1, x2, y2, least(greatest(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)), 0), 1) AS t FROM p JOIN fx_segments AS s ON px BETWEEN least(x1, x2) - 5 AND greatest(x1, x2) + 5 AND py BETWEEN least(y1, y2) - 5 AND greatest(y1, y2) + 5)
-SELECT way_id, round(min(sqrt(pow(px - x1 - t * (x2 - x1), 2) + pow(py - y1 - t * (y2 - y1), 2))), 5) AS dist FROM t GROUP BY way_id HAVING min(sqrt(pow(px - x1 - t * (x2 - x1), 2) + pow(py - y1 - t * (y2 - y1), 2))) <= 5""")
+
+@query(f"{SNAPS} SELECT drawn AS way_id, pos, way_id AS to_way, seg, t, round(d, 5) AS dist FROM j")
 def endpoint_edge_join(t: Town):
-    return J.endpoint_edge_join(drawn_ends(t), t.segments).select("way_id", F.round("dist", 5).alias("dist"))
+    out = J.endpoint_edge_join(drawn_ends(t), t.segments)
+    return out.select("way_id", "pos", "to_way", "seg", F.round("t", 6).alias("t"), F.round(F.round("dist", 6), 5).alias("dist"))
 
 
 @query("""SELECT path_id * 100000 + seq AS point_id, area_id FROM fx_paths AS p JOIN fx_boxes AS b ON p.x >= min_x AND p.x < max_x AND p.y >= min_y AND p.y < max_y""")
@@ -169,13 +182,6 @@ def obstacles_minus_paths(t: Town):
     return J.obstacles_minus_paths(cells, t.area_ring, t.segments, 3.0).select("x", "y")
 
 
-def gap(px, py, ax, ay, bx, by):
-    """The distance of a point from a segment, as SQL."""
-    t = f"least(greatest((({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / nullif(({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay}), 0), 0), 1)"
-    t = f"coalesce({t}, 0)"
-    return f"sqrt(pow({px} - {ax} - {t} * ({bx} - {ax}), 2) + pow({py} - {ay} - {t} * ({by} - {ay}), 2))"
-
-
 def turn(ax, ay, bx, by, px, py):
     return f"sign(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
 

@@ -69,7 +69,7 @@ def map_folder(t: Town) -> str:
     rows = classified(t).withColumnRenamed("base_id", "way_id").join(shapes, "way_id").join(t.way_nodes.groupBy("way_id").agg(members.alias("nodes")), "way_id")
     features = rows.select(part("way_id"), F.col("way_id").cast("string").alias("feature_id"), "category", "is_area", "nodes", "tags", T.geom_to_wkt(F.lit("line"), F.array("points")).alias("wkt"), F.lit("").alias("in_out"))
     nodes = t.tagged_nodes.select(part("node_id"), "node_id", F.col("y").alias("lat"), F.col("x").alias("lon"), "tags")
-    points = t.paths.filter("seq = 0").select(part("path_id"), F.col("path_id").cast("int").alias("seq"), "x", "y")
+    points = t.paths.select(part("path_id"), (F.col("path_id") * 1000 + F.col("seq")).alias("seq"), "x", "y")
     maps = features.groupBy("map_id").agg(F.lit(33).alias("zone_number"), F.lit("U").alias("zone_letter"))
     path = new_path(t.spark, "maps")
     S.write_mapdata(features, nodes, points, maps, path)
@@ -83,10 +83,11 @@ def read_mapdata(t: Town):
     return f.select("category", "feature_id", F.size("nodes").cast("long").alias("n"), F.round(total, 3).alias("sx"))
 
 
-@query("SELECT 'nodes' AS what, count(*) AS n FROM fx_nodes UNION ALL SELECT 'waypoints', count(*) FROM fx_paths WHERE seq = 0 UNION ALL SELECT 'maps', count(DISTINCT way_id // 5000) FROM fx_way_nodes")
+@query("SELECT 'nodes' AS what, count(*) AS n, round(sum(x), 3) AS sx FROM fx_nodes UNION ALL SELECT 'waypoints', count(*), round(sum(x), 3) FROM fx_paths UNION ALL SELECT 'maps', count(DISTINCT way_id // 5000), NULL FROM fx_way_nodes")
 def write_mapdata(t: Town):
     read = S.read_mapdata(t.spark, f"{map_folder(t)}/*/*")
-    counts = [read[k].agg(F.lit(k).alias("what"), F.count("*").alias("n")) for k in ("nodes", "waypoints", "maps")]
+    sums = {"nodes": F.sum("lon"), "waypoints": F.sum("x"), "maps": F.lit(None).cast("double")}
+    counts = [read[k].agg(F.lit(k).alias("what"), F.count("*").alias("n"), F.round(total, 3).alias("sx")) for k, total in sums.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 

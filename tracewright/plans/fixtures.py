@@ -1,4 +1,7 @@
-"""Map tables derived from the star-schema tables, by SQL that Spark and DuckDB both run; and the registry of queries."""
+"""Map tables derived from the star-schema tables, by SQL that Spark and DuckDB both run; and the registry of queries.
+
+The town grows with its tables: nodes, areas and the boxes of paths reach farther north with their keys, and are not denser.
+"""
 
 from __future__ import annotations
 
@@ -26,13 +29,13 @@ FROM (SELECT o_orderkey AS way_id, o_orderpriority AS pr, o_orderstatus AS st, r
     "fx_area_ring": """
 SELECT c_custkey AS area_id, 0 AS ring, pos,
        CAST(458003 + 10 * (c_custkey % 50) + dx * (1 + c_nationkey % 4) AS DOUBLE) AS x,
-       CAST(5550503 + 10 * (c_custkey % 37) + dy * (1 + c_nationkey % 4) AS DOUBLE) AS y
+       CAST(5550503 + 10 * ((c_custkey - c_custkey % 50) / 50) + dy * (1 + c_nationkey % 4) AS DOUBLE) AS y
 FROM customer CROSS JOIN (VALUES (0,-1,-1),(1,1,-1),(2,1,1),(3,-1,1),(4,-1,-1)) AS v(pos, dx, dy)""",
     "fx_paths": """
 SELECT o_custkey AS path_id,
        CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS seq,
        CAST(458000 + (o_orderkey * 17) % 490 AS DOUBLE) + CAST(o_orderkey % 7 AS DOUBLE) / 2 AS x,
-       CAST(5550500 + (o_orderkey * 29) % 390 AS DOUBLE) + CAST(o_orderkey % 5 AS DOUBLE) / 2 AS y
+       CAST(5550500 + 390 * ((o_custkey - o_custkey % 1500) / 1500) + (o_orderkey * 29) % 390 AS DOUBLE) + CAST(o_orderkey % 5 AS DOUBLE) / 2 AS y
 FROM orders""",
     "fx_edit_log": """
 SELECT event_id, ts, (event_id * 30) % (SELECT count(*) FROM orders) AS way_id,

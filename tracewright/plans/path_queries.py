@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import routing as R
 from ..operators import sequences as S
-from .feature_queries import drawn_ends, gap, raster
+from .feature_queries import SNAPS, drawn_ends, raster
 from .fixtures import Town, query
 
 
@@ -74,15 +74,10 @@ def simplify_paths(t: Town):
 
 
 
-SNAPS = f"""WITH p AS (SELECT -path_id AS drawn, x AS px, y AS py FROM fx_paths WHERE seq = 0),
-c AS (SELECT drawn, way_id, seg, length, round(least(greatest(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (length * length), 0), 1), 6) AS t, {gap("px", "py", "x1", "y1", "x2", "y2")} AS d FROM p JOIN fx_segments AS s ON px BETWEEN least(x1, x2) - 5 AND greatest(x1, x2) + 5 AND py BETWEEN least(y1, y2) - 5 AND greatest(y1, y2) + 5 WHERE length > 0),
-j AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY drawn ORDER BY d, way_id, seg) AS rn FROM c WHERE d <= 5) AS q WHERE rn = 1)"""
-
-
-@query(f"{SNAPS} SELECT drawn, way_id, seg, t, round(d, 6) AS dist, row_number() OVER (PARTITION BY way_id, seg ORDER BY t, round(d, 6)) AS place FROM j")
+@query(f"{SNAPS} SELECT drawn, pos, way_id, seg, t, d AS dist, row_number() OVER (PARTITION BY way_id, seg ORDER BY t, d, drawn, pos) AS place FROM j")
 def splits_along_segment(t: Town):
     joined = J.endpoint_edge_join(drawn_ends(t), t.segments)
-    return S.splits_along_segment(joined.select(F.col("way_id").alias("drawn"), F.col("to_way").alias("way_id"), "seg", F.round("t", 6).alias("t"), F.round("dist", 6).alias("dist")))
+    return S.splits_along_segment(joined.select(F.col("way_id").alias("drawn"), "pos", F.col("to_way").alias("way_id"), "seg", F.round("t", 6).alias("t"), F.round("dist", 6).alias("dist")))
 
 
 @query("SELECT way_id, arg_min(node_id, (length, node_id)) AS node_id FROM (SELECT way_id, src AS node_id, length FROM fx_segments) AS s GROUP BY way_id")
@@ -113,21 +108,25 @@ def requests(t: Town):
     return w
 
 
+def node_cells(t: Town):
+    """The partition of the town's nodes that searches go over: squares of 80 m and more."""
+    return R.position_cells(t.nodes.select(F.col("node_id").alias("node"), "x", "y"), 80.0)
+
+
 def foot_segments(t: Town):
     return t.sql("SELECT s.* FROM fx_segments AS s JOIN fx_ways AS w ON s.way_id = w.way_id WHERE w.highway IN ('footway', 'path')")
 
 
 @query()
 def shortest_paths(t: Town):
-    out = R.shortest_paths(R.build_graph(foot_segments(t)).select("src", "dst", "weight"), requests(t))
+    out = R.shortest_paths(R.build_graph(foot_segments(t)).select("src", "dst", "weight"), requests(t), cells=node_cells(t))
     return out.select("req", "seq", "node", F.round("dist", 6).alias("dist"))
 
 
 @query()
 def route_waypoints(t: Town):
-    """Each path's two ends, by road and footway."""
-    ends = t.sql("SELECT path_id, seq, x, y FROM (SELECT *, max(seq) OVER (PARTITION BY path_id) AS hi FROM fx_paths) AS p WHERE seq = 0 OR seq = hi")
-    out = R.route_waypoints(S.renumbered(ends), t.segments, t.nodes)
+    """All points of each path, one after the other, by road and footway."""
+    out = R.route_waypoints(t.paths, t.segments, t.nodes)
     return out.select("path_id", "seq", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 

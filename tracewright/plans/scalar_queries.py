@@ -8,7 +8,7 @@ from ..functions import geometry as G
 from ..functions import projection as P
 from ..functions import text as T
 from ..functions.register import register
-from .feature_queries import gap, turn
+from .feature_queries import LINES, gap, turn
 from .fixtures import Town, query
 
 #: Each path's first point beside every leg of the path.
@@ -108,9 +108,9 @@ def timestamp_seconds(t: Town):
 @query(f"WITH RECURSIVE e AS (SELECT src, dst, min(length) AS w FROM (SELECT src, dst, length, way_id FROM fx_segments UNION ALL SELECT dst, src, length, way_id FROM fx_segments) AS u WHERE way_id IN (SELECT way_id FROM fx_ways WHERE highway IN ('footway', 'path')) GROUP BY src, dst), q AS (SELECT way_id AS req, arg_min(node_id, pos) AS src, arg_max(node_id, pos) AS dst FROM fx_foot GROUP BY way_id), t(req, node, dist) USING KEY (req, node) AS (SELECT req, src, CAST(0 AS DOUBLE) FROM q WHERE src <> dst UNION (SELECT t.req, e.dst, min(t.dist + e.w) FROM t JOIN e ON t.node = e.src LEFT JOIN recurring.t AS r ON r.req = t.req AND r.node = e.dst WHERE r.dist IS NULL OR t.dist + e.w < r.dist GROUP BY t.req, e.dst)) SELECT q.req, round(dist, 6) AS dist FROM q JOIN t ON t.req = q.req AND t.node = q.dst WHERE q.src <> q.dst")
 def shortest_path_costs(t: Town):
     from ..operators.routing import build_graph, shortest_paths
-    from .path_queries import foot_segments, requests
+    from .path_queries import foot_segments, node_cells, requests
 
-    out = shortest_paths(build_graph(foot_segments(t)).select("src", "dst", "weight"), requests(t))
+    out = shortest_paths(build_graph(foot_segments(t)).select("src", "dst", "weight"), requests(t), cells=node_cells(t))
     return out.groupBy("req").agg(F.round(F.max("dist"), 6).alias("dist"))
 
 
@@ -125,3 +125,12 @@ def densify_table_function(t: Town):
 def length_label(t: Town):
     label = P.length_label(G.dist(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))) * 3)
     return t.legs.select("path_id", "leg", F.split_part(label, F.lit(" "), F.lit(-1)).alias("unit"))
+
+
+@query(f"WITH {LINES} SELECT path_id, leg, k, ix, iy FROM cells")
+def grid_line_table_function(t: Town):
+    from .feature_queries import cell_lines
+
+    register(t.spark)
+    cell_lines(t).createOrReplaceTempView("town_lines")
+    return t.spark.sql("SELECT path_id, leg, d.k, d.ix, d.iy FROM town_lines, LATERAL grid_line(x0, y0, x1, y1) AS d")

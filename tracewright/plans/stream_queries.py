@@ -84,5 +84,23 @@ def live_edits(t: Town):
     store, marks = new_path(t.spark, "store"), new_path(t.spark, "store-log")
     rows = as_stream(t, log(t), "edits")
     S.live_edits(rows, store, marks).awaitTermination()
-    last = max(int(r.path.rpartition("batch=")[2]) for r in t.spark.read.parquet(store).selectExpr("concat('batch=', batch) as path").distinct().toLocalIterator())
-    return t.spark.read.schema(rows.schema).parquet(f"{store}/batch={last}").select("op", "target", "event_id")
+    return S.read_live_edits(t.spark, store, rows.schema).select("op", "target", "event_id")
+
+
+#: The flag goes up with the first message of its topic in an hour and falls an hour after the last.
+UPS = "SELECT robot_id, ts, lag(ts) OVER w AS before, lead(ts) OVER w AS after FROM (SELECT DISTINCT robot_id, date_trunc('millisecond', ts) AS ts FROM fx_telemetry WHERE topic = 'teleop' AND num <> 0) AS u WINDOW w AS (PARTITION BY robot_id ORDER BY ts)"
+
+
+@query(f"SELECT robot_id, ts, true AS active FROM ({UPS}) AS u WHERE before IS NULL OR ts >= before + INTERVAL 1 HOUR UNION ALL SELECT robot_id, ts + INTERVAL 1 HOUR, false FROM ({UPS}) AS u WHERE after >= ts + INTERVAL 1 HOUR OR after IS NULL AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM fx_telemetry)")
+def activity_stream(t: Town):
+    """The messages in order of time as a stream: flags that fall by timers are those that the watermark has passed at its end."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = t.telemetry.repartitionByRange(8, "ts").sortWithinPartitions("ts")
+    return drained(t, S.activity_stream(as_stream(t, rows, "messages"), "teleop", 3600.0), "flags", "append")
+
+
+@query("SELECT robot_id, date_trunc('minute', ts) AS start, count(*) AS n FROM fx_telemetry GROUP BY ALL HAVING date_trunc('minute', min(ts)) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM fx_telemetry)")
+def telemetry_rates_stream(t: Town):
+    """Minutes that the watermark has closed, as a stream puts them out once each."""
+    rows = t.telemetry.repartitionByRange(8, "ts").sortWithinPartitions("ts")
+    return drained(t, S.telemetry_rates(as_stream(t, rows, "messages")), "rates", "append")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..tables import cut
+
 #: Decimals of each scalar topic, seconds for which a flag stays up.
 DECIMALS = {"voltage": 2, "current": 2, "temperature": 1, "speed": 2}
 RECOVERY_S, TELEOP_S = 5.0, 2.0
@@ -121,15 +124,104 @@ def telemetry_rates(msgs: DataFrame) -> DataFrame:
     return msgs.withWatermark("ts", WATERMARK).groupBy("robot_id", F.window("ts", "1 minute")).agg(F.count("*").alias("n")).select("robot_id", F.col("window.start").alias("start"), "n")
 
 
-def live_edits(log: DataFrame, store: str, checkpoint: str, until_end: bool = True):
-    """Starts a query that keeps the current edits of a stream of log rows as a table at `store`: one folder a batch, the newest is the state. until_end: stop when the input that is there has been read."""
-    schema = log.schema
+def dropped_late(query) -> int:
+    """Rows that a started query's stateful operators have dropped as later than the watermark, over its batches so far."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in (p["stateOperators"] if isinstance(p, dict) else [o.jsonValue for o in p.stateOperators]))
+
+
+FLAGS = "robot_id long, ts timestamp, active boolean"
+
+
+def flag_timers(topic: str, within_s: float) -> StatefulProcessor:
+    """The processor of activity_stream(). Its class is made here, so that it travels whole to the workers."""
+
+    class FlagTimers(StatefulProcessor):
+        """Keeps a robot's last time of the topic with a number other than 0, and a timer for when the flag falls."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.seen = handle.getValueState("seen", "ms long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            held = self.seen.get()
+            until = None if held is None else held[0] + int(within_s * 1000)
+            out = []
+            for part in rows:
+                part = part[(part["topic"] == topic) & part["num"].notna() & (part["num"] != 0) & part["ts"].notna()]
+                for ts in sorted(int(t.value // 1_000_000) for t in part["ts"]):
+                    if until is not None and ts + int(within_s * 1000) <= until:
+                        continue  # not the last one
+                    if until is None or ts >= until:
+                        if until is not None:
+                            out.append((until, False))
+                        out.append((ts, True))
+                    if until is not None:
+                        self.handle.deleteTimer(until)
+                    until = ts + int(within_s * 1000)
+            if until is not None and (held is None or until != held[0] + int(within_s * 1000)):
+                self.seen.update((until - int(within_s * 1000),))
+                self.handle.registerTimer(until)
+            if out:
+                yield self.rows(key, out)
+
+        def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+            held = self.seen.get()
+            if held is not None and held[0] + int(within_s * 1000) <= expired.getExpiryTimeInMs():
+                self.seen.clear()  # a robot that is silent keeps no state
+                yield self.rows(key, [(expired.getExpiryTimeInMs(), False)])
+
+        @staticmethod
+        def rows(key, out: list[tuple[int, bool]]) -> pd.DataFrame:
+            return pd.DataFrame({"robot_id": [key[0]] * len(out), "ts": pd.to_datetime([ms for ms, _ in out], unit="ms"), "active": [up for _, up in out]})
+
+        def close(self) -> None:
+            pass
+
+    return FlagTimers()
+
+
+def activity_stream(msgs: DataFrame, topic: str = "teleop", within_s: float = TELEOP_S, late: str = WATERMARK) -> DataFrame:
+    """robot_id, ts, active of a stream of messages: a row when a robot's flag goes up, and one when it falls.
+
+    The flag goes up with a non-zero message of the topic and falls within_s seconds after the last one, by an event-time timer, so
+    without a message: as soon as the watermark (`late` behind the newest message of any robot) has passed it. Messages later than
+    the watermark are dropped. A robot whose flag is down keeps no state. Needs the RocksDB state store.
+    """
+    return msgs.withWatermark("ts", late).groupBy("robot_id").transformWithStateInPandas(flag_timers(topic, within_s), FLAGS, "Append", "EventTime")
+
+
+def live_edits(log: DataFrame, store: str, checkpoint: str, until_end: bool = True, parts: int = 64):
+    """Starts a query that keeps the current edits of a stream of log rows as a table at `store`. until_end: stop when the input that is there has been read.
+
+    The table lies in `parts` folders by a hash of the edit's key (choose as many as keep a folder's rows to a task). A batch reads and
+    writes only the folders that its keys lie in, which take the place of the old ones; batch is the number of the batch that changed a
+    row last. A batch that comes again leaves the table as it is: the same rows win.
+    """
+    key = ("map_id", "op", "target")
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        both = batch if number == 0 else batch.unionByName(spark.read.schema(schema).parquet(f"{store}/batch={number - 1}").select(*batch.columns))
-        last = W.partitionBy("map_id", "op", "target").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-        both.withColumn("rn", F.row_number().over(last)).filter("rn = 1").drop("rn").write.mode("overwrite").parquet(f"{store}/batch={number}")
+        new = cut(batch.withColumns({"batch": F.lit(number).cast("long"), "part": F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")}), "batch")
+        touched = [r.part for r in new.select("part").distinct().toLocalIterator()]  # `parts` at most
+        if not touched:
+            return
+        both = new
+        if number:
+            both = new.unionByName(read_live_edits(spark, store, log.schema).filter(F.col("part").isin(touched)))
+        last = W.partitionBy("part", *key).orderBy(F.col("ts").desc(), F.col("event_id").desc(), F.col("batch"))
+        kept = cut(both.withColumn("rn", F.row_number().over(last)).filter("rn = 1").drop("rn"), "kept")  # read before its folders go
+        kept.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(store)
 
     query = log.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if until_end else query).start()
+
+
+def read_live_edits(spark: SparkSession, store: str, schema) -> DataFrame:
+    """The table of live_edits(): the log's columns, batch and part."""
+    whole = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    try:
+        return spark.read.schema(f"{whole}, batch long, part int").parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{whole}, batch long, part int")
