@@ -65,9 +65,12 @@ def one_a_position(ref: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
     return ref.groupBy("x", "y").agg(F.min(F.struct("ref_id", *payload)).alias("r")).select("r.*", "x", "y")
 
 
+MICRO = 1e6
+
+
 def micro(d: Column) -> Column:
     """A distance in whole micrometres: what decides which of several is nearest, so that rounding errors decide no ties."""
-    return F.round(d, 6)
+    return F.floor(d * MICRO + 0.5)
 
 
 def nearest_within(points: DataFrame, ref: DataFrame, reach: float, payload: tuple[str, ...] = ()) -> DataFrame:
@@ -79,7 +82,7 @@ def nearest_within(points: DataFrame, ref: DataFrame, reach: float, payload: tup
     r = one_a_position(ref, payload).select("ref_id", F.col("x").alias("rx"), F.col("y").alias("ry"), *payload, F.explode(around(reach)).alias("c"))
     r = r.select("ref_id", "rx", "ry", *payload, F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
     d = G.dist(F.col("x"), F.col("y"), F.col("rx"), F.col("ry"))
-    met = p.join(r, ["cx", "cy"]).withColumn("dist", d).filter(micro(F.col("dist")) < reach)
+    met = p.join(r, ["cx", "cy"]).withColumn("dist", d).filter(micro(F.col("dist")) < reach * MICRO)
     best = F.min(F.struct(micro(F.col("dist")).alias("near"), "ref_id", *payload, "dist")).alias("best")
     near = met.groupBy("point_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), best)
     return near.select("point_id", "x", "y", "best.dist", "best.ref_id", *(f"best.{c}" for c in payload)).withColumn("cost", F.col("dist") / reach)
@@ -88,8 +91,7 @@ def nearest_within(points: DataFrame, ref: DataFrame, reach: float, payload: tup
 def nearest_steps(points: DataFrame, segments: DataFrame, reach: float, step: float, payload: tuple[str, ...] = ()) -> DataFrame:
     """nearest_within() of the points that densify_ways() would put along the segments (way_id, seg, x1 .. y2, payload), without making them.
 
-    ref_id is (way_id, seg, k). A segment's nearest step follows from where the point is projected on it: one of the two about that
-    place. So segments are dealt to cells, and a point meets a segment near it once, however fine the steps.
+    ref_id is (way_id, seg, k). A segment's nearest step follows from where the point is projected on it. So segments are dealt to cells, and a point meets a segment near it once, however fine the steps.
     """
     size, at = 4 * reach, [F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]
     n = F.when(F.col("length") <= 0.001, 1).otherwise(F.ceil(F.col("length") / step)).cast("int")
@@ -98,15 +100,16 @@ def nearest_steps(points: DataFrame, segments: DataFrame, reach: float, step: fl
     met = p.join(segment_cells(s, size, reach), ["cx", "cy"])
     for v in "xy":
         met = met.filter(f"{v} between least({v}1, {v}2) - {reach} and greatest({v}1, {v}2) + {reach}")
-    met = met.withColumn("place", G.project_on_segment(*at) * F.col("n")).withColumn("least_k", F.when(F.col("seg") == 0, 0).otherwise(1))
-    for name, k in (("low", F.floor("place")), ("high", F.ceil("place"))):
-        met = met.withColumn(f"{name}_k", F.least(F.greatest(k.cast("int"), F.col("least_k")), F.col("n")))
-        t = F.col(f"{name}_k") / F.col("n")
-        met = met.withColumn(name, G.dist(at[0], at[1], G.interpolate(at[2], at[4], t), G.interpolate(at[3], at[5], t)))
-    later = micro(F.col("high")) < micro(F.col("low"))
-    met = met.withColumn("dist", F.when(later, F.col("high")).otherwise(F.col("low"))).withColumn("k", F.when(later, F.col("high_k")).otherwise(F.col("low_k")))
+    # the line through the segment passes within reach, too: long segments have wide bounds
+    off = "((x - x1) * (y2 - y1) - (y - y1) * (x2 - x1))"
+    met = met.filter(f"{off} * {off} <= {(reach + SLACK) ** 2} * ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) + {SLACK}")
+    # the step next to where the point is projected; of two that are as near, the first
+    k = F.ceil(G.project_on_segment(*at) * F.col("n") - (0.5 + SLACK)).cast("int")
+    met = met.withColumn("k", F.least(F.greatest(k, F.when(F.col("seg") == 0, 0).otherwise(1)), F.col("n")))
+    t = F.col("k") / F.col("n")
+    met = met.withColumn("dist", G.dist(at[0], at[1], G.interpolate(at[2], at[4], t), G.interpolate(at[3], at[5], t)))
     best = F.min(F.struct(micro(F.col("dist")).alias("near"), "way_id", "seg", "k", *payload, "dist")).alias("best")
-    near = met.filter(micro(F.col("dist")) < reach).groupBy("point_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), best)
+    near = met.filter(micro(F.col("dist")) < reach * MICRO).groupBy("point_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), best)
     ref = F.struct("best.way_id", "best.seg", "best.k").alias("ref_id")
     return near.select("point_id", "x", "y", "best.dist", ref, *(f"best.{c}" for c in payload)).withColumn("cost", F.col("dist") / reach)
 
@@ -151,7 +154,7 @@ def snap_to_edge(points: DataFrame, segments: DataFrame, size: float = 25.0, rou
         met = p.join(segment_cells(segments, reach), ["cx", "cy"])
         t = G.project_on_segment(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
         met = met.withColumn("px", G.interpolate(F.col("x1"), F.col("x2"), t)).withColumn("py", G.interpolate(F.col("y1"), F.col("y2"), t))
-        met = met.withColumn("dist", G.dist(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(micro(F.col("dist")) <= reach)
+        met = met.withColumn("dist", G.dist(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(micro(F.col("dist")) <= reach * MICRO)
         best = F.min(F.struct(micro(F.col("dist")).alias("near"), "way_id", "seg", "px", "py", "dist")).alias("n")
         near = met.groupBy("point_id").agg(best).select("point_id", "n.dist", "n.way_id", "n.seg", "n.px", "n.py")
         found = cut(points.select("point_id", "x", "y").join(near, "point_id"), "snapped")
@@ -168,7 +171,7 @@ def endpoint_edge_join(endpoints: DataFrame, segments: DataFrame, reach: float =
     met = p.join(segment_cells(segments, reach), ["cx", "cy"]).filter("own <> way_id")
     met = met.withColumn("t", G.project_on_segment(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))))
     met = met.withColumn("px", G.interpolate(F.col("x1"), F.col("x2"), F.col("t"))).withColumn("py", G.interpolate(F.col("y1"), F.col("y2"), F.col("t")))
-    met = met.withColumn("dist", G.dist(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(micro(F.col("dist")) <= reach)
+    met = met.withColumn("dist", G.dist(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(micro(F.col("dist")) <= reach * MICRO)
     best = F.min(F.struct(micro(F.col("dist")).alias("near"), F.col("way_id").alias("to_way"), "seg", "px", "py", "t", "dist")).alias("n")
     return met.groupBy(F.col("own").alias("way_id"), "pos").agg(best).select("way_id", "pos", "n.dist", "n.to_way", "n.seg", "n.px", "n.py", "n.t")
 

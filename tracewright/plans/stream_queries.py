@@ -16,10 +16,10 @@ def telemetry_latest(t: Town):
     return S.telemetry_latest(t.telemetry).select("robot_id", "gps_lat", "gps_lon", "speed", "voltage", "error")
 
 
-def as_stream(t: Town, df, name: str):
-    """df, written to the shared folder, as a stream of its files."""
+def as_stream(t: Town, df, name: str, files: int = 4):
+    """df, written to the shared folder, as a stream of its files, so many a batch."""
     written = cut(df, name)
-    return t.spark.readStream.schema(written.schema).option("maxFilesPerTrigger", 4).parquet(written.inputFiles()[0].rpartition("/")[0])
+    return t.spark.readStream.schema(written.schema).option("maxFilesPerTrigger", files).parquet(written.inputFiles()[0].rpartition("/")[0])
 
 
 def drained(t: Town, out, name: str, mode: str):
@@ -30,7 +30,7 @@ def drained(t: Town, out, name: str, mode: str):
         batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(out.schema).parquet(sink)
+    return t.spark.read.schema(out.schema).parquet(sink).select(*out.columns)
 
 
 @query(f"SELECT robot_id, topic, round(num, 6) AS num, lat, lon FROM ({LAST}) AS l")
@@ -93,14 +93,12 @@ UPS = "SELECT robot_id, ts, lag(ts) OVER w AS before, lead(ts) OVER w AS after F
 
 @query(f"SELECT robot_id, ts, true AS active FROM ({UPS}) AS u WHERE before IS NULL OR ts >= before + INTERVAL 1 HOUR UNION ALL SELECT robot_id, ts + INTERVAL 1 HOUR, false FROM ({UPS}) AS u WHERE after >= ts + INTERVAL 1 HOUR OR after IS NULL AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM fx_telemetry)")
 def activity_stream(t: Town):
-    """The messages in order of time as a stream: flags that fall by timers are those that the watermark has passed at its end."""
+    """The messages as one batch of a stream: flags that fall by timers at its end are those that the watermark has passed."""
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = t.telemetry.repartitionByRange(8, "ts").sortWithinPartitions("ts")
-    return drained(t, S.activity_stream(as_stream(t, rows, "messages"), "teleop", 3600.0), "flags", "append")
+    return drained(t, S.activity_stream(as_stream(t, t.telemetry, "messages", 1 << 30), "teleop", 3600.0), "flags", "append")
 
 
 @query("SELECT robot_id, date_trunc('minute', ts) AS start, count(*) AS n FROM fx_telemetry GROUP BY ALL HAVING date_trunc('minute', min(ts)) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM fx_telemetry)")
 def telemetry_rates_stream(t: Town):
     """Minutes that the watermark has closed, as a stream puts them out once each."""
-    rows = t.telemetry.repartitionByRange(8, "ts").sortWithinPartitions("ts")
-    return drained(t, S.telemetry_rates(as_stream(t, rows, "messages")), "rates", "append")
+    return drained(t, S.telemetry_rates(as_stream(t, t.telemetry, "messages", 1 << 30)), "rates", "append")

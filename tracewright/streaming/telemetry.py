@@ -121,6 +121,8 @@ def mission_progress(kind: Column, total: Column, remaining: Column, index: Colu
 
 def telemetry_rates(msgs: DataFrame) -> DataFrame:
     """robot_id, start, n: messages per minute; late ones count up to the watermark."""
+    if msgs.isStreaming:  # event time needs a zone
+        msgs = msgs.withColumn("ts", F.col("ts").cast("timestamp"))
     return msgs.withWatermark("ts", WATERMARK).groupBy("robot_id", F.window("ts", "1 minute")).agg(F.count("*").alias("n")).select("robot_id", F.col("window.start").alias("start"), "n")
 
 
@@ -145,30 +147,32 @@ def flag_timers(topic: str, within_s: float) -> StatefulProcessor:
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
             held = self.seen.get()
             until = None if held is None else held[0] + int(within_s * 1000)
-            out = []
+            out, times = [], []
             for part in rows:
                 part = part[(part["topic"] == topic) & part["num"].notna() & (part["num"] != 0) & part["ts"].notna()]
-                for ts in sorted(int(t.value // 1_000_000) for t in part["ts"]):
-                    if until is not None and ts + int(within_s * 1000) <= until:
-                        continue  # not the last one
-                    if until is None or ts >= until:
-                        if until is not None:
-                            out.append((until, False))
-                        out.append((ts, True))
+                times += [int(t.value // 1_000_000) for t in part["ts"]]
+            if held is not None:
+                self.handle.deleteTimer(until)
+            for ts in sorted(times):
+                if until is not None and ts + int(within_s * 1000) <= until:
+                    continue  # not the last one
+                if until is None or ts >= until:
                     if until is not None:
-                        self.handle.deleteTimer(until)
-                    until = ts + int(within_s * 1000)
+                        out.append((until, False))
+                    out.append((ts, True))
+                until = ts + int(within_s * 1000)
+            if until is not None:
+                self.handle.registerTimer(until)
             if until is not None and (held is None or until != held[0] + int(within_s * 1000)):
                 self.seen.update((until - int(within_s * 1000),))
-                self.handle.registerTimer(until)
             if out:
                 yield self.rows(key, out)
 
-        def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             held = self.seen.get()
-            if held is not None and held[0] + int(within_s * 1000) <= expired.getExpiryTimeInMs():
+            if held is not None and held[0] + int(within_s * 1000) <= expiredTimerInfo.getExpiryTimeInMs():
                 self.seen.clear()  # a robot that is silent keeps no state
-                yield self.rows(key, [(expired.getExpiryTimeInMs(), False)])
+                yield self.rows(key, [(expiredTimerInfo.getExpiryTimeInMs(), False)])
 
         @staticmethod
         def rows(key, out: list[tuple[int, bool]]) -> pd.DataFrame:
@@ -185,9 +189,10 @@ def activity_stream(msgs: DataFrame, topic: str = "teleop", within_s: float = TE
 
     The flag goes up with a non-zero message of the topic and falls within_s seconds after the last one, by an event-time timer, so
     without a message: as soon as the watermark (`late` behind the newest message of any robot) has passed it. Messages later than
-    the watermark are dropped. A robot whose flag is down keeps no state. Needs the RocksDB state store.
+    the watermark are dropped, and one older than the flag's last changes nothing. A robot whose flag is down keeps no state. Needs the RocksDB state store.
     """
-    return msgs.withWatermark("ts", late).groupBy("robot_id").transformWithStateInPandas(flag_timers(topic, within_s), FLAGS, "Append", "EventTime")
+    stamped = msgs.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stamped.withWatermark("ts", late).groupBy("robot_id").transformWithStateInPandas(flag_timers(topic, within_s), FLAGS, "Append", "EventTime")
 
 
 def live_edits(log: DataFrame, store: str, checkpoint: str, until_end: bool = True, parts: int = 64):
