@@ -24,7 +24,7 @@ from .shared import cut, named, prepare
 from .tokens import NOT_PLAIN, encoder, piece_encoder
 
 #: A block of documents is closed once it holds so many (document, id pair) entries, or documents.
-BLOCK_ENTRIES, BLOCK_DOCUMENTS = 1 << 21, 1 << 16
+BLOCK_ENTRIES, BLOCK_DOCUMENTS = 1 << 20, 1 << 16
 #: Links of a slice of groups that are expanded at once.
 SLICE_LINKS = 1 << 20
 
