@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ class Vocabularies:
         self.lengths_a, self.lengths_b = np.array([*map(len, self.bytes_a)]), np.array([*map(len, self.bytes_b)])
         size = max(len(self.bytes_a), len(self.bytes_b))
         #: Ids as text, each followed by a comma, by the bar after a group's A side, and by the semicolon after a group.
-        self.size, self.names = size, [f"{i}{sign}" for sign in ",|;" for i in range(size)]
+        self.size, self.names = size, np.array([f"{i}{sign}" for sign in ",|;" for i in range(size)], dtype=bytes)
 
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both sides, or None where a text is empty or either side's bytes aren't the blank and the text."""
@@ -61,7 +62,7 @@ class Vocabularies:
         which[np.arange(len(b)) + np.repeat(cuts_a[1:], np.diff(cuts_b))] = b
         which[cuts_a[1:] + cuts_b[:-1] - 1] += self.size
         which[cuts_a[1:] + cuts_b[1:] - 1] += 2 * self.size
-        return "".join(map(self.names.__getitem__, which.tolist()))[:-1]
+        return self.names[which].tobytes().translate(None, b"\0")[:-1].decode()  # fixed widths are filled up with zero bytes
 
 
 @functools.lru_cache(maxsize=2)
@@ -70,12 +71,15 @@ def vocabularies(path_a: str, path_b: str) -> Vocabularies:
 
 
 def groups_of(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the groups begin in either id list, and the lists' ends last, from the byte lengths of the tokens."""
+    """Where the groups begin in either id list, and the lists' ends last, from the byte lengths of the tokens.
+
+    Ends only grow, so a dictionary holds them in order: A's ends that B's dictionary knows are the common ones, sorted.
+    """
     at_a = dict(zip(np.cumsum(lengths_a).tolist(), range(1, len(lengths_a) + 1), strict=True))
     at_b = dict(zip(np.cumsum(lengths_b).tolist(), range(1, len(lengths_b) + 1), strict=True))
-    common = sorted(filter(at_b.__contains__, at_a))
-    one, two = (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
-    return np.concatenate([[0], one]), np.concatenate([[0], two])
+    one = np.fromiter(at_a.values(), np.int64, len(at_a))
+    two = np.fromiter(map(at_b.get, at_a, itertools.repeat(0)), np.int64, len(at_a))  # 0: no end of B's
+    return np.concatenate([[0], one[two > 0]]), np.concatenate([[0], two[two > 0]])
 
 
 def linked(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, size_b: int) -> tuple[np.ndarray, np.ndarray]:

@@ -104,13 +104,16 @@ class Encoder:
 def _by_parts(texts: list[str], parts_of: Callable, known: Remembered, made: Callable, whole: Callable) -> list[np.ndarray]:
     """Ids of texts from those of their parts (None: the text goes whole). Memory that would overflow is begun anew."""
     parts = [parts_of(t) for t in texts]
-    used = set().union(*filter(None, parts))
-    fresh = [p for p in used if p not in known]
+    ids = [None if p is None else [*map(known.get, p)] for p in parts]
+    lacking = [i for i, found in enumerate(ids) if found and None in found]
+    fresh = list({p for i in lacking for p, found in zip(parts[i], ids[i], strict=True) if found is None})
     if len(known) + len(fresh) > REMEMBERED:
         known.clear()
-        fresh = list(used)
-    known.update(zip(fresh, made(fresh), strict=True))
-    return [whole(t) if p is None else np.frombuffer(b"".join(map(known.__getitem__, p)), dtype="<u4") for t, p in zip(texts, parts, strict=True)]
+    new = dict(zip(fresh, made(fresh), strict=True))
+    known.update(new)
+    for i in lacking:
+        ids[i] = [new[p] if found is None else found for p, found in zip(parts[i], ids[i], strict=True)]
+    return [whole(t) if found is None else np.frombuffer(b"".join(found), dtype="<u4") for t, found in zip(texts, ids, strict=True)]
 
 
 @functools.lru_cache(maxsize=4)
