@@ -398,3 +398,39 @@ def test_added_nodes_and_drawn_features_of_two_maps(spark):
     assert got == [(1, 5, 0, 1, 101.0, 0.0), (1, 5, 1, -1, 0.5, 9.0), (1, 5, 2, 2, 102.0, 0.0), (2, -1, 0, -1, 7.0, 8.0), (2, -1, 1, -2, 9.0, 8.0), (2, 5, 0, 1, 201.0, 0.0), (2, 5, 1, 2, 202.0, 0.0)]
     assert sorted((r.map_id, r.base_id, r.category, r.tags["highway"]) for r in out["features"].collect()) == [(1, 5, "footway", "footway"), (2, -1, "footway", "path"), (2, 5, "footway", "footway")]
     assert out["crossroads"].count() == 0
+
+
+def test_two_maps_of_the_same_ids_and_places_stay_apart(spark):
+    by = ("map_id",)
+
+    def maps(one, two):
+        return one.withColumn("map_id", F.lit(1)).unionByName(two.withColumn("map_id", F.lit(2)))
+
+    f = maps(tagged(spark, [(1, {"barrier": "wall"}), (2, {"name": "x"})]), tagged(spark, [(1, {"name": "x"}), (2, {"barrier": "wall"})]))
+    walls = rules(spark, ("barrier", "*"))
+    assert {(r.map_id, r.base_id) for r in C.classify_ways(f, walls, by=by).collect()} == {(1, 1), (2, 2)}
+    nodes = f.withColumnRenamed("base_id", "node_id").withColumn("tags", F.create_map(F.lit("barrier"), F.lit("block")))
+    used = maps(chain(spark, {9: [1]}), chain(spark, {9: [2]}))
+    assert {(r.map_id, r.node_id) for r in C.obstacle_nodes(nodes, used, walls, by=by).collect()} == {(1, 2), (2, 1)}
+    ways = maps(segs(spark, [(1, 0, (0, 0, 10, 0), 1, 2)]), segs(spark, [(1, 0, (0, 3, 10, 3), 1, 2)]))
+    assert {(r.map_id, r.way_id) for r in C.bbox_filter(ways, (0.0, -1.0, 5.0, 1.0), by=by).collect()} == {(1, 1)}
+    assert {(r.map_id, r.src, r.dst) for r in Q.build_graph(ways, by).collect()} == {(m, *e) for m in (1, 2) for e in ((1, 2), (2, 1))}
+    ends = spark.createDataFrame([(-1, 0, 4.0, 1.0)], "way_id long, pos int, x double, y double")
+    joined = J.endpoint_edge_join(maps(ends, ends), ways, by=by)
+    assert {(r.map_id, r.to_way, r.dist) for r in joined.collect()} == {(1, 1, 1.0), (2, 1, 2.0)}
+    on = joined.select("map_id", F.col("to_way").alias("way_id"), "seg", "t", "dist", F.col("way_id").alias("drawn"))
+    assert [r.place for r in S.splits_along_segment(on, by).collect()] == [1, 1]
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "point_id long, x double, y double")
+    ref = maps(*(spark.createDataFrame([(7, x, 0.0)], "ref_id long, x double, y double") for x in (0.5, 1.5)))
+    assert {(r.map_id, r.point_id, r.dist) for r in J.nearest_within(maps(points, points), ref, 2.0, by=by).collect()} == {(1, 1, 0.5), (2, 1, 1.5)}
+    lines = maps(*[spark.createDataFrame([(1, 0, 0, 2, 0)], "i long, x0 long, y0 long, x1 long, y1 long")] * 2)
+    cells = maps(*(spark.createDataFrame([(x, 0, c) for x in range(3)], "ix long, iy long, cost double") for c in (0.1, 1.0)))
+    assert {(r.map_id, r.blocked) for r in J.segment_cost(lines, cells, ("map_id", "i"), by=by).collect()} == {(1, False), (2, True)}
+
+
+def test_statistics_count_drawn_features(spark):
+    shape = "array<struct<x:double,y:double>>"
+    f = spark.createDataFrame([(m, "footway", [(0.0, 0.0), (3.0, 4.0)], 3.0) for m in (1, 2)], f"map_id long, category string, points {shape}, radius double")
+    drawn = spark.createDataFrame([(1, 5), (1, 6), (3, 5)], "map_id long, ann_id long")
+    assert {(r.map_id, r.n_footway, r.footway_length, r.n_annotations) for r in A.map_stats(f, drawn).collect()} == {(1, 1, 5.0, 2), (2, 1, 5.0, 0)}
+    assert "n_annotations" not in A.map_stats(f).columns

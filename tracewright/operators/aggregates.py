@@ -43,14 +43,21 @@ def numbered(rows: DataFrame, key: str, name: str, span: int = 1 << 16) -> DataF
     return placed.drop("__span", "__before")
 
 
-def map_stats(features: DataFrame, by: tuple[str, ...] = ("map_id",)) -> DataFrame:
-    """Counts by category, centreline length and capsule outline of footways, and the area of the bounding box. features: category, points, radius."""
+def map_stats(features: DataFrame, annotations: DataFrame | None = None, by: tuple[str, ...] = ("map_id",)) -> DataFrame:
+    """Counts by category, centreline length and capsule outline of footways, and the area of the bounding box. features: category, points, radius.
+
+    annotations: a row a drawn feature; with it n_annotations of each map, 0 where it has none. Maps without features aren't listed.
+    """
     b, length = G.bounds(F.col("points")), G.line_length(F.col("points"))
     rows = features.select(*by, "category", length.alias("length"), G.capsule_perimeter(length, F.col("radius")).alias("outline"), b.alias("b"))
     foot = F.col("category") == "footway"
     counts = [F.count_if(F.col("category") == c).alias(f"n_{c}") for c in ("road", "footway", "barrier")]
     area = (F.max("b.max_x") - F.min("b.min_x")) * (F.max("b.max_y") - F.min("b.min_y"))
-    return rows.groupBy(*by).agg(*counts, F.sum(F.when(foot, F.col("length"))).alias("footway_length"), F.sum(F.when(foot, F.col("outline"))).alias("footway_outline"), area.alias("bbox_area"))
+    stats = rows.groupBy(*by).agg(*counts, F.sum(F.when(foot, F.col("length"))).alias("footway_length"), F.sum(F.when(foot, F.col("outline"))).alias("footway_outline"), area.alias("bbox_area"))
+    if annotations is None:
+        return stats
+    drawn = annotations.groupBy(*by).agg(F.count(F.lit(1)).alias("n_annotations"))
+    return stats.join(drawn, list(by), "left").na.fill(0, ["n_annotations"])
 
 
 def category_counts(features: DataFrame, by: tuple[str, ...] = ("map_id",)) -> DataFrame:

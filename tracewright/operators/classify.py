@@ -27,29 +27,30 @@ def is_road(highway: Column) -> Column:
     return F.coalesce((highway != "") & ~highway.isin(*FOOTWAYS), F.lit(False))
 
 
-def matches_rules(features: DataFrame, rules: DataFrame, exceptions: DataFrame | None = None, anti: DataFrame | None = None, key: str = "base_id") -> DataFrame:
-    """The distinct keys of features with a tag that a rule (key, value) names, exactly or by '*' unless an exception names it, and no tag in anti.
+def matches_rules(features: DataFrame, rules: DataFrame, exceptions: DataFrame | None = None, anti: DataFrame | None = None, key: str = "base_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """The distinct keys (by, key) of features with a tag that a rule (key, value) names, exactly or by '*' unless an exception names it, and no tag in anti.
 
-    Tags are exploded and joined to the rules by equality. Rows with null tags match nothing.
+    Tags are exploded and joined to the rules by equality; rules hold for all maps. Rows with null tags match nothing.
     """
-    tags = features.select(key, F.explode("tags").alias("k", "v"))
-    named = rules.select(F.col("key").alias("k"), F.col("value").alias("v"))
-    exact = tags.join(named.filter("v <> '*'"), ["k", "v"], "left_semi")
-    wild = tags.join(named.filter("v = '*'").select("k"), "k", "left_semi")
+    ids = [*by, key]
+    tags = features.select(*ids, F.explode("tags").alias("__k", "__v"))
+    named = lambda pairs: pairs.select(F.col("key").alias("__k"), F.col("value").alias("__v"))
+    exact = tags.join(named(rules.filter("value <> '*'")), ["__k", "__v"], "left_semi")
+    wild = tags.join(named(rules.filter("value = '*'")).select("__k"), "__k", "left_semi")
     if exceptions is not None:
-        wild = wild.join(exceptions.select(F.col("key").alias("k"), F.col("value").alias("v")), ["k", "v"], "left_anti")
-    found = exact.select(key).unionByName(wild.select(key)).distinct()
+        wild = wild.join(named(exceptions), ["__k", "__v"], "left_anti")
+    found = exact.select(*ids).unionByName(wild.select(*ids)).distinct()
     if anti is not None:
-        found = found.join(tags.join(anti.select(F.col("key").alias("k"), F.col("value").alias("v")), ["k", "v"], "left_semi").select(key).distinct(), key, "left_anti")
+        found = found.join(tags.join(named(anti), ["__k", "__v"], "left_semi").select(*ids).distinct(), ids, "left_anti")
     return found
 
 
-def classify_ways(features: DataFrame, rules: DataFrame, exceptions: DataFrame | None = None, anti: DataFrame | None = None, key: str = "base_id") -> DataFrame:
+def classify_ways(features: DataFrame, rules: DataFrame, exceptions: DataFrame | None = None, anti: DataFrame | None = None, key: str = "base_id", by: tuple[str, ...] = ()) -> DataFrame:
     """features with category and radius: road, else footway, else barrier by the rules; others go."""
     highway = F.try_element_at("tags", F.lit("highway"))
-    barrier = matches_rules(features, rules, exceptions, anti, key).withColumn("by_rule", F.lit(True))
+    barrier = matches_rules(features, rules, exceptions, anti, key, by).withColumn("by_rule", F.lit(True))
     category = F.when(is_road(highway), "road").when(is_footway(highway), "footway").when(F.col("by_rule"), "barrier")
-    known = features.join(barrier, key, "left").withColumn("category", category).drop("by_rule").filter("category is not null")
+    known = features.join(barrier, [*by, key], "left").withColumn("category", category).drop("by_rule").filter("category is not null")
     return known.withColumn("radius", buffer_radius(F.col("category")))
 
 
@@ -65,10 +66,10 @@ def buffer_kind(closed: Column, tags: Column, category: Column) -> Column:
     return F.when(closed & ((category == "barrier") | area), "fill").when(closed, "ring").otherwise("line")
 
 
-def obstacle_nodes(nodes: DataFrame, way_nodes: DataFrame, rules: DataFrame, exceptions: DataFrame | None = None, radius: float = OBSTACLE_RADIUS) -> DataFrame:
+def obstacle_nodes(nodes: DataFrame, way_nodes: DataFrame, rules: DataFrame, exceptions: DataFrame | None = None, radius: float = OBSTACLE_RADIUS, by: tuple[str, ...] = ()) -> DataFrame:
     """nodes (node_id, tags, ...) that no way uses and whose tags match the rules, with a disc's radius."""
-    free = nodes.join(way_nodes.select("node_id").distinct(), "node_id", "left_anti")
-    return free.join(matches_rules(free, rules, exceptions, key="node_id"), "node_id", "left_semi").withColumn("radius", F.lit(radius))
+    free = nodes.join(way_nodes.select(*by, "node_id").distinct(), [*by, "node_id"], "left_anti")
+    return free.join(matches_rules(free, rules, exceptions, key="node_id", by=by), [*by, "node_id"], "left_semi").withColumn("radius", F.lit(radius))
 
 
 def subtype(category: Column, tags: Column) -> Column:
@@ -91,8 +92,8 @@ def visible_features(features: DataFrame, hidden: DataFrame, deleted: DataFrame,
     return shown.filter(~subtype(F.col("category"), F.col("tags")).isin(*off)) if off else shown
 
 
-def bbox_filter(segments: DataFrame, box: tuple[float, float, float, float], grow: float = 0.0, key: str = "way_id") -> DataFrame:
-    """Keys of ways with a segment (x1, y1, x2, y2) that meets the box (min_x, min_y, max_x, max_y) grown by `grow`.
+def bbox_filter(segments: DataFrame, box: tuple[float, float, float, float], grow: float = 0.0, key: str = "way_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Keys (by, key) of ways with a segment (x1, y1, x2, y2) that meets the box (min_x, min_y, max_x, max_y) grown by `grow`.
 
     Plain comparisons of bounds come first, so they reach the scan; then the exact test.
     """
@@ -104,7 +105,7 @@ def bbox_filter(segments: DataFrame, box: tuple[float, float, float, float], gro
     crossing = inside
     for i in range(4):
         crossing = crossing | G.segments_intersect(a, b, corners[i], corners[(i + 1) % 4])
-    return segments.filter(near).filter(crossing).select(key).distinct()
+    return segments.filter(near).filter(crossing).select(*by, key).distinct()
 
 
 def way_kind_filter(features: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

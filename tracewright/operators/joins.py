@@ -60,9 +60,9 @@ def around(size: float, reach: int = 1) -> Column:
     return F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((cell_of(F.col("x"), size) + i).alias("cx"), (cell_of(F.col("y"), size) + j).alias("cy")))))
 
 
-def one_a_position(ref: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
+def one_a_position(ref: DataFrame, payload: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """ref (ref_id, x, y, payload) with the smallest ref_id of each position: others can't be nearer, nor win a tie."""
-    return ref.groupBy("x", "y").agg(F.min(F.struct("ref_id", *payload)).alias("r")).select("r.*", "x", "y")
+    return ref.groupBy(*by, "x", "y").agg(F.min(F.struct("ref_id", *payload)).alias("r")).select(*by, "r.*", "x", "y")
 
 
 MICRO = 1e6
@@ -73,19 +73,19 @@ def micro(d: Column) -> Column:
     return F.floor(d * MICRO + 0.5)
 
 
-def nearest_within(points: DataFrame, ref: DataFrame, reach: float, payload: tuple[str, ...] = ()) -> DataFrame:
+def nearest_within(points: DataFrame, ref: DataFrame, reach: float, payload: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """points (point_id, x, y) with dist and cost = dist / reach to the nearest of ref (ref_id, x, y, payload) closer than reach; others go.
 
     ref, one row a position, is dealt to 3 x 3 cells of size reach; ties (to the micrometre) go to the smaller ref_id.
     """
     p = points.withColumn("cx", cell_of(F.col("x"), reach)).withColumn("cy", cell_of(F.col("y"), reach))
-    r = one_a_position(ref, payload).select("ref_id", F.col("x").alias("rx"), F.col("y").alias("ry"), *payload, F.explode(around(reach)).alias("c"))
-    r = r.select("ref_id", "rx", "ry", *payload, F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
+    r = one_a_position(ref, payload, by).select(*by, "ref_id", F.col("x").alias("rx"), F.col("y").alias("ry"), *payload, F.explode(around(reach)).alias("c"))
+    r = r.select(*by, "ref_id", "rx", "ry", *payload, F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
     d = G.dist(F.col("x"), F.col("y"), F.col("rx"), F.col("ry"))
-    met = p.join(r, ["cx", "cy"]).withColumn("dist", d).filter(micro(F.col("dist")) < reach * MICRO)
+    met = p.join(r, [*by, "cx", "cy"]).withColumn("dist", d).filter(micro(F.col("dist")) < reach * MICRO)
     best = F.min(F.struct(micro(F.col("dist")).alias("near"), "ref_id", *payload, "dist")).alias("best")
-    near = met.groupBy("point_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), best)
-    return near.select("point_id", "x", "y", "best.dist", "best.ref_id", *(f"best.{c}" for c in payload)).withColumn("cost", F.col("dist") / reach)
+    near = met.groupBy(*by, "point_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), best)
+    return near.select(*by, "point_id", "x", "y", "best.dist", "best.ref_id", *(f"best.{c}" for c in payload)).withColumn("cost", F.col("dist") / reach)
 
 
 def nearest_steps(points: DataFrame, segments: DataFrame, reach: float, step: float, payload: tuple[str, ...] = ()) -> DataFrame:
@@ -165,15 +165,15 @@ def snap_to_edge(points: DataFrame, segments: DataFrame, size: float = 25.0, rou
     raise RuntimeError(f"points are left after {rounds} rounds of snapping")
 
 
-def endpoint_edge_join(endpoints: DataFrame, segments: DataFrame, reach: float = 5.0) -> DataFrame:
+def endpoint_edge_join(endpoints: DataFrame, segments: DataFrame, reach: float = 5.0, by: tuple[str, ...] = ()) -> DataFrame:
     """endpoints (way_id, pos, x, y) of drawn ways with the nearest segment of another way within reach: to_way, seg, px, py, dist, t. Ties (to the micrometre) go to the smaller way and segment."""
-    p = endpoints.select(F.col("way_id").alias("own"), "pos", "x", "y", F.explode(around(reach)).alias("c")).select("own", "pos", "x", "y", "c.cx", "c.cy")
-    met = p.join(segment_cells(segments, reach), ["cx", "cy"]).filter("own <> way_id")
+    p = endpoints.select(*by, F.col("way_id").alias("own"), "pos", "x", "y", F.explode(around(reach)).alias("c")).select(*by, "own", "pos", "x", "y", "c.cx", "c.cy")
+    met = p.join(segment_cells(segments, reach), [*by, "cx", "cy"]).filter("own <> way_id")
     met = met.withColumn("t", G.project_on_segment(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))))
     met = met.withColumn("px", G.interpolate(F.col("x1"), F.col("x2"), F.col("t"))).withColumn("py", G.interpolate(F.col("y1"), F.col("y2"), F.col("t")))
     met = met.withColumn("dist", G.dist(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(micro(F.col("dist")) <= reach * MICRO)
     best = F.min(F.struct(micro(F.col("dist")).alias("near"), F.col("way_id").alias("to_way"), "seg", "px", "py", "t", "dist")).alias("n")
-    return met.groupBy(F.col("own").alias("way_id"), "pos").agg(best).select("way_id", "pos", "n.dist", "n.to_way", "n.seg", "n.px", "n.py", "n.t")
+    return met.groupBy(*by, F.col("own").alias("way_id"), "pos").agg(best).select(*by, "way_id", "pos", "n.dist", "n.to_way", "n.seg", "n.px", "n.py", "n.t")
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
@@ -333,9 +333,9 @@ def line_cells(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return rows.select(*keys, "k", ix.cast("long").alias("ix"), iy.cast("long").alias("iy"))
 
 
-def segment_cost(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...], weight: float = 5.0, threshold: float = 1.0) -> DataFrame:
-    """keys, avg_cost, blocked, cost of lines over cells (ix, iy, cost): blocked if a cell costs threshold or more, else length * (1 + weight * mean). Cells off the grid don't count."""
-    met = line_cells(lines, keys).join(cells.select("ix", "iy", "cost"), ["ix", "iy"], "left").groupBy(*keys).agg(F.avg("cost").alias("avg_cost"), F.max("cost").alias("most"))
+def segment_cost(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...], weight: float = 5.0, threshold: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """keys, avg_cost, blocked, cost of lines over cells (ix, iy, cost): blocked if a cell costs threshold or more, else length * (1 + weight * mean). Cells off the grid don't count. by: columns among keys that cells have, too."""
+    met = line_cells(lines, keys).join(cells.select(*by, "ix", "iy", "cost"), [*by, "ix", "iy"], "left").groupBy(*keys).agg(F.avg("cost").alias("avg_cost"), F.max("cost").alias("most"))
     length = G.dist(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")))
     met = lines.select(*keys, length.alias("length")).join(met, list(keys))
     blocked = F.coalesce(F.col("most") >= threshold, F.lit(False))

@@ -13,10 +13,10 @@ from .overlay import Overlay, position_cells
 from .sequences import drop_close_points, path_concat, simplify_paths, smooth_paths, splits_along_segment
 
 
-def build_graph(segments: DataFrame) -> DataFrame:
+def build_graph(segments: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """src, dst, weight, way_id, seg of segments in both directions; a pair of nodes that several segments join keeps them all."""
-    one = segments.select("src", "dst", F.col("length").alias("weight"), "way_id", "seg")
-    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "way_id", "seg"))
+    one = segments.select(*by, "src", "dst", F.col("length").alias("weight"), "way_id", "seg")
+    return one.unionByName(one.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "way_id", "seg"))
 
 
 def splice_annotations(segments: DataFrame, junctions: DataFrame) -> DataFrame:

@@ -159,9 +159,9 @@ def simplify_paths(paths: DataFrame, eps: float, renumber: bool = True) -> DataF
     return renumbered(out) if renumber else out.select("path_id", "seq", "x", "y")
 
 
-def splits_along_segment(junctions: DataFrame) -> DataFrame:
+def splits_along_segment(junctions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """junctions (way_id, seg, t, dist, ...) with place: 1, 2, ... along the segment; ties go by their other columns."""
-    return junctions.withColumn("place", F.row_number().over(W.partitionBy("way_id", "seg").orderBy("t", "dist", *(c for c in junctions.columns if c not in ("way_id", "seg", "t", "dist")))))
+    return junctions.withColumn("place", F.row_number().over(W.partitionBy(*by, "way_id", "seg").orderBy("t", "dist", *(c for c in junctions.columns if c not in (*by, "way_id", "seg", "t", "dist")))))
 
 
 def nearest_one(pairs: DataFrame, key: str, dist: str, tie: str) -> DataFrame:

@@ -270,11 +270,11 @@ def shaped(t: Town):
 
 @query("""WITH l AS (SELECT way_id, sum(length) AS len FROM fx_segments GROUP BY way_id), p AS (SELECT max(x) - min(x) AS w, max(y) - min(y) AS h FROM fx_placed)
 SELECT 1 AS map_id, count(*) FILTER (category = 'road') AS n_road, count(*) FILTER (category = 'footway') AS n_footway, count(*) FILTER (category = 'barrier') AS n_barrier,
-round(sum(CASE WHEN category = 'footway' THEN coalesce(len, 0) END), 3) AS footway_length, round(sum(CASE WHEN category = 'footway' THEN 2 * coalesce(len, 0) + 6 * pi() END), 3) AS footway_outline, max(w) * max(h) AS bbox_area
+round(sum(CASE WHEN category = 'footway' THEN coalesce(len, 0) END), 3) AS footway_length, round(sum(CASE WHEN category = 'footway' THEN 2 * coalesce(len, 0) + 6 * pi() END), 3) AS footway_outline, max(w) * max(h) AS bbox_area, (SELECT count(DISTINCT path_id) FROM fx_paths) AS n_annotations
 FROM fx_class AS c LEFT JOIN l ON c.way_id = l.way_id CROSS JOIN p""")
 def map_stats(t: Town):
-    out = A.map_stats(shaped(t))
-    return out.select("map_id", "n_road", "n_footway", "n_barrier", F.round("footway_length", 3).alias("footway_length"), F.round("footway_outline", 3).alias("footway_outline"), "bbox_area")
+    out = A.map_stats(shaped(t), t.paths.select(F.lit(1).alias("map_id"), "path_id").distinct())
+    return out.select("map_id", "n_road", "n_footway", "n_barrier", F.round("footway_length", 3).alias("footway_length"), F.round("footway_outline", 3).alias("footway_outline"), "bbox_area", "n_annotations")
 
 
 @query("SELECT 1 AS map_id, count(*) FILTER (category = 'road') AS road, count(*) FILTER (category = 'footway') AS footway, count(*) FILTER (category = 'barrier') AS barrier, (SELECT count(*) FROM fx_crossroads) AS crossroad FROM fx_class")
