@@ -322,6 +322,17 @@ def leg_collisions(legs: DataFrame, rings: DataFrame, inflate: float = 0.25, siz
     return crossing.unionByName(inside).distinct()
 
 
+def paths_near(legs: DataFrame, rings: DataFrame, size: float = 25.0) -> DataFrame:
+    """path_id of paths that may come within a leg's own distance `within` of an area: a leg's bounds, grown by it, meet an edge's in a cell, or a leg starts inside. None that does is left out."""
+    corners = ("x1", "y1", "x2", "y2")
+    e = segment_cells(ring_edges(rings).select(*corners).distinct(), size).select("cx", "cy", *(F.col(c).alias("e" + c) for c in corners))
+    a = segment_cells(legs.select("path_id", *corners, "within"), size, F.col("within"))
+    met = [F.least(one + v + "1", one + v + "2") - F.col("within") <= F.greatest(two + v + "1", two + v + "2") for v in "xy" for one, two in (("", "e"), ("e", ""))]
+    on = (a.cx == e.cx) & (a.cy == e.cy) & met[0] & met[1] & met[2] & met[3]
+    starts = legs.select(F.struct("path_id", "leg").alias("point_id"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return a.join(e, on, "left_semi").select("path_id").unionByName(points_in_polygons(starts, rings).select("point_id.path_id")).distinct()
+
+
 def line_cells(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, k, ix, iy: the cells of the straight line from (x0, y0) to (x1, y1), whole numbers."""
     dx, dy = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))

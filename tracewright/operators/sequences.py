@@ -7,6 +7,9 @@ way_nodes: way_id, pos, node_id. paths: path_id, seq, x, y.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,34 +105,97 @@ def path_length_m(paths: DataFrame) -> DataFrame:
     return sums.withColumn("label", P.length_label(F.col("length_m")))
 
 
-def smooth_paths(paths: DataFrame, rings: DataFrame | None = None, w_data: float = 0.5, w_smooth: float = 0.3, tol: float = 1e-3, inflate: float = 0.25, most: int = 200) -> DataFrame:
-    """Relaxes interior points towards the path and their neighbours, ends fixed, until a sweep moves a path's points by less than tol in sum.
+#: What the sums of smooth_paths() leave out, as a share of a path's extent.
+LEFT_OUT = 1e-13
 
-    All paths sweep at once; each sweep is a table; paths that still move after `most` sweeps are an error. With rings, a path whose new state meets an obstacle keeps its last free state.
-    """
-    from .joins import leg_collisions
 
-    state = cut(paths.select("path_id", "seq", "x", "y", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lit(True).alias("live")), "sweep")
+def _faded(rows: DataFrame, sums: dict[str, Callable], ratio: float, w) -> DataFrame:
+    """rows with each column v of sums as v + ratio * v' + ratio^2 * v'' ..., of the rows behind (F.lag) or ahead (F.lead): log2 steps, each of which doubles the reach, over one window."""
+    reach = 1
+    while ratio > 0 and ratio**reach > LEFT_OUT:
+        rows = rows.withColumns({v: F.col(v) + ratio**reach * F.coalesce(side(v, reach).over(w), F.lit(0.0)) for v, side in sums.items()})
+        reach *= 2
+    return rows
+
+
+def _settled(rows: DataFrame, w_data: float, w_smooth: float, w) -> DataFrame:
+    """sx, sy: where sweeps end. How far points have moved there solves a tridiagonal system of the path's bends, whose influences fade by `ratio` a point; two multiples of that fading put the ends right."""
+    root = math.sqrt(w_data * (w_data + 4 * w_smooth))
+    ratio = 2 * w_smooth / (w_data + 2 * w_smooth + root) if w_smooth else 0.0
+    if ratio == 1:  # nothing holds the points: they end evenly spaced on the chord
+        return rows.withColumns({"s" + v: F.last(v).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) * F.col("at") / F.nullif(F.col("n"), F.lit(0)) for v in "xy"})
+    bends = {v: F.coalesce(F.lag(v).over(w) + F.lead(v).over(w) - 2 * F.col(v), F.lit(0.0)) for v in "xy"}
+    rows = _faded(rows.withColumns({side + v: bends[v] for v in "xy" for side in "fbk"}), {"fx": F.lag, "fy": F.lag, "bx": F.lead, "by": F.lead}, ratio, w)
+    rows = rows.withColumns({"u" + v: w_smooth / root * (F.col("f" + v) + F.col("b" + v) - F.col("k" + v)) for v in "xy"})
+    whole, fade = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), lambda k: F.pow(F.lit(ratio), k)
+    rows = rows.withColumns({end + v: -of("u" + v).over(whole) for v in "xy" for end, of in (("from", F.first), ("to", F.last))})
+    far = fade(F.col("n"))
+
+    def at(v: str) -> Column:
+        one, two = F.col("from" + v), F.col("to" + v)
+        return F.col(v) + F.col("u" + v) + ((one - two * far) * fade(F.col("at")) + (two - one * far) * fade(F.col("n") - F.col("at"))) / F.nullif(1 - far * far, F.lit(0.0))
 
-    def moved(v: str) -> Column:
-        before, after = F.lag(v).over(by_path()), F.lead(v).over(by_path())
-        now = F.col(v)
-        new = now + w_data * (F.col(v + "0") - now) + w_smooth * (before + after - 2 * now)
-        return F.when(F.col("live") & before.isNotNull() & after.isNotNull(), new).otherwise(now)
+    return rows.withColumns({"s" + v: at(v) for v in "xy"})
 
+
+def _legs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """path_id, leg, x1 .. y2 of rows' points (ox + x, oy + y)."""
+    ends = rows.select("path_id", F.col("seq").alias("leg"), (F.col("ox") + F.col(x)).alias("x1"), (F.col("oy") + F.col(y)).alias("y1"))
+    w = W.partitionBy("path_id").orderBy("leg")
+    return ends.withColumns({"x2": F.lead("x1").over(w), "y2": F.lead("y1").over(w)}).filter("x2 is not null")
+
+
+def smooth_paths(paths: DataFrame, rings: DataFrame | None = None, w_data: float = 0.5, w_smooth: float = 0.3, tol: float = 1e-3, inflate: float = 0.25, most: int = 200) -> DataFrame:
+    """path_id, seq, x, y: interior points relaxed towards the path and their neighbours, ends fixed.
+
+    The rule is that of sweeps in order of seq, each point drawn by w_data to where it was and by w_smooth to its neighbours (that
+    before it already moved), until a sweep moves a path's points by less than tol in sum. Without rings, points are put where sweeps
+    end (_settled): one shuffle, whatever the length of a path, off by LEFT_OUT and the sweeps' own remainder, which is of the order of tol.
+    With rings, a path whose new state meets an obstacle keeps its last free state. Only paths that might, by how far their
+    points can get, are swept at all, a table a sweep; those that still move after `most` are an error, and so are weights with which
+    sweeps don't settle. Points without finite coordinates stay, and are ends to the points beside them; paths of two points or fewer stay.
+    """
+    from .joins import finite, leg_collisions, paths_near
+
+    if w_data < 0 or w_smooth < 0 or w_data + 2 * w_smooth >= 2:
+        raise ValueError("sweeps don't settle with such weights")
+    if not w_data and not w_smooth:
+        return paths.select("path_id", "seq", "x", "y")
+    bad = F.when(F.expr(finite("x", "y")), 0).otherwise(1)
+    rows = paths.select("path_id", "seq", "x", "y").withColumn("part", 2 * F.sum(bad).over(by_path()) + bad)
+    w = W.partitionBy("path_id", "part").orderBy("seq")
+    placed = {"at": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(W.partitionBy("path_id", "part")) - 1, "ox": F.first("x").over(w), "oy": F.first("y").over(w)}
+    rows = rows.withColumns({"x0": F.col("x"), "y0": F.col("y")}).withColumns(placed)
+    rows = rows.withColumns({"x": F.col("x") - F.col("ox"), "y": F.col("y") - F.col("oy")})
+    moves = (F.col("at") > 0) & (F.col("at") < F.col("n"))
+    out = [F.when(moves, F.col("o" + v) + F.col("s" + v)).otherwise(F.col(v + "0")).alias(v) for v in "xy"]
+    still = _settled(rows, w_data, w_smooth, w)
+    if rings is None:
+        return still.select("path_id", "seq", *out)
+    rest = {"s" + v: F.when(moves, F.col("s" + v)).otherwise(F.col(v)) for v in "xy"}
+    still = cut(still.withColumns(rest).select("path_id", "part", "seq", "at", "n", "ox", "oy", "x", "y", "x0", "y0", "sx", "sy"), "settled")
+    # in every sweep points come no farther from where they end than the farthest point of their path was, if a sweep shrinks that
+    shrinks = abs(1 - w_data - 2 * w_smooth) + 2 * w_smooth <= 1
+    gap = still.groupBy("path_id").agg(G.dist(F.max(F.abs(F.col("x") - F.col("sx"))), F.max(F.abs(F.col("y") - F.col("sy"))), F.lit(0.0), F.lit(0.0)).alias("gap"))
+    legs = _legs(still, "sx", "sy").join(gap, "path_id").withColumn("within", F.coalesce("gap", F.lit(0.0)) + inflate)
+    near = cut(paths_near(legs, rings) if shrinks else still.select("path_id").distinct(), "near")
+    done = still.join(near, "path_id", "left_anti").select("path_id", "seq", *out)
+    state = cut(still.join(near, "path_id", "left_semi").drop("sx", "sy").withColumns({"px": F.col("x"), "py": F.col("y")}), "sweep")
     for _ in range(most):
-        step = state.withColumns({"nx": moved("x"), "ny": moved("y")})
-        step = step.withColumn("change", F.sum(F.abs(F.col("nx") - F.col("x")) + F.abs(F.col("ny") - F.col("y"))).over(W.partitionBy("path_id")))
-        if rings is not None:
-            legs = step.select("path_id", F.col("seq").alias("leg"), F.col("nx").alias("x1"), F.col("ny").alias("y1"), F.lead("nx").over(by_path()).alias("x2"), F.lead("ny").over(by_path()).alias("y2")).filter("x2 is not null")
-            bad = leg_collisions(legs, rings, inflate).select("path_id").distinct().withColumn("bad", F.lit(True))
-            step = step.join(bad, "path_id", "left")
-        else:
-            step = step.withColumn("bad", F.lit(None).cast("boolean"))
-        ok = F.coalesce(~F.col("bad"), F.lit(True))
-        state = cut(step.select("path_id", "seq", F.when(ok, F.col("nx")).otherwise(F.col("x")).alias("x"), F.when(ok, F.col("ny")).otherwise(F.col("y")).alias("y"), "x0", "y0", (F.col("live") & ok & (F.col("change") >= tol)).alias("live")), "sweep")
-        if state.filter("live").isEmpty():
-            return state.select("path_id", "seq", "x", "y")
+        if state.isEmpty():
+            return done
+        drawn = {"s" + v: F.when(F.col("at") == 0, F.col(v)).otherwise((1 - w_data - 2 * w_smooth) * F.col(v) + w_data * F.col("p" + v) + w_smooth * F.lead(v).over(w)) for v in "xy"}
+        step = _faded(state.withColumns(drawn), {"sx": F.lag, "sy": F.lag}, w_smooth, w).withColumns(rest)
+        change = F.sum(F.coalesce(F.abs(F.col("sx") - F.col("x")) + F.abs(F.col("sy") - F.col("y")), F.lit(0.0))).over(W.partitionBy("path_id"))
+        step = cut(step.withColumn("change", change), "swept")
+        met = leg_collisions(_legs(step, "sx", "sy"), rings, inflate).select("path_id").distinct().withColumn("met", F.lit(True))
+        step = cut(step.join(met, "path_id", "left"), "sweep")
+        free = step.filter("met is null")
+        held = step.filter("met").select("path_id", "seq", *(F.when(moves, F.col("o" + v) + F.col(v)).otherwise(F.col(v + "0")).alias(v) for v in "xy"))
+        done = done.unionByName(held).unionByName(free.filter(F.col("change") < tol).select("path_id", "seq", *out))
+        state = free.filter(F.col("change") >= tol).select(*(c for c in state.columns if c not in ("x", "y")), F.col("sx").alias("x"), F.col("sy").alias("y"))
+    if state.isEmpty():
+        return done
     raise RuntimeError(f"paths still move after {most} sweeps")
 
 
