@@ -428,6 +428,43 @@ def test_two_maps_of_the_same_ids_and_places_stay_apart(spark):
     assert {(r.map_id, r.blocked) for r in J.segment_cost(lines, cells, ("map_id", "i"), by=by).collect()} == {(1, False), (2, True)}
 
 
+def test_snapping_areas_and_collisions_of_two_maps_stay_apart(spark):
+    """Both maps have way 1, area 1, path 1 and point 1 in the same place; what each meets is its own map's."""
+    by = ("map_id",)
+
+    def maps(*each):
+        out = each[0].withColumn("map_id", F.lit(1))
+        for k, df in enumerate(each[1:], 2):
+            out = out.unionByName(df.withColumn("map_id", F.lit(k)))
+        return out
+
+    areas = maps(rings(spark, {1: [BOX(0, 0, 10), BOX(4, 4, 2)]}), rings(spark, {1: [BOX(100, 0, 10)], 2: [BOX(4, 4, 2)]}))
+    at = {1: (1.0, 1.0), 2: (5.0, 5.0), 3: (101.0, 5.0)}
+    points = spark.createDataFrame([(k, *p) for k, p in at.items()], "point_id long, x double, y double")
+    inside = {1: {(1, 1)}, 2: {(2, 2), (3, 1)}}
+    got = J.points_in_polygons(maps(points, points), areas, by=by)
+    assert got.columns == ["map_id", "point_id", "area_id"]
+    assert {(r.map_id, r.point_id, r.area_id) for r in got.collect()} == {(m, *x) for m in inside for x in inside[m]}
+    near, far = segs(spark, [(1, 0, (0, 0, 10, 0), 1, 2)]), segs(spark, [(1, 0, (0, 300, 10, 300), 1, 2), (2, 0, (0, 300, 10, 300), 1, 2)])
+    asked = maps(points, points, points)  # the third map has no segment
+    got = J.snap_to_edge(asked, maps(near, far), by=by)
+    assert {(r.map_id, r.point_id): (r.way_id, r.py, round(r.dist, 6)) for r in got.collect()} == {
+        (m, k): (1, y0, round(math.hypot(max(x - 10, 0), y - y0), 6)) for m, y0 in ((1, 0.0), (2, 300.0)) for k, (x, y) in at.items()
+    }
+    for m, own in ((1, near), (2, far)):  # each map's rows are those of the map by itself
+        alone = {(r.point_id, r.way_id, r.seg, r.dist) for r in J.snap_to_edge(points, own).collect()}
+        assert alone == {(r.point_id, r.way_id, r.seg, r.dist) for r in got.filter(F.col("map_id") == m).collect()}
+    assert {(r.map_id, r.point_id) for r in J.points_near_segments(asked, maps(near, far), 2.0, by=by).collect()} == {(1, 1)}
+    assert [(r.map_id, r.point_id, r.way_id, r.dist) for r in J.near_segments(asked, maps(near, far), 2.0, by=by).collect()] == [(1, 1, 1, 1.0)]
+    left = J.obstacles_minus_paths(maps(points, points), areas, maps(near, far), 2.0, by=by)
+    assert {(r.map_id, r.point_id) for r in left.collect()} == {(2, 2), (2, 3)}
+    legs = spark.createDataFrame([(1, 0, -5.0, 2.0, 5.0, 2.0), (1, 1, 101.0, 5.0, 102.0, 5.0)], "path_id long, leg int, x1 double, y1 double, x2 double, y2 double")
+    got = J.leg_collisions(maps(legs, legs), areas, by=by)
+    assert {(r.map_id, r.path_id, r.leg) for r in got.collect()} == {(1, 1, 0), (2, 1, 1)}
+    none = areas.filter("false")
+    assert J.points_in_polygons(maps(points), none, by=by).count() == 0 and J.leg_collisions(maps(legs), none, by=by).count() == 0
+
+
 def test_statistics_count_drawn_features(spark):
     shape = "array<struct<x:double,y:double>>"
     f = spark.createDataFrame([(m, "footway", [(0.0, 0.0), (3.0, 4.0)], 3.0) for m in (1, 2)], f"map_id long, category string, points {shape}, radius double")

@@ -139,27 +139,29 @@ def segment_cells(segments: DataFrame, size: float, margin: Column | float = 0.0
     return rows.withColumn("cy", F.explode(F.sequence(cell_of(F.least(*ends) - m, size), cell_of(F.greatest(*ends) + m, size))))
 
 
-def snap_to_edge(points: DataFrame, segments: DataFrame, size: float = 25.0, rounds: int = 64) -> DataFrame:
+def snap_to_edge(points: DataFrame, segments: DataFrame, size: float = 25.0, rounds: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
     """points (point_id, x, y) with the nearest segment's way_id, seg, the projected px, py and dist; ties (to the micrometre) to the smaller way and segment.
 
     Cells double in size until every point has a segment within reach; a point found at distance d in a pass of reach r >= d is
-    settled, the rest go on. A point without finite coordinates gets no row, nor does any without segments that have them. Points
-    that are left after `rounds` passes are an error.
+    settled, the rest go on. A point without finite coordinates gets no row, nor does any whose map has no segments that have them.
+    Points that are left after `rounds` passes are an error.
     """
-    left, done = points.select("point_id", "x", "y").filter(finite("x", "y")), None
+    left, done = points.select(*by, "point_id", "x", "y").filter(finite("x", "y")), None
     segments = segments.filter(finite("x1", "y1", "x2", "y2"))
+    if by:  # a map without segments would never settle
+        left = cut(left.join(segments.select(*by).distinct(), list(by), "left_semi"), "unsnapped")
     for k in range(rounds):
         reach = size * 2**k
-        p = left.select("point_id", "x", "y", F.explode(around(reach)).alias("c")).select("point_id", "x", "y", "c.cx", "c.cy")
-        met = p.join(segment_cells(segments, reach), ["cx", "cy"])
+        p = left.select(*by, "point_id", "x", "y", F.explode(around(reach)).alias("c")).select(*by, "point_id", "x", "y", "c.cx", "c.cy")
+        met = p.join(segment_cells(segments, reach), [*by, "cx", "cy"])
         t = G.project_on_segment(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
         met = met.withColumn("px", G.interpolate(F.col("x1"), F.col("x2"), t)).withColumn("py", G.interpolate(F.col("y1"), F.col("y2"), t))
         met = met.withColumn("dist", G.dist(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(micro(F.col("dist")) <= reach * MICRO)
         best = F.min(F.struct(micro(F.col("dist")).alias("near"), "way_id", "seg", "px", "py", "dist")).alias("n")
-        near = met.groupBy("point_id").agg(best).select("point_id", "n.dist", "n.way_id", "n.seg", "n.px", "n.py")
-        found = cut(points.select("point_id", "x", "y").join(near, "point_id"), "snapped")
+        near = met.groupBy(*by, "point_id").agg(best).select(*by, "point_id", "n.dist", "n.way_id", "n.seg", "n.px", "n.py")
+        found = cut(points.select(*by, "point_id", "x", "y").join(near, [*by, "point_id"]), "snapped")
         done = found if done is None else done.unionByName(found)
-        left = cut(left.join(found.select("point_id"), "point_id", "left_anti"), "unsnapped")
+        left = cut(left.join(found.select(*by, "point_id"), [*by, "point_id"], "left_anti"), "unsnapped")
         if left.isEmpty() or k == 0 and segments.isEmpty():
             return done
     raise RuntimeError(f"points are left after {rounds} rounds of snapping")
@@ -176,19 +178,19 @@ def endpoint_edge_join(endpoints: DataFrame, segments: DataFrame, reach: float =
     return met.groupBy(*by, F.col("own").alias("way_id"), "pos").agg(best).select(*by, "way_id", "pos", "n.dist", "n.to_way", "n.seg", "n.px", "n.py", "n.t")
 
 
-def ring_edges(rings: DataFrame) -> DataFrame:
+def ring_edges(rings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """area_id, ring, pos, x1, y1, x2, y2 of the consecutive ring points."""
-    w = W.partitionBy("area_id", "ring").orderBy("pos")
-    return rings.select("area_id", "ring", "pos", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).filter("x2 is not null")
+    w = W.partitionBy(*by, "area_id", "ring").orderBy("pos")
+    return rings.select(*by, "area_id", "ring", "pos", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).filter("x2 is not null")
 
 
 #: Rows of cells that an area's edges are dealt to, at most; cells that its bounds touch each way, about.
 ROWS, ACROSS = 1024, 4
 
 
-def area_boxes(rings: DataFrame, size: float) -> DataFrame:
+def area_boxes(rings: DataFrame, size: float, by: tuple[str, ...] = ()) -> DataFrame:
     """area_id, x1, y1, x2, y2, level and row of each area: cells of size * 2**level span its bounds in a few, rows of height `row` in ROWS at most."""
-    b = rings.filter(finite("x", "y")).groupBy("area_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
+    b = rings.filter(finite("x", "y")).groupBy(*by, "area_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
     wide, high = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.col("y2") - F.col("y1")
     level = F.when(wide > size * ACROSS, F.ceil(F.log2(wide / (size * ACROSS)))).otherwise(0).cast("int")
     return b.withColumn("level", level).withColumn("row", F.greatest(F.lit(size), high / ROWS))
@@ -242,70 +244,70 @@ def positions_inside(at: DataFrame, rings: DataFrame, tile: float = 64.0) -> Dat
     return a.join(b, held, "left_semi").select("x", "y")
 
 
-def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 10.0) -> DataFrame:
+def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 10.0, by: tuple[str, ...] = ()) -> DataFrame:
     """point_id, area_id of points (point_id, x, y) inside areas: inside the outer ring (0) and in none of the holes (1, 2, ...).
 
     A point meets the areas whose bounds hold it by cells whose size goes with the area's, then their edges by area and row (y);
     parity is counted per ring. So an area makes few cells however large it is, and its edges are met row by row. Rows whose
     coordinates are no finite numbers are in nothing and bound nothing.
     """
-    boxes = area_boxes(rings, size)
+    boxes = area_boxes(rings, size, by)
     levels = sorted(r.level for r in boxes.select("level").distinct().collect())  # doublings of a size: some tens at most
     at = F.col("size") if len(levels) > 1 else F.lit(size * 2.0 ** (levels[0] if levels else 0))
-    p = points.filter(finite("x", "y")).select("point_id", "x", "y")
+    p = points.filter(finite("x", "y")).select(*by, "point_id", "x", "y")
     if len(levels) > 1:
         p = p.withColumn("size", F.explode(F.array(*(F.lit(size * 2.0**k) for k in levels))))
     p = p.withColumns({"size": at, "cx": F.floor(F.col("x") / at).cast("long"), "cy": F.floor(F.col("y") / at).cast("long")})
     own = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
     span = lambda c: F.sequence(F.floor(F.col(c + "1") / own).cast("long"), F.floor(F.col(c + "2") / own).cast("long"))
     cells = boxes.withColumn("size", own).withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
-    maybe = p.join(cells.drop("level"), ["size", "cx", "cy"]).filter("x >= x1 and x <= x2 and y >= y1 and y <= y2")
-    maybe = maybe.select("point_id", "area_id", "x", "y", F.floor(F.col("y") / F.col("row")).cast("long").alias("cy"))
-    e = ring_edges(rings).filter(finite("x1", "y1", "x2", "y2")).join(boxes.select("area_id", "row"), "area_id")
+    maybe = p.join(cells.drop("level"), [*by, "size", "cx", "cy"]).filter("x >= x1 and x <= x2 and y >= y1 and y <= y2")
+    maybe = maybe.select(*by, "point_id", "area_id", "x", "y", F.floor(F.col("y") / F.col("row")).cast("long").alias("cy"))
+    e = ring_edges(rings, by).filter(finite("x1", "y1", "x2", "y2")).join(boxes.select(*by, "area_id", "row"), [*by, "area_id"])
     e = e.filter("y1 <> y2").withColumn("cy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / F.col("row")).cast("long"), F.floor(F.greatest("y1", "y2") / F.col("row")).cast("long")))).drop("row")
-    met = maybe.join(e, ["area_id", "cy"]).filter(F.coalesce(G.crosses_ray(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))), F.lit(False)))
+    met = maybe.join(e, [*by, "area_id", "cy"]).filter(F.coalesce(G.crosses_ray(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))), F.lit(False)))
     # both groupings go by one shuffle
-    odd = met.select("point_id", "area_id", "ring").repartition("point_id", "area_id").groupBy("point_id", "area_id", "ring").count().filter("count % 2 = 1")
-    return odd.groupBy("point_id", "area_id").agg(F.min("ring").alias("low"), F.max("ring").alias("high")).filter("low = 0 and high = 0").select("point_id", "area_id")
+    odd = met.select(*by, "point_id", "area_id", "ring").repartition(*by, "point_id", "area_id").groupBy(*by, "point_id", "area_id", "ring").count().filter("count % 2 = 1")
+    return odd.groupBy(*by, "point_id", "area_id").agg(F.min("ring").alias("low"), F.max("ring").alias("high")).filter("low = 0 and high = 0").select(*by, "point_id", "area_id")
 
 
-def obstacles_minus_paths(cells: DataFrame, rings: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
+def obstacles_minus_paths(cells: DataFrame, rings: DataFrame, segments: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Cells (point_id, x, y) inside an area and farther than radius from every way segment."""
-    inside = points_in_polygons(cells, rings).select("point_id").distinct()
-    hit = cut(cells.join(inside, "point_id", "left_semi"), "hit")
-    return hit.join(points_near_segments(hit, segments, radius), "point_id", "left_anti")
+    inside = points_in_polygons(cells, rings, by=by).select(*by, "point_id").distinct()
+    hit = cut(cells.join(inside, [*by, "point_id"], "left_semi"), "hit")
+    return hit.join(points_near_segments(hit, segments, radius, by=by), [*by, "point_id"], "left_anti")
 
 
-def near_segments(points: DataFrame, segments: DataFrame, radius: Column | float, size: float = 10.0) -> DataFrame:
+def near_segments(points: DataFrame, segments: DataFrame, radius: Column | float, size: float = 10.0, by: tuple[str, ...] = ()) -> DataFrame:
     """point_id, way_id, seg, dist of every segment within radius of a point; radius may be a column of segments."""
-    return _met_segments(points, segments, radius, size).groupBy("point_id", "way_id", "seg").agg(F.min("dist").alias("dist"))
+    return _met_segments(points, segments, radius, size, by).groupBy(*by, "point_id", "way_id", "seg").agg(F.min("dist").alias("dist"))
 
 
-def points_near_segments(points: DataFrame, segments: DataFrame, radius: Column | float, size: float = 10.0) -> DataFrame:
+def points_near_segments(points: DataFrame, segments: DataFrame, radius: Column | float, size: float = 10.0, by: tuple[str, ...] = ()) -> DataFrame:
     """point_id of the points within radius of any segment; segments of one course count once, with their largest radius."""
     r = radius if isinstance(radius, Column) else F.lit(radius)
-    courses = segments.groupBy("x1", "y1", "x2", "y2").agg(F.max(r).alias("within"))
-    return _met_segments(points, courses, F.col("within"), size).select("point_id").distinct()
+    courses = segments.groupBy(*by, "x1", "y1", "x2", "y2").agg(F.max(r).alias("within"))
+    return _met_segments(points, courses, F.col("within"), size, by).select(*by, "point_id").distinct()
 
 
-def _met_segments(points: DataFrame, segments: DataFrame, radius: Column | float, size: float) -> DataFrame:
+def _met_segments(points: DataFrame, segments: DataFrame, radius: Column | float, size: float, by: tuple[str, ...]) -> DataFrame:
     """Points with the segments within radius of them and dist: a point in its own cell, segments in all cells within their radius."""
     r = radius if isinstance(radius, Column) else F.lit(radius)
-    p = points.filter(finite("x", "y")).select("point_id", "x", "y", cell_of(F.col("x"), size).alias("cx"), cell_of(F.col("y"), size).alias("cy"))
-    met = p.join(segment_cells(segments.withColumn("__within", r), size, F.col("__within")), ["cx", "cy"])
+    p = points.filter(finite("x", "y")).select(*by, "point_id", "x", "y", cell_of(F.col("x"), size).alias("cx"), cell_of(F.col("y"), size).alias("cy"))
+    met = p.join(segment_cells(segments.withColumn("__within", r), size, F.col("__within")), [*by, "cx", "cy"])
     met = met.filter("x between least(x1, x2) - __within and greatest(x1, x2) + __within and y between least(y1, y2) - __within and greatest(y1, y2) + __within")
     return met.withColumn("dist", G.point_segment_dist(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))).filter(F.col("dist") <= F.col("__within")).drop("__within")
 
 
-def leg_collisions(legs: DataFrame, rings: DataFrame, inflate: float = 0.25, size: float = 25.0) -> DataFrame:
+def leg_collisions(legs: DataFrame, rings: DataFrame, inflate: float = 0.25, size: float = 25.0, by: tuple[str, ...] = ()) -> DataFrame:
     """path_id, leg of legs (path_id, leg, x1, y1, x2, y2) that meet an area grown by inflate: they cross or come near an edge, or start inside.
 
     Legs and edges meet in the cells along them; a pair is compared once, if their bounds and the leg's line come within inflate of the edge.
     """
-    e = ring_edges(rings).select("x1", "y1", "x2", "y2").distinct()
+    e = ring_edges(rings, by).select(*by, "x1", "y1", "x2", "y2").distinct()
     corners = ("x1", "y1", "x2", "y2")
-    near = segment_cells(e, size, inflate).select("cx", "cy", *(F.col(c).alias("e" + c) for c in corners))
-    met = segment_cells(legs.select("path_id", "leg", *corners), size).join(near, ["cx", "cy"])
+    near = segment_cells(e, size, inflate).select(*by, "cx", "cy", *(F.col(c).alias("e" + c) for c in corners))
+    met = segment_cells(legs.select(*by, "path_id", "leg", *corners), size).join(near, [*by, "cx", "cy"])
     for v in "xy":
         for one, two in (("", "e"), ("e", "")):
             met = met.filter(f"least({one}{v}1, {one}{v}2) <= greatest({two}{v}1, {two}{v}2) + {inflate}")
@@ -313,12 +315,12 @@ def leg_collisions(legs: DataFrame, rings: DataFrame, inflate: float = 0.25, siz
     off = [f"((x2 - x1) * (ey{i} - y1) - (y2 - y1) * (ex{i} - x1))" for i in (1, 2)]
     reach = f"{inflate + SLACK} * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))"
     met = met.filter(f"least({off[0]}, {off[1]}) <= {reach} and greatest({off[0]}, {off[1]}) >= -{reach}")
-    met = met.select("path_id", "leg", *corners, *("e" + c for c in corners)).distinct()  # a pair may meet in several cells
+    met = met.select(*by, "path_id", "leg", *corners, *("e" + c for c in corners)).distinct()  # a pair may meet in several cells
     a, b, c, d = ((F.col(x), F.col(y)) for x, y in (("x1", "y1"), ("x2", "y2"), ("ex1", "ey1"), ("ex2", "ey2")))
     gap = F.least(G.point_segment_dist(*a, *c, *d), G.point_segment_dist(*b, *c, *d), G.point_segment_dist(*c, *a, *b), G.point_segment_dist(*d, *a, *b))
-    crossing = met.filter(G.segments_intersect(a, b, c, d) | (gap <= inflate)).select("path_id", "leg")
-    starts = legs.select(F.struct("path_id", "leg").alias("point_id"), F.col("x1").alias("x"), F.col("y1").alias("y"))
-    inside = points_in_polygons(starts, rings).select("point_id.*")
+    crossing = met.filter(G.segments_intersect(a, b, c, d) | (gap <= inflate)).select(*by, "path_id", "leg")
+    starts = legs.select(*by, F.struct("path_id", "leg").alias("point_id"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    inside = points_in_polygons(starts, rings, by=by).select(*by, "point_id.*")
     return crossing.unionByName(inside).distinct()
 
 
