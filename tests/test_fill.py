@@ -135,3 +135,23 @@ def test_simplifying_against_the_recursive_rule(spark):
     for x in S.simplify_paths(rows, 7.5, renumber=False).orderBy("path_id", "seq").collect():
         got.setdefault(x.path_id, []).append(x.seq)
     assert got == {p: sorted({0, len(way) - 1, *kept(way, 0, len(way) - 1)}) for p, way in ways.items()}
+
+
+def test_grids_of_two_maps_stay_apart(spark):
+    """Two maps in one place, each with an area and a way of its own under the same ids: both maps' grids are those of each map by itself."""
+    cells = spark.range(400).selectExpr("id as point_id", "id % 20 as ix", "floor(id / 20) as iy", "cast(id % 20 as double) as x", "cast(floor(id / 20) as double) as y")
+    own = []
+    for m, (low, y) in enumerate(((2.0, 4.0), (7.0, 15.0)), 1):
+        ring = [(1, 0, i, low + dx, low + dy) for i, (dx, dy) in enumerate([(0.0, 0.0), (6.5, 0.0), (6.5, 6.5), (0.0, 6.5), (0.0, 0.0)])]
+        way = [(1, 0, 0.0, y, 20.0, y, 0.1 * m)]
+        own.append((spark.createDataFrame(ring, "area_id long, ring int, pos int, x double, y double"), spark.createDataFrame(way, "way_id long, seg int, x1 double, y1 double, x2 double, y2 double, way_cost double")))
+    both = [one.withColumn("map_id", F.lit(1)).unionByName(two.withColumn("map_id", F.lit(2))) for one, two in ((cells, cells), *zip(*own, strict=True))]
+    by, rows = ("map_id",), lambda df, m: {tuple(r) for r in df.filter(F.col("map_id") == m).drop("map_id").collect()}
+    grid = R.cost_grid(both[0], both[2], both[2], both[1], by=by).cache()
+    burnt, costs = R.burn_obstacles(both[0], both[1], by=by), R.nearest_way_cost(both[0], both[2], by=by)
+    for m, (rings, ways) in enumerate(own, 1):
+        alone = R.cost_grid(cells, ways, ways, rings)
+        assert alone.filter("blocked").count() and rows(grid, m) == {tuple(r) for r in alone.collect()}
+        assert rows(burnt, m) == {tuple(r) for r in R.burn_obstacles(cells, rings).collect()}
+        assert rows(costs, m) == {tuple(r) for r in R.nearest_way_cost(cells, ways).collect()} and rows(costs, m)
+    assert rows(grid, 1) != rows(grid, 2) and grid.count() == 800

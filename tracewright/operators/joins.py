@@ -88,16 +88,16 @@ def nearest_within(points: DataFrame, ref: DataFrame, reach: float, payload: tup
     return near.select(*by, "point_id", "x", "y", "best.dist", "best.ref_id", *(f"best.{c}" for c in payload)).withColumn("cost", F.col("dist") / reach)
 
 
-def nearest_steps(points: DataFrame, segments: DataFrame, reach: float, step: float, payload: tuple[str, ...] = ()) -> DataFrame:
+def nearest_steps(points: DataFrame, segments: DataFrame, reach: float, step: float, payload: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """nearest_within() of the points that densify_ways() would put along the segments (way_id, seg, x1 .. y2, payload), without making them.
 
     ref_id is (way_id, seg, k). A segment's nearest step follows from where the point is projected on it. So segments are dealt to cells, and a point meets a segment near it once, however fine the steps.
     """
     size, at = 4 * reach, [F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]
     n = F.when(F.col("length") <= 0.001, 1).otherwise(F.ceil(F.col("length") / step)).cast("int")
-    s = segments.withColumn("length", G.dist(*at[2:])).withColumn("n", n).select("way_id", "seg", "x1", "y1", "x2", "y2", "n", *payload)
-    p = points.filter(finite("x", "y")).select("point_id", "x", "y", cell_of(F.col("x"), size).alias("cx"), cell_of(F.col("y"), size).alias("cy"))
-    met = p.join(segment_cells(s, size, reach), ["cx", "cy"])
+    s = segments.withColumn("length", G.dist(*at[2:])).withColumn("n", n).select(*by, "way_id", "seg", "x1", "y1", "x2", "y2", "n", *payload)
+    p = points.filter(finite("x", "y")).select(*by, "point_id", "x", "y", cell_of(F.col("x"), size).alias("cx"), cell_of(F.col("y"), size).alias("cy"))
+    met = p.join(segment_cells(s, size, reach), [*by, "cx", "cy"])
     for v in "xy":
         met = met.filter(f"{v} between least({v}1, {v}2) - {reach} and greatest({v}1, {v}2) + {reach}")
     # the line through the segment passes within reach, too: long segments have wide bounds
@@ -109,9 +109,9 @@ def nearest_steps(points: DataFrame, segments: DataFrame, reach: float, step: fl
     t = F.col("k") / F.col("n")
     met = met.withColumn("dist", G.dist(at[0], at[1], G.interpolate(at[2], at[4], t), G.interpolate(at[3], at[5], t)))
     best = F.min(F.struct(micro(F.col("dist")).alias("near"), "way_id", "seg", "k", *payload, "dist")).alias("best")
-    near = met.filter(micro(F.col("dist")) < reach * MICRO).groupBy("point_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), best)
+    near = met.filter(micro(F.col("dist")) < reach * MICRO).groupBy(*by, "point_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), best)
     ref = F.struct("best.way_id", "best.seg", "best.k").alias("ref_id")
-    return near.select("point_id", "x", "y", "best.dist", ref, *(f"best.{c}" for c in payload)).withColumn("cost", F.col("dist") / reach)
+    return near.select(*by, "point_id", "x", "y", "best.dist", ref, *(f"best.{c}" for c in payload)).withColumn("cost", F.col("dist") / reach)
 
 
 #: Metres by which cells are dealt too widely, so that rounding loses none.
@@ -201,47 +201,49 @@ def crossing_x(y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Col
     return F.when((y1 > y) != (y2 > y), (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
 
 
-def row_spans(crossings: DataFrame) -> DataFrame:
+def row_spans(crossings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """area_id, y, low, high: the stretches low <= x < high of each row inside an area, from its crossings (area_id, ring, y, x).
 
     In a row the crossings of a ring, in order, open and close it by turns (even-odd rule). Inside is where the outer ring (0) is open and
     no hole is.
     """
-    rows = crossings.repartition("area_id", "y")  # both windows go by this one shuffle
-    turn = F.row_number().over(W.partitionBy("area_id", "ring", "y").orderBy("x")) % 2 * 2 - 1
-    by = W.partitionBy("area_id", "y").orderBy("x")
-    upto = by.rowsBetween(W.unboundedPreceding, 0)
+    rows = crossings.repartition(*by, "area_id", "y")  # both windows go by this one shuffle
+    turn = F.row_number().over(W.partitionBy(*by, "area_id", "ring", "y").orderBy("x")) % 2 * 2 - 1
+    w = W.partitionBy(*by, "area_id", "y").orderBy("x")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
     outer = F.sum(F.when(F.col("ring") == 0, F.col("turn")).otherwise(0)).over(upto)
     holes = F.sum(F.when(F.col("ring") == 0, 0).otherwise(F.col("turn"))).over(upto)
-    swept = rows.withColumn("turn", turn).select("area_id", "y", F.col("x").alias("low"), F.lead("x").over(by).alias("high"), outer.alias("outer"), holes.alias("holes"))
-    return swept.filter("outer = 1 and holes = 0 and low < high").select("area_id", "y", "low", "high")
+    swept = rows.withColumn("turn", turn).select(*by, "area_id", "y", F.col("x").alias("low"), F.lead("x").over(w).alias("high"), outer.alias("outer"), holes.alias("holes"))
+    return swept.filter("outer = 1 and holes = 0 and low < high").select(*by, "area_id", "y", "low", "high")
 
 
-def positions_inside(at: DataFrame, rings: DataFrame, tile: float = 64.0) -> DataFrame:
+def positions_inside(at: DataFrame, rings: DataFrame, tile: float = 64.0, by: tuple[str, ...] = ()) -> DataFrame:
     """x, y of the rows of at that lie inside any area, holes left out, row of positions by row.
 
     The different heights y in a tile's width are rows. A row meets the areas whose bounds it crosses (by cells whose size goes with the area's), the
     edges of an area it meets are found by height, and their crossings make spans. Positions then ask only whether a span of their row
     and tile holds them, so no position meets an edge. Coordinates that are no finite numbers are in nothing and bound nothing.
     """
-    boxes = area_boxes(rings, tile)
+    boxes = area_boxes(rings, tile, by)
     levels = sorted(r.level for r in boxes.select("level").distinct().collect())  # doublings of a size: some tens at most
-    p = at.filter(finite("x", "y")).select("x", "y", cell_of(F.col("x"), tile).alias("tx"))
-    rows = p.select("tx", "y").distinct().withColumn("level", F.explode(F.array(*(F.lit(k) for k in levels or [0]))))
+    p = at.filter(finite("x", "y")).select(*by, "x", "y", cell_of(F.col("x"), tile).alias("tx"))
+    rows = p.select(*by, "tx", "y").distinct().withColumn("level", F.explode(F.array(*(F.lit(k) for k in levels or [0]))))
     own = F.lit(tile) * F.pow(F.lit(2.0), F.col("level"))
     rows = rows.withColumns({"cx": F.floor(F.col("tx") * tile / own).cast("long"), "cy": F.floor(F.col("y") / own).cast("long")})
     span = lambda c: F.sequence(F.floor(F.col(c + "1") / own).cast("long"), F.floor(F.col(c + "2") / own).cast("long"))
     cells = boxes.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
-    wanted = rows.join(cells, ["level", "cx", "cy"]).filter(f"y >= y1 and y <= y2 and tx * {tile} <= x2 and (tx + 1) * {tile} > x1")
-    wanted = wanted.select("area_id", "y", F.floor(F.col("y") / F.col("row")).cast("long").alias("band")).distinct()
-    e = ring_edges(rings).filter(finite("x1", "y1", "x2", "y2")).filter("y1 <> y2").join(boxes.select("area_id", "row"), "area_id")
+    wanted = rows.join(cells, [*by, "level", "cx", "cy"]).filter(f"y >= y1 and y <= y2 and tx * {tile} <= x2 and (tx + 1) * {tile} > x1")
+    wanted = wanted.select(*by, "area_id", "y", F.floor(F.col("y") / F.col("row")).cast("long").alias("band")).distinct()
+    e = ring_edges(rings, by).filter(finite("x1", "y1", "x2", "y2")).filter("y1 <> y2").join(boxes.select(*by, "area_id", "row"), [*by, "area_id"])
     e = e.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / F.col("row")).cast("long"), F.floor(F.greatest("y1", "y2") / F.col("row")).cast("long")))).drop("row")
     x = crossing_x(*(F.col(c) for c in ("y", "x1", "y1", "x2", "y2")))
-    spans = row_spans(wanted.join(e, ["area_id", "band"]).select("area_id", "ring", "y", x.alias("x")).filter("x is not null"))
-    pieces = spans.select("y", "low", "high", F.explode(F.sequence(cell_of(F.col("low"), tile), cell_of(F.col("high"), tile))).alias("tx"))
+    spans = row_spans(wanted.join(e, [*by, "area_id", "band"]).select(*by, "area_id", "ring", "y", x.alias("x")).filter("x is not null"), by)
+    pieces = spans.select(*by, "y", "low", "high", F.explode(F.sequence(cell_of(F.col("low"), tile), cell_of(F.col("high"), tile))).alias("tx"))
     a, b = p.alias("a"), pieces.alias("b")
     held = (F.col("a.tx") == F.col("b.tx")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.x") >= F.col("b.low")) & (F.col("a.x") < F.col("b.high"))
-    return a.join(b, held, "left_semi").select("x", "y")
+    for c in by:
+        held = held & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b, held, "left_semi").select(*by, "x", "y")
 
 
 def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 10.0, by: tuple[str, ...] = ()) -> DataFrame:

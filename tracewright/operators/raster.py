@@ -58,51 +58,51 @@ def unique_courses(segments: DataFrame, payload: tuple[str, ...] = ()) -> DataFr
 WAY_STEP = 0.25
 
 
-def _nearest(points: DataFrame, ref: DataFrame, reach: float, step: float, payload: tuple[str, ...] = ()) -> DataFrame:
+def _nearest(points: DataFrame, ref: DataFrame, reach: float, step: float, payload: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """The nearest of ref: points (ref_id, x, y), or the steps of segments (way_id, seg, x1, y1, x2, y2)."""
-    return nearest_steps(points, ref, reach, step, payload) if "x1" in ref.columns else nearest_within(points, ref, reach, payload)
+    return nearest_steps(points, ref, reach, step, payload, by) if "x1" in ref.columns else nearest_within(points, ref, reach, payload, by)
 
 
-def _way_costs(points: DataFrame, ref: DataFrame, reach: float, step: float) -> DataFrame:
-    near = _nearest(points, ref, reach, step, ("way_cost",))
+def _way_costs(points: DataFrame, ref: DataFrame, reach: float, step: float, by: tuple[str, ...] = ()) -> DataFrame:
+    near = _nearest(points, ref, reach, step, ("way_cost",), by)
     return near.withColumn("cost", G.blend_cost(F.col("way_cost"), OFF_PATH, F.col("dist"), reach))
 
 
-def nearest_way_cost(points: DataFrame, ref: DataFrame, reach: float = REACH, step: float = WAY_STEP) -> DataFrame:
+def nearest_way_cost(points: DataFrame, ref: DataFrame, reach: float = REACH, step: float = WAY_STEP, by: tuple[str, ...] = ()) -> DataFrame:
     """points (point_id, x, y) within reach of a way point: dist and the blended cost.
 
     ref: way points (ref_id, x, y, way_cost), or segments (way_id, seg, x1, y1, x2, y2, way_cost) whose points lie `step` apart.
     """
-    near = _way_costs(positions(points), ref, reach, step).drop("x", "y").select("point_id.*", "dist", "ref_id", "way_cost", "cost")
-    return points.select("point_id", "x", "y").join(near, ["x", "y"]).select("point_id", "x", "y", "dist", "ref_id", "way_cost", "cost")
+    near = _way_costs(positions(points, by), ref, reach, step, by).drop("x", "y").select(*by, "point_id.*", "dist", "ref_id", "way_cost", "cost")
+    return points.select(*by, "point_id", "x", "y").join(near, [*by, "x", "y"]).select(*by, "point_id", "x", "y", "dist", "ref_id", "way_cost", "cost")
 
 
-def positions(cells: DataFrame) -> DataFrame:
+def positions(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The distinct positions of cells, as points: point_id (x, y), x, y. Grids that overlap share theirs; each is asked for once."""
-    return cells.select("x", "y").distinct().select(F.struct("x", "y").alias("point_id"), "x", "y")
+    return cells.select(*by, "x", "y").distinct().select(*by, F.struct("x", "y").alias("point_id"), "x", "y")
 
 
-def burn_obstacles(cells: DataFrame, rings: DataFrame) -> DataFrame:
+def burn_obstacles(cells: DataFrame, rings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """cells (point_id, x, y, ...) with blocked: inside any area, holes left out. Areas are filled row by row, once a position."""
-    inside = positions_inside(cells.select("x", "y").distinct(), rings).withColumn("hit", F.lit(True))
-    return cells.join(inside, ["x", "y"], "left").select(*cells.columns, F.coalesce("hit", F.lit(False)).alias("blocked"))
+    inside = positions_inside(cells.select(*by, "x", "y").distinct(), rings, by=by).withColumn("hit", F.lit(True))
+    return cells.join(inside, [*by, "x", "y"], "left").select(*cells.columns, F.coalesce("hit", F.lit(False)).alias("blocked"))
 
 
-def cost_grid(cells: DataFrame, way_points: DataFrame, segments: DataFrame, rings: DataFrame, half_width: Column | float = 3.0, reach: float = REACH, step: float = WAY_STEP) -> DataFrame:
+def cost_grid(cells: DataFrame, way_points: DataFrame, segments: DataFrame, rings: DataFrame, half_width: Column | float = 3.0, reach: float = REACH, step: float = WAY_STEP, by: tuple[str, ...] = ()) -> DataFrame:
     """cells (point_id, ix, iy, x, y) with cost and blocked. way_points: points or segments of ways with way_cost, as for nearest_way_cost().
 
     0.9 everywhere; 1 in areas away from ways by more than half_width (a number, or a column of segments, as roads are wider than
     footways); near a way the blend of its cost, if less; areas that no way covers are blocked with an infinite cost, which
     overrides the rest. All is worked out once a position, and then given to the cells there.
     """
-    at = cut(positions(cells), "positions")
-    inside = cut(positions_inside(at, rings).select(F.struct("x", "y").alias("point_id"), "x", "y"), "inside")
-    blocked = inside.join(points_near_segments(inside, segments, half_width), "point_id", "left_anti").select("point_id", F.lit(True).alias("blocked"))
-    near = _way_costs(at, way_points, reach, step).select("point_id", F.col("cost").alias("near_cost"))
-    known = near.join(blocked, "point_id", "full").select("point_id.*", "near_cost", F.coalesce("blocked", F.lit(False)).alias("blocked"))
-    rows = cells.join(known, ["x", "y"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    at = cut(positions(cells, by), "positions")
+    inside = cut(positions_inside(at, rings, by=by).select(*by, F.struct("x", "y").alias("point_id"), "x", "y"), "inside")
+    blocked = inside.join(points_near_segments(inside, segments, half_width, by=by), [*by, "point_id"], "left_anti").select(*by, "point_id", F.lit(True).alias("blocked"))
+    near = _way_costs(at, way_points, reach, step, by).select(*by, "point_id", F.col("cost").alias("near_cost"))
+    known = near.join(blocked, [*by, "point_id"], "full").select(*by, "point_id.*", "near_cost", F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    rows = cells.join(known, [*by, "x", "y"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
     cost = F.when(F.col("blocked"), float("inf")).otherwise(F.least(F.lit(OFF_PATH), F.coalesce("near_cost", F.lit(OFF_PATH))))
-    return rows.select("point_id", "ix", "iy", "x", "y", cost.alias("cost"), "blocked")
+    return rows.select(*by, "point_id", "ix", "iy", "x", "y", cost.alias("cost"), "blocked")
 
 
 def world_to_cell(v: Column, low: float, size: float, count: int | None = None) -> Column:
