@@ -131,3 +131,10 @@ def test_paths_near_leaves_out_none(spark):
     rows = [(1, -3.0, 5.0, -2.0, 5.0, 2.5), (2, -3.0, 5.0, -2.0, 5.0, 1.5), (3, 1100.0, 100.0, 1101.0, 100.0, 0.0), (4, 500.0, 0.0, 501.0, 0.0, 600.0), (5, 500.0, 0.0, 501.0, 0.0, 100.0)]
     legs = spark.createDataFrame([(p, 0, *rest) for p, *rest in rows], "path_id long, leg int, x1 double, y1 double, x2 double, y2 double, within double")
     assert {x.path_id for x in J.paths_near(legs, rings).collect()} == {1, 3, 4}
+
+
+def test_weights_with_which_all_paths_are_swept(spark):
+    """A sweep may carry points past where they end, so that no bound says which paths stay free."""
+    paths, boxes = {1: [(0, 0), (4, 3), (8, 0), (12, 3)], 2: [(0, 9), (4, 9)]}, {1: (500, 500, 5)}
+    got = lists(S.smooth_paths(table(spark, paths), spark.createDataFrame(boxes_rings(boxes), RINGS), 0.9, 0.3, tol=0.5))
+    assert set(got) == {1, 2} and all(near(got[k], plain(p, None, 0.9, 0.3, 0.5), 1e-9) for k, p in paths.items())
