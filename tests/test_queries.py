@@ -56,3 +56,17 @@ def test_town_has_every_order_customer_and_path(spark):
     }
     for view, (key, text) in whole.items():
         assert getattr(town, view).select(key).distinct().count() == spark.sql(text).first()[0]
+
+
+def test_points_in_polygons_meet_areas_in_one_box(spark):
+    """The join's whole size on the sf0.01 tables, and none of its points or areas is moved away from the others."""
+    folder = SF.replace("sf0.001", "sf0.01")
+    c = duckdb.connect()
+    for t in ("orders", "customer"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = c.execute(catalogue.oracle_sql()["points_in_polygons"]).fetchall()
+    got = [tuple(r) for r in catalogue.queries()["points_in_polygons"](spark, folder).select("point_id", "area_id").collect()]
+    assert len(want) == 3672 and sorted(got) == sorted(want)
+    town = fixtures.Town(spark, SF)
+    assert town.piled_ring.select("area_id").distinct().count() == spark.table("customer").count() and town.piled_paths.count() == spark.table("orders").count()
+    assert town.piled_paths.filter("y > 5550500 + 392 or x > 458000 + 493").count() == 0 and town.piled_boxes.selectExpr("max(max_y) - min(min_y) as high").first().high > 360
