@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tracewright.llm import packing, sstable, token_counts
-from tracewright.llm.tokens import encoder
+from tracewright.llm.tokens import Encoder, encoder
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 
@@ -22,6 +22,17 @@ def test_ids_equal_the_library(path):
         assert e.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_texts_cut_at_blanks_have_the_librarys_ids():
+    """White space beside blanks, signs that aren't plain and special tokens between them; what was met before isn't split again."""
+    e, library, r = Encoder(BYTE), Tokenizer.from_file(BYTE), random.Random(3)
+    words = ["the", "a", "don't", "x1", "foo,", "(b", "é", "日本", "<|endoftext|>", "<|endof", "text|>", "\n", "\t", "\x1c", "\x85", "\u3000", ".\n", "'s", "'", "_", "12", "²", ""]
+    texts = [r.choice(["", " "]).join(r.choice(words) + r.choice(["", "", " ", "\n"]) for _ in range(r.randint(0, 9))) for _ in range(4000)]
+    for t in [*texts, "a\n \nb", "a\n ", " ", "", "a  b", " a ", "a \n b"]:
+        assert e.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert e.ids("the the, x1").tolist() == library.encode("the the, x1", add_special_tokens=False).ids
+    assert {"the,", "x1"} <= e.after_blank.keys() and "\nb" not in e.after_blank
+
+
 def test_token_counts(docs, rows, none):
     library = Tokenizer.from_file(BYTE)
     want = sorted((r[0] is not None, r[0] or 0, len((r[1] or "").encode()), n := len(library.encode(r[1] or "", add_special_tokens=False).ids), n > 1024) for r in rows)

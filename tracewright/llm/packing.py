@@ -75,14 +75,14 @@ class Schedule:
         k = min(self.place(queue, start), self.total - 1) // window
         while self.served(k * window)[queue] > start:
             k -= 1
-        end = start + length
+        end, low = start + length, self.served(k * window)
         while start < end:
-            low, high = self.served(k * window), self.served((k + 1) * window)
+            high = self.served((k + 1) * window)
             if (upto := min(end, high[queue])) > start:
-                before = sum(high[i] - low[i] for i in range(queue))
+                before = sum(high[:queue]) - sum(low[:queue])
                 yield k * window + before + start - low[queue], start, upto - start
                 start = upto
-            k += 1
+            k, low = k + 1, high
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
@@ -124,19 +124,23 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, weight
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, number = Schedule([sizes[q] for q in queues], weight), {q: i for i, q in enumerate(queues)}
-        types = [pa.int64()] * 6 + [pa.string(), pa.binary()]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
         for batch in batches:
-            queue, start, docs_in, n, raw = (batch.column(i).to_pylist() for i in range(5))
-            which, columns = [], [[] for _ in types]
-            for row in range(len(n)):
-                for place, at, size in plan.pieces(number[queue[row]], start[row], n[row], length):
-                    own = at - start[row]
-                    piece = raw[row][4 * own : 4 * (own + size)]
-                    which.append(row)
-                    for column, value in zip(columns, (own, size, zlib.crc32(piece), n[row], place // length, place % length, queue[row][1:] if queue[row] else None, piece), strict=True):
-                        column.append(value)
-            if which:
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(which)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"])
+            queue, start, docs_in, n, raw = batch.columns
+            rows, spans, crcs, parts = [], [], [], []
+            for row, (q, first, size_in, whole) in enumerate(zip(queue.to_pylist(), start.to_pylist(), n.to_pylist(), raw.to_pylist(), strict=True)):
+                for place, at, size in plan.pieces(number[q], first, size_in, length):
+                    own = at - first
+                    piece = whole[4 * own : 4 * (own + size)]
+                    rows.append(row)
+                    spans.append((place, own, size))
+                    crcs.append(zlib.crc32(piece))
+                    parts.append(piece)
+            if rows:
+                which, (place, own, size) = pa.array(rows), np.array(spans, dtype=np.int64).T
+                source = pa.array([q[1:] if q else None for q in queue.to_pylist()], pa.string())
+                numbers = [pa.array(c) for c in (place // length, place % length)]
+                yield pa.RecordBatch.from_arrays([docs_in.take(which), pa.array(own), pa.array(size), pa.array(crcs, pa.int64()), n.take(which), *numbers, source.take(which), pa.array(parts, pa.binary())], names=names)
 
     placed = ids.join(sums.select("queue", "part", "base"), ["queue", "part"]).select("queue", (F.col("base") + F.col("at")).alias("start"), "doc_id", "n", "ids")
     return placed.mapInArrow(packed, f"doc_id {dict(ids.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")

@@ -4,6 +4,8 @@ The library's whole encode() runs at about 1.4 MB a second and core, most of it
 here, and the library's BPE model is asked once for each word; a process remembers the answers (a bounded memory: beyond it the
 model is asked again). This is done for texts whose characters all lie in a set on which our splitting equals the library's
 (ASCII and Latin letters, tested). Any other text, and any text with a special token's string in it, goes through encode() whole.
+Byte-level splitting never crosses a blank before a word, so such texts are cut at blanks first, and ids are remembered for what
+stands between two of them ("word,"): the pattern then runs only over what wasn't met before.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -39,6 +42,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Remembered(dict):
     """piece -> bytes of its ids; asks make() for what it doesn't hold and stops growing at REMEMBERED entries."""
 
@@ -53,6 +61,32 @@ class Remembered(dict):
         return ids
 
 
+class AfterBlank(Remembered):
+    """What stands between two blanks -> bytes of the ids that byte-level splitting gives it and the blank before it.
+
+    KeyError where the text must not be cut: white space or nothing after the blank, or signs that aren't plain. What holds the end of
+    a line seldom comes again and isn't remembered.
+    """
+
+    def __init__(self, make: Callable, known: Remembered, plain: Callable):
+        super().__init__(make)
+        self.known, self.plain = known, plain
+
+    def __missing__(self, rest: str) -> bytes:
+        if not (rest.isascii() and rest.isalpha()) and (not rest or rest[0].isspace() or not self.plain(rest)):
+            raise KeyError(rest)
+        if rest.isalpha():
+            ids = self.make(" " + rest)
+        elif rest[:-1].isalpha() and not rest[-1].isspace():
+            ids = self[rest[:-1]] + self.known[rest[-1]]
+        else:
+            head, *pieces = BYTE_PIECES.findall(" " + rest)
+            ids = b"".join([self[head[1:]] if pieces else self.make(head), *map(self.known.__getitem__, pieces)])
+        if len(self) < 2 * REMEMBERED and "\n" not in rest:
+            self[rest] = ids
+        return ids
+
+
 class Encoder:
     """ids(text) are the ids of tokenizers' encode(text, add_special_tokens=False), little-endian unsigned 32-bit. plain_specials: special tokens' strings in a text are ordinary text."""
 
@@ -69,9 +103,12 @@ class Encoder:
         model, letters = self.library.model, str.maketrans({chr(b): c for c, b in byte_letters().items()})
 
         def merged(piece: str) -> bytes:
-            return np.array([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))], dtype="<u4").tobytes()
+            return as_bytes([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))])
 
         self.known = Remembered(merged)
+        self.after_blank = AfterBlank(merged, self.known, self.plain)
+        # a special token's string must lie between blanks and be no word
+        self.cuts = not self.words and not any(" " in x or x.isalpha() for x in self.special)
 
     def token_bytes(self) -> list[bytes]:
         """The bytes that each id of a byte-level vocabulary stands for; an added token's string as it is."""
@@ -84,7 +121,19 @@ class Encoder:
     def plain(self, text: str) -> bool:
         return NOT_PLAIN.search(text) is None and not any(s in text for s in self.special)
 
+    def _between_blanks(self, text: str) -> bytes:
+        """ids() of a text from what stands between its blanks; KeyError if it must not be cut."""
+        first, *rest = text.split(" ")
+        if not self.plain(first):
+            raise KeyError(first)
+        return b"".join([*map(self.known.__getitem__, BYTE_PIECES.findall(first)), *map(self.after_blank.__getitem__, rest)])
+
     def ids(self, text: str) -> np.ndarray:
+        if self.cuts:
+            try:
+                return np.frombuffer(self._between_blanks(text), dtype="<u4")
+            except KeyError:
+                pass
         if not self.plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
         pieces = WORD_PIECES.findall(text.lower()) if self.words else BYTE_PIECES.findall(text)
