@@ -38,28 +38,54 @@ def utm_letter(lat: Column) -> Column:
 
 def to_utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
     """Easting and northing in the given zone; in the south northings count from the false origin."""
-    phi, d = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    sin, cos = F.sin(phi), F.cos(phi)
-    t, c, a = F.tan(phi) * F.tan(phi), EP2 * cos * cos, cos * d
+    phi = F.radians(lat)
+    return _planar(lat, phi, F.radians(lon - (zone * 6 - 183)), F.sin(phi), F.cos(phi), F.tan(phi))
+
+
+def _planar(lat: Column, phi: Column, d: Column, sin: Column, cos: Column, tan: Column) -> tuple[Column, Column]:
+    t, c, a = tan * tan, EP2 * cos * cos, cos * d
     n = RADIUS / F.sqrt(1 - E2 * sin * sin)
     m = RADIUS * (ARC[0] * phi - ARC[1] * F.sin(2 * phi) + ARC[2] * F.sin(4 * phi) - ARC[3] * F.sin(6 * phi))
     x = SCALE * n * (a + (1 - t + c) * F.pow(a, F.lit(3)) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * EP2) * F.pow(a, F.lit(5)) / 120) + FALSE_EAST
-    y = SCALE * (m + n * F.tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(a, F.lit(4)) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * EP2) * F.pow(a, F.lit(6)) / 720))
+    y = SCALE * (m + n * tan * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(a, F.lit(4)) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * EP2) * F.pow(a, F.lit(6)) / 720))
     return x, y + F.when(lat < 0, FALSE_NORTH).otherwise(0.0)
 
 
+def utm_points(points: Column, zone: Column, lat, lon) -> Column:
+    """An array's points as x, y of the zone; lat and lon get them from an element. In steps, as a lambda works out each value as often as it is named."""
+    angles = F.transform(points, lambda p: F.struct(lat(p).alias("lat"), F.radians(lat(p)).alias("phi"), F.radians(lon(p) - (zone * 6 - 183)).alias("d")))
+    known = F.transform(angles, lambda p: F.struct(p["lat"], p["phi"], p["d"], F.sin(p["phi"]).alias("sin"), F.cos(p["phi"]).alias("cos"), F.tan(p["phi"]).alias("tan")))
+    return F.transform(known, lambda p: F.struct(*(v.alias(n) for n, v in zip("xy", _planar(*(p[c] for c in ("lat", "phi", "d", "sin", "cos", "tan"))), strict=True))))
+
+
 def to_latlon(x: Column, y: Column, zone: Column, north: Column | bool = True) -> tuple[Column, Column]:
     """Latitude and longitude of a point of the given zone."""
+    phi = _foot(y, north)
+    return _geographic(x, phi, F.sin(phi), F.cos(phi), F.tan(phi), zone)
+
+
+def latlon_points(points: Column, zone: Column, north: Column | bool = True) -> Column:
+    """An array's points (x, y) as lat, lon, in steps (see utm_points)."""
+    feet = F.transform(points, lambda p: F.struct(p["x"].alias("x"), _foot(p["y"], north).alias("phi")))
+    known = F.transform(feet, lambda p: F.struct(p["x"], p["phi"], F.sin(p["phi"]).alias("sin"), F.cos(p["phi"]).alias("cos"), F.tan(p["phi"]).alias("tan")))
+    return F.transform(known, lambda p: F.struct(*(v.alias(n) for n, v in zip(("lat", "lon"), _geographic(*(p[c] for c in ("x", "phi", "sin", "cos", "tan")), zone), strict=True))))
+
+
+def _foot(y: Column, north: Column | bool) -> Column:
+    """The footpoint latitude."""
     south = F.when(F.lit(north) if isinstance(north, bool) else north, 0.0).otherwise(FALSE_NORTH)
     mu = (y - south) / SCALE / (RADIUS * ARC[0])
     phi = mu
     for i, k in enumerate(FOOT):
         phi = phi + k * F.sin(2 * (i + 1) * mu)
-    sin, cos = F.sin(phi), F.cos(phi)
-    t, c, w = F.tan(phi) * F.tan(phi), EP2 * cos * cos, 1 - E2 * sin * sin
+    return phi
+
+
+def _geographic(x: Column, phi: Column, sin: Column, cos: Column, tan: Column, zone: Column) -> tuple[Column, Column]:
+    t, c, w = tan * tan, EP2 * cos * cos, 1 - E2 * sin * sin
     n, r = RADIUS / F.sqrt(w), RADIUS * (1 - E2) / F.pow(w, F.lit(1.5))
     d = (x - FALSE_EAST) / (n * SCALE)
-    lat = phi - n * F.tan(phi) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * EP2) * F.pow(d, F.lit(4)) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * EP2 - 3 * c * c) * F.pow(d, F.lit(6)) / 720)
+    lat = phi - n * tan / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * EP2) * F.pow(d, F.lit(4)) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * EP2 - 3 * c * c) * F.pow(d, F.lit(6)) / 720)
     lon = (d - (1 + 2 * t + c) * F.pow(d, F.lit(3)) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * EP2 + 24 * t * t) * F.pow(d, F.lit(5)) / 120) / cos
     return F.degrees(lat), F.degrees(lon) + (zone * 6 - 183)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import joins as J
 from ..sources import files as S
-from ..tables import new_path
+from ..tables import dealt, new_path
 from .feature_queries import classified
 from .fixtures import Town, query
 
@@ -128,17 +128,23 @@ def read_tag_rules(t: Town):
 
 def shapes(t: Town):
     ring = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    areas = t.area_ring.groupBy("area_id").agg(ring.alias("r"))
+    areas = dealt(t.area_ring, "area_id").groupBy("area_id").agg(ring.alias("r"))
     return areas.select(F.lit("town").alias("map_id"), F.col("area_id").cast("string").alias("feature_id"), F.lit("barrier").alias("category"), F.lit("polygon").alias("kind"), F.array("r").alias("rings"), F.from_json(F.lit("[]"), "array<bigint>").alias("nodes"), F.create_map(F.lit("barrier"), F.lit("wall")).alias("tags"), F.lit("").alias("in_out"))
 
 
+def geojson_folder(t: Town) -> str:
+    """Collections of the town's areas, one for each thousand ids, so that files grow in number and not in size."""
+    one = S.geojson_features(shapes(t), 33).select(F.get_json_object("json", "$.properties.id").alias("id"), "json")
+    each = F.concat(F.lit('{"id":"'), "id", F.lit('",'), F.expr("substring(json, 2)"))
+    text = F.concat(F.lit('{"features":['), F.array_join(F.collect_list(each), ","), F.lit("]}"))
+    path = new_path(t.spark, "geojson")
+    one.groupBy(F.floor(F.col("id").cast("long") / 1000).alias("part")).agg(text.alias("json")).write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 @query("SELECT CAST(area_id AS VARCHAR) AS feature_id, 'polygon' AS kind, round(sum(x), 1) AS sx, round(sum(y), 1) AS sy FROM fx_area_ring GROUP BY area_id")
 def read_geojson(t: Town):
-    path = new_path(t.spark, "geojson")
-    one = S.geojson_features(shapes(t), 33).select(F.get_json_object("json", "$.properties.id").alias("id"), "json")
-    each = F.concat(F.lit('{"features":[{"id":"'), "id", F.lit('",'), F.expr("substring(json, 2)"), F.lit("]}"))
-    one.select(each.alias("json"), F.pmod(F.hash("id"), F.lit(64)).alias("part"), "id").write.partitionBy("part", "id").text(path)
-    read = S.read_geojson(t.spark, f"{path}/*/*/*", 33)
+    read = S.read_geojson(t.spark, f"{geojson_folder(t)}/*/*", 33)
     ring = F.get("rings", F.lit(0))
     total = lambda c: F.round(F.aggregate(ring, F.lit(0.0), lambda s, p: s + F.round(p[c], 0)), 1)
     return read.select("feature_id", "kind", total("x").alias("sx"), total("y").alias("sy"))

@@ -85,26 +85,23 @@ def read_geojson(spark: SparkSession, path: str, zone: int) -> DataFrame:
     line, polygon, multi = F.from_json("c", "array<array<double>>"), F.from_json("c", "array<array<array<double>>>"), F.from_json("c", "array<array<array<array<double>>>>")
     rings = F.when(F.col("type") == "LineString", F.array(line)).when(F.col("type") == "Polygon", polygon).when(F.col("type") == "MultiPolygon", F.flatten(multi))
 
-    def planar(p):
-        x, y = P.to_utm(F.get(p, F.lit(1)), F.get(p, F.lit(0)), F.lit(zone))
-        return F.struct(x.alias("x"), y.alias("y"))
-
+    planar = lambda r: P.utm_points(r, F.lit(zone), lambda p: F.get(p, F.lit(1)), lambda p: F.get(p, F.lit(0)))
     kind = F.when(F.col("type") == "LineString", "line").when(F.col("type") == "Polygon", "polygon").when(F.col("type") == "MultiPolygon", "multipolygon")
-    return f.select("feature_id", "properties", kind.alias("kind"), F.transform(rings, lambda r: F.transform(r, planar)).alias("rings"))
+    return f.select("feature_id", "properties", kind.alias("kind"), F.transform(rings, planar).alias("rings"))
 
 
 def geojson_features(features: DataFrame, zone: int) -> DataFrame:
     """map_id, json: a GeoJSON feature of every row of features (map_id, feature_id, category, kind, rings, nodes, tags, in_out); those without a geometry go."""
 
-    def degrees(p):
-        lat, lon = P.to_latlon(p["x"], p["y"], F.lit(zone))
-        return F.struct(F.round(lon, 7).alias("x"), F.round(lat, 7).alias("y"))
+    def degrees(ring):
+        return F.transform(P.latlon_points(ring, F.lit(zone)), lambda p: F.struct(F.round(p["lon"], 7).alias("x"), F.round(p["lat"], 7).alias("y")))
 
-    g = T.geojson_geom(F.col("kind"), F.transform("rings", lambda r: F.transform(r, degrees)))
+    g = T.geojson_geom(F.col("kind"), F.transform("rings", degrees))
     node = (F.col("category") == "barrier") & (F.size("nodes") == 0)
     properties = F.struct(F.col("feature_id").alias("id"), "category", node.alias("is_node"), "tags", "in_out")
     text = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(properties), F.lit(',"geometry":'), F.col("g"), F.lit("}"))
-    return features.withColumn("g", g).filter("g is not null").select("map_id", text.alias("json"))
+    # the kinds that have one; asking for the text itself would make it twice
+    return features.filter(F.col("kind").isin("polygon", "line", "point")).withColumn("g", g).select("map_id", text.alias("json"))
 
 
 def write_geojson(features: DataFrame, path: str, zone: int) -> None:
