@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, ship
+from .tables import cut, ship, shuffled
 
 #: Rows of a round's table that go to one file and task; links that one task settles by itself.
 ROWS_A_FILE = 200_000
@@ -25,7 +25,7 @@ def _jumped(parents: DataFrame, rows: int) -> DataFrame:
     """parents (node, up): every node's root, by pointer doubling."""
     while True:
         above = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        parents = _cut(parents.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "parents", rows)
+        parents = _cut(parents.join(shuffled(above), "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "parents", rows)
         if not parents.filter("moved").limit(1).count():
             return parents.select("node", "up")
 
@@ -75,11 +75,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         else:
             roots = _jumped(_cut(live.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up")), "hooks", left), left)
         own = roots.select(F.col("node").alias("component"), F.col("up").alias("root"))
-        labels = _cut(labels.join(own, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels", nodes)
+        labels = _cut(labels.join(shuffled(own), "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels", nodes)
         if settled:
             return labels
         hi, lo = roots.select(F.col("node").alias("hi"), F.col("up").alias("hi_up")), roots.select(F.col("node").alias("lo"), F.col("up").alias("lo_up"))
-        moved = live.join(hi, "hi", "left").join(lo, "lo", "left").select(F.coalesce("hi_up", "hi").alias("x"), F.coalesce("lo_up", "lo").alias("y"))
+        moved = live.join(shuffled(hi), "hi", "left").join(shuffled(lo), "lo", "left").select(F.coalesce("hi_up", "hi").alias("x"), F.coalesce("lo_up", "lo").alias("y"))
         live = _cut(moved.filter("x <> y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(), "links", left)
         left = live.count()
     return labels

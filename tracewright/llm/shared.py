@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import new_path, shared_folder, ship  # noqa: F401
+from ..tables import new_path, shared_folder, ship, shuffled  # noqa: F401
 
 #: Rows of an Arrow batch: whole texts travel in these batches, so they are kept short.
 BATCH_ROWS = "256"

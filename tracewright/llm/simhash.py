@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, keep_columns, named, prepare
+from .shared import cut, keep_columns, named, prepare, shuffled
 
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs little memory.
@@ -105,14 +105,14 @@ def near_pairs(prints: DataFrame) -> DataFrame:
         first = F.when(other.bitwiseAND(F.lit((1 << THIRDS[k][1]) - (1 << THIRDS[k][0]))) == 0, k).otherwise(first)
     close = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= 2) & (F.col("a.pos") == once) & ((F.col("a.third") < 0) | (F.col("a.third") == first))
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("pos", "rest", "third", "piece")]
-    return a.join(b, same[0] & same[1] & same[2] & same[3] & close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return a.join(shuffled(b), same[0] & same[1] & same[2] & same[3] & close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
     """fp, component (a fingerprint that names the group), component_id (the group's smallest doc_id, null if it has none) of every fingerprint in prints (doc_id, fp)."""
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     labels = components(near_pairs(nodes))  # node, component: fingerprints
-    grouped = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    grouped = nodes.join(shuffled(labels), nodes.fp == labels.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     return cut(grouped.join(smallest, "component").select("fp", "component", "component_id"), "classes")
 
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     repeated results. Other columns are ignored; an empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, words), "fingerprints")
-    joined = prints.join(classes_of(prints), "fp")
+    joined = prints.join(shuffled(classes_of(prints)), "fp")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
