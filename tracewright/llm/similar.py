@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .pivots import _local_smallest
-from .shared import cut, keep_columns, named, prepare
+from .shared import cut, keep_columns, named, prepare, shuffled
 
 WORDS, SIMILARITY = 5, 0.8
 #: Words of the shingles that fingerprints are made of; the most bits that a candidate pair differs by.
@@ -148,7 +148,7 @@ def _bits(a: str, b: str):
 def _clustered(nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """nodes (node, cluster, ...) with their clusters joined by pairs of clusters (a, b)."""
     joined = components(pairs)
-    met = nodes.join(joined.select(F.col("node").alias("cluster"), "component"), "cluster", "left")
+    met = nodes.join(shuffled(joined.select(F.col("node").alias("cluster"), "component")), "cluster", "left")
     return cut(met.withColumn("cluster", F.coalesce("component", "cluster")).select(*nodes.columns), name)
 
 
@@ -164,7 +164,7 @@ def clusters(nodes: DataFrame) -> DataFrame:
     own = _clustered(nodes.withColumn("cluster", F.col("node")), _led(whole_segments(nodes.select("f0", "f1", F.col("node").alias("cluster")))), "led")
     own = _clustered(own, _led(variants(own.select("f0", "f1", "cluster"))), "led")
     keyed = variants(own.select("f0", "f1", "cluster"))
-    met = keyed.alias("a").join(keyed.alias("b"), (F.col("a.pos") == F.col("b.pos")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.cluster") > F.col("b.cluster")) & (_bits("a.", "b.") <= MOST_BITS))
+    met = keyed.alias("a").join(shuffled(keyed.alias("b")), (F.col("a.pos") == F.col("b.pos")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.cluster") > F.col("b.cluster")) & (_bits("a.", "b.") <= MOST_BITS))
     return _clustered(own, met.select(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b")), "clusters")
 
 
@@ -184,7 +184,7 @@ def groups(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     dealt = dealt.select("node", "cluster", "together", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "shingles")
     found = dealt.groupBy("together", "one", "two").applyInPandas(lambda part: linked_in_blocks(part, similarity), "node long, root long")
     joined = components(cut(found, "found"), "node", "root").select("node", F.col("component").alias("group"))
-    return nodes.join(joined, "node", "left").select("c0", "c1", F.coalesce("group", "node").alias("group"))
+    return nodes.join(shuffled(joined), "node", "left").select("c0", "c1", F.coalesce("group", "node").alias("group"))
 
 
 def _winners(prints: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
