@@ -17,7 +17,6 @@ from ..tables import cut
 DECIMALS = {"voltage": 2, "current": 2, "temperature": 1, "speed": 2}
 RECOVERY_S, TELEOP_S = 5.0, 2.0
 WATERMARK = "10 minutes"
-LATEST = "robot_id long, topic string, ts timestamp, msg_id long, num double, lat double, lon double"
 
 
 def latest_messages(msgs: DataFrame) -> DataFrame:
@@ -47,41 +46,9 @@ def telemetry_latest(msgs: DataFrame) -> DataFrame:
     return last.groupBy("robot_id").agg(*columns, F.max("ts").alias("last_ts"))
 
 
-def latest_by_topic() -> StatefulProcessor:
-    """The processor of telemetry_latest_stream(). Its class is made here, so that it travels whole to the workers."""
-
-    class LatestByTopic(StatefulProcessor):
-        """Keeps each (robot, topic)'s latest message; late ones don't replace it. Emits on change."""
-
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("latest", LATEST)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-            names = [x.split()[0] for x in LATEST.split(", ")]
-            held = self.state.get()
-            best = None if held is None else dict(zip(names, held, strict=True))
-            new = False
-            for part in rows:
-                part = part[part["ts"].notna()]
-                if len(part):
-                    row = part.sort_values(["ts", "msg_id"]).iloc[-1]
-                    if best is None or (row["ts"], row["msg_id"]) > (pd.Timestamp(best["ts"]), best["msg_id"]):
-                        best = {n: None if pd.isna(row[n]) else row[n] for n in names}
-                        best["ts"] = row["ts"].to_pydatetime()
-                        new = True
-            if new:
-                self.state.update(tuple(v.item() if hasattr(v, "item") else v for v in (best[n] for n in names)))
-                yield pd.DataFrame([best])[names]
-
-        def close(self) -> None:
-            pass
-
-    return LatestByTopic()
-
-
 def telemetry_latest_stream(msgs: DataFrame) -> DataFrame:
-    """The changes of latest_messages() over a stream. Needs the RocksDB state store."""
-    return msgs.groupBy("robot_id", "topic").transformWithStateInPandas(latest_by_topic(), LATEST, "Update", "None")
+    """latest_messages() over a stream in update mode: a row for each robot and topic that a batch has messages of, the held one if they are late. The state is an aggregate's, so no key goes through Python."""
+    return latest_messages(msgs)
 
 
 def emit_on_change(msgs: DataFrame, every_s: int = 10) -> DataFrame:
