@@ -128,3 +128,20 @@ def test_latest_messages_of_a_stream_need_no_python(spark, tmp_path):
     got = S.latest_messages(spark.read.schema(out.schema).parquet(f"{tmp_path}/out").select(*out.columns)).collect()
     assert {(r.robot_id, r.topic): (r.msg_id, r.num) for r in got} == {(1, "gps"): (2, 2.0), (2, "gps"): (6, None), (1, "speed"): (7, 7.0)}
     assert "InPandas" not in "".join(plans)
+
+
+def test_legs_on_one_line_meet_as_in_sql(spark, tmp_path):
+    """Places of orders come again every 19,110 keys, so legs of a larger table may lie on each other."""
+    import os
+
+    import duckdb
+
+    for t in fixtures.TABLES:
+        os.symlink(f"{SF}/{t}.parquet", f"{tmp_path}/{t}.parquet") if t != "orders" else None
+    keys = [3, 10, 3 + 19_110, 10 + 19_110, 19_200]
+    duckdb.execute(f"COPY (SELECT unnest({keys})::BIGINT AS o_orderkey, 0::BIGINT AS o_custkey, 'F' AS o_orderstatus, '5-LOW' AS o_orderpriority) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    want = c.execute(catalogue.oracle_sql()["segments_intersect"]).fetchall()
+    got = [tuple(r) for r in catalogue.queries()["segments_intersect"](spark, str(tmp_path)).select("path_id", "one", "two", "meet").collect()]
+    assert sorted(got) == sorted(want) and (0, 0, 2, False) in want
